@@ -172,6 +172,11 @@ class Rewriter:
             if rep in ("", " "):
                 changed.add(m)
                 continue
+            if sum(alphabet(c) is not None for c in rep) > 1:  # a ligature: its letters count one by one
+                if len(m) == 1:
+                    self.first[ord(m)] = rep
+                    changed.add(m)
+                continue
             self.automaton.add_word(m, (len(m), own, rep, dict(reps)))
             if len(m) == 1 and rep != m:
                 changed.add(m)
