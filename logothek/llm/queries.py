@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logothek.llm import consistent as cons
-from logothek.llm import encode, mix, overlap, survivors
+from logothek.llm import encode, mix, overlap, quality, survivors
 from logothek.session import table
 
 
@@ -66,8 +66,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.shares(sized, mix.mixed(sized, targets), targets)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(table(spark, d, "documents"))
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.document_statistics(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_report, p4_found, p4_texts, p6_ids, p6_round_trip, p7_selection, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_report, p4_found, p4_texts, p6_ids, p6_round_trip, p7_selection, p7_shares, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
