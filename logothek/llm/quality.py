@@ -49,14 +49,14 @@ FEATURES = {
     "digits": "length(s) - length(regexp_replace(s, '[0-9]', ''))",
     "spaces": "length(s) - length(replace(s, ' ', ''))",
     "words": "regexp_count(s, '\\\\p{L}+')",
-    "titled": "regexp_count(s, '(?<!\\\\p{L})\\\\p{Lu}\\\\p{Ll}+')",
-    "cells": "regexp_count(s, '(?<![^\\\\s|;,])[0-9][0-9.:,]*(?![^\\\\s|;,])')",
+    "titled": "regexp_count(s, '\\\\p{Lu}(?<!\\\\p{L}.)\\\\p{Ll}+')",
+    "cells": "regexp_count(s, '[0-9](?<![^\\\\s|;,].)[0-9.:,]*(?![^\\\\s|;,])')",
     "signs": "regexp_count(s, '[!-/:-@\\\\[-`{-~¬°]')",
     "figures": "regexp_count(s, '[\\u2190-\\u2bff\\ufffd]')",
     "marks": "regexp_count(s, '[\\u0080-\\u00bf]')",
     "commas": "length(s) - length(replace(s, ',', ''))",
-    "consonants": "regexp_count(s, '(?i)(?<!\\\\p{L})[bcdfghjklmnpqrstvwxz]{2,}(?!\\\\p{L})')",
-    "pairs": "regexp_count(s, '(?<![^\\\\s])[0-9a-f]{2}(?![^\\\\s])')",
+    "consonants": "regexp_count(s, '[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ](?<!\\\\p{L}.)[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]+(?!\\\\p{L})')",
+    "pairs": "regexp_count(s, '[0-9a-f](?<!\\\\S.)[0-9a-f](?!\\\\S)')",
     "jumps": "regexp_count(s, '[0-9][A-Za-z]|[A-Za-z][0-9]|[a-z][A-Z]')",
     "bullet": "CAST(s RLIKE '^(?:[-–—•*·] |[0-9]+[.)] )' AS INT)",
     "ended": "CAST(s RLIKE '[.!?;…:♪\\\\])»*][\\\"”]?$' AS INT)",
@@ -81,12 +81,14 @@ NAMES = [*FEATURES, *RATIOS]
 
 def cue_lines(documents: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, s): the lines of cue text, trimmed and without mark-up; numbers, times, blank lines and headers are left out."""
-    t = F.translate(F.regexp_replace(F.col(f"`{text}`"), r"^\x{FEFF}", ""), "\r", "")
-    t = F.regexp_replace(t, r"^[ \t]*WEBVTT[^\n]*", "")
-    t = F.regexp_replace(t, r"(?<![^\n])[ \t]*[0-9]+[ \t]*\n(?=[ \t]*(?:[0-9]+:)+[0-9]+[.,][0-9]+[ \t]*-+>)", "")
-    lines = F.flatten(F.transform(F.split(t, "\n"), lambda x: F.when(x.rlike(FRAME), F.split(F.regexp_replace(x, FRAME, ""), r"\|")).otherwise(F.array(x))))
-    s = documents.where(F.length(text) > 0).select("doc_id", F.explode(lines).alias("s")).where(~F.col("s").rlike(TIME))
-    return s.select("doc_id", F.trim(F.translate(F.regexp_replace("s", MARKUP, ""), "\t", " ")).alias("s"), F.col("s").contains("\t").cast("int").alias("tabs")).where(F.length("s") > 0)
+    t = F.expr(f"concat('\n', replace(trim(LEADING '\ufeff' FROM `{text}`), '\r', ''))")
+    t = F.regexp_replace(t, r"\n[ \t]*[0-9]+[ \t]*(?=\n[ \t]*(?:[0-9]+:)+[0-9]+[.,][0-9]+[ \t]*-+>)", "")
+    lines = documents.where(F.length(text) > 0).select("doc_id", F.posexplode(F.split(t, "\n")).alias("i", "s")).where(F.length("s") > 0)
+    lines = lines.where(~(F.col("s").contains("->") & F.col("s").rlike(TIME)) & ~((F.col("i") == 1) & F.col("s").rlike(r"^[ \t]*WEBVTT")))
+    frame = F.col("s").startswith("{") & F.col("s").rlike(FRAME)
+    parts = lines.select("doc_id", F.explode(F.when(frame, F.split(F.regexp_replace("s", FRAME, ""), r"\|")).otherwise(F.array("s"))).alias("s"))
+    plain = F.when(F.col("s").rlike("[<{]"), F.regexp_replace("s", MARKUP, "")).otherwise(F.col("s"))
+    return parts.select("doc_id", F.trim(F.replace(plain, F.lit("\t"), F.lit(" "))).alias("s"), F.col("s").contains("\t").cast("int").alias("tabs")).where(F.length("s") > 0)
 
 
 def with_features(lines: DataFrame) -> DataFrame:
