@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = r"[\p{L}\p{M}]+"
 GREEK_RANGES = r"\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}"
@@ -92,6 +93,11 @@ def sort_key(c: Column) -> Column:
     return strip_accents(F.lower(F.replace(c, F.lit("-"), F.lit(""))))
 
 
+def outer_trim(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
 def words(c: Column) -> Column:
     """Runs of letters and marks, in order."""
     return F.regexp_extract_all(c, F.lit(WORD), 0)
@@ -141,12 +147,12 @@ def hash_dev(c: Column, per_10000: int = 200, seed: str = "4242:") -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(seed), c.cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(10000)) < per_10000
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def nfc(s: pa.Array) -> pa.Array:
     """Composed form; needed once, where text comes in."""
     return pa.array([None if x is None else _nfc(x) for x in s.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def nfd(s: pa.Array) -> pa.Array:
     return pa.array([None if x is None else ud.normalize("NFD", x) for x in s.to_pylist()], pa.string())

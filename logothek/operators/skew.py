@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: A key with more than 1/SHARE of the rows is hot; SHARE also bounds the number of hot keys.
 SHARE = 256
-#: Most rows of a broadcast side; larger sides are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Most rows of a broadcast side, some 100 bytes each in memory; larger sides are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
