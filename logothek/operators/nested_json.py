@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logothek.session import spread
+
 NODES = ("forms", "senses")
 NODE_SCHEMA = "entry_id long, node_path string, parent_path string, field string, position int, text string, tag_nos array<int>, tags array<string>"
 OPEN = np.zeros(256, bool)
@@ -265,7 +267,8 @@ def nodes(entries: DataFrame, key: str = "entry_id", text: str = "entry_json") -
                 rows, _ = node_rows(b.column(0).to_pylist(), b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], list(rows))
 
-    return entries.select(F.col(f"`{key}`").cast("long").alias("entry_id"), F.col(f"`{text}`").alias("entry_json")).where(F.length(F.trim("entry_json")) > 0).mapInArrow(emit, NODE_SCHEMA)
+    rows = entries.select(F.col(f"`{key}`").cast("long").alias("entry_id"), F.col(f"`{text}`").alias("entry_json")).where(F.length(F.trim("entry_json")) > 0)
+    return spread(rows).mapInArrow(emit, NODE_SCHEMA)
 
 
 def node_tags(found: DataFrame) -> DataFrame:

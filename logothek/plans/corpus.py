@@ -9,7 +9,7 @@ from logothek.functions import text as T
 from logothek.operators import frequency as Q
 from logothek.operators import ngram as N
 from logothek.plans.registry import query
-from logothek.session import checkpointed, table
+from logothek.session import checkpointed, spread, table
 
 LANGS = ["en", "el", "fr", "de", "es"]
 GROUPS = {"broadcast": "air", "radio_cc": "air", "webrip": "net", "fansub": "net", "archive": "store", "museum": "store", "dvd_ocr": "store"}
@@ -46,12 +46,12 @@ p AS (SELECT dev.*, CASE WHEN t1.w1 IS NOT NULL THEN 'tri' WHEN b1.w1 IS NOT NUL
 
 
 def toks(spark: SparkSession, d: str) -> DataFrame:
-    return Q.tokens(table(spark, d, "documents"), "doc_id", "lang", "source").withColumn("k", T.key(F.col("raw")))
+    return Q.tokens(spread(table(spark, d, "documents").select("doc_id", "lang", "source", "text")), "doc_id", "lang", "source").withColumn("k", T.key(F.col("raw")))
 
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
     """(sent_id, doc_id, toks): sentences of the documents, cut at end signs and line breaks."""
-    s = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", r"[.!?;\n]+")).alias("s_no", "s"))
+    s = spread(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", r"[.!?;\n]+")).alias("s_no", "s"))
     keyed = F.transform(T.words(F.col("s")), T.key)
     return s.select("doc_id", F.struct("doc_id", "s_no").alias("sent_id"), keyed.alias("toks")).where(F.size("toks") > 0)
 
