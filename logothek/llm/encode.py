@@ -17,13 +17,14 @@ import base64
 import functools
 import os
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logothek.session import spread
+
 #: Folder of the vocabulary files; a parameter, never copied.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 # Fixed value: the pattern by which the vocabulary's tokenizer splits text into pre-tokens.
@@ -141,11 +142,4 @@ def text_column(ids: Column, name: str = "byte_bpe_50k", folder: str = TOKENIZER
 
 def encoded(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id, ids) of every document."""
-    return documents.select("doc_id", ids_column(F.col("text"), name, folder).alias("ids"))
-
-
-def batches_of(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Batches of at most n rows."""
-    for b in rows:
-        for i in range(0, b.num_rows, n):
-            yield b.slice(i, n)
+    return spread(documents.select("doc_id", "text")).select("doc_id", ids_column(F.col("text"), name, folder).alias("ids"))

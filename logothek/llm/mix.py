@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from logothek.llm.encode import TOKENIZERS, n_tokens_column
 from logothek.operators.order import ranked
-from logothek.session import checkpointed
+from logothek.session import checkpointed, spread
 
 
 def plan(tokens: dict[str, int], shares: dict[str, float], caps: dict[str, int], total: float | None = None) -> dict[str, float]:
@@ -57,7 +57,7 @@ def sizes(documents: DataFrame, targets: DataFrame, name: str = "byte_bpe_50k",
     """(doc_id, source, n_tokens) of the documents of target sources that have tokens; checkpointed, as counting is the dear part."""
     wanted = targets.select("source").dropna().distinct()
     own = documents.where(F.length("text") > 0).select("doc_id", "source", "text").join(F.broadcast(wanted), "source", "left_semi")
-    return checkpointed(own.select("doc_id", "source", n_tokens_column(F.col("text"), name, folder).alias("n_tokens")).where("n_tokens > 0"))
+    return checkpointed(spread(own).select("doc_id", "source", n_tokens_column(F.col("text"), name, folder).alias("n_tokens")).where("n_tokens > 0"))
 
 
 def target_list(targets: DataFrame, limit: int = 10_000) -> list:

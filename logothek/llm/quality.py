@@ -25,6 +25,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logothek.session import spread
+
 #: Bound of the labelled sample: documents composed for training.
 DOCUMENTS = 480
 LABELS = ("junk", "table", "list")  # in this order rules are learned; prose is what no rule names
@@ -83,7 +85,7 @@ def cue_lines(documents: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, s): the lines of cue text, trimmed and without mark-up; numbers, times, blank lines and headers are left out."""
     t = F.expr(f"concat('\n', replace(trim(LEADING '\ufeff' FROM `{text}`), '\r', ''))")
     t = F.regexp_replace(t, r"\n[ \t]*[0-9]+[ \t]*(?=\n[ \t]*(?:[0-9]+:)+[0-9]+[.,][0-9]+[ \t]*-+>)", "")
-    lines = documents.where(F.length(text) > 0).select("doc_id", F.posexplode(F.split(t, "\n")).alias("i", "s")).where(F.length("s") > 0)
+    lines = spread(documents.where(F.length(text) > 0).select("doc_id", text)).select("doc_id", F.posexplode(F.split(t, "\n")).alias("i", "s")).where(F.length("s") > 0)
     lines = lines.where(~(F.col("s").contains("->") & F.col("s").rlike(TIME)) & ~((F.col("i") == 1) & F.col("s").rlike(r"^[ \t]*WEBVTT")))
     frame = F.col("s").startswith("{") & F.col("s").rlike(FRAME)
     parts = lines.select("doc_id", F.explode(F.when(frame, F.split(F.regexp_replace("s", FRAME, ""), r"\|")).otherwise(F.array("s"))).alias("s"))
