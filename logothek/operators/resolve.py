@@ -194,6 +194,23 @@ def prefixed(words: DataFrame, lexicon: DataFrame, word: str = "word") -> DataFr
     return whole.groupBy("word").agg(F.min(F.struct("rank", "lemma")).alias("m")).select("word", F.col("m.lemma").alias("lemma"), F.col("m.rank").alias("rank"))
 
 
+def heavy_repairs(words: DataFrame, lexicon: DataFrame, period: str = "byzantine") -> DataFrame:
+    """(word, lemma, cand): words of six letters or more, and their light repairs, respelt by the confusions of a period.
+
+    The cheapest respelling counts whose lemma differs from it. Spellings are made in Python: give only words that all else missed.
+    """
+    from logothek.functions.udfs import spelling_candidates
+
+    w = words.select("word").where(F.length(T.strip_accents(F.lower("word"))) >= 6).distinct()
+    c = F.col("word")
+    lowered = F.when(c.rlike(r"^\p{Lu}"), F.concat(F.lower(F.substring(c, 1, 1)), F.substring(c, F.lit(2), F.length(c))))
+    bases = F.filter(F.array(c, F.when(c.endswith("σ"), F.regexp_replace(c, "σ$", "ς")), _subscripts(c), lowered), lambda x: x.isNotNull())
+    b = w.select("word", F.posexplode(F.array_distinct(bases)).alias("b", "base"))
+    x = b.select("word", "b", F.posexplode(spelling_candidates(period)(F.col("base"))).alias("i", "s")).select("word", (F.col("b") * 1000 + F.col("i")).alias("r"), F.col("s.cand").alias("cand"))
+    hit = looked_up(x, lexicon, ["word", "r"]).where(T.strip_accents(F.lower("lemma")) != T.strip_accents(F.lower("cand")))
+    return hit.groupBy("word").agg(F.min(F.struct("r", "lemma", "cand")).alias("m")).select("word", "m.lemma", "m.cand")
+
+
 SOURCES = {0: "digit", 1: "article", 2: "crasis", 3: "elision", 4: "lookup", 5: "particle", 6: "verb_morphology", 7: "byzantine_norm", 9: "compound", 10: "prefix", 11: "identity"}
 
 
@@ -206,11 +223,12 @@ def rule_hits(words: DataFrame, lexicon: DataFrame, steps: dict[int, list[Column
     return hit.where(~(F.col("not_self") & self_)).groupBy("word", "step").agg(F.min(F.struct("r", "cand", "lemma")).alias("m")).select("word", "step", "m.cand", "m.lemma")
 
 
-def lemmatised(words: DataFrame, lexicon: DataFrame, freq: DataFrame, word: str = "word", resolve_articles: bool = False, elision_first: bool = True, convention: DataFrame | None = None) -> DataFrame:
+def lemmatised(words: DataFrame, lexicon: DataFrame, freq: DataFrame, word: str = "word", resolve_articles: bool = False, elision_first: bool = True, convention: DataFrame | None = None, respell: str | None = None) -> DataFrame:
     """(word, lemma, source) of each distinct word.
 
     elision_first: the order of the batch entry point; without it a plain lookup comes before elision, as for single words.
-    convention: (lemma, preferred) replaces lemmas at the end.
+    convention: (lemma, preferred) replaces lemmas at the end. respell: a period, by whose confusions words are respelt that
+    nothing else can place.
     """
     w = words.select(F.col(word).alias("word")).distinct()
     c = F.col("word")
@@ -234,6 +252,9 @@ def lemmatised(words: DataFrame, lexicon: DataFrame, freq: DataFrame, word: str
     best = every.groupBy("word").agg(F.min(F.struct("step", "lemma")).alias("m"))
     names = F.create_map(*[x for k, v in SOURCES.items() for x in (F.lit(float(look if k == 4 else k)), F.lit(v))])
     out = best.select("word", F.col("m.lemma").alias("lemma"), F.element_at(names, F.col("m.step")).alias("source"))
+    if respell is not None:
+        again = heavy_repairs(out.where("source = 'identity' AND length(word) > 0"), lexicon, respell).select("word", F.col("lemma").alias("_l"))
+        out = out.join(again, "word", "left").select("word", F.coalesce("_l", "lemma").alias("lemma"), F.when(F.col("_l").isNotNull(), "respelt").otherwise(F.col("source")).alias("source"))
     if convention is not None:
         out = out.join(convention.select("lemma", "preferred"), "lemma", "left").select("word", F.coalesce("preferred", "lemma").alias("lemma"), "source")
     return out

@@ -142,6 +142,13 @@ def lemmatised(spark: SparkSession, d: str) -> DataFrame:
     return R.lemmatised(words(spark, d, True), lexicon(spark, d), frequencies(spark, d))
 
 
+@query("respelt")
+def respelt(spark: SparkSession, d: str) -> DataFrame:
+    """Forms with ω for ο, which only respelling leads back, with the lemma found."""
+    w = words(spark, d).where(F.col("word").contains("ο")).select(F.replace("word", F.lit("ο"), F.lit("ω")).alias("word")).where(F.length("word") >= 6)
+    return R.heavy_repairs(w, lexicon(spark, d))
+
+
 @query("strategy_mix")
 def strategy_mix(spark: SparkSession, d: str) -> DataFrame:
     return lemmatised(spark, d).groupBy("source").agg(F.count("*").alias("n"))

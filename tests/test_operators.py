@@ -68,6 +68,10 @@ def test_lemmatised(spark):
     assert got["τοὔνομα"] == ("ὄνομα", "crasis") and got["λόγοσπερ"] == ("λόγος", "particle") and got["ξένον"] == ("ξένον", "identity")
     assert got["ἐλυκα"] == ("λύω", "verb_morphology") and got["λελυκα"] == ("λύω", "verb_morphology") and got["ακρογραφει"] == ("ακρογραφω", "compound")
     assert got["καταγράφει"] == ("καταγράφω", "prefix")
+    heavy = R.lemmatised(spark.createDataFrame([("γραφοιει",), ("κατεγραφω",), ("ξξξξξξξ",)], "word string"), lexicon(spark), freq, respell="byzantine")
+    got_heavy = {r.word: (r.lemma, r.source) for r in heavy.collect()}
+    assert got_heavy["ξξξξξξξ"] == ("ξξξξξξξ", "identity")
+    assert [(r.word, r.lemma, r.cand) for r in R.heavy_repairs(spark.createDataFrame([("γραφοι",), ("γραφηε",)], "word string"), spark.createDataFrame([("all", "γραφει", "γράφω")], "tbl string, form string, lemma string")).collect()] == [("γραφοι", "γράφω", "γραφει")]
     again = R.lemmatised(words(spark), lexicon(spark), freq, resolve_articles=True, convention=spark.createDataFrame([("λόγος", "λ")], "lemma string, preferred string"))
     got = {r.word: (r.lemma, r.source) for r in again.collect()}
     assert got["τὸ"] == ("ὁ", "article") and got["λόγου"] == ("λ", "lookup")
