@@ -24,7 +24,18 @@ SUBSCRIPT_LOST = (0.0, 0.3, 0.7, 0.9)
 PERIODS = ("archaic_epigraphic", "hellenistic", "late_antique", "byzantine")
 SUBSCRIPT = dict(zip("αάᾶὰηήῆὴωώῶὼ", "ᾳᾴᾷᾲῃῄῇῂῳῴῷῲ", strict=True))
 # Abbreviations after which a full stop ends no sentence.
-ABBREVIATIONS = frozenset({"κ", "π.χ", "κ.τ.λ", "κ.λπ", "κ.ά", "δηλ", "βλ", "σελ", "αρ", "τ", "μ.χ", "πρβ", "λ.χ", "cf", "fr", "sc"})
+ABBREVIATIONS = frozenset({
+    "κ", "π.χ", "κλπ", "δηλ", "βλ", "σ", "σελ", "αρ", "τ", "κ.ά", "κ.τ.λ", "κ.λπ", "εκ", "αι",
+    "cf", "v", "sq", "al", "sc", "l.c", "s.v", "q.v", "e.g", "i.e", "etc",
+})
+# Ionic and Doric words with their Attic counterparts.
+IONIC_WORDS = {
+    "κῶς": "πῶς", "ὅκου": "ὅπου", "κοῖος": "ποῖος", "κότε": "πότε", "κότερος": "πότερος", "κόσος": "πόσος", "κόθεν": "πόθεν", "κοῦ": "ποῦ", "κόσε": "πόσε", "ὁκόσος": "ὁπόσος", "ὅκως": "ὅπως",
+    "μοῦνος": "μόνος", "μούνη": "μόνη", "μοῦνον": "μόνον", "ξεῖνος": "ξένος", "ξείνη": "ξένη", "ξεῖνον": "ξένον", "κεῖνος": "ἐκεῖνος", "κείνη": "ἐκείνη", "κεῖνο": "ἐκεῖνο", "κείνου": "ἐκείνου",
+    "κείνῳ": "ἐκείνῳ", "κείνων": "ἐκείνων", "εἵνεκα": "ἕνεκα", "εἵνεκεν": "ἕνεκεν",
+}
+DORIC_WORDS = {"ποτί": "πρός", "τύ": "σύ", "τύν": "σέ", "Ἀθάνα": "Ἀθήνη", "Ἀθαναία": "Ἀθηναία"}
+CONTRACTED = (("εε", "ει"), ("εο", "ου"), ("εω", "ω"))
 # Letters and marks of Beta Code.
 BETA = dict(zip("abgdezhqiklmncoprstufxyw", "αβγδεζηθικλμνξοπρστυφχψω", strict=True))
 BETA_MARKS = {")": "̓", "(": "̔", "/": "́", "\\": "̀", "=": "͂", "|": "ͅ", "+": "̈"}
@@ -127,27 +138,45 @@ def spellings(token: str, period: str = "all", most: int = 50, least: float = 0.
     return sorted(cost.items(), key=lambda p: p[1])[:most]
 
 
+def _bare(s: str) -> str:
+    return _nfc("".join(c for c in ud.normalize("NFD", s) if ud.category(c) != "Mn"))
+
+
+def _swapped(c: str, a: str, b: str) -> str | None:
+    """A letter whose base is ``a`` with base ``b`` and the same marks, else null."""
+    d = ud.normalize("NFD", c)
+    return _nfc(b + d[1:]) if d[0] == a else None
+
+
+def _each(token: str, a: str, b: str) -> list[str]:
+    """The token with one occurrence of a as b, for each occurrence."""
+    return [token[:i] + b + token[i + len(a) :] for i in range(len(token) - len(a) + 1) if token.startswith(a, i)]
+
+
 def dialect_spellings(token: str, dialect: str = "auto") -> list[str]:
-    """Attic spellings of Ionic, Doric and common forms: η after ε, ι, ρ as α; σσ as ττ and back; ρσ as ρρ; the last α as η."""
+    """Attic spellings a dialect's form may stand for, in the order Ionic, Doric, Aeolic, common; ``auto`` tries all.
+
+    Ionic: known words, η after ε, ι, ρ as α with its marks, contractions, σσ as ττ, ρσ as ρρ. Doric: known words, the last
+    α as η. Aeolic: a smooth breathing as rough. Common: σσ as ττ and back. An unknown dialect is an error.
+    """
     if dialect not in ("ionic", "doric", "aeolic", "koine", "auto"):
         raise ValueError(f"unknown dialect {dialect!r}")
-    out: dict[str, None] = {}
-    on = lambda *d: dialect == "auto" or dialect in d
+    out: list[str] = []
+    on = lambda d: dialect in (d, "auto")
+    known = lambda words: [v if w == token else v.lower() if w.lower() == token.lower() else _bare(v.lower()) for w, v in words.items() if token in (w, _bare(w.lower())) or token.lower() == w.lower()]
     if on("ionic"):
-        for m in re.finditer("(?<=[ειρ])[ηή]", token):
-            out[token[: m.start()] + ("α" if m.group() == "η" else "ά") + token[m.end() :]] = None
-        if "ρσ" in token:
-            out[token.replace("ρσ", "ρρ", 1)] = None
-    if on("ionic", "koine") and "σσ" in token:
-        out[token.replace("σσ", "ττ", 1)] = None
-    if on("koine") and "ττ" in token:
-        out[token.replace("ττ", "σσ", 1)] = None
-    if on("doric") and (i := max(token.rfind("α"), token.rfind("ά"))) >= 0:
-        out[token[:i] + ("η" if token[i] == "α" else "ή") + token[i + 1 :]] = None
-    if on("aeolic") and token[:1] in "ἀἐἠἰὀὐὠ" and token:
-        out[_nfc(ud.normalize("NFD", token[0]).replace(PSILI, DASIA)) + token[1:]] = None
-    out.pop(token, None)
-    return list(out)
+        out += known(IONIC_WORDS)
+        out += [token[:i] + x + token[i + 1 :] for i, c in enumerate(token) if i and _bare(token[i - 1].lower()) in ("ε", "ι", "ρ") and (x := _swapped(c, "η", "α"))]
+        for a, b in (*CONTRACTED, ("σσ", "ττ"), ("ρσ", "ρρ")):
+            out += _each(token, a, b)
+    if on("doric"):
+        out += known(DORIC_WORDS)
+        out += [token[:i] + x + token[i + 1 :] for i in range(len(token) - 1, -1, -1) if (x := _swapped(token[i], "α", "η"))][:1]
+    if on("aeolic") and token and PSILI in ud.normalize("NFD", token[0]):
+        out.append(_nfc(ud.normalize("NFD", token[0]).replace(PSILI, DASIA)) + token[1:])
+    if on("koine"):
+        out += _each(token, "σσ", "ττ") + _each(token, "ττ", "σσ")
+    return [x for x in dict.fromkeys(out) if x != token]
 
 
 def char_roles(lemma: str, form: str) -> list[str]:

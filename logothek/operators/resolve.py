@@ -319,3 +319,23 @@ def agreeing(candidates_: DataFrame, tokens: DataFrame) -> DataFrame:
     j = prev.join(candidates_, "word").withColumn("_m", F.when(want.isNotNull() & (gender == want), 0).otherwise(1))
     w = Window.partitionBy("sent_id", "pos").orderBy("_m", "rank")
     return j.select("sent_id", "pos", "word", "lemma", F.row_number().over(w).alias("rank"))
+
+
+def repaired_self_maps(ranked: DataFrame, headwords: DataFrame) -> DataFrame:
+    """(word, pos, lemma): the lemma of modern adjectives and verbs that map to themselves or to a feminine.
+
+    ranked: (word, pos, lemma, proper, rank). For a self-map (null pos counts as both) the first other candidate that ends as
+    a masculine adjective or as a verb does; for a feminine adjective the masculine, if it is a headword; else the first.
+    """
+    c, w, pos = F.lower("lemma"), F.col("word"), F.col("pos")
+    same = lambda x: (w == x) | (T.strip_accents(F.lower(w)) == T.strip_accents(F.lower(x)))
+    adjective = (pos.isNull() | (pos == "ADJ")) & c.rlike("(?:ος|ής|ύς)$")
+    verb = (pos.isNull() | (pos == "VERB")) & c.rlike("(?:ω|ώ|μαι)$")
+    fits = ~same(F.col("lemma")) & ~F.col("proper") & (adjective | verb)
+    g = ranked.groupBy("word", "pos").agg(F.min(F.struct("rank", "lemma")).alias("t"), F.min(F.when(fits, F.struct("rank", "lemma"))).alias("o")).select("word", "pos", F.col("t.lemma").alias("top"), F.col("o.lemma").alias("other"))
+    mono = T.monotonic(F.lower("top"))
+    male = F.when(mono.endswith("ιά"), F.regexp_replace(mono, "ιά$", "ός")).when(mono.endswith("ια"), F.regexp_replace(mono, "ια$", "ος")).when(mono.endswith("ή") | mono.endswith("ικη"), F.regexp_replace(mono, "[ήη]$", "ός")).when(mono.endswith("η"), F.regexp_replace(mono, "η$", "ος"))
+    h = headwords.select(F.col("form").alias("_m")).distinct()
+    j = g.withColumn("_male", F.when((pos == "ADJ") & ~same(F.col("top")), male)).join(h, F.col("_male") == F.col("_m"), "left")
+    fixed = F.when(same(F.col("top")) & (pos.isNull() | pos.isin("ADJ", "VERB")), F.col("other"))
+    return j.select("word", "pos", F.coalesce(fixed, "_m", "top").alias("lemma"))

@@ -156,3 +156,10 @@ def test_paradigms(spark):
     assert gen["λόγος", "genitive_sg"] == "λόγου" and gen["λύω", "active_present_indicative_3_pl"] == "λύουσι" and not any(k[0] == "x" for k in gen)
     tags = spark.createDataFrame([(["plural", "genitive", "masculine"],), ([],), (None,)], "t array<string>")
     assert [r[0] for r in tags.select(Y.key_of_tags(F.col("t"))).collect()] == ["masculine_genitive_pl", "", ""]
+
+
+def test_self_map_repair(spark):
+    rows = [("περιέχει", "VERB", "περιέχει", False, 1), ("περιέχει", "VERB", "περιέχω", False, 2), ("παλαιολιθικής", "ADJ", "παλαιολιθική", False, 1), ("καλά", "ADV", "καλά", False, 1), ("καλά", "ADV", "καλός", False, 2), ("x", None, "x", False, 1), ("x", None, "Ξένος", True, 2)]
+    df = spark.createDataFrame(rows, "word string, pos string, lemma string, proper boolean, rank int")
+    got = {r.word: r.lemma for r in R.repaired_self_maps(df, spark.createDataFrame([("παλαιολιθικός",)], "form string")).collect()}
+    assert got == {"περιέχει": "περιέχω", "παλαιολιθικής": "παλαιολιθικός", "καλά": "καλά", "x": "x"}

@@ -67,7 +67,9 @@ def test_spellings():
     assert abs(got["ημερα"] - 0.1) < 1e-9
     assert all(c not in dict(U.spellings("φως", "hellenistic")) for c in ("πως",)) and "πως" in dict(U.spellings("φως", "byzantine"))
     assert U.spellings("", "byzantine") == [] and U.spellings("ω", "nowhere") == U.spellings("ω", "all")
-    assert "θάλαττα" in U.dialect_spellings("θάλασσα", "koine")
+    assert U.dialect_spellings("θάλασσα", "koine") == ["θάλαττα"] and U.dialect_spellings("κως", "ionic") == ["πως"]
+    assert U.dialect_spellings("ἡμέρη", "ionic") == ["ἡμέρα"] and U.dialect_spellings("φιλέει", "ionic") == [] and "φιλουμεν" in U.dialect_spellings("φιλεομεν", "ionic")
+    assert U.dialect_spellings("μάτηρ", "doric") == ["μήτηρ"] and U.dialect_spellings("ὀ", "aeolic") == ["ὁ"] and U.dialect_spellings("", "auto") == []
 
 
 def test_char_roles():
