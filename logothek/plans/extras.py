@@ -140,3 +140,33 @@ def three_way_merge(spark: SparkSession, d: str) -> DataFrame:
     o = F.when(F.col("src").isin("grc", "treebank", "grc_corpus"), 0).when(F.col("src") == "med", 1).when(F.col("src").isin("el", "el_corpus"), 2)
     t = L.first_by(PL.lex(spark, d).withColumn("o", o).where("o IS NOT NULL"), ["o", "form"], [F.col("row_id")], ["lemma"])
     return t.groupBy("form").agg(F.min(F.struct(L.self_map(F.col("form"), F.col("lemma")).alias("a"), "o", "lemma")).alias("m")).select("form", F.col("m.lemma").alias("lemma"))
+
+
+@query("polytonic_variant", f"""WITH {PL.LEX}, p AS (SELECT row_id, form, lemma, regexp_matches(form, '[{PR.R.POLYTONIC}]') AS poly FROM lex WHERE src IN ('grc', 'treebank', 'grc_corpus')), l AS (SELECT lemma FROM p GROUP BY lemma HAVING bool_or(poly))
+SELECT row_id FROM p SEMI JOIN l USING (lemma) WHERE strip_accents(form) <> form AND strip_accents(lemma) <> lemma""")
+def polytonic_variant(spark: SparkSession, d: str) -> DataFrame:
+    """Entries for a polytonic dictionary: form and lemma bear marks, and the lemma has a polytonic form; by semi-join."""
+    p = PL.lex(spark, d).where(F.col("src").isin("grc", "treebank", "grc_corpus")).withColumn("poly", F.col("form").rlike(f"[{PR.R.POLYTONIC}]"))
+    good = p.where("poly").select("lemma").distinct()
+    return p.join(good, "lemma", "left_semi").where((T.strip_accents(F.col("form")) != F.col("form")) & (T.strip_accents(F.col("lemma")) != F.col("lemma"))).select("row_id")
+
+
+@query("monotonic_variant", f"WITH {PL.LEX} SELECT row_id FROM lex WHERE src IN ('el', 'el_corpus', 'med') AND NOT regexp_matches(form, '[{PR.R.POLYTONIC}]')")
+def monotonic_variant(spark: SparkSession, d: str) -> DataFrame:
+    return PL.lex(spark, d).where(F.col("src").isin("el", "el_corpus", "med") & ~F.col("form").rlike(f"[{PR.R.POLYTONIC}]")).select("row_id")
+
+
+@query("corrupt_headwords", "SELECT id, length(text) > 0 AND regexp_matches(text, '\\p{L}\\p{M}*\\p{Lu}') AND regexp_matches(text, '\\p{Ll}') AS internal_capital, length(text) > 0 AND regexp_matches(text, '[0-9\\[\\]?*]') AS odd_sign FROM lemmas WHERE text IS NOT NULL")
+def corrupt_headwords(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a headword has a capital within, or a digit, bracket or editor's sign."""
+    t = F.col("text")
+    n = F.length(t) > 0
+    return table(spark, d, "lemmas").where(t.isNotNull()).select("id", (n & t.rlike(r"\p{L}\p{M}*\p{Lu}") & t.rlike(r"\p{Ll}")).alias("internal_capital"), (n & t.rlike(r"[0-9\[\]?*]")).alias("odd_sign"))
+
+
+@query("past_without_augment", """SELECT pair_id FROM lemmapairdataset WHERE length(form) > 0 AND length(lemma) > 0 AND list_has_all(tags, ['indicative']) AND (list_contains(tags, 'aorist') OR list_contains(tags, 'imperfect')) AND NOT regexp_matches(strip_accents(form), '^[εηωΕΗΩ]|^[αιυοΑΙΥΟ][ιυ]?[ηω]') AND NOT regexp_matches(strip_accents(lemma), '^[ηωΗΩ]')""")
+def past_without_augment(spark: SparkSession, d: str) -> DataFrame:
+    """Past indicatives that begin with no augmented vowel, of lemmas that don't begin with a long one: epic forms."""
+    p = PL.pairs(spark, d).where(F.array_contains("tags", "indicative") & (F.array_contains("tags", "aorist") | F.array_contains("tags", "imperfect")))
+    f, m = T.strip_accents(F.col("form")), T.strip_accents(F.col("lemma"))
+    return p.where(~f.rlike("^[εηωΕΗΩ]|^[αιυοΑΙΥΟ][ιυ]?[ηω]") & ~m.rlike("^[ηωΗΩ]")).select("pair_id")
