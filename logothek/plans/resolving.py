@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,11 @@ def words(spark: SparkSession, d: str, capitals: bool = False) -> DataFrame:
     return w if capitals else w.where(~F.col("word").rlike(r"\p{Lu}"))
 
 
+def of_all_forms(f: Callable[..., DataFrame]) -> None:
+    """Register ``f`` over all forms as ``NAME_all``, without SQL: the SQL of NAME leaves out forms with capitals."""
+    query(f"{f.__name__}_all")(lambda spark, d: f(spark, d, True))
+
+
 def lexicon(spark: SparkSession, d: str) -> DataFrame:
     ag, el, _ = PL.two(spark, d)
     both = ag.select("form", F.col("lemma").alias("a")).join(el.select("form", F.col("lemma").alias("e")), "form", "full").select(F.lit("all").alias("tbl"), "form", F.coalesce("a", "e").alias("lemma"))
@@ -58,14 +65,17 @@ _ALL = "WHERE length(p.form) > 0 AND length(p.lemma) > 0"
 
 
 @query("cascade_lookup", f"WITH {LEXICON}, {WORDS}, c AS (SELECT word, word AS cand FROM w), h AS ({hits('c', 'word')}) SELECT w.word, h.lemma, CASE v WHEN 0 THEN 'exact' WHEN 2 THEN 'acute' WHEN 4 THEN 'mono' WHEN 5 THEN 'stripped' END AS via FROM w LEFT JOIN h USING (word)")
-def cascade_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return R.cascade(words(spark, d), lexicon(spark, d))
+def cascade_lookup(spark: SparkSession, d: str, capitals: bool = False) -> DataFrame:
+    return R.cascade(words(spark, d, capitals), lexicon(spark, d))
 
 
 @query("normalisation_keys", f"WITH {WORDS} SELECT word, strip_accents(word) AS stripped, {MONO.format('word')} AS mono, {ACUTE.format('word')} AS acute, strip_accents(lower(replace(word, '-', ''))) AS sort_key FROM w WHERE word = nfc_normalize(word)")
-def normalisation_keys(spark: SparkSession, d: str) -> DataFrame:
+def normalisation_keys(spark: SparkSession, d: str, capitals: bool = False) -> DataFrame:
     c = F.col("word")
-    return words(spark, d).where(T.nfc(c) == c).select("word", T.strip_accents(c).alias("stripped"), T.monotonic(c).alias("mono"), T.grave_to_acute(c).alias("acute"), T.sort_key(c).alias("sort_key"))
+    w = words(spark, d, capitals)
+    w = w if capitals else w.where(T.nfc(c) == c)
+    k = T.nfc(c)
+    return w.select("word", T.strip_accents(k).alias("stripped"), T.monotonic(k).alias("mono"), T.grave_to_acute(k).alias("acute"), T.sort_key(k).alias("sort_key"))
 
 
 _MARKS = "".join(G.ELISION_MARKS).replace("'", "''")
@@ -79,9 +89,9 @@ c AS (SELECT word, stem, vrank, vowel, s || vowel AS cand FROM st, vw), lxa AS (
 h AS ({hits('c', 'word, stem, vrank, vowel', False, False).replace('JOIN lx', 'JOIN lxa lx')}),
 o AS (SELECT word, lemma, min({{'a': CASE WHEN strip_accents(stem) IN ({q(*G.ELISION_STEMS)}) AND lemma IN ({q(*G.FUNCTION_LEMMAS)}) THEN 0 ELSE 1 END, 'b': regexp_matches(lemma, '^\\p{{Lu}}')::INT, 'c': -coalesce(n, 0), 'd': vrank, 'e': length(lemma), 'f': cand}}) AS o FROM h LEFT JOIN fr ON fr.key = {PL.STRIP.format('lemma')} GROUP BY word, lemma)
 SELECT word, o.f AS cand, lemma, row_number() OVER (PARTITION BY word ORDER BY o, lemma) AS rank FROM o""")
-def elision_expand(spark: SparkSession, d: str) -> DataFrame:
+def elision_expand(spark: SparkSession, d: str, capitals: bool = False) -> DataFrame:
     c = F.col("word")
-    w = words(spark, d).where(c.rlike(f"..[{G.VOWELS}]$")).select(F.concat(F.expr("substring(word, 1, length(word) - 1)"), F.lit("’")).alias("word")).distinct()
+    w = words(spark, d, capitals).where(c.rlike(f"..[{G.VOWELS}]$")).select(F.concat(F.expr("substring(word, 1, length(word) - 1)"), F.lit("’")).alias("word")).distinct()
     return R.elisions(w, lexicon(spark, d), frequencies(spark, d)).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -106,17 +116,19 @@ def crasis(spark: SparkSession, d: str) -> DataFrame:
 c AS (SELECT word, i AS rank, bare[:i] AS prefix, bare[i + 1:] AS cand FROM (SELECT word, bare, unnest(range(2, length(bare) - 2)) AS i FROM b) WHERE bare[i] IN ('ο', 'ι', 'υ')),
 h AS ({hits('c', 'word, rank, prefix')}), k AS (SELECT *, strip_accents({LOW.format('lemma')}) AS s0, strip_accents(lower(lemma)) AS s FROM h)
 SELECT word, prefix || s AS compound, lemma AS base_lemma, prefix, rank FROM k WHERE s <> cand AND length(s) >= 2 AND length(s) <= length(cand) + 2 AND NOT regexp_matches(lemma, '\\p{{Lu}}')""")
-def compound_split(spark: SparkSession, d: str) -> DataFrame:
-    w = words(spark, d).select(F.concat(F.lit("ακρο"), "word").alias("word"))
-    return R.compounds(w, lexicon(spark, d)).where(~F.col("base_lemma").rlike(r"\p{Lu}")).withColumn("rank", F.col("rank").cast("long"))
+def compound_split(spark: SparkSession, d: str, capitals: bool = False) -> DataFrame:
+    w = words(spark, d, capitals).select(F.concat(F.lit("ακρο"), "word").alias("word"))
+    c = R.compounds(w, lexicon(spark, d))
+    c = c if capitals else c.where(~F.col("base_lemma").rlike(r"\p{Lu}"))
+    return c.withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("particle_strip", f"""WITH {LEXICON}, w0 AS (SELECT DISTINCT word || p AS word FROM (SELECT form AS word FROM lemmapairdataset WHERE length(form) > 0 AND NOT regexp_matches(form, '\\p{{Lu}}')), (VALUES ('περ'), ('γε'), ('δε')) AS t(p)),
 c0 AS (SELECT word, word[:length(word) - length(p)] AS head, strip_accents(word)[:length(strip_accents(word)) - length(p)] AS base, i FROM w0, (VALUES ('περ', 0), ('γε', 4), ('δε', 8)) AS t(p, i) WHERE ends_with(strip_accents(word), p) AND length(strip_accents(word)) - length(p) >= 2),
 c AS (SELECT word, i AS r, head AS cand FROM c0 UNION ALL SELECT word, i + 1, base FROM c0 UNION ALL SELECT word, i + 2, regexp_replace(head, 'σ$', 'ς') FROM c0 WHERE ends_with(head, 'σ') UNION ALL SELECT word, i + 3, regexp_replace(base, 'σ$', 'ς') FROM c0 WHERE ends_with(base, 'σ')),
 h AS ({hits('c', 'word, r')}) SELECT word, first(lemma ORDER BY r) AS lemma, first(cand ORDER BY r) AS cand FROM h GROUP BY word""")
-def particle_strip(spark: SparkSession, d: str) -> DataFrame:
-    w = words(spark, d).select(F.explode(F.array(*[F.concat("word", F.lit(p)) for p in G.PARTICLES])).alias("word")).distinct()
+def particle_strip(spark: SparkSession, d: str, capitals: bool = False) -> DataFrame:
+    w = words(spark, d, capitals).select(F.explode(F.array(*[F.concat("word", F.lit(p)) for p in G.PARTICLES])).alias("word")).distinct()
     particles = R.particle_candidates(F.col("word"))[:-2]
     return R.rule_hits(w, lexicon(spark, d), {5: particles}).select("word", "lemma", "cand")
 
@@ -145,7 +157,7 @@ def lemmatised(spark: SparkSession, d: str) -> DataFrame:
 @query("respelt")
 def respelt(spark: SparkSession, d: str) -> DataFrame:
     """Forms with ω for ο, which only respelling leads back, with the lemma found."""
-    w = words(spark, d).where(F.col("word").contains("ο")).select(F.replace("word", F.lit("ο"), F.lit("ω")).alias("word")).where(F.length("word") >= 6)
+    w = words(spark, d, True).where(F.col("word").contains("ο")).select(F.replace("word", F.lit("ο"), F.lit("ω")).alias("word")).where(F.length("word") >= 6)
     return R.heavy_repairs(w, lexicon(spark, d))
 
 
@@ -163,14 +175,14 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 pt AS (SELECT form, pos, first(lemma ORDER BY {PL._SRC}, pair_id) AS lemma FROM lemmapairdataset p {_ALL} AND split = 'train' GROUP BY form, pos),
 k AS (SELECT word, pos, unnest({KEYS.format('word')}) AS x FROM p), f AS (SELECT k.word, k.pos, first(pt.lemma ORDER BY k.x.v, pt.lemma) AS lemma FROM k JOIN pt ON pt.form = k.x.key AND pt.pos = k.pos GROUP BY ALL)
 SELECT p.word, p.pos, coalesce(f.lemma, h.lemma) AS lemma, f.lemma IS NOT NULL AS from_table FROM p LEFT JOIN f ON f.word = p.word AND f.pos = p.pos LEFT JOIN h ON h.word = p.word""")
-def pos_override(spark: SparkSession, d: str) -> DataFrame:
+def pos_override(spark: SparkSession, d: str, capitals: bool = False) -> DataFrame:
     from logothek.operators.lexicon import first_by
 
     p = PL.pairs(spark, d)
     src = F.when(F.col("source") == "treebank", 0).when(F.col("source") == "ag", 1).when(F.col("source") == "med", 2).otherwise(3)
     pt = first_by(p.where("split = 'train'"), ["form", "pos"], [src, F.col("pair_id")], ["lemma"])
-    wp = p.where(~F.col("form").rlike(r"\p{Lu}") & F.col("pos").isNotNull()).select(F.col("form").alias("word"), "pos").distinct()
-    found = wp.join(R.cascade(words(spark, d), lexicon(spark, d)).select("word", "lemma"), "word", "left")
+    wp = p.where(F.col("pos").isNotNull() if capitals else ~F.col("form").rlike(r"\p{Lu}") & F.col("pos").isNotNull()).select(F.col("form").alias("word"), "pos").distinct()
+    found = wp.join(R.cascade(words(spark, d, capitals), lexicon(spark, d)).select("word", "lemma"), "word", "left")
     return R.by_pos(found, pt)
 
 
@@ -180,3 +192,7 @@ def convention_map(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "lemmas").where((F.length("text") > 0) & ~F.col("text").rlike(r"\p{Lu}"))
     g = m.groupBy(T.strip_accents(F.col("text")).alias("g"), F.col("text").alias("lemma")).agg(F.min("id").alias("ord")).withColumn("group_id", F.xxhash64("g"))
     return R.convention_map(g.select("group_id", "ord", "lemma"), g.where("ord % 2 = 0").select(F.col("lemma").alias("form")))
+
+
+for _f in (cascade_lookup, normalisation_keys, elision_expand, compound_split, particle_strip, pos_override):
+    of_all_forms(_f)

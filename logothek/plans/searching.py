@@ -116,8 +116,8 @@ sd AS (SELECT p.pair_id, p.split, p.source, h.lemma AS pred, p.lemma AS gold FRO
 _TR = "trim(lower({0}))"
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    found = R.cascade(PR.words(spark, d), PR.lexicon(spark, d)).select(F.col("word").alias("form"), F.col("lemma").alias("pred"))
+def scored(spark: SparkSession, d: str, capitals: bool = False) -> DataFrame:
+    found = R.cascade(PR.words(spark, d, capitals), PR.lexicon(spark, d)).select(F.col("word").alias("form"), F.col("lemma").alias("pred"))
     return PL.pairs(spark, d).withColumnRenamed("lemma", "gold").join(found, "form").select("pair_id", "split", "source", "form", "pred", "gold")
 
 
@@ -129,13 +129,13 @@ _LEVELS = f"count(*) AS n, {_share('trim(lower(pred)) = trim(lower(gold))')} AS
 
 
 @query("accuracy_rollup", f"WITH {_SCORED} SELECT split, source, {_LEVELS} FROM sd GROUP BY GROUPING SETS ((split, source), (split), (source), ())")
-def accuracy_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return M.accuracy(scored(spark, d), [["split", "source"], ["split"], ["source"], []])
+def accuracy_rollup(spark: SparkSession, d: str, capitals: bool = False) -> DataFrame:
+    return M.accuracy(scored(spark, d, capitals), [["split", "source"], ["split"], ["source"], []])
 
 
 @query("accuracy_by_frequency", f"WITH {_SCORED}, f AS (SELECT gold, count(*) AS k FROM sd GROUP BY gold), b AS (SELECT sd.*, CASE WHEN k >= 10 THEN '10+' WHEN k >= 3 THEN '3-9' ELSE '1-2' END AS bin FROM sd JOIN f USING (gold)) SELECT bin, split, {_LEVELS} FROM b GROUP BY GROUPING SETS ((bin, split), (bin), ())")
-def accuracy_by_frequency(spark: SparkSession, d: str) -> DataFrame:
-    s = scored(spark, d)
+def accuracy_by_frequency(spark: SparkSession, d: str, capitals: bool = False) -> DataFrame:
+    s = scored(spark, d, capitals)
     f = Q.counts(s, "gold", name="k")
     b = s.join(f, "gold").withColumn("bin", F.when(F.col("k") >= 10, "10+").when(F.col("k") >= 3, "3-9").otherwise("1-2"))
     return M.accuracy(b, [["bin", "split"], ["bin"], []])
@@ -143,10 +143,10 @@ def accuracy_by_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 @query("accuracy_with_equivalents", f"""WITH {_SCORED}, g AS (SELECT DISTINCT substr(md5({KEY.format('text')}), 1, 2) AS group_id, text AS lemma FROM lemmas WHERE length(text) > 0), pr AS (SELECT DISTINCT a.lemma AS a, b.lemma AS b FROM g a JOIN g b ON a.group_id = b.group_id AND a.lemma <> b.lemma)
 SELECT split, count(*) AS n, count(*) FILTER (coalesce({KEY.format('trim(pred)')} = {KEY.format('trim(gold)')}, FALSE) OR (pred, gold) IN (SELECT (a, b) FROM pr)) AS n_equiv FROM sd GROUP BY split""")
-def accuracy_with_equivalents(spark: SparkSession, d: str) -> DataFrame:
+def accuracy_with_equivalents(spark: SparkSession, d: str, capitals: bool = False) -> DataFrame:
     """Predictions right up to equals; a two-digit hash stands for the groups of equal lemmas."""
     g = table(spark, d, "lemmas").where("length(text) > 0").select(F.substring(F.md5(T.key(F.col("text"))), 1, 2).alias("group_id"), F.col("text").alias("lemma")).distinct()
-    s = scored(spark, d)
+    s = scored(spark, d, capitals)
     used = s.select(F.explode(F.array("pred", "gold")).alias("lemma")).dropna().distinct()
     e = M.with_equivalents(s.where("pred IS NOT NULL"), M.equivalence_pairs(g.join(used, "lemma", "left_semi")))
     miss = s.where("pred IS NULL").withColumn("equiv", F.lit(False))
@@ -231,5 +231,11 @@ def movable_nu(spark: SparkSession, d: str) -> DataFrame:
 @query("elision_pairs", """WITH r AS (SELECT DISTINCT lemma, form, strip_accents(lower(form)) AS k FROM lemmapairdataset WHERE length(form) > 0 AND length(lemma) > 0 AND NOT regexp_matches(form, '\\p{Lu}')), f AS (SELECT lemma, form AS full_form, k[:length(k) - 1] AS k FROM r WHERE regexp_matches(k, '[αεοι]$')),
 m AS (SELECT s.lemma, s.form AS elided, f.full_form, CASE WHEN s.form[1] = f.full_form[1] THEN 15 ELSE 0 END + CASE WHEN starts_with(f.full_form, s.form[:length(s.form) - 1]) THEN 2 ELSE 0 END AS score FROM r s JOIN f ON f.lemma = s.lemma AND f.k = s.k WHERE NOT regexp_matches(s.k, '[αεοι]$') AND length(s.k) >= 2)
 SELECT lemma, elided, first(full_form ORDER BY score DESC, full_form) AS "full" FROM m GROUP BY lemma, elided""")
-def elision_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return Y.elision_pairs(PL.pairs(spark, d).where(~F.col("form").rlike(r"\p{Lu}")).select("lemma", "form"))
+def elision_pairs(spark: SparkSession, d: str, capitals: bool = False) -> DataFrame:
+    p = PL.pairs(spark, d)
+    p = p if capitals else p.where(~F.col("form").rlike(r"\p{Lu}"))
+    return Y.elision_pairs(p.select("lemma", "form"))
+
+
+for _f in (accuracy_rollup, accuracy_by_frequency, accuracy_with_equivalents, elision_pairs):
+    PR.of_all_forms(_f)
