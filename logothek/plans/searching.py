@@ -25,13 +25,15 @@ _TYPOS = f"ty AS (SELECT DISTINCT CASE {_HASH} % 3 WHEN 0 THEN key[:p - 1] || ke
 _LAT = "translate({0}, '" + GREEK + "', '" + LATIN + "')"
 
 
-def head_keys(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lemmas").where(F.length("text") > 0).select(T.key(F.col("text")).alias("key")).where(F.col("key").rlike(f"^[{GREEK}]+$")).distinct()
+def head_keys(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Keys of the headwords, those of other characters than Greek letters only if ``whole``."""
+    k = table(spark, d, "lemmas").where(F.length("text") > 0).select(T.key(F.col("text")).alias("key")).where(F.length("key") > 0)
+    return (k if whole else k.where(F.col("key").rlike(f"^[{GREEK}]+$"))).distinct()
 
 
-def misspelt(spark: SparkSession, d: str) -> DataFrame:
+def misspelt(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     """One misspelling of each headword of four letters or more, by its hash."""
-    k = head_keys(spark, d).where(F.length("key") >= 4)
+    k = head_keys(spark, d, whole).where(F.length("key") >= 4)
     h = F.conv(F.substring(F.md5("key"), 1, 8), 16, 10).cast("long")
     p = (F.pmod(h, F.length("key")) + 1).cast("int")
     pre, post = F.substring(F.col("key"), F.lit(1), p - 1), F.substring(F.col("key"), p + 1, F.length("key"))
@@ -46,30 +48,40 @@ def spell_ed1(spark: SparkSession, d: str) -> DataFrame:
     return Z.within(misspelt(spark, d), head_keys(spark, d), 1)
 
 
+@query("spell_ed1_all")
+def spell_ed1_all(spark: SparkSession, d: str) -> DataFrame:
+    return Z.within(misspelt(spark, d, True), head_keys(spark, d, True), 1)
+
+
 @query("spell_staged", f"WITH {_HEADS}, {_TYPOS}, {_NEAR} SELECT q, key, ed::INT AS ed FROM nr WHERE ed <= 1 OR (ed = 2 AND q NOT IN (SELECT q FROM nr WHERE ed <= 1 GROUP BY q HAVING count(*) >= 3))")
 def spell_staged(spark: SparkSession, d: str) -> DataFrame:
     """Headwords within one edit; within two for misspellings that found fewer than three."""
     return Z.spelling_hits(misspelt(spark, d), head_keys(spark, d))
 
 
+@query("spell_staged_all")
+def spell_staged_all(spark: SparkSession, d: str) -> DataFrame:
+    return Z.spelling_hits(misspelt(spark, d, True), head_keys(spark, d, True))
+
+
 def _forms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lemmas").where(F.length("text") > 0).groupBy(F.col("text").alias("form")).agg(F.count("*").alias("n"))
 
 
 @query("spelling_suggestions")
 def spelling_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    return Z.suggestions(misspelt(spark, d).withColumnRenamed("q", "word"), _forms(spark, d))
+    return Z.suggestions(misspelt(spark, d, True).withColumnRenamed("q", "word"), _forms(spark, d))
 
 
 @query("ocr_suggestions")
 def ocr_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    return Z.suggestions(misspelt(spark, d).withColumnRenamed("q", "word"), _forms(spark, d), ocr=True)
+    return Z.suggestions(misspelt(spark, d, True).withColumnRenamed("q", "word"), _forms(spark, d), ocr=True)
 
 
 @query("typo_recovery")
 def typo_recovery(spark: SparkSession, d: str) -> DataFrame:
     """How often the first and the first five suggestions hold the word a misspelling was made of."""
-    heads = head_keys(spark, d)
+    heads = head_keys(spark, d, True)
     t = Z.typos(heads, "key").where(F.length("key") >= 4)
     s = Z.suggestions(t.select(F.col("typo").alias("word")).distinct(), heads.select(F.col("key").alias("form"), F.lit(1).alias("n")))
     j = t.join(s, (F.col("typo") == F.col("word")) & (F.col("key") == F.col("form")), "left")
@@ -109,6 +121,11 @@ def range_join(spark: SparkSession, d: str) -> DataFrame:
     return Z.in_ranges(head_keys(spark, d), spark.createDataFrame(_RANGES, "lo string, hi string")).select("key", "lo", "hi")
 
 
+@query("range_join_all")
+def range_join_all(spark: SparkSession, d: str) -> DataFrame:
+    return Z.in_ranges(head_keys(spark, d, True), spark.createDataFrame(_RANGES, "lo string, hi string")).select("key", "lo", "hi")
+
+
 # --- scoring ---------------------------------------------------------------------------------------------------------
 
 _SCORED = f"""{PR.LEXICON}, {PR.WORDS}, c AS (SELECT word, word AS cand FROM w), h AS ({PR.hits('c', 'word')}),

@@ -55,3 +55,18 @@ def test_capitals(spark, small):
     assert {r.word for r in rows(spark, small, "particle_strip_all")} >= {"Λόγοςγε", "Ἔλυσαπερ"}
     for name in ("elision_expand_all", "compound_split_all", "elision_pairs_all", "accuracy_by_frequency_all", "accuracy_with_equivalents_all"):
         rows(spark, small, name)
+
+
+def test_headwords_of_any_letters(spark, small):
+    keys = {key(t) for t in HEADS.values()}
+    assert {"homo", "δι’ ολου", "λογoσ"} <= keys
+    near = {(r.q, r.key, r.ed) for r in rows(spark, small, "spell_ed1_all")}
+    qs = {r.q for r in rows(spark, small, "spell_staged_all")}
+    assert {q for q, _, _ in near} <= qs
+    assert {(q, k, n) for q in qs for k in keys if (n := Z.damerau(q, k)) <= 1} == near
+    assert {"homo", "δι’ ολου", "λογoσ"} <= {k for _, k, _ in near} and {k for _, k, _ in near} == {k for k in keys if len(k) >= 4}
+    ranges = [("α", "αδ"), ("κρ", "γ"), ("μ", "ξ"), ("ω", "ω")]
+    assert {(r.key, r.lo, r.hi) for r in rows(spark, small, "range_join_all")} == {(k, a, b) for k in keys for a, b in ranges if min(a, b) < k < max(a, b)}
+    assert {"homo", "δι’ ὅλου"} <= {r.form for r in rows(spark, small, "spelling_suggestions")}
+    assert {"homo", "δι’ ὅλου"} <= {r.form for r in rows(spark, small, "ocr_suggestions")}
+    assert [r.n for r in rows(spark, small, "typo_recovery")] == [sum(len(k) >= 4 for k in keys)]
