@@ -103,9 +103,12 @@ def suffix_signatures(forms: DataFrame, lemma: str = "lemma", form: str = "form"
     """(lemma, stem, signature, flag): lemmas by the sorted set of what follows their forms' common prefix.
 
     Signatures of two or more lemmas are numbered from ``first_flag``, most lemmas first, then by signature; others get
-    null. A lemma's forms are collected, and a lexicon bounds their number.
+    null. A lemma's forms are made distinct and gathered in parts by hash before they meet in its row, so a lemma with a
+    large share of the rows is worked on by several tasks.
     """
-    stems = forms.groupBy(lemma).agg(*common_prefix(F.col(form)), F.collect_set(form).alias("_f")).withColumn("stem", prefix_of())
+    part = F.pmod(F.xxhash64(form), F.lit(64))
+    parts = forms.select(lemma, form).distinct().groupBy(lemma, part.alias("_part")).agg(*common_prefix(F.col(form)), F.collect_list(form).alias("_f"))
+    stems = parts.groupBy(lemma).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.flatten(F.collect_list("_f")).alias("_f")).withColumn("stem", prefix_of())
     sig = F.concat_ws("|", F.array_sort(F.transform("_f", lambda x: F.substring(x, F.length("stem") + 1, F.length(x)))))
     rows = stems.select(lemma, "stem", sig.alias("signature"))
     shared = rows.groupBy("signature").agg(F.count("*").alias("k")).where("k >= 2")

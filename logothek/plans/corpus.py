@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logothek.functions import text as T
 from logothek.operators import frequency as Q
 from logothek.operators import ngram as N
+from logothek.plans import lexicon as PL
 from logothek.plans.registry import query
 from logothek.session import checkpointed, spread, table
 
@@ -172,6 +173,12 @@ def suffix_signatures(spark: SparkSession, d: str) -> DataFrame:
     return Q.suffix_signatures(f).withColumn("flag", F.col("flag").cast("long"))
 
 
+@query("suffix_signatures_all")
+def suffix_signatures_all(spark: SparkSession, d: str) -> DataFrame:
+    """Signatures of the paradigms of the lexicon: all its lemmas with all their forms."""
+    return Q.suffix_signatures(PL.lex(spark, d).select("lemma", "form")).withColumn("flag", F.col("flag").cast("long"))
+
+
 # --- n-gram model ----------------------------------------------------------------------------------------------------
 
 

@@ -70,3 +70,17 @@ def test_headwords_of_any_letters(spark, small):
     assert {"homo", "δι’ ὅλου"} <= {r.form for r in rows(spark, small, "spelling_suggestions")}
     assert {"homo", "δι’ ὅλου"} <= {r.form for r in rows(spark, small, "ocr_suggestions")}
     assert [r.n for r in rows(spark, small, "typo_recovery")] == [sum(len(k) >= 4 for k in keys)]
+
+
+def test_signatures_of_the_lexicon(spark, small):
+    forms = {}
+    for f, k in LOOKUP:
+        forms.setdefault(HEADS[k], set()).add(f)
+    want = {}
+    for lemma, fs in forms.items():
+        n = next((i for i, x in enumerate(zip(*fs)) if len(set(x)) > 1), min(map(len, fs)))
+        stem = min(fs)[:n]
+        want[lemma] = (stem, "|".join(sorted(f[n:] for f in fs)))
+    got = rows(spark, small, "suffix_signatures_all")
+    assert {r.lemma: (r.stem, r.signature) for r in got} == want and len(got) == len(want)
+    assert {r.lemma for r in got if r.flag is not None} == {k for k, (_, s) in want.items() if sum(s == t for _, t in want.values()) > 1}
