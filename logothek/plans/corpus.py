@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from logothek.session import checkpointed, spread, table
 LANGS = ["en", "el", "fr", "de", "es"]
 GROUPS = {"broadcast": "air", "radio_cc": "air", "webrip": "net", "fansub": "net", "archive": "store", "museum": "store", "dvd_ocr": "store"}
 VOCAB = 2000
+#: Vocabulary and least counts of the reference (train_lm.py), and those that the SQL fixes.
+WHOLE, SHORT = {"size": 80_000, "least": 1}, {"size": VOCAB, "least": 2}
 
 K = "translate(strip_accents(lower({})), 'ς', 'σ')"
 TOK = rf"""
@@ -182,11 +186,11 @@ def suffix_signatures_all(spark: SparkSession, d: str) -> DataFrame:
 # --- n-gram model ----------------------------------------------------------------------------------------------------
 
 
-def model(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+def model(spark: SparkSession, d: str, size: int = VOCAB, least: int = 2) -> tuple[DataFrame, ...]:
     s = sentences(spark, d)
-    framed = checkpointed(N.with_unknown(s, N.vocabulary(s, VOCAB), "sent_id"))
-    uni, bi, tri = N.ngrams(framed, 1), checkpointed(N.ngrams(framed, 2).where("n >= 2")), N.ngrams(framed, 3)
-    return framed, uni, bi, N.pruned_trigrams(tri, bi)
+    framed = checkpointed(N.with_unknown(s, N.vocabulary(s, size), "sent_id"))
+    uni, bi, tri = N.ngrams(framed, 1), checkpointed(N.ngrams(framed, 2).where(F.col("n") >= least)), N.ngrams(framed, 3)
+    return framed, uni, bi, N.pruned_trigrams(tri, bi, least)
 
 
 def positions(framed: DataFrame) -> DataFrame:
@@ -197,52 +201,61 @@ def positions(framed: DataFrame) -> DataFrame:
 
 
 @query("lm_bigrams", f"WITH {LM} SELECT * FROM bi")
-def lm_bigrams(spark: SparkSession, d: str) -> DataFrame:
-    return model(spark, d)[2]
+def lm_bigrams(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return model(spark, d, **(WHOLE if whole else SHORT))[2]
 
 
 @query("lm_trigrams", f"WITH {LM} SELECT * FROM tri")
-def lm_trigrams(spark: SparkSession, d: str) -> DataFrame:
-    return model(spark, d)[3]
+def lm_trigrams(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return model(spark, d, **(WHOLE if whole else SHORT))[3]
 
 
 @query("lm_bigram_table", f"WITH {LM} SELECT w1, w, greatest(-32768, least(32767, round_even(lp * 1024, 0)))::INT AS q, rank FROM b")
-def lm_bigram_table(spark: SparkSession, d: str) -> DataFrame:
-    _, uni, bi, tri = model(spark, d)
+def lm_bigram_table(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    _, uni, bi, tri = model(spark, d, **(WHOLE if whole else SHORT))
     b = N.context_tables(uni, bi, tri)[1]
     return b.select("w1", "w", N.quantised(F.col("lp")).alias("q"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("lm_trigram_table", f"WITH {LM} SELECT w1, w2, w, round(lp, 6) AS lp, rank FROM t")
-def lm_trigram_table(spark: SparkSession, d: str) -> DataFrame:
-    _, uni, bi, tri = model(spark, d)
+def lm_trigram_table(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    _, uni, bi, tri = model(spark, d, **(WHOLE if whole else SHORT))
     return N.context_tables(uni, bi, tri)[2].select("w1", "w2", "w", F.round("lp", 6).alias("lp"), F.col("rank").cast("long").alias("rank"))
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    framed, uni, bi, tri = model(spark, d)
+def scored(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    framed, uni, bi, tri = model(spark, d, **(WHOLE if whole else SHORT))
     u, b, t = N.context_tables(uni, bi, tri)
     return N.backoff_score(N.ranks(positions(framed), u, b, t), b, uni.agg(F.sum("n").alias("total")))
 
 
 @query("lm_accuracy", f"""WITH {PRED} SELECT level, count(*) AS n, round(avg((coalesce(rank, 99) <= 1)::INT), 6) AS top1, round(avg((coalesce(rank, 99) <= 3)::INT), 6) AS top3, round(avg((coalesce(rank, 99) <= 5)::INT), 6) AS top5 FROM p GROUP BY ROLLUP (level)""")
-def lm_accuracy(spark: SparkSession, d: str) -> DataFrame:
+def lm_accuracy(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     hit = lambda k: F.round(F.avg((F.coalesce("rank", F.lit(99)) <= k).cast("int")), 6).alias(f"top{k}")
-    return scored(spark, d).rollup("level").agg(F.count("*").alias("n"), hit(1), hit(3), hit(5))
+    return scored(spark, d, whole).rollup("level").agg(F.count("*").alias("n"), hit(1), hit(3), hit(5))
 
 
 @query("lm_perplexity", f"""WITH {PRED}, sc AS (SELECT CASE WHEN lt IS NOT NULL THEN lt WHEN lb IS NOT NULL THEN lb + (level = 'tri')::INT * ln(0.4) WHEN lu IS NOT NULL THEN lu + ((level = 'tri')::INT + has_b::INT) * ln(0.4) ELSE ln(1.0 / (SELECT sum(n) FROM uni)) + ((level = 'tri')::INT + has_b::INT) * ln(0.4) END AS score FROM p)
 SELECT count(*) AS n, round(avg(score), 5) AS mean_score, round(exp(-avg(score)), 2) AS perplexity FROM sc""")
-def lm_perplexity(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d).agg(F.count("*").alias("n"), F.round(F.avg("score"), 5).alias("mean_score"), F.round(F.exp(-F.avg("score")), 2).alias("perplexity"))
+def lm_perplexity(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return scored(spark, d, whole).agg(F.count("*").alias("n"), F.round(F.avg("score"), 5).alias("mean_score"), F.round(F.exp(-F.avg("score")), 2).alias("perplexity"))
 
 
 @query("oov_share", f"WITH {LM} SELECT count(*) AS n_tokens, count(*) FILTER (w = '<UNK>') AS n_unknown, round(count(*) FILTER (w = '<UNK>') / count(*), 6) AS oov_share FROM seen")
-def oov_share(spark: SparkSession, d: str) -> DataFrame:
-    w = model(spark, d)[0].select(F.explode("toks").alias("w")).where(~F.col("w").isin(N.BOS, N.EOS))
+def oov_share(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    w = model(spark, d, **(WHOLE if whole else SHORT))[0].select(F.explode("toks").alias("w")).where(~F.col("w").isin(N.BOS, N.EOS))
     return w.agg(F.count("*").alias("n_tokens"), F.count_if(F.col("w") == N.UNK).alias("n_unknown"), F.round(F.count_if(F.col("w") == N.UNK) / F.count("*"), 6).alias("oov_share"))
 
 
+def _whole_model(f: Callable[..., DataFrame]) -> None:
+    """Register ``f`` over the model of the reference's size as ``NAME_all``, without SQL."""
+    query(f"{f.__name__}_all")(lambda spark, d: f(spark, d, True))
+
+
+for _f in (lm_bigrams, lm_trigrams, lm_bigram_table, lm_trigram_table, lm_accuracy, lm_perplexity, oov_share):
+    _whole_model(_f)
+
+
 @query("chunks", rf"WITH {SENT} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s_no, pos) - 1) // 200 AS chunk, w FROM words")
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """Words of each document in chunks of 200."""

@@ -1,6 +1,7 @@
 """Queries over whole inputs against word-at-a-time Python, on small tables with what the queries with SQL leave out."""
 
 import unicodedata as ud
+from collections import Counter
 
 import pytest
 
@@ -84,3 +85,15 @@ def test_signatures_of_the_lexicon(spark, small):
     got = rows(spark, small, "suffix_signatures_all")
     assert {r.lemma: (r.stem, r.signature) for r in got} == want and len(got) == len(want)
     assert {r.lemma for r in got if r.flag is not None} == {k for k, (_, s) in want.items() if sum(s == t for _, t in want.values()) > 1}
+
+
+def test_model_of_all_words(spark, tmp_path):
+    texts = ["a b c. a b c. a b d.", "a b rare word\nonce only", "", None]
+    spark.createDataFrame([(i, x, "en", "s") for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    sents = [["<s>", *x.split(), "</s>"] for t in texts if t for x in t.replace("\n", ".").split(".") if x.split()]
+    bi = Counter(p for x in sents for p in zip(x, x[1:]))
+    tri = Counter(p for x in sents for p in zip(x, x[1:], x[2:]))
+    got = {(r.w1, r.w2): r.n for r in rows(spark, str(tmp_path), "lm_bigrams_all")}
+    assert got == bi and got["rare", "word"] == 1
+    assert {(r.w1, r.w2, r.w3): r.n for r in rows(spark, str(tmp_path), "lm_trigrams_all")} == {k: n for k, n in tri.items() if bi[k[:2]] >= 3}
+    assert ("a", "b", "rare") in tri and [r.n_unknown for r in rows(spark, str(tmp_path), "oov_share_all")] == [0]
