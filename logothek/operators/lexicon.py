@@ -109,17 +109,17 @@ def chains_resolved(table: DataFrame, depth: int = 5) -> DataFrame:
     table: (form, lemma), unique by form. The walk stops at a self-map, at an unknown form, at a cycle and at the depth.
     """
     step = checkpointed(table.select(F.col("form").alias("_f"), F.col("lemma").alias("_l")))
-    walk = table.join(step.select(F.col("_f").alias("lemma"), F.col("_l").alias("target")), "lemma", "left").withColumn("seen", F.array("form", "lemma"))
+    first = step.select(F.col("_f").alias("form"), F.col("_l").alias("lemma")).join(step.select(F.col("_f").alias("lemma"), F.col("_l").alias("target")), "lemma", "left")
     chained = (F.col("lemma") != F.col("form")) & F.col("target").isNotNull() & (F.col("target") != F.col("lemma"))
-    walk = walk.withColumn("chained", F.coalesce(chained, F.lit(False))).withColumn("go", F.col("chained"))
+    first = checkpointed(first.select("form", "lemma", F.when(chained, F.col("target")).alias("target")))  # few entries are chained: only they walk on
+    walk = first.where("target IS NOT NULL").withColumn("seen", F.array("form", "lemma")).withColumn("go", F.lit(True))
     for _ in range(depth):
         j = walk.join(step, F.col("target") == F.col("_f"), "left")
         moves = F.col("go") & F.col("_l").isNotNull() & (F.col("_l") != F.col("target")) & ~F.array_contains("seen", F.col("target"))
         moves = F.coalesce(moves, F.lit(False))
-        walk = j.select("form", "lemma", "chained", moves.alias("go"), F.when(moves, F.concat("seen", F.array("target"))).otherwise(F.col("seen")).alias("seen"), F.when(moves, F.col("_l")).otherwise(F.col("target")).alias("target"))
-    heads = step.where(F.col("_f") == F.col("_l")).select(F.col("_f").alias("target"), F.lit(True).alias("_head"))
-    out = walk.join(heads, "target", "left").where(~F.col("chained") | F.col("_head"))
-    return out.select("form", F.when(F.col("chained"), F.col("target")).otherwise(F.col("lemma")).alias("lemma"))
+        walk = j.select("form", moves.alias("go"), F.when(moves, F.concat("seen", F.array("target"))).otherwise(F.col("seen")).alias("seen"), F.when(moves, F.col("_l")).otherwise(F.col("target")).alias("target"))
+    heads = step.where(F.col("_f") == F.col("_l")).select(F.col("_f").alias("target"))
+    return first.where("target IS NULL").select("form", "lemma").unionByName(walk.join(heads, "target").select("form", F.col("target").alias("lemma")))
 
 
 def spell_index(rows: DataFrame) -> DataFrame:

@@ -128,6 +128,12 @@ def chains_resolved(spark: SparkSession, d: str) -> DataFrame:
     return L.chains_resolved(t)
 
 
+@query("chains_resolved_all")
+def chains_resolved_all(spark: SparkSession, d: str) -> DataFrame:
+    """The merged lexicon with its chains led on to a headword or dropped."""
+    return L.chains_resolved(L.combined(*two(spark, d)).select("form", "lemma"))
+
+
 @query("spell_index", f"WITH {LEX} SELECT {STRIP.format('form')} AS stripped, string_agg(DISTINCT form || '/' || coalesce(src, ''), '|' ORDER BY form || '/' || coalesce(src, '')) AS forms FROM lex GROUP BY 1")
 def spell_index(spark: SparkSession, d: str) -> DataFrame:
     s = L.spell_index(lex(spark, d))

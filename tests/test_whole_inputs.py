@@ -97,3 +97,12 @@ def test_model_of_all_words(spark, tmp_path):
     assert got == bi and got["rare", "word"] == 1
     assert {(r.w1, r.w2, r.w3): r.n for r in rows(spark, str(tmp_path), "lm_trigrams_all")} == {k: n for k, n in tri.items() if bi[k[:2]] >= 3}
     assert ("a", "b", "rare") in tri and [r.n_unknown for r in rows(spark, str(tmp_path), "oov_share_all")] == [0]
+
+
+def test_chains_of_the_lexicon(spark, tmp_path):
+    heads = {1: "λύω", 2: "ἔλυον", 3: "α", 4: "β", 5: "γ"}
+    lookup = [("λύω", 1), ("ἔλυον", 1), ("ἐλύομεν", 2), ("α", 4), ("β", 3), ("δ", 5)]
+    spark.createDataFrame([(i, f, k, "grc", "all") for i, (f, k) in enumerate(lookup)], "row_id long, form string, lemma_id long, src string, lang string").coalesce(1).write.parquet(f"{tmp_path}/lookup.parquet")
+    spark.createDataFrame(list(heads.items()), "id long, text string").coalesce(1).write.parquet(f"{tmp_path}/lemmas.parquet")
+    got = {r.form: r.lemma for r in rows(spark, str(tmp_path), "chains_resolved_all")}
+    assert got == {"λύω": "λύω", "ἔλυον": "λύω", "ἐλύομεν": "λύω", "δ": "γ"}
