@@ -112,6 +112,22 @@ def crasis(spark: SparkSession, d: str) -> DataFrame:
     return w.select("word", R.crasis(F.col("word")).alias("lemma"))
 
 
+def table_forms(spark: SparkSession, d: str) -> DataFrame:
+    """(word): the distinct forms of the lexicon and of the pairs."""
+    forms = table(spark, d, "lookup").select("form").unionByName(table(spark, d, "lemmapairdataset").select("form"))
+    return forms.where(F.length("form") > 0).select(F.col("form").alias("word")).distinct()
+
+
+@query("closed_class_all")
+def closed_class_all(spark: SparkSession, d: str) -> DataFrame:
+    return table_forms(spark, d).select("word", R.closed_class(F.col("word")).alias("lemma"))
+
+
+@query("crasis_all")
+def crasis_all(spark: SparkSession, d: str) -> DataFrame:
+    return table_forms(spark, d).select("word", R.crasis(F.col("word")).alias("lemma"))
+
+
 @query("compound_split", f"""WITH {LEXICON}, {WORDS}, b AS (SELECT word, strip_accents(word) AS bare FROM (SELECT 'ακρο' || word AS word FROM w) WHERE length(strip_accents(word)) >= 6),
 c AS (SELECT word, i AS rank, bare[:i] AS prefix, bare[i + 1:] AS cand FROM (SELECT word, bare, unnest(range(2, length(bare) - 2)) AS i FROM b) WHERE bare[i] IN ('ο', 'ι', 'υ')),
 h AS ({hits('c', 'word, rank, prefix')}), k AS (SELECT *, strip_accents({LOW.format('lemma')}) AS s0, strip_accents(lower(lemma)) AS s FROM h)

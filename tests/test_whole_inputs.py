@@ -106,3 +106,10 @@ def test_chains_of_the_lexicon(spark, tmp_path):
     spark.createDataFrame(list(heads.items()), "id long, text string").coalesce(1).write.parquet(f"{tmp_path}/lemmas.parquet")
     got = {r.form: r.lemma for r in rows(spark, str(tmp_path), "chains_resolved_all")}
     assert got == {"λύω": "λύω", "ἔλυον": "λύω", "ἐλύομεν": "λύω", "δ": "γ"}
+
+
+def test_closed_words_of_the_tables(spark, tmp_path):
+    spark.createDataFrame([(1, "Τὴν", 1, "grc", "all"), (2, "τοὔνομα", 1, "grc", "all"), (3, "", 1, "grc", "all"), (4, None, 1, "grc", "all")], "row_id long, form string, lemma_id long, src string, lang string").coalesce(1).write.parquet(f"{tmp_path}/lookup.parquet")
+    spark.createDataFrame([(1, "ἡμῶν", "ἐγώ"), (2, "τούνομα", "ὄνομα"), (3, "ξένος", "ξένος")], "pair_id long, form string, lemma string").coalesce(1).write.parquet(f"{tmp_path}/lemmapairdataset.parquet")
+    assert {r.word: r.lemma for r in rows(spark, str(tmp_path), "closed_class_all")} == {"Τὴν": "ὁ", "τοὔνομα": None, "ἡμῶν": "ἐγώ", "τούνομα": None, "ξένος": None}
+    assert {r.word: r.lemma for r in rows(spark, str(tmp_path), "crasis_all")}["τοὔνομα"] == "ὄνομα"
