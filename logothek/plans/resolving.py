@@ -210,5 +210,13 @@ def convention_map(spark: SparkSession, d: str) -> DataFrame:
     return R.convention_map(g.select("group_id", "ord", "lemma"), g.where("ord % 2 = 0").select(F.col("lemma").alias("form")))
 
 
+@query("convention_map_all")
+def convention_map_all(spark: SparkSession, d: str) -> DataFrame:
+    """Spellings of one headword led to the first that the lexicon has from the ancient dictionary, else to the first."""
+    m = table(spark, d, "lemmas").where(F.length("text") > 0)
+    g = m.groupBy(T.strip_accents(F.col("text")).alias("g"), F.col("text").alias("lemma")).agg(F.min("id").alias("ord")).withColumn("group_id", F.xxhash64("g"))
+    return R.convention_map(g.select("group_id", "ord", "lemma"), PL.lex(spark, d).where("src = 'grc'").select(F.col("lemma").alias("form")))
+
+
 for _f in (cascade_lookup, normalisation_keys, elision_expand, compound_split, particle_strip, pos_override):
     of_all_forms(_f)

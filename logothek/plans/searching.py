@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logothek.functions import text as T
+from logothek.functions import udfs as U
 from logothek.operators import frequency as Q
 from logothek.operators import fuzzy as Z
 from logothek.operators import metrics as M
@@ -160,10 +161,10 @@ def accuracy_by_frequency(spark: SparkSession, d: str, capitals: bool = False) -
 
 @query("accuracy_with_equivalents", f"""WITH {_SCORED}, g AS (SELECT DISTINCT substr(md5({KEY.format('text')}), 1, 2) AS group_id, text AS lemma FROM lemmas WHERE length(text) > 0), pr AS (SELECT DISTINCT a.lemma AS a, b.lemma AS b FROM g a JOIN g b ON a.group_id = b.group_id AND a.lemma <> b.lemma)
 SELECT split, count(*) AS n, count(*) FILTER (coalesce({KEY.format('trim(pred)')} = {KEY.format('trim(gold)')}, FALSE) OR (pred, gold) IN (SELECT (a, b) FROM pr)) AS n_equiv FROM sd GROUP BY split""")
-def accuracy_with_equivalents(spark: SparkSession, d: str, capitals: bool = False) -> DataFrame:
+def accuracy_with_equivalents(spark: SparkSession, d: str) -> DataFrame:
     """Predictions right up to equals; a two-digit hash stands for the groups of equal lemmas."""
     g = table(spark, d, "lemmas").where("length(text) > 0").select(F.substring(F.md5(T.key(F.col("text"))), 1, 2).alias("group_id"), F.col("text").alias("lemma")).distinct()
-    s = scored(spark, d, capitals)
+    s = scored(spark, d)
     used = s.select(F.explode(F.array("pred", "gold")).alias("lemma")).dropna().distinct()
     e = M.with_equivalents(s.where("pred IS NOT NULL"), M.equivalence_pairs(g.join(used, "lemma", "left_semi")))
     miss = s.where("pred IS NULL").withColumn("equiv", F.lit(False))
@@ -254,5 +255,12 @@ def elision_pairs(spark: SparkSession, d: str, capitals: bool = False) -> DataFr
     return Y.elision_pairs(p.select("lemma", "form"))
 
 
-for _f in (accuracy_rollup, accuracy_by_frequency, accuracy_with_equivalents, elision_pairs):
+for _f in (accuracy_rollup, accuracy_by_frequency, elision_pairs):
     PR.of_all_forms(_f)
+
+
+@query("accuracy_with_equivalents_all")
+def accuracy_with_equivalents_all(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions for all forms that are right without marks, or look equal to the lemma."""
+    right = M.levels(F.col("pred"), F.col("gold"))["stripped"] | (U.equal_looking("pred") == U.equal_looking("gold"))
+    return scored(spark, d, True).groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.coalesce(right, F.lit(False))).alias("n_equiv"))

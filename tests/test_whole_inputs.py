@@ -113,3 +113,12 @@ def test_closed_words_of_the_tables(spark, tmp_path):
     spark.createDataFrame([(1, "ἡμῶν", "ἐγώ"), (2, "τούνομα", "ὄνομα"), (3, "ξένος", "ξένος")], "pair_id long, form string, lemma string").coalesce(1).write.parquet(f"{tmp_path}/lemmapairdataset.parquet")
     assert {r.word: r.lemma for r in rows(spark, str(tmp_path), "closed_class_all")} == {"Τὴν": "ὁ", "τοὔνομα": None, "ἡμῶν": "ἐγώ", "τούνομα": None, "ξένος": None}
     assert {r.word: r.lemma for r in rows(spark, str(tmp_path), "crasis_all")}["τοὔνομα"] == "ὄνομα"
+
+
+def test_conventions_and_equals(spark, small, tmp_path):
+    write = lambda rows, schema, name: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    write([(2, "Ἀθηνᾶ"), (3, "Ἀθήνα"), (4, "βιος"), (5, "βίος"), (7, "λόγoς")], "id long, text string", "lemmas")
+    write([(1, "ἀθήνας", 3, "grc", "all"), (2, "βίου", 5, "el", "all"), (3, "λόγου", 7, "grc", "all")], "row_id long, form string, lemma_id long, src string, lang string", "lookup")
+    write([(1, "λόγου", "λόγος", "dev", "ag"), (2, "ἀθήνας", "Ἥρα", "dev", "ag")], "pair_id long, form string, lemma string, split string, source string", "lemmapairdataset")
+    assert {r.lemma: r.preferred for r in rows(spark, str(tmp_path), "convention_map_all")} == {"Ἀθηνᾶ": "Ἀθήνα", "βίος": "βιος"}
+    assert [tuple(r) for r in rows(spark, str(tmp_path), "accuracy_with_equivalents_all")] == [("dev", 2, 1)]
