@@ -31,22 +31,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Most splits of an input that ``spread`` moves: with the usual 128 MB a split no more than a GB.
+FEW_SPLITS = 8
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` on all cores if the input has too few splits for half of them, as a single small file; else as it is.
+    """``df`` on all cores if the input is a small file or two of at most FEW_SPLITS splits on half the cores, else as it is.
 
     Rows are the same either way. Select the columns that are needed first: only they are moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits <= FEW_SPLITS and 2 * splits <= cores else df
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder that spark.checkpoint.dir names.
 
     Written blocks survive the loss of executors, and rows whose order or partition depends on sampling stay as they are.
-    A folder of our own is set only where the session names none, as in tests.
+    A folder of our own is set only where a local session names none, as in tests; a cluster must name a shared one.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logothek-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="logothek-"))
     return df.checkpoint(eager=True)
