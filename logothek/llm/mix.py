@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logothek.llm.encode import TOKENIZERS, n_tokens_column
+from logothek.llm.encode import TOKENIZERS, counted_rows
 from logothek.operators.order import ranked
 from logothek.session import checkpointed, spread
 
@@ -55,9 +55,10 @@ def plan(tokens: dict[str, int], shares: dict[str, float], caps: dict[str, int],
 
 def sizes(documents: DataFrame, targets: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id, source, n_tokens) of the documents of target sources that have tokens; checkpointed, as counting is the dear part."""
-    wanted = targets.select("source").dropna().distinct()
-    own = documents.where(F.length("text") > 0).select("doc_id", "source", "text").join(F.broadcast(wanted), "source", "left_semi")
-    return checkpointed(spread(own).select("doc_id", "source", n_tokens_column(F.col("text"), name, folder).alias("n_tokens")).where("n_tokens > 0"))
+    names = [(r.source,) for r in target_list(targets)]
+    wanted = F.broadcast(targets.sparkSession.createDataFrame(names, "source string"))
+    own = documents.where(F.length("text") > 0).select("doc_id", "source", "text").join(wanted, "source", "left_semi").select("doc_id", "source", "text")
+    return checkpointed(counted_rows(spread(own), "text", name, folder))
 
 
 def target_list(targets: DataFrame, limit: int = 10_000) -> list:
