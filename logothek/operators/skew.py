@@ -21,27 +21,32 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.select(F.lit(1)).limit(limit + 1).count() <= limit
 
 
+def hot_of_counts(counts: DataFrame, keys: list[str], n: str = "_n", share: int = SHARE) -> DataFrame:
+    """Hot keys, with the number of salts each gets, of a table of counts by key; at most ``share`` rows."""
+    total = counts.agg(F.sum(n).alias("_total"))
+    return (
+        counts.join(F.broadcast(total), F.col(n) * share > F.col("_total"))
+        .select(*keys, F.ceil(F.col(n) * share / F.col("_total")).cast("int").alias("_salts"))
+    )
+
+
 def hot_keys(df: DataFrame, keys: list[str], share: int = SHARE) -> DataFrame:
     """Keys with more than 1/share of the rows and the number of salts each gets (at most ``share`` rows).
 
     Null keys never match and so are never hot. An empty table has no hot key.
     """
-    counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    return (
-        counts.join(F.broadcast(total), F.col("_n") * share > F.col("_total"))
-        .select(*keys, F.ceil(F.col("_n") * share / F.col("_total")).cast("int").alias("_salts"))
-    )
+    return hot_of_counts(df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_n")), keys, "_n", share)
 
 
-def salted_join(big: DataFrame, other: DataFrame, keys: list[str], salt_by: str, how: str = "inner", share: int = SHARE) -> DataFrame:
+def salted_join(big: DataFrame, other: DataFrame, keys: list[str], salt_by: str, how: str = "inner", share: int = SHARE, hot: DataFrame | None = None) -> DataFrame:
     """Equi-join of ``big``, whose keys may be skewed, with ``other``.
 
     big: skewed side; ``salt_by`` is a column of it that tells its rows apart and spreads the rows of a hot key.
     how: inner, left, left_semi or left_anti. Columns of the two sides other than the keys must differ in name.
+    hot: the hot keys and their salts if they are known, at most some hundred rows; else ``big`` is counted.
     Rows with null keys match nothing; repeated rows join as often as they occur.
     """
-    hot = F.broadcast(hot_keys(big, keys, share))
+    hot = F.broadcast(hot_keys(big, keys, share) if hot is None else hot)
     left = big.join(hot, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(salt_by), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
     right = (
         other.join(hot, keys, "left")
