@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Letters of the Latin, Greek and Cyrillic alphabets that look alike.
 LOOK_ALIKE = (
@@ -92,11 +93,15 @@ def spellings(composed: str) -> Iterator[str]:
         yield ud.normalize("NFC", parts[:k]) + parts[k:]
 
 
-def look_alike_classes(observed: Iterable[str]) -> dict[str, set[str]]:
-    """Classes of more than one member over the observed code points and the letters of the three alphabets."""
+def look_alike_classes(observed: Iterable[str], look_alike: Iterable[str] = LOOK_ALIKE) -> dict[str, set[str]]:
+    """Classes of more than one member over the observed code points and the letters of the three alphabets.
+
+    look_alike: groups of letters that look alike, each a string of letters with spaces between; letters of one alphabet may
+    stand in one group, as the capital I and the small l, and then the frequency decides between them.
+    """
     sets, observed = UnionFind(), set(observed)
     bases: dict[str, list[str]] = {}
-    for group in LOOK_ALIKE:
+    for group in look_alike:
         letters = group.split()
         for x in letters:
             bases[x] = letters
@@ -130,11 +135,11 @@ def script_of(s: str) -> str | None:
     return alphabet(s[0]) if s else None
 
 
-def rules(freq: dict[str, int]) -> tuple[tuple[tuple[str, str | None, str, tuple[tuple[str, str], ...]], ...], tuple[str, ...]]:
+def rules(freq: dict[str, int], look_alike: Iterable[str] = LOOK_ALIKE) -> tuple[tuple[tuple[str, str | None, str, tuple[tuple[str, str], ...]], ...], tuple[str, ...]]:
     """Rewrite rules of a corpus: (member, its alphabet, its own representative, representatives by alphabet), and the order of alphabets."""
     weight = lambda s: min((freq.get(c, 0) for c in s), default=0)
     out = []
-    for members in look_alike_classes(freq).values():
+    for members in look_alike_classes(freq, look_alike).values():
         if "" in members:
             out += [(m, None, "", ()) for m in members if m]
             continue
@@ -146,8 +151,7 @@ def rules(freq: dict[str, int]) -> tuple[tuple[tuple[str, str | None, str, tuple
         for m in members:
             if ordinary(m) == m:
                 by.setdefault(script_of(m), []).append(m)
-        # the shortest spelling of the same look first: a letter rather than a letter and marks
-        best = {k: min(v, key=lambda s: (len(s), -weight(s), s)) for k, v in by.items()}
+        best = {k: min(v, key=lambda s: (-weight(s), len(s), s)) for k, v in by.items()}
         reps = tuple(sorted((k, v) for k, v in best.items() if k))
         for m in members:
             own = script_of(ordinary(m))
@@ -251,17 +255,42 @@ def code_point_counts(texts: DataFrame) -> dict[str, int]:
     return {chr(r.cp): r.n for r in rows}
 
 
-def consistent_column(texts: DataFrame) -> "callable[[Column | str], Column]":
-    """A function that gives the consistent form of a text column, by the classes and frequencies of all texts of ``texts``."""
-    freq = code_point_counts(texts)
-    table, order = rules(freq)
-    observed = tuple(sorted(freq))
+class Consistent:
+    """Gives the consistent form by the rules of a corpus: of a column when called, of an Arrow array by ``array``."""
+
+    def __init__(self, freq: dict[str, int], look_alike: tuple[str, ...] = LOOK_ALIKE) -> None:
+        self.table, self.order = rules(freq, look_alike)
+        self.observed = tuple(sorted(freq))
+
+    def array(self, texts: pa.Array) -> pa.Array:
+        return rewriter(self.table, self.order, self.observed).array(texts)
+
+    def __call__(self, text: Column) -> Column:
+        array = self.array
+
+        @F.arrow_udf("string")
+        def consistent(s: pa.Array) -> pa.Array:
+            return array(s)
+
+        return consistent(text)
+
 
-    @F.arrow_udf("string")
-    def consistent(s: pa.Array) -> pa.Array:
-        return rewriter(table, order, observed).array(s)
+    def replaced(self, rows: DataFrame, text: str) -> DataFrame:
+        """``rows`` with their consistent texts in the place of a text column; null texts and those that become empty are left out."""
 
-    return consistent
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                k = b.schema.get_field_index(text)
+                new = self.array(b.column(k))
+                columns = [*b.columns[:k], new, *b.columns[k + 1 :]]
+                yield pa.RecordBatch.from_arrays(columns, b.schema.names).filter(pc.greater(pc.fill_null(pc.utf8_length(new), 0), 0))
+
+        return rows.mapInArrow(emit, rows.schema)
+
+
+def consistent_column(texts: DataFrame, look_alike: tuple[str, ...] = LOOK_ALIKE) -> Consistent:
+    """What gives consistent forms by the classes and frequencies of all texts of ``texts``; counting them is one job, run at once."""
+    return Consistent(code_point_counts(texts), look_alike)
 
 
 def named_texts(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
@@ -270,12 +299,28 @@ def named_texts(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def consistent_texts(rows: DataFrame, text: str = "text") -> DataFrame:
-    """``rows`` with a column ``consistent_text``; other columns are kept, a column of that name is replaced."""
-    udf = consistent_column(rows.select(F.col(f"`{text}`").alias("t")))
-    return rows.withColumn("consistent_text", udf(F.col(f"`{text}`")))
+def consistent_texts(rows: DataFrame, consistent: Consistent | None = None, text: str = "text") -> DataFrame:
+    """``rows`` with a column ``consistent_text``; other columns are kept, a column of that name is replaced.
+
+    consistent: by default that of the texts themselves.
+    """
+    consistent = consistent or consistent_column(rows.select(F.col(f"`{text}`").alias("t")))
+    return rows.withColumn("consistent_text", consistent(F.col(f"`{text}`")))
 
 
-def inconsistent_rows(rows: DataFrame, text: str = "text") -> DataFrame:
-    """The rows whose text is not in its consistent form; null and empty texts are none."""
-    return consistent_texts(rows.where(F.length(F.col(f"`{text}`")) > 0), text).where(F.col("consistent_text") != F.col(f"`{text}`"))
+def inconsistent_rows(rows: DataFrame, consistent: Consistent | None = None, text: str = "text") -> DataFrame:
+    """The rows whose text is not in its consistent form, with ``consistent_text``; null and empty texts are none.
+
+    Each text is rewritten once: rows are compared and dropped where they are rewritten.
+    """
+    consistent = consistent or consistent_column(rows.select(F.col(f"`{text}`").alias("t")))
+    rows = rows.drop("consistent_text")
+    schema = StructType([*rows.schema.fields, StructField("consistent_text", StringType())])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text))
+            new = consistent.array(texts)
+            yield pa.RecordBatch.from_arrays([*b.columns, new], [*b.schema.names, "consistent_text"]).filter(pc.not_equal(texts, new))
+
+    return rows.where(F.length(F.col(f"`{text}`")) > 0).mapInArrow(emit, schema)

@@ -50,14 +50,14 @@ def test_cases(spark):
         [(1, "λόγος"), (2, "λόγος"), (3, "λόγoς"), (4, "λόγος​"), (5, None), (6, ""), (7, "  ​"), (8, "δ'"), (9, "ａｂ１"), (10, "α  β"), (11, "λόγος" * 4000), (12, "λόγoς" * 4000), (2, "λόγος")],
         "row_id long, form string",
     ).withColumn("text", F.lit("clash"))
-    got = {(r.row_id, r.form): r.consistent_text for r in c.consistent_texts(rows, "form").collect()}
+    got = {(r.row_id, r.form): r.consistent_text for r in c.consistent_texts(rows, text="form").collect()}
     assert {got[k] for k in got if k[0] < 5} == {"λόγος"}
     assert [got[k] for k in got if k[0] in (5, 6, 7)] == [None, "", ""]
     assert got[8, "δ'"] == "δ’" and got[9, "ａｂ１"] == "ab1" and got[10, "α  β"] == "α β"
     assert got[12, "λόγoς" * 4000] == "λόγος" * 4000
-    bad = [r.row_id for r in c.inconsistent_rows(rows, "form").collect()]
+    bad = [r.row_id for r in c.inconsistent_rows(rows, text="form").collect()]
     assert sorted(bad) == [3, 4, 7, 8, 9, 10, 12]
-    assert c.consistent_texts(rows.limit(0), "form").count() == 0
+    assert c.consistent_texts(rows.limit(0), text="form").count() == 0
 
 
 def test_classes_are_transitive():
@@ -65,3 +65,17 @@ def test_classes_are_transitive():
     o = next(v for v in classes.values() if "o" in v)
     assert {"o", "ο", "о"} <= o
     assert any({"９", "9"} <= v for v in classes.values())
+
+
+def test_frequency_decides_between_letters_of_one_alphabet():
+    groups = (*c.LOOK_ALIKE, "I l ı")
+    for freq, want in (({"I": 5, "l": 9, "ı": 1, "a": 2}, "l"), ({"I": 9, "l": 5, "ı": 1, "a": 2}, "I"), ({"I": 1, "l": 2, "ı": 3, "a": 2}, "ı")):
+        r = c.Rewriter(*c.rules(freq, groups), tuple(freq))
+        assert r.text("aIlı a") == f"a{want * 3} a"
+        assert r.array(pa.array(["Ia", f"{want}a"])).to_pylist() == [f"{want}a"] * 2
+
+
+def test_one_evaluation(spark):
+    rows = spark.createDataFrame([(1, "λόγoς")], "row_id long, form string")
+    plan = c.inconsistent_rows(rows, text="form").select("row_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan

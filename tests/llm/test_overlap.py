@@ -2,7 +2,8 @@
 
 import random
 
-from logothek.llm.overlap import fold, overlap_pairs, overlap_report
+from logothek.llm import overlap
+from logothek.llm.overlap import fold, folded_pairs, overlap_pairs, overlap_report
 
 
 def near(a, b):
@@ -27,7 +28,7 @@ def test_pairs_as_by_brute_force(spark):
     data = [(i, rnd.choice([edit(rnd.choice(words)), None, "", " ", "()"]) if rnd.random() < 0.1 else edit(rnd.choice(words)), rnd.choice(["λα", "λβ", "ΛΑ", None, ""]), rnd.choice(["train", "train", "dev", "test", "other", None]), rnd.choice(["ag", None])) for i in range(900)]
     data += [(1000 + i, words[0], "λα", "train", "ag") for i in range(300)]  # a group of copies with a quarter of the rows
     df = spark.createDataFrame(data, "pair_id long, form string, lemma string, split string, source string")
-    found = overlap_pairs(df, lambda c: c)
+    found = overlap_pairs(df)
     got = sorted((r.eval_id, r.train_id) for r in found.collect())
     f = [(i, fold(a or ""), fold(b or ""), s) for i, a, b, s, _ in data]
     ev, tr = [x for x in f if x[3] in ("dev", "test") and x[1] and x[2]], [x for x in f if x[3] == "train" and x[1] and x[2]]
@@ -40,5 +41,20 @@ def test_pairs_as_by_brute_force(spark):
 
 def test_empty_and_fold(spark):
     df = spark.createDataFrame([], "pair_id long, form string, lemma string, split string, source string")
-    assert overlap_pairs(df, lambda c: c).count() == 0
+    assert overlap_pairs(df).count() == 0
     assert fold("«Λόγος·»") == "λογοσ" and fold("  ") == "" and fold("ᾧ") == "ω"
+
+
+def test_prefixes_and_plan(spark):
+    rank = overlap.bucket_ranks(spark.createDataFrame([("αααα",), ("αααβ",)], "form string"))
+    row, gram, at = overlap.prefix_rows(["αααααααα", "αβ"], rank)
+    assert row.tolist() == [0, 0, 0, 1] and len(set(gram.tolist())) >= 2 and max(at.tolist()) <= 8
+    df = spark.createDataFrame([(1, "λόγος", "λόγος", "train", "ag")], "pair_id long, form string, lemma string, split string, source string")
+    plan = folded_pairs(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
+def test_long_forms(spark):
+    long = "αβγδ" * 5000
+    df = spark.createDataFrame([(1, long, "λ", "train", "ag"), (2, long[:-1], "λ", "dev", "ag"), (3, long + "γγ", "λ", "test", "ag")], "pair_id long, form string, lemma string, split string, source string")
+    assert [(r.eval_id, r.train_id, r.exact) for r in overlap_pairs(df).collect()] == [(2, 1, False)]
