@@ -2,33 +2,41 @@
 
 A record is parsed at the least cost. The parser has the states field start, unquoted, quoted and quote seen, and counts
 fields; reading a character as the grammar allows is free, and inserting or deleting a quote or a delimiter costs one.
-Dynamic programming over (position, state, fields) proceeds in layers of rising cost: layer 0 is a plain scan, and only
-records that layer 0 can't finish go on. Runs of ordinary characters count as one position, so the table has as many
-rows as the record has quotes and delimiters. From the cheapest ways to end:
+Dynamic programming over (position, state, fields) takes one (min, +) product for each symbol: for every kind of symbol a
+matrix holds the least cost of getting from one state to another by any insertions before it and by reading or deleting
+it. Runs of ordinary characters count as one symbol, so time is linear in the quotes and delimiters of a record. From the
+cheapest ways to end:
 
 * ``quoting``: no well-formed record of any number of fields is free,
 * ``columns``: one of exactly the wanted number of fields is not,
 * ``value``: the free parse has fields that are not valid.
 
+Records without a quote that one pattern proves valid cost nothing and are loaded as they are by built-in matching; only
+the others are parsed one by one.
+
 Defined results: a null record, or one of white space only, is a break, neither loaded nor an error; a byte order mark at
 the start and one carriage return at the end belong to the file; fields are kept unaltered; carriage returns within a
 quoted field count as line breaks; records of any length are parsed whole; repeated records each count; an empty table
-gives empty results; other columns are kept as they are.
+gives empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata as ud
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, UNQUOTED, QUOTED, SEEN = range(4)
 TAB, QUOTE, OTHER = "\t", '"', "x"
-PARSED = "struct<kind:string,reason:string,form:string,pos:string,lemma:string,edits:array<string>>"
+NAMES = {TAB: "tab", QUOTE: "quote"}
+FAR = 1 << 30
 _FREE = re.compile(r'(?:"(?:[^"]++|"")*+"|[^"\t]*+)(?:\t(?:"(?:[^"]++|"")*+"|[^"\t]*+))*+')
 _FIELD = re.compile(r'\t("(?:[^"]++|"")*+"|[^"\t]*+)')
 
@@ -49,52 +57,64 @@ def compressed(record: str) -> list[tuple[str, int]]:
     return [(m.group()[0] if m.group()[0] in "\t\"" else OTHER, m.start()) for m in re.finditer(r'\t|"|[^\t"]+', record)]
 
 
+@lru_cache(8)
+def moves(columns: int) -> tuple[dict[str, np.ndarray], dict[tuple[str, int, int], tuple[str, ...]]]:
+    """For each kind of symbol, and '' for the end: the matrix of least costs between states, and the edits of each move.
+
+    A state is numbered 4 * (fields - 1) + state of the field; more than ``columns`` fields count as one more.
+    """
+    most = columns + 1
+    states = [(state, fields) for fields in range(1, most + 1) for state in range(4)]
+    number = {x: i for i, x in enumerate(states)}
+    # by insertions alone
+    inserts: dict[tuple[int, int], tuple[str, ...]] = {}
+    for i in range(len(states)):
+        front = {i: ()}
+        while front:
+            for j, edits in front.items():
+                inserts[i, j] = edits
+            following: dict[int, tuple[str, ...]] = {}
+            for j, edits in front.items():
+                for c in (QUOTE, TAB):
+                    to = step(*states[j], c, most)
+                    if to and (i, number[to]) not in inserts:
+                        following.setdefault(number[to], (*edits, f"insert {NAMES[c]}"))
+            front = following
+    edits_of = {("", i, j): edits for (i, j), edits in inserts.items()}
+    for c in (TAB, QUOTE, OTHER):
+        for (i, j), edits in inserts.items():
+            ways = [(number[to], edits)] if (to := step(*states[j], c, most)) else []
+            if c != OTHER:
+                ways.append((j, (*edits, f"delete {NAMES[c]}")))
+            for k, way in ways:
+                if (c, i, k) not in edits_of or len(way) < len(edits_of[c, i, k]):
+                    edits_of[c, i, k] = way
+    cost = {c: np.full((len(states), len(states)), FAR, np.int64) for c in (TAB, QUOTE, OTHER, "")}
+    for (c, i, j), edits in edits_of.items():
+        cost[c][i, j] = len(edits)
+    return cost, edits_of
+
+
 def least_edits(record: str, columns: int) -> tuple[int, int, list[str]]:
     """Least cost of any well-formed record, of one with ``columns`` fields, and the edits of the latter.
 
     An edit is ``insert quote@7`` or ``delete tab@3``, with the offset in the record.
     """
-    symbols, most = compressed(record), columns + 1
-    n = len(symbols)
-    layer: dict[tuple[int, int, int], tuple | None] = {(0, START, 1): None}
-    seen: dict[tuple[int, int, int], tuple | None] = {}
-    any_cost, cost = None, 0
-    names = {TAB: "tab", QUOTE: "quote"}
-    while True:
-        todo = list(layer)
-        while todo:  # free moves
-            at = todo.pop()
-            if at in seen:
-                continue
-            seen[at] = layer[at]
-            i, state, fields = at
-            if i < n and (to := step(state, fields, symbols[i][0], most)):
-                nxt = (i + 1, *to)
-                if nxt not in seen and nxt not in layer:
-                    layer[nxt] = (at, None)
-                    todo.append(nxt)
-        ends = [x for x in seen if x[0] == n and x[1] != QUOTED]
-        if ends and any_cost is None:
-            any_cost = cost
-        goal = next((x for x in sorted(ends) if x[2] == columns), None)
-        if goal is not None:
-            edits, x = [], goal
-            while seen[x] is not None:
-                x, what = seen[x]
-                if what:
-                    edits.append(what)
-            return any_cost, cost, edits[::-1]
-        following: dict[tuple[int, int, int], tuple | None] = {}
-        for at in layer:
-            i, state, fields = at
-            offset = symbols[i][1] if i < n else len(record)
-            if i < n and symbols[i][0] != OTHER:
-                following.setdefault((i + 1, state, fields), (at, f"delete {names[symbols[i][0]]}@{offset}"))
-            for c in (QUOTE, TAB):
-                if to := step(state, fields, c, most):
-                    following.setdefault((i, *to), (at, f"insert {names[c]}@{offset}"))
-        layer = {k: v for k, v in following.items() if k not in seen}
-        cost += 1
+    symbols = [*compressed(record), ("", len(record))]
+    cost, edits_of = moves(columns)
+    table = np.full((len(symbols) + 1, len(cost[""])), FAR, np.int64)
+    table[0, START] = 0
+    for n, (c, _) in enumerate(symbols):
+        (table[n][:, None] + cost[c]).min(0, out=table[n + 1])
+    ends = [(int(table[-1, i]), i) for i in range(table.shape[1]) if i % 4 != QUOTED]
+    least, at = min(x for x in ends if x[1] // 4 + 1 == columns)
+    edits: list[str] = []
+    for n in range(len(symbols) - 1, -1, -1):
+        c, offset = symbols[n]
+        before = int(np.argmin(table[n] + cost[c][:, at]))
+        edits += [f"{e}@{offset}" for e in reversed(edits_of[c, before, at])]
+        at = before
+    return min(ends)[0], least, edits[::-1]
 
 
 def fields_of(record: str) -> list[str] | None:
@@ -120,16 +140,21 @@ def tag_ok(tag: str, codes: dict[int, frozenset[str]]) -> bool:
     return len(tag) == len(codes) and all(c in codes[i] for i, c in enumerate(tag, 1))
 
 
-def parse(record: str | None, codes: dict[int, frozenset[str]], columns: int = 3) -> dict:
-    """One record: kind ``break``, ``row`` or ``error``, the reason, the three fields and the edits that would mend it."""
+def parse(record: str | None, codes: dict[int, frozenset[str]], columns: int = 3, edits: bool = True) -> dict:
+    """One record: kind ``break``, ``row`` or ``error``, the reason, the three fields and the edits that would mend it.
+
+    edits: whether the edits and the reason of a failure are wanted.
+    """
     out = dict.fromkeys(("kind", "reason", "form", "pos", "lemma", "edits"))
     s = (record or "").removeprefix("﻿").removesuffix("\r")
     if not s or s.isspace():
         return out | {"kind": "break"}
     fields = fields_of(s)
     if fields is None or len(fields) != columns:
-        any_cost, _, edits = least_edits(s, columns)
-        return out | {"kind": "error", "reason": "quoting" if any_cost else "columns", "edits": edits}
+        if not edits:
+            return out | {"kind": "error"}
+        any_cost, _, needed = least_edits(s, columns)
+        return out | {"kind": "error", "reason": "quoting" if any_cost else "columns", "edits": needed}
     form, pos, lemma = fields
     if not (text_ok(form) and text_ok(lemma) and tag_ok(pos, codes)):
         return out | {"kind": "error", "reason": "value", "edits": []}
@@ -142,25 +167,43 @@ def valid_codes(morph_tags: DataFrame, slots: int = 9) -> dict[int, frozenset[st
     return {i: frozenset(r.code for r in rows if r.slot == i) for i in range(1, slots + 1)}
 
 
-def parsed_column(raw: Column, codes: dict[int, frozenset[str]]) -> Column:
-    @F.arrow_udf(PARSED)
-    def parsed(s: pa.Array) -> pa.Array:
-        kinds = pa.struct([("kind", pa.string()), ("reason", pa.string()), ("form", pa.string()), ("pos", pa.string()), ("lemma", pa.string()), ("edits", pa.list_(pa.string()))])
-        return pa.array([parse(x, codes) for x in s.to_pylist()], kinds)
-
-    return parsed(raw)
-
+def clean_pattern(codes: dict[int, frozenset[str]]) -> str:
+    """Matches only valid records, and most of them: no quote, no control character, a letter or digit in form and lemma."""
+    text = r'[^"\t\p{Cc}\x{FFFD}]*[\p{L}\p{N}][^"\t\p{Cc}\x{FFFD}]*'
+    tag = "".join("[" + "".join(f"\\x{{{ord(c):X}}}" for c in sorted(codes[i] - {'"'})) + "]" if codes[i] - {'"'} else r"[^\x{0}-\x{10FFFF}]" for i in sorted(codes))
+    return rf"^\x{{FEFF}}?({text})\t({tag})\t({text})\r?\z"
 
-def parsed_records(records: DataFrame, morph_tags: DataFrame, raw: str = "raw") -> DataFrame:
-    """``records`` with a struct column ``parsed``."""
-    return records.withColumn("parsed", parsed_column(F.col(f"`{raw}`"), valid_codes(morph_tags)))
 
-
-def loaded(records: DataFrame, morph_tags: DataFrame) -> DataFrame:
+def loaded(records: DataFrame, morph_tags: DataFrame, raw: str = "raw") -> DataFrame:
     """(line_id, form, pos, lemma) of the valid records."""
-    return parsed_records(records.select("line_id", "raw"), morph_tags).where("parsed.kind = 'row'").select("line_id", "parsed.form", "parsed.pos", "parsed.lemma")
+    codes = valid_codes(morph_tags)
+    pattern = clean_pattern(codes)
+    for name in ("form", "pos", "lemma"):
+        pattern = re.sub(r"\((?!\?)", f"(?P<{name}>", pattern, count=1)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = b.columns
+            clean = pc.extract_regex(texts.cast(pa.string()), pattern)
+            is_clean = clean.is_valid()
+            yield pa.RecordBatch.from_arrays([ids.filter(is_clean), *clean.filter(is_clean).flatten()], ["line_id", "form", "pos", "lemma"])
+            rest = pc.invert(is_clean)
+            rows = [(i, p["form"], p["pos"], p["lemma"]) for i, s in zip(ids.filter(rest).to_pylist(), texts.filter(rest).to_pylist(), strict=True) if (p := parse(s, codes, edits=False))["kind"] == "row"]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], ["line_id", "form", "pos", "lemma"])
+
+    return records.select(F.col("line_id").cast("long"), F.col(f"`{raw}`").alias("raw")).mapInArrow(emit, "line_id long, form string, pos string, lemma string")
+
+
+def failures(records: DataFrame, morph_tags: DataFrame, raw: str = "raw") -> DataFrame:
+    """(line_id, reason, edits) of the records that fail."""
+    codes = valid_codes(morph_tags)
 
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, p["reason"], p["edits"]) for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (p := parse(s, codes))["kind"] == "error"]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.list_(pa.string())), strict=True)], ["line_id", "reason", "edits"])
 
-def failures(records: DataFrame, morph_tags: DataFrame) -> DataFrame:
-    """(line_id, reason, edits) of the records that fail."""
-    return parsed_records(records.select("line_id", "raw"), morph_tags).where("parsed.kind = 'error'").select("line_id", "parsed.reason", "parsed.edits")
+    suspect = records.select(F.col("line_id").cast("long"), F.col(f"`{raw}`").alias("raw")).where(F.col("raw").isNotNull() & ~F.col("raw").rlike(clean_pattern(codes)))
+    return suspect.mapInArrow(emit, "line_id long, reason string, edits array<string>")
