@@ -49,22 +49,23 @@ def p3_edits(spark: SparkSession, d: str) -> DataFrame:
 
 
 NODES_SQL = """
-WITH RECURSIVE own AS (SELECT entry_id, entry_json::JSON AS j FROM dictionary_dump WHERE trim(coalesce(entry_json, '')) <> ''),
+WITH RECURSIVE own AS (SELECT entry_id, entry_json::JSON AS j FROM dictionary_dump WHERE json_valid(entry_json)),
 v AS (
-  SELECT entry_id, j, '' AS path, FALSE AS node, '' AS field FROM own
+  SELECT entry_id, j, '' AS path, FALSE AS node, '' AS field, '' AS up, 0::BIGINT AS position FROM own
   UNION ALL
-  SELECT entry_id, c.j, c.path, c.node, c.field FROM (
+  SELECT entry_id, c.j, c.path, c.node, c.field, c.up, c.position FROM (
     SELECT v.entry_id, unnest(CASE json_type(v.j)
       WHEN 'OBJECT' THEN list_transform(json_keys(v.j), lambda k: {
         'j': json_extract(v.j, '$."' || k || '"'),
         'path': v.path || CASE WHEN v.path = '' THEN '' ELSE '.' END || k || CASE WHEN k IN ('forms', 'senses') AND json_type(json_extract(v.j, '$."' || k || '"')) <> 'ARRAY' THEN '[0]' ELSE '' END,
         'node': k IN ('forms', 'senses') AND json_type(json_extract(v.j, '$."' || k || '"')) <> 'ARRAY',
-        'field': k})
+        'field': k, 'up': CASE WHEN v.node THEN v.path ELSE v.up END, 'position': 0::BIGINT})
       WHEN 'ARRAY' THEN list_transform(range(json_array_length(v.j)::BIGINT), lambda i: {
-        'j': json_extract(v.j, '$[' || i || ']'), 'path': v.path || '[' || i || ']', 'node': v.field IN ('forms', 'senses') AND NOT v.node, 'field': ''})
+        'j': json_extract(v.j, '$[' || i || ']'), 'path': v.path || '[' || i || ']', 'node': v.field IN ('forms', 'senses') AND NOT v.node, 'field': CASE WHEN v.field IN ('forms', 'senses') AND NOT v.node THEN v.field ELSE '' END,
+        'up': CASE WHEN v.node THEN v.path ELSE v.up END, 'position': i})
       END) AS c
     FROM v WHERE json_type(v.j) IN ('OBJECT', 'ARRAY'))
-), nodes AS (SELECT entry_id, path AS node_path, j FROM v WHERE node AND json_type(j) <> 'NULL'),
+), nodes AS (SELECT entry_id, path AS node_path, j, up AS parent_path, field, position::INT AS position FROM v WHERE node AND json_type(j) <> 'NULL'),
 tags AS (
   SELECT entry_id, node_path, unnest(CASE
     WHEN json_type(j) <> 'OBJECT' OR json_type(json_extract(j, '$.tags')) IS NULL THEN []
@@ -73,6 +74,15 @@ tags AS (
   FROM nodes
 ), kept AS (SELECT entry_id, node_path, t.no::INT AS tag_no, t.tag AS tag FROM tags WHERE t.tag IS NOT NULL)
 """
+FIELD_SQL = NODES_SQL + """
+SELECT entry_id, node_path, parent_path, position, CASE json_type(j) WHEN 'VARCHAR' THEN json_extract_string(j, '$') WHEN 'OBJECT' THEN
+  list_filter(list_transform(list_filter(json_keys(j), lambda k: k IN ('form', 'glosses')), lambda k: CASE json_type(json_extract(j, '$.' || k)) WHEN 'VARCHAR' THEN json_extract_string(j, '$.' || k)
+    WHEN 'ARRAY' THEN json_extract_string(list_filter(json_extract(json_extract(j, '$.' || k), '$[*]'), lambda e: json_type(e) = 'VARCHAR')[1], '$') END), lambda t: t IS NOT NULL)[1] END AS text
+FROM nodes WHERE field = '{0}'
+"""
+ENTRIES_SQL = "SELECT entry_id, ok, " + ", ".join(f"CASE WHEN ok AND json_type(json_extract(j, '$.{k}')) = 'VARCHAR' THEN json_extract_string(j, '$.{k}') END AS {k}" for k in ("word", "pos", "lang_code")) + """
+FROM (SELECT entry_id, coalesce(json_valid(entry_json), FALSE) AS ok, CASE WHEN json_valid(entry_json) THEN entry_json::JSON END AS j FROM dictionary_dump)
+"""
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -84,16 +94,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return nested_json.node_tags(_nodes(spark, d))
 
 
-@query("p5_entries")
+@query("p5_entries", ENTRIES_SQL)
 def p5_entries(spark: SparkSession, d: str) -> DataFrame:
     return nested_json.entry_table(table(spark, d, "dictionary_dump"))
 
 
-@query("p5_forms")
+@query("p5_forms", FIELD_SQL.replace("{0}", "forms"))
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     return nested_json.field_table(_nodes(spark, d), "forms")
 
 
-@query("p5_senses")
+@query("p5_senses", FIELD_SQL.replace("{0}", "senses"))
 def p5_senses(spark: SparkSession, d: str) -> DataFrame:
     return nested_json.field_table(_nodes(spark, d), "senses")

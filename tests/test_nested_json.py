@@ -2,11 +2,12 @@
 
 import json
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from logothek.operators.nested_json import NODES, entry_table, field_table, node_rows, node_tags, nodes
+from logothek.operators.nested_json import NODES, Index, entry_table, field_table, node_rows, node_tags, nodes
 
 
 def brute(i, s):
@@ -50,14 +51,36 @@ TREE = st.recursive(
 @given(st.lists(st.dictionaries(st.sampled_from(["a", "entry", "senses"]), TREE, max_size=2), max_size=4), st.booleans(), st.booleans())
 def test_as_by_walking(objects, ascii_only, spaced):
     texts = [json.dumps(o, ensure_ascii=ascii_only, separators=(", ", " : ") if spaced else (",", ":")) for o in objects]
-    rows, ok = node_rows(list(range(len(texts))), [*texts])
+    rows, ok = node_rows(pa.array(range(len(texts)), pa.int64()), [t.encode() for t in texts])
     got = []
-    for e, p, ns, ts in zip(rows["entry_id"], rows["node_path"], rows["tag_nos"], rows["tags"], strict=True):
+    for e, p, ns, ts in zip(*(rows[c].to_pylist() for c in ("entry_id", "node_path", "tag_nos", "tags")), strict=True):
         got += [(e, p, n, t) for n, t in zip(ns, ts, strict=True)] or [(e, p, -1, "")]
     assert all(ok)
     assert sorted(got) == sorted(x for i, s in enumerate(texts) for x in brute(i, s))
 
 
+def refuse(_):
+    raise ValueError
+
+
+def well_formed(s):
+    try:
+        return isinstance(json.loads(s, parse_constant=refuse), (dict, list))
+    except ValueError:
+        return False
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.tuples(TREE, st.integers(0, 400), st.sampled_from(['"', "{", "}", "[", "]", ",", ":", "\\", "1", " ", "x", "-", "null", "", "\x01", "\n"]), st.integers(0, 2)), max_size=5))
+def test_well_formed_as_the_library_says(cases):
+    texts = []
+    for tree, at, piece, drop in cases:
+        s = json.dumps(tree, ensure_ascii=False)
+        at %= len(s) + 1
+        texts.append(s[:at] + piece + s[at + drop :])
+    assert Index([t.encode() for t in texts]).ok.tolist() == [well_formed(t) for t in texts]
+
+
 def test_tables(spark):
     deep = '{"forms":[{"tags":"t","forms":' * 300 + "null" + "}]}" * 300
     rows = [
