@@ -17,16 +17,22 @@ ARTICLES = (
 )
 MG_ARTICLES = ("ο", "η", "το", "τον", "την", "του", "της", "τα", "τους", "τις", "των", "τη", "οι")
 PRONOUNS = {
-    "ἐγώ": ("μοι", "μοί", "μου", "με", "ἐμοί", "ἐμοῦ", "ἐμέ", "ἡμεῖς", "ἡμῶν", "ἡμῖν", "ἡμᾶς"),
-    "σύ": ("σοι", "σοί", "σου", "σε", "σοῦ", "ὑμεῖς", "ὑμῶν", "ὑμῖν", "ὑμᾶς"),
-}
+    "μοι": "ἐγώ", "μοί": "ἐγώ", "μου": "ἐγώ", "με": "ἐγώ", "ἐμοί": "ἐγώ", "ἐμοῦ": "ἐγώ", "ἐμέ": "ἐγώ", "ἡμεῖς": "ἐγώ", "ἡμῶν": "ἐγώ", "ἡμῖν": "ἐγώ", "ἡμᾶς": "ἐγώ",
+    "σοι": "σύ", "σοί": "σύ", "σου": "σύ", "σε": "σύ", "σοῦ": "σύ", "ὑμεῖς": "σύ", "ὑμῶν": "σύ", "ὑμῖν": "σύ", "ὑμᾶς": "σύ",
+}
 MG_CLOSED = {
-    "σε": ("στη", "στην", "στο", "στον", "στου", "στους", "στις", "στα", "στης", "στων"),
-    "ένας": ("ένα", "μία", "μια", "ενός", "μίας", "μιας"),
-    "είμαι": ("είναι", "ήταν", "ήμουν", "ήσουν", "ήμαστε", "ήσαστε"),
-    "έχω": ("έχει", "είχε", "έχουν", "είχαν", "έχεις", "είχες", "έχουμε", "είχαμε"),
-    "αυτός": ("αυτό", "αυτόν", "αυτήν", "αυτού", "αυτής", "αυτών", "αυτούς", "αυτές", "αυτοί", "αυτά"),
-}
+    "στη": "σε", "στην": "σε", "στο": "σε", "στον": "σε", "στου": "σε", "στους": "σε", "στις": "σε", "στα": "σε", "στης": "σε", "στων": "σε",
+    "ένα": "ένας", "μία": "ένας", "μια": "ένας", "ενός": "ένας", "μίας": "ένας", "μιας": "ένας",
+    "είναι": "είμαι", "ήταν": "είμαι", "ήμουν": "είμαι", "ήσουν": "είμαι", "ήμαστε": "είμαι", "ήσαστε": "είμαι",
+    "έχει": "έχω", "είχε": "έχω", "έχουν": "έχω", "είχαν": "έχω", "έχεις": "έχω", "είχες": "έχω", "έχουμε": "έχω", "είχαμε": "έχω",
+    "αυτό": "αυτός", "αυτόν": "αυτός", "αυτήν": "αυτός", "αυτού": "αυτός", "αυτής": "αυτός", "αυτών": "αυτός", "αυτούς": "αυτός", "αυτές": "αυτός", "αυτοί": "αυτός", "αυτά": "αυτός",
+}
+
+# Endings of ancient lemmas and what the modern language has for them, and endings of the adjectives that
+# adverbs and neuters are filed under.
+MODERN_ENDINGS = {"ον": "ο", "σις": "ση", "ξις": "ξη", "ψις": "ψη", "έω": "ώ", "άω": "ώ", "όω": "ώ"}
+ADVERB_ENDINGS = ("ος", "ης", "υς", "ων", "ις")
+NEUTER_ENDINGS = ("ος", "ης")
 
 # Contractions of two words, with the lemma of the one that counts.
 CRASIS = {
@@ -58,8 +64,9 @@ ROUGH = dict(zip("αεηιουω", "ἁἑἡἱὁὑὡ", strict=True))
 
 # Letters that recognition of print confuses, with the cost of taking one for the other.
 OCR_PAIRS = (
-    ("οo", 0.1), ("ΟO", 0.1), ("ρp", 0.1), ("ΡP", 0.1), ("νv", 0.1), ("ΝN", 0.1), ("τt", 0.1), ("ΤT", 0.1), ("κk", 0.1), ("ΚK", 0.1), ("αa", 0.1), ("ΑA", 0.1), ("ηn", 0.2), ("ΗH", 0.1),
-    ("εe", 0.1), ("ΕE", 0.1), ("ιi", 0.1), ("υu", 0.1), ("ΥY", 0.1), ("χx", 0.1), ("ΧX", 0.1), ("ωw", 0.2), ("βB", 0.2), ("γy", 0.3), ("δd", 0.3), ("οо", 0.0), ("αа", 0.0), ("εе", 0.0),
-    ("υу", 0.0), ("κк", 0.0), ("ρр", 0.0), ("οσ", 0.5), ("θδ", 0.5), ("ηπ", 0.5), ("νμ", 0.7), ("ρβ", 0.7), ("ιΐ", 0.3), ("υΰ", 0.3), ("1I", 0.1), ("1l", 0.1), ("ψJ", 0.2), ("ψj", 0.2),
-    ("υJ", 0.3), ("υj", 0.3), ("ὑJ", 0.2), ("ὑj", 0.2), ("θQ", 0.3), ("θq", 0.3), ("σQ", 0.3), ("σq", 0.3),
+    ("ο", "o", 0.1), ("Ο", "O", 0.1), ("ρ", "p", 0.1), ("Ρ", "P", 0.1), ("ν", "v", 0.1), ("Ν", "N", 0.1), ("τ", "t", 0.1), ("Τ", "T", 0.1), ("κ", "k", 0.1), ("Κ", "K", 0.1),
+    ("α", "a", 0.1), ("Α", "A", 0.1), ("η", "n", 0.2), ("Η", "H", 0.1), ("ε", "e", 0.1), ("Ε", "E", 0.1), ("ι", "i", 0.1), ("υ", "u", 0.1), ("Υ", "Y", 0.1), ("χ", "x", 0.1),
+    ("Χ", "X", 0.1), ("ω", "w", 0.2), ("β", "B", 0.2), ("γ", "y", 0.3), ("δ", "d", 0.3), ("ο", "о", 0.0), ("α", "а", 0.0), ("ε", "е", 0.0), ("υ", "у", 0.0), ("κ", "к", 0.0),
+    ("ρ", "р", 0.0), ("ο", "σ", 0.5), ("θ", "δ", 0.5), ("η", "π", 0.5), ("ν", "μ", 0.7), ("ρ", "β", 0.7), ("ι", "ΐ", 0.3), ("υ", "ΰ", 0.3), ("1", "I", 0.1), ("1", "l", 0.1),
+    ("ψ", "J", 0.2), ("ψ", "j", 0.2), ("υ", "J", 0.3), ("υ", "j", 0.3), ("ὑ", "J", 0.2), ("ὑ", "j", 0.2), ("θ", "Q", 0.3), ("θ", "q", 0.3), ("σ", "Q", 0.3), ("σ", "q", 0.3),
 )

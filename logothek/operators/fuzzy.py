@@ -103,7 +103,7 @@ def suggestions(words: DataFrame, forms: DataFrame, max_distance: int = 2, ocr:
 
 @lru_cache(1)
 def _costs() -> dict[tuple[str, str], float]:
-    return {p: c for pair, c in OCR_PAIRS for p in ((pair[0], pair[1]), (pair[1], pair[0]))}
+    return {p: c for a, b, c in OCR_PAIRS for p in ((a, b), (b, a))}
 
 
 def weighted(a: str, b: str) -> float:

@@ -22,28 +22,29 @@ def accuracy(scored: DataFrame, by: list[list[str]], pred: str = "pred", gold: s
     return rows.groupingSets(by, *names).agg(F.count("*").alias("n"), *[F.round(F.avg(f"_{k}") * 100, 2).alias(k) for k in flags])
 
 
-def equivalence_pairs(groups: DataFrame) -> DataFrame:
-    """(a, b): lemmas that share a group; a lemma of two groups is equal to the members of both, not they to each other.
+def with_equivalents(scored: DataFrame, groups: DataFrame, pred: str = "pred", gold: str = "gold") -> DataFrame:
+    """``scored`` with ``equiv``: right without marks, or a prediction and a gold lemma that share a group.
 
-    groups: (group_id, lemma), of a few members each.
+    groups: (group_id, lemma), of any size; a lemma of two groups is equal to the members of both, not they to each other.
+    The groups of the two lemmas are intersected, so no pairs of a group's members are made.
     """
-    return groups.select("group_id", F.col("lemma").alias("a")).join(groups.select("group_id", F.col("lemma").alias("b")), "group_id").where("a <> b").select("a", "b").distinct()
-
-
-def with_equivalents(scored: DataFrame, pairs: DataFrame, pred: str = "pred", gold: str = "gold") -> DataFrame:
-    """``scored`` with ``equiv``: right without marks, or a pair of equals."""
-    p = pairs.select(F.col("a").alias(pred), F.col("b").alias(gold)).distinct().withColumn("_e", F.lit(True))
+    of = groups.select("lemma", "group_id").distinct()
+    pairs = scored.select(pred, gold).dropna().distinct()
+    both = pairs.join(of.withColumnRenamed("lemma", pred), pred).join(of.withColumnRenamed("lemma", gold), [gold, "group_id"], "left_semi")
+    p = both.select(pred, gold).distinct().withColumn("_e", F.lit(True))
     right = levels(F.col(pred), F.col(gold))["stripped"]
     return scored.join(p, [pred, gold], "left").withColumn("equiv", F.coalesce(right, F.lit(False)) | F.col("_e").isNotNull()).drop("_e")
 
 
 def percentile_by_index(values: DataFrame, column: str, q: list[float]) -> DataFrame:
-    """The values at the positions floor(n * q) of the sorted list, not interpolated; from counts of distinct values."""
-    from pyspark.sql import Window
+    """(q, column): the values at the positions floor(n * q) of the sorted list, not interpolated.
+
+    From counts of distinct values, put in order over all tasks; only the sums of the tasks come to the driver.
+    """
+    from logothek.operators.order import running_sum
 
-    c = values.groupBy(column).agg(F.count("*").alias("k"))
-    run = c.withColumn("_to", F.sum("k").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)))
-    total = F.broadcast(c.agg(F.sum("k").alias("_n")))
+    c = running_sum(values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("k")), column, "k")
+    total = F.broadcast(c.agg(F.max("running").alias("_n")))
     at = F.explode(F.array(*map(F.lit, q))).alias("q")
     pos = F.least(F.floor(F.col("_n") * F.col("q")), F.col("_n") - 1)
-    return run.crossJoin(total).select(column, "k", "_to", "_n", at).where((pos >= F.col("_to") - F.col("k")) & (pos < F.col("_to"))).select("q", column)
+    return c.crossJoin(total).select(column, "k", "running", "_n", at).where((pos >= F.col("running") - F.col("k")) & (pos < F.col("running"))).select("q", column)

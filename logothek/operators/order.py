@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -46,3 +47,29 @@ def ranked(rows: DataFrame, group: str, order: list[str], partitions: int | None
     schema = StructType([*part.schema.fields, StructField("rank", LongType())])
     return part.mapInArrow(number, schema).drop("_part")
 
+
+
+def running_sum(rows: DataFrame, order: str, value: str, partitions: int | None = None) -> DataFrame:
+    """``rows`` with ``running``: the sum of a long column over all rows up to each in the order of a column of distinct values.
+
+    Rows are range-partitioned and checkpointed between the two passes; the driver sees one sum for each partition.
+    """
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = checkpointed(rows.repartitionByRange(n, F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()))
+    before, at = {}, 0
+    for r in sorted(part.groupBy("_part").agg(F.sum(value).alias("n")).collect(), key=lambda r: r["_part"]):
+        before[r["_part"]] = at
+        at += r["n"]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if seen is None:
+                seen = before[b.column(b.schema.get_field_index("_part"))[0].as_py()]
+            sums = pc.add(pc.cumulative_sum(b.column(b.schema.get_field_index(value)).cast(pa.int64())), seen)
+            seen = sums[-1].as_py()
+            yield pa.RecordBatch.from_arrays([*b.columns, sums], [*b.schema.names, "running"])
+
+    return part.mapInArrow(add, StructType([*part.schema.fields, StructField("running", LongType())])).drop("_part")

@@ -1,7 +1,8 @@
-"""Resolving words to lemmas: every step's candidate keys in one relation, one join with the lexicon, the least rank wins.
+"""Resolving words to lemmas: candidates with their step and rank in one relation, a join with the lexicon, the least wins.
 
-A step that depends on an earlier miss is evaluated at once, since rank decides in the end. Words are made distinct
-before and joined back after. Null and empty words resolve to themselves, as do words no step can place.
+Words are made distinct first. Lookup and elision come first; rules, splits and prefixes are tried only for the words they
+miss, the rules and splits by one join together, prefixes by two. Null and empty words resolve to themselves, as do words no
+step can place.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ from pyspark.sql import functions as F
 
 from logothek.functions import tables as G
 from logothek.functions import text as T
+from logothek.session import checkpointed
 
 #: Composed letters that only polytonic writing has, as a class of a pattern.
 POLYTONIC = "".join(chr(c) for a, b in ((0x370, 0x400), (0x1F00, 0x2000)) for c in range(a, b) if set(ud.normalize("NFD", chr(c))) & set(T.DROPPED + T.MADE_ACUTE)) + T.DROPPED + T.MADE_ACUTE
 
 
-def lookup_table(pairs: dict[str, str] | dict[str, tuple[str, ...]], c: Column) -> Column:
+def lookup_table(pairs: dict[str, str], c: Column) -> Column:
     """A value of a literal map, null if there is none."""
     flat = [x for k, v in pairs.items() for x in (F.lit(k), F.lit(v))]
     return F.element_at(F.create_map(*flat), c)
@@ -26,10 +28,11 @@ def lookup_table(pairs: dict[str, str] | dict[str, tuple[str, ...]], c: Column)
 
 
 def variants(c: Column) -> Column:
-    """The keys a string is looked up by, in order; the last two don't count if they are of one or two letters and map to themselves."""
+    """The different keys a string is looked up by, in order; the last two don't count if they are of one or two letters and map to themselves."""
     low, acute = F.lower(c), T.grave_to_acute(c)
-    keys = [c, low, acute, F.lower(acute), T.monotonic(low), T.strip_accents(low)]
-    return F.array(*[F.struct(F.lit(i).alias("v"), k.alias("key")) for i, k in enumerate(keys)])
+    keys = F.array(c, low, acute, F.lower(acute), T.monotonic(low), T.strip_accents(low))
+    numbered = F.transform(keys, lambda k, i: F.struct(i.alias("v"), k.alias("key")))
+    return F.filter(numbered, lambda x: F.array_position(keys, x["key"]) == x["v"] + 1)
 
 
 def looked_up(candidates: DataFrame, lexicon: DataFrame, keep: list[str], prefer: bool = True, guard: bool = True) -> DataFrame:
@@ -63,11 +66,9 @@ def closed_class(c: Column, modern: bool = False) -> Column:
     for f in forms:
         article = article | f.isin(*G.ARTICLES)
     article = F.when(article, G.ARTICLE)
-    flat = lambda t: {f: lemma for lemma, fs in t.items() for f in fs}
     if modern:
-        return F.coalesce(F.when(low.isin(*G.MG_ARTICLES), "ο"), lookup_table(flat(G.MG_CLOSED), low), article)
-    p = flat(G.PRONOUNS)
-    return F.coalesce(article, lookup_table(p, c), lookup_table(p, T.monotonic(c)))
+        return F.coalesce(F.when(low.isin(*G.MG_ARTICLES), "ο"), lookup_table(G.MG_CLOSED, low), article)
+    return F.coalesce(article, lookup_table(G.PRONOUNS, c), lookup_table(G.PRONOUNS, T.monotonic(c)))
 
 
 def crasis(c: Column) -> Column:
@@ -122,12 +123,13 @@ def particle_candidates(c: Column, step: int = 5) -> list[Column]:
         base = F.substring(bare, F.lit(1), F.length(bare) - len(p))
         head = F.substring(low, F.lit(1), F.length(low) - len(p))
         ok = bare.endswith(p) & (F.length(base) >= 2)
-        for x in (head, base, F.when(head.endswith("σ"), final(head)), F.when(base.endswith("σ"), final(base))):
-            out.append(_candidate(step, n, x, ok))
+        other = ok & (base != head)
+        for x, when in ((head, ok), (base, other), (final(head), ok & head.endswith("σ")), (final(base), other & base.endswith("σ"))):
+            out.append(_candidate(step, n, x, when))
             n += 1
-    base = F.substring(bare, F.lit(1), F.length(bare) - 1)
+    base, cut = F.substring(bare, F.lit(1), F.length(bare) - 1), F.substring(low, F.lit(1), F.length(low) - 1)
     ok = bare.endswith("ι") & (F.length(bare) > 2) & base.isin(*G.DEICTIC)
-    out += [_candidate(step, n, base, ok), _candidate(step, n + 1, F.substring(low, F.lit(1), F.length(low) - 1), ok)]
+    out += [_candidate(step, n, base, ok), _candidate(step, n + 1, cut, ok & (cut != base))]
     return out
 
 
@@ -214,13 +216,24 @@ def heavy_repairs(words: DataFrame, lexicon: DataFrame, period: str = "byzantine
 SOURCES = {0: "digit", 1: "article", 2: "crasis", 3: "elision", 4: "lookup", 5: "particle", 6: "verb_morphology", 7: "byzantine_norm", 9: "compound", 10: "prefix", 11: "identity"}
 
 
-def rule_hits(words: DataFrame, lexicon: DataFrame, steps: dict[int, list[Column]]) -> DataFrame:
-    """(word, step, cand, lemma): the first hit of each step of single-lookup rules, by one join for all of them."""
-    every = [x for v in steps.values() for x in v]
-    c = words.select("word", F.explode(F.filter(F.array(*every), lambda x: x.isNotNull())).alias("x")).select("word", "x.*")
-    hit = looked_up(c, lexicon, ["word", "step", "r", "not_self"])
-    self_ = (F.col("cand") == F.col("lemma")) | (T.strip_accents(F.lower("cand")) == T.strip_accents(F.lower("lemma")))
-    return hit.where(~(F.col("not_self") & self_)).groupBy("word", "step").agg(F.min(F.struct("r", "cand", "lemma")).alias("m")).select("word", "step", "m.cand", "m.lemma")
+def rule_hits(words: DataFrame, lexicon: DataFrame, steps: dict[int, list[Column]], splits: bool = False) -> DataFrame:
+    """(word, step, cand, lemma, compound): the first hit of each step of single-lookup rules, by one join for all of them.
+
+    splits: tries compounds, too, as step 9; their lemma is that of the second part, ``compound`` the whole.
+    """
+    every = F.filter(F.array(*[x for v in steps.values() for x in v]), lambda x: x.isNotNull())
+    every = F.transform(every, lambda x: F.struct(x["step"].alias("step"), x["r"].alias("r"), x["cand"].alias("cand"), x["not_self"].alias("not_self"), F.lit(None).cast("string").alias("prefix")))
+    if splits:
+        long = F.length(T.strip_accents(F.lower("word"))) >= 6
+        parts = F.transform(compound_candidates(F.col("word")), lambda x: F.struct(x["step"].alias("step"), x["r"].cast("int").alias("r"), x["cand"].alias("cand"), F.lit(False).alias("not_self"), x["prefix"].alias("prefix")))
+        every = F.concat(every, F.when(long, parts).otherwise(F.slice(parts, 1, 0)))
+    c = words.select("word", F.explode(every).alias("x")).select("word", "x.*")
+    hit = looked_up(c, lexicon, ["word", "step", "r", "not_self", "prefix"])
+    bare, own = T.strip_accents(F.lower("lemma")), T.strip_accents(F.lower("cand"))
+    self_ = (F.col("cand") == F.col("lemma")) | (own == bare)
+    split_ok = F.col("prefix").isNull() | ((bare != F.col("cand")) & (F.length(bare) >= 2) & (F.length(bare) <= F.length("cand") + 2))
+    best = hit.where(~(F.col("not_self") & self_) & split_ok).groupBy("word", "step").agg(F.min(F.struct("r", "cand", "lemma", "prefix")).alias("m"))
+    return best.select("word", "step", "m.cand", "m.lemma", F.concat("m.prefix", T.strip_accents(F.lower("m.lemma"))).alias("compound"))
 
 
 def lemmatised(words: DataFrame, lexicon: DataFrame, freq: DataFrame, word: str = "word", resolve_articles: bool = False, elision_first: bool = True, convention: DataFrame | None = None, respell: str | None = None) -> DataFrame:
@@ -228,31 +241,34 @@ def lemmatised(words: DataFrame, lexicon: DataFrame, freq: DataFrame, word: str
 
     elision_first: the order of the batch entry point; without it a plain lookup comes before elision, as for single words.
     convention: (lemma, preferred) replaces lemmas at the end. respell: a period, by whose confusions words are respelt that
-    nothing else can place.
+    nothing else can place. The lexicon is written once; rules are tried only for words that lookup, crasis and elision miss,
+    all by one join.
     """
+    lexicon = checkpointed(lexicon)
     w = words.select(F.col(word).alias("word")).distinct()
     c = F.col("word")
-    full = w.where(F.length("word") > 0)
-    look = 4 if elision_first else 2.5
-    part = lambda df, s, lemma: df.select("word", F.lit(float(s)).alias("step"), lemma.alias("lemma"))
-    hits = [part(full.where(c.rlike(r"^\p{Nd}+$")), 0, c), part(full.where(crasis(c).isNotNull()), 2, crasis(c))]
+    literal = F.when(c.rlike(r"^\p{Nd}+$"), F.struct(F.lit(0.0).alias("step"), c.alias("lemma")))
     if resolve_articles:
-        hits.append(part(full.where(closed_class(c).isNotNull()), 1, closed_class(c)))
-    hits.append(part(elisions(full, lexicon, freq).where("rank = 1"), 3, F.col("lemma")))
-    hits.append(part(cascade(full, lexicon).where("lemma IS NOT NULL"), look, F.col("lemma")))
-    rules = rule_hits(full, lexicon, {5: particle_candidates(c), 6: verb_candidates(c), 7: byzantine_candidates(c)})
-    hits.append(rules.select("word", F.col("step").cast("double").alias("step"), "lemma"))
-    first = compounds(full, lexicon).groupBy("word").agg(F.min(F.struct("rank", "compound")).alias("m"))
-    hits.append(part(first, 9, F.col("m.compound")))
-    hits.append(part(prefixed(full, lexicon), 10, F.col("lemma")))
-    hits.append(part(w, 11, c))
-    every = hits[0]
-    for h in hits[1:]:
-        every = every.unionByName(h)
-    best = every.groupBy("word").agg(F.min(F.struct("step", "lemma")).alias("m"))
+        article = closed_class(c)
+        literal = F.coalesce(literal, F.when(article.isNotNull(), F.struct(F.lit(1.0).alias("step"), article.alias("lemma"))))
+    literal = F.coalesce(literal, F.when(crasis(c).isNotNull(), F.struct(F.lit(2.0).alias("step"), crasis(c).alias("lemma"))))
+    look = 4.0 if elision_first else 2.5
+    full = w.where(F.length("word") > 0)
+    elided = elisions(full.where(literal.isNull()), lexicon, freq).where("rank = 1").select("word", F.lit(3.0).alias("step"), "lemma")
+    plain = looked_up(full.withColumn("cand", c), lexicon, ["word"]).select("word", F.lit(look).alias("step"), "lemma")
+    hit = elided.unionByName(plain).groupBy("word").agg(F.min(F.struct("step", "lemma")).alias("_h"))
+    placed = checkpointed(w.join(hit, "word", "left").select("word", F.coalesce(literal, "_h").alias("m")))
+    found = placed.where(F.col("m").isNotNull() | (F.length("word") == 0) | c.isNull()).select("word", F.coalesce("m", F.struct(F.lit(11.0).alias("step"), c.alias("lemma"))).alias("m"))
+    open_ = placed.where(F.col("m").isNull() & (F.length("word") > 0)).select("word")
+    rules = rule_hits(open_, lexicon, {5: particle_candidates(c), 6: verb_candidates(c), 7: byzantine_candidates(c)}, splits=True)
+    late = rules.select("word", F.struct(F.col("step").cast("double").alias("step"), F.coalesce("compound", "lemma").alias("lemma")).alias("m"))
+    late = late.unionByName(prefixed(open_, lexicon).select("word", F.struct(F.lit(10.0).alias("step"), "lemma").alias("m")))
+    late = late.unionByName(open_.select("word", F.struct(F.lit(11.0).alias("step"), c.alias("lemma")).alias("m")))
+    best = found.unionByName(late.groupBy("word").agg(F.min("m").alias("m")))
     names = F.create_map(*[x for k, v in SOURCES.items() for x in (F.lit(float(look if k == 4 else k)), F.lit(v))])
     out = best.select("word", F.col("m.lemma").alias("lemma"), F.element_at(names, F.col("m.step")).alias("source"))
     if respell is not None:
+        out = checkpointed(out)
         again = heavy_repairs(out.where("source = 'identity' AND length(word) > 0"), lexicon, respell).select("word", F.col("lemma").alias("_l"))
         out = out.join(again, "word", "left").select("word", F.coalesce("_l", "lemma").alias("lemma"), F.when(F.col("_l").isNotNull(), "respelt").otherwise(F.col("source")).alias("source"))
     if convention is not None:
@@ -265,16 +281,17 @@ SCORES = {"lookup": 1.0, "elision": 1.0, "crasis": 1.0, "article": 1.0, "digit":
 
 def candidates(words: DataFrame, lexicon: DataFrame, freq: DataFrame, word: str = "word") -> DataFrame:
     """(word, lemma, source, score, proper, rank): all candidates; rules and splits only for words that lookup and elision miss."""
+    lexicon = checkpointed(lexicon)
     w = words.select(F.col(word).alias("word")).where(F.length("word") > 0).distinct()
     c = F.col("word")
-    base = cascade(w, lexicon).where("lemma IS NOT NULL").select("word", "lemma", F.lit("lookup").alias("source"), F.lit(1).alias("o"))
+    base = looked_up(w.withColumn("cand", c), lexicon, ["word"]).select("word", "lemma", F.lit("lookup").alias("source"), F.lit(1).alias("o"))
     base = base.unionByName(elisions(w, lexicon, freq).select("word", "lemma", F.lit("elision").alias("source"), (F.col("rank") + 1).alias("o")))
-    base = base.unionByName(w.where(crasis(c).isNotNull()).select("word", crasis(c).alias("lemma"), F.lit("crasis").alias("source"), F.lit(0).alias("o")))
-    open_ = w.join(base.select("word").distinct(), "word", "left_anti")
+    base = checkpointed(base.unionByName(w.where(crasis(c).isNotNull()).select("word", crasis(c).alias("lemma"), F.lit("crasis").alias("source"), F.lit(0).alias("o"))))
+    open_ = checkpointed(w.join(base.select("word").distinct(), "word", "left_anti"))
     names = F.create_map(*[x for k, v in SOURCES.items() for x in (F.lit(k), F.lit(v))])
     rules = rule_hits(open_, lexicon, {5: particle_candidates(c), 6: verb_candidates(c), 7: byzantine_candidates(c)}).select("word", "lemma", F.element_at(names, F.col("step")).alias("source"), (F.col("step") * 100).alias("o"))
     rules = rules.unionByName(compounds(open_, lexicon).select("word", F.col("compound").alias("lemma"), F.lit("compound").alias("source"), (F.col("rank") + 900).alias("o")))
-    rules = rules.unionByName(prefixed(open_, lexicon).select("word", "lemma", F.lit("prefix").alias("source"), F.lit(1000).alias("o")))
+    rules = checkpointed(rules.unionByName(prefixed(open_, lexicon).select("word", "lemma", F.lit("prefix").alias("source"), F.lit(1000).alias("o"))))
     rest = open_.join(rules.select("word").distinct(), "word", "left_anti").select("word", c.alias("lemma"), F.lit("identity").alias("source"), F.lit(2000).alias("o"))
     every = base.unionByName(rules).unionByName(rest).groupBy("word", "lemma").agg(F.min(F.struct("o", "source")).alias("m")).select("word", "lemma", "m.o", "m.source")
     score = F.element_at(F.create_map(*[x for k, v in SCORES.items() for x in (F.lit(k), F.lit(v))]), F.col("source"))
@@ -284,26 +301,89 @@ def candidates(words: DataFrame, lexicon: DataFrame, freq: DataFrame, word: str
     return ordered.select("word", F.posexplode("a").alias("rank", "x")).select("word", "x.lemma", "x.source", "x.score", "x.proper", (F.col("rank") + 1).alias("rank"))
 
 
-def by_pos(resolved: DataFrame, pos_table: DataFrame) -> DataFrame:
-    """``resolved`` (word, pos, lemma) with the lemma of the part-of-speech table where it has one for a key of the word."""
-    k = resolved.select("word", "pos", F.explode(variants(F.col("word"))).alias("x")).select("word", "pos", "x.v", F.col("x.key").alias("form")).distinct()
-    hit = k.join(pos_table.select("form", "pos", F.col("lemma").alias("_p")), ["form", "pos"]).groupBy("word", "pos").agg(F.min(F.struct("v", "_p")).alias("m"))
-    j = resolved.join(hit, ["word", "pos"], "left")
-    return j.select("word", "pos", F.coalesce("m._p", "lemma").alias("lemma"), F.col("m").isNotNull().alias("from_table"))
-
+def by_pos(words: DataFrame, candidates_: DataFrame, pos_table: DataFrame, repaired: DataFrame | None = None) -> DataFrame:
+    """(word, pos, lemma, rule): words with their part of speech, resolved by candidates and a table of parts of speech.
 
-def convention_map(groups: DataFrame, headwords: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """(lemma, preferred): each member of a group goes to its first member that is a headword, else to its first; later groups
-    win over earlier ones and overrides over all. groups: (group_id, ord, lemma)."""
+    The table's lemma decides among the candidates: the candidate equal to it (``exact``), else equal without marks
+    (``stripped``). If no candidate is, the table still wins over a sole candidate (``sole``) and over candidates that are
+    all the word itself but for marks (``self``). Else a repaired self-map counts (``repaired``), else the first candidate
+    (``top``). words: (word, pos). candidates_: (word, lemma, rank). pos_table: (form, pos, lemma). repaired: (word, pos,
+    lemma). Words without a candidate stand for themselves.
+    """
+    bare = lambda c: T.strip_accents(F.lower(c))
+    w = words.select("word", "pos").distinct()
+    k = w.select("word", "pos", F.explode(variants(F.col("word"))).alias("x")).select("word", "pos", "x.v", F.col("x.key").alias("form"))
+    told = k.join(pos_table.select("form", "pos", F.col("lemma").alias("_p")), ["form", "pos"]).groupBy("word", "pos").agg(F.min(F.struct("v", "_p")).alias("m")).select("word", "pos", "m._p")
+    j = w.join(told, ["word", "pos"], "left").join(candidates_.select("word", F.col("lemma").alias("_c"), F.col("rank").alias("_k")), "word", "left")
+    first = lambda when: F.min(F.when(when, F.struct("_k", "_c")))
+    g = j.groupBy("word", "pos", "_p").agg(
+        first(F.col("_c") == F.col("_p")).alias("same"), first(bare("_c") == bare("_p")).alias("near"), first(F.col("_c").isNotNull()).alias("top"),
+        F.count("_c").alias("n"), F.bool_and(bare("_c") == bare("word")).alias("own"),
+    )
+    fix = F.lit(None).cast("string")
+    if repaired is not None:
+        g, fix = g.join(repaired.select("word", "pos", F.col("lemma").alias("_fix")), ["word", "pos"], "left"), F.when((F.col("n") > 1) & (F.col("_fix") != F.col("top._c")), F.col("_fix"))
+    p = F.col("_p")
+    rule = (
+        F.when(F.col("same").isNotNull(), "exact").when(F.col("near").isNotNull(), "stripped").when(p.isNotNull() & (F.col("n") == 1), "sole")
+        .when(p.isNotNull() & F.col("own"), "self").when(fix.isNotNull(), "repaired").otherwise("top")
+    )
+    lemma = F.when(F.col("rule") == "exact", F.col("same._c")).when(F.col("rule") == "stripped", F.col("near._c")).when(F.col("rule").isin("sole", "self"), p).when(F.col("rule") == "repaired", fix).otherwise(F.coalesce("top._c", "word"))
+    return g.withColumn("rule", rule).select("word", "pos", lemma.alias("lemma"), "rule")
+
+
+def convention_map(groups: DataFrame, headwords: DataFrame, overrides: DataFrame | None = None, monotonic: bool = False, ancient: DataFrame | None = None) -> DataFrame:
+    """(lemma, preferred): each member of a group of two or more goes to its first member that is a headword, else to its first.
+
+    groups: (group_id, ord, lemma); later groups win over earlier ones, and overrides (lemma, preferred) over all. A
+    ``monotonic`` convention also takes the first member whose monotonic form is a headword, as that form. ancient: (lemma),
+    of which those in no group change their ending as the modern language does, if that gives a headword.
+    """
     h = headwords.select(F.col("form").alias("lemma")).distinct().withColumn("_h", F.lit(True))
     g = groups.join(h, "lemma", "left")
-    pick = g.groupBy("group_id").agg(F.min(F.struct(F.col("_h").isNull().alias("a"), "ord", "lemma")).alias("m")).select("group_id", F.col("m.lemma").alias("preferred"))
+    if monotonic:
+        g = g.withColumn("_mono", T.monotonic(F.col("lemma"))).join(h.select(F.col("lemma").alias("_mono"), F.col("_h").alias("_hm")), "_mono", "left")
+    else:
+        g = g.withColumn("_mono", F.lit(None).cast("string")).withColumn("_hm", F.lit(None).cast("boolean"))
+    way = F.when(F.col("_h"), 0).when(F.col("_hm"), 1).otherwise(2)
+    to = F.when(F.col("_h"), F.col("lemma")).when(F.col("_hm"), F.col("_mono")).otherwise(F.col("lemma"))
+    pick = g.groupBy("group_id").agg(F.min(F.struct(way.alias("a"), "ord", to.alias("to"))).alias("m"), F.count("*").alias("n")).where("n > 1").select("group_id", F.col("m.to").alias("preferred"))
     every = g.join(pick, "group_id").where("lemma <> preferred").select("lemma", "preferred", F.col("group_id").cast("long").alias("o"))
+    if ancient is not None:
+        c = T.monotonic(F.col("lemma"))
+        new = F.lit(None).cast("string")
+        for old, modern in G.MODERN_ENDINGS.items():
+            new = F.coalesce(new, F.when(c.endswith(old), F.concat(F.substring(c, F.lit(1), F.length(c) - len(old)), F.lit(modern))))
+        a = ancient.select("lemma").distinct().withColumn("preferred", new).join(h.select(F.col("lemma").alias("preferred")), "preferred", "left_semi")
+        every = every.unionByName(a.select("lemma", "preferred", F.lit(-(1 << 63)).alias("o")))
     if overrides is not None:
-        every = every.unionByName(overrides.select("lemma", "preferred", F.lit(1 << 62).alias("o")))
+        every = every.unionByName(overrides.select("lemma", "preferred", F.lit((1 << 63) - 1).alias("o")))
     return every.groupBy("lemma").agg(F.max(F.struct("o", "preferred")).alias("m")).select("lemma", F.col("m.preferred").alias("preferred"))
 
 
+def adjective_headwords(lemmas: DataFrame, headwords: DataFrame, adjectives: DataFrame) -> DataFrame:
+    """(lemma, headword): adverbs in -ως and neuters in -ον that are no headwords go to the adjective they belong to, others stay.
+
+    adjectives: (form), found without marks; of several that are equal so the greatest counts.
+    """
+    bare = lambda c: T.strip_accents(F.lower(c))
+    c = F.col("lemma")
+    stem = bare(F.substring(c, F.lit(1), F.length(c) - 2))
+    ends = F.when(c.rlike("[ωῶ]ς$"), F.array(*map(F.lit, G.ADVERB_ENDINGS))).when(c.rlike("[οό]ν$"), F.array(*map(F.lit, G.NEUTER_ENDINGS)))
+    m = lemmas.select("lemma").distinct().join(headwords.select(F.col("form").alias("lemma")).distinct().withColumn("_h", F.lit(True)), "lemma", "left")
+    tries = m.where("_h IS NULL").select("lemma", F.posexplode(F.transform(ends, lambda e: F.concat(stem, e))).alias("i", "_k"))
+    a = adjectives.groupBy(bare("form").alias("_k")).agg(F.max("form").alias("headword"))
+    best = tries.join(a, "_k").groupBy("lemma").agg(F.min(F.struct("i", "headword")).alias("b")).select("lemma", F.col("b.headword").alias("headword"))
+    return m.join(best, "lemma", "left").select("lemma", F.coalesce("headword", "lemma").alias("headword"))
+
+
+def conventional(lemmas: DataFrame, mapping: DataFrame, monotonic: bool = False) -> DataFrame:
+    """(lemma, shown): lemmas by a convention's map; those of a monotonic convention are shown in monotonic writing."""
+    j = lemmas.select("lemma").distinct().join(mapping.select("lemma", "preferred"), "lemma", "left")
+    shown = F.coalesce("preferred", "lemma")
+    return j.select("lemma", (T.monotonic(shown) if monotonic else shown).alias("shown"))
+
+
 def agreeing(candidates_: DataFrame, tokens: DataFrame) -> DataFrame:
     """Candidates re-ranked by the gender of the article before the token; none is dropped or added.
 

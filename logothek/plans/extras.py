@@ -15,9 +15,6 @@ from logothek.plans.training import PARSED_SQL, p3_rows
 from logothek.session import table
 from logothek.sources.readers import agdt_features
 
-_PLAIN = "NOT regexp_matches(form, '\\p{Lu}')"
-
-
 def key_fan_out(rows: DataFrame) -> DataFrame:
     """(key, lemma): every key a form is to be found under (as is, lower, monotonic, stripped), of the lemma of best rank.
 
@@ -30,13 +27,13 @@ def key_fan_out(rows: DataFrame) -> DataFrame:
     return x.groupBy("key").agg(F.min(F.struct((F.col("o") > 0).alias("a"), "rank", "lemma")).alias("m")).select("key", F.col("m.lemma").alias("lemma"))
 
 
-@query("key_fan_out", f"""WITH f AS (SELECT form, lemma, pair_id AS rank FROM lemmapairdataset WHERE length(form) > 0 AND length(lemma) > 0 AND {_PLAIN}),
-k AS (SELECT form AS key, lemma, rank, FALSE AS a FROM f UNION ALL SELECT {PR.MONO.format('form')}, lemma, rank, TRUE FROM f WHERE {PR.MONO.format('form')} <> form UNION ALL SELECT strip_accents(form), lemma, rank, TRUE FROM f WHERE strip_accents(form) <> form)
-SELECT key, first(lemma ORDER BY a, rank) AS lemma FROM k GROUP BY key""")
-def key_fan_out_query(spark: SparkSession, d: str, capitals: bool = False) -> DataFrame:
-    p = PL.pairs(spark, d)
-    p = p if capitals else p.where(~F.col("form").rlike(r"\p{Lu}"))
-    return key_fan_out(p.select("form", "lemma", F.col("pair_id").alias("rank")))
+_FAN = f"[form, {PL.LOWER.format('form')}, {PR.MONO.replace('{0}', PL.LOWER).format('form')}, {PL.BARE.format('form')}]"
+
+
+@query("key_fan_out", f"""WITH f AS (SELECT lemma, pair_id AS rank, {_FAN} AS ks FROM lemmapairdataset WHERE length(form) > 0 AND length(lemma) > 0),
+k AS (SELECT lemma, rank, unnest(ks) AS key, generate_subscripts(ks, 1) > 1 AS a FROM f) SELECT key, first(lemma ORDER BY a, rank, lemma) AS lemma FROM k GROUP BY key""")
+def key_fan_out_query(spark: SparkSession, d: str) -> DataFrame:
+    return key_fan_out(PL.pairs(spark, d).select("form", "lemma", F.col("pair_id").alias("rank")))
 
 
 @query("optional_endings", "SELECT DISTINCT unnest(CASE WHEN regexp_full_match(f, '.+\\(.+\\)') THEN [regexp_extract(f, '^(.+)\\(', 1), regexp_extract(f, '^(.+)\\(', 1) || regexp_extract(f, '\\((.+)\\)$', 1)] ELSE [f] END) AS form FROM (SELECT text || '(ν)' AS f FROM lemmas WHERE length(text) > 0 UNION ALL SELECT text FROM lemmas WHERE length(text) > 0)")
@@ -81,22 +78,18 @@ def without_article_maps(spark: SparkSession, d: str) -> DataFrame:
 
 @query("language_of_form", f"""WITH {PL.TABLES}, {PR.WORDS}, k AS (SELECT word, unnest({PR.KEYS.format('word')}) AS x FROM w), s AS (SELECT form, 'el' AS src, 0 AS t FROM el UNION ALL SELECT form, 'grc', 1 FROM ag)
 SELECT w.word, coalesce(h.src, '') AS lang FROM w LEFT JOIN (SELECT word, first(src ORDER BY k.x.v, t) AS src FROM k JOIN s ON s.form = k.x.key GROUP BY word) h USING (word)""")
-def language_of_form(spark: SparkSession, d: str, capitals: bool = False) -> DataFrame:
+def language_of_form(spark: SparkSession, d: str) -> DataFrame:
     """The table that has a word under its first key: the modern one before the ancient."""
     from logothek.operators.resolve import variants
 
     ag, el, _ = PL.two(spark, d)
     s = el.select("form", F.lit(0).alias("t"), F.lit("el").alias("src")).unionByName(ag.select("form", F.lit(1).alias("t"), F.lit("grc").alias("src")))
-    w = PR.words(spark, d, capitals)
+    w = PR.words(spark, d)
     k = w.select("word", F.explode(variants(F.col("word"))).alias("x")).select("word", "x.v", F.col("x.key").alias("form"))
     hit = k.join(s, "form").groupBy("word").agg(F.min(F.struct("v", "t", "src")).alias("m"))
     return w.join(hit, "word", "left").select("word", F.coalesce("m.src", F.lit("")).alias("lang"))
 
 
-query("key_fan_out_all")(lambda spark, d: key_fan_out_query(spark, d, True))
-PR.of_all_forms(language_of_form)
-
-
 _COPIES = "CASE WHEN list_contains(tags, 'aorist') THEN 3 WHEN list_contains(tags, 'future') THEN 3 WHEN list_contains(tags, 'perfect') THEN 5 ELSE 1 END"
 
 

@@ -11,6 +11,9 @@ from logothek.operators import lexicon as L
 from logothek.plans.registry import query
 from logothek.session import table
 
+#: Lower case with the final sigma at the end of words, as Spark has it; the other engine's has none.
+LOWER = r"lower(regexp_replace({0}, '(\pL[\pM\pC’''ʼ᾽]*)Σ([\pM\pC’''ʼ᾽]*)($|[^\pL\pM\pC’''ʼ᾽])', '\1ς\2\3', 'g'))"
+BARE = f"strip_accents({LOWER})"
 STRIP = "translate(strip_accents(lower({})), 'ς', 'σ')"
 RANKS = {"grc": 0, "treebank": 1, "el": 2, "med": 3, "grc_corpus": 4, "el_corpus": 5}
 RANK_SQL = "CASE src " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in RANKS.items()) + " ELSE 9 END"
@@ -114,22 +117,12 @@ def self_maps_resolved(spark: SparkSession, d: str) -> DataFrame:
     return L.resolved_self_maps(t, ag.withColumnRenamed("lemma", "target"), el.withColumnRenamed("lemma", "target"), heads)
 
 
-_CHAIN = "SELECT DISTINCT k AS form, CASE WHEN length(k) > 2 THEN k[:length(k) - 1] ELSE k END AS lemma FROM (SELECT {key} AS k FROM lemmas WHERE length(text) > 1)"
-
-
-@query("chains_resolved", f"""WITH RECURSIVE t AS ({_CHAIN.format(key=STRIP.format('text'))}),
+@query("chains_resolved", f"""WITH RECURSIVE {_COMBINED}, t AS MATERIALIZED (SELECT form, lemma FROM merged),
 w AS (SELECT t.form, t.lemma, s.lemma AS target, [t.form, t.lemma] AS seen, coalesce(t.lemma <> t.form AND s.lemma <> t.lemma, FALSE) AS chained, 0 AS depth FROM t LEFT JOIN t s ON s.form = t.lemma
   UNION ALL SELECT w.form, w.lemma, s.lemma, list_append(w.seen, w.target), w.chained, depth + 1 FROM w JOIN t s ON s.form = w.target WHERE w.chained AND s.lemma <> w.target AND NOT list_contains(w.seen, w.target) AND depth < 5),
 e AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY form ORDER BY depth DESC) = 1)
 SELECT form, CASE WHEN chained THEN target ELSE lemma END AS lemma FROM e WHERE NOT chained OR target IN (SELECT form FROM t WHERE form = lemma)""")
 def chains_resolved(spark: SparkSession, d: str) -> DataFrame:
-    k = table(spark, d, "lemmas").where("length(text) > 1").select(T.key(F.col("text")).alias("form")).distinct()
-    t = k.select("form", F.when(F.length("form") > 2, F.expr("substring(form, 1, length(form) - 1)")).otherwise(F.col("form")).alias("lemma"))
-    return L.chains_resolved(t)
-
-
-@query("chains_resolved_all")
-def chains_resolved_all(spark: SparkSession, d: str) -> DataFrame:
     """The merged lexicon with its chains led on to a headword or dropped."""
     return L.chains_resolved(L.combined(*two(spark, d)).select("form", "lemma"))
 
@@ -193,9 +186,12 @@ def productive_lemmas(spark: SparkSession, d: str) -> DataFrame:
     return lex(spark, d).where(T.key(F.col("form")) != T.key(F.col("lemma"))).select("lemma").distinct()
 
 
-@query("headwords_between", "SELECT text AS headword, strip_accents(lower(replace(text, '-', ''))) AS sort_key FROM (SELECT DISTINCT text FROM lemmas WHERE length(text) > 0) WHERE strip_accents(lower(replace(text, '-', ''))) > 'γ' AND strip_accents(lower(replace(text, '-', ''))) < 'μ' AND NOT regexp_matches(text, '\\p{Lu}.*[σς]$|[\\p{Lu}]{2}')")
+_SORT = BARE.replace("{0}", "replace(text, '-', '')")
+
+
+@query("headwords_between", f"SELECT text AS headword, {_SORT} AS sort_key FROM (SELECT DISTINCT text FROM lemmas WHERE length(text) > 0) WHERE {_SORT} > 'γ' AND {_SORT} < 'μ'")
 def headwords_between(spark: SparkSession, d: str) -> DataFrame:
-    """Headwords between two keys, in the order of their keys; upper-case words in sigma are left out of the comparison."""
+    """Headwords between two keys, in the order of their keys."""
     h = table(spark, d, "lemmas").where("length(text) > 0").select(F.col("text").alias("headword")).distinct()
     k = h.withColumn("sort_key", T.sort_key(F.col("headword")))
-    return k.where((F.col("sort_key") > "γ") & (F.col("sort_key") < "μ") & ~F.col("headword").rlike(r"\p{Lu}.*[σς]$|[\p{Lu}]{2}")).orderBy("sort_key", "headword")
+    return k.where((F.col("sort_key") > "γ") & (F.col("sort_key") < "μ")).orderBy("sort_key", "headword")

@@ -9,6 +9,7 @@ from logothek.functions import text as T
 from logothek.functions import udfs as U
 from logothek.operators import frequency as Q
 from logothek.operators import fuzzy as Z
+from logothek.operators import lexicon as L
 from logothek.operators import metrics as M
 from logothek.operators import morphology as Y
 from logothek.operators import resolve as R
@@ -131,11 +132,11 @@ def range_join_all(spark: SparkSession, d: str) -> DataFrame:
 
 _SCORED = f"""{PR.LEXICON}, {PR.WORDS}, c AS (SELECT word, word AS cand FROM w), h AS ({PR.hits('c', 'word')}),
 sd AS (SELECT p.pair_id, p.split, p.source, h.lemma AS pred, p.lemma AS gold FROM lemmapairdataset p JOIN w ON w.word = p.form LEFT JOIN h ON h.word = p.form WHERE length(p.form) > 0 AND length(p.lemma) > 0)"""
-_TR = "trim(lower({0}))"
+_TR = f"trim({PL.LOWER})"
 
 
-def scored(spark: SparkSession, d: str, capitals: bool = False) -> DataFrame:
-    found = R.cascade(PR.words(spark, d, capitals), PR.lexicon(spark, d)).select(F.col("word").alias("form"), F.col("lemma").alias("pred"))
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    found = R.cascade(PR.words(spark, d), PR.lexicon(spark, d)).select(F.col("word").alias("form"), F.col("lemma").alias("pred"))
     return PL.pairs(spark, d).withColumnRenamed("lemma", "gold").join(found, "form").select("pair_id", "split", "source", "form", "pred", "gold")
 
 
@@ -143,32 +144,37 @@ def _share(cond: str) -> str:
     return f"round(avg(coalesce({cond}, FALSE)::INT) * 100, 2)"
 
 
-_LEVELS = f"count(*) AS n, {_share('trim(lower(pred)) = trim(lower(gold))')} AS strict, {_share(PR.MONO.format(_TR.format('pred')) + ' = ' + PR.MONO.format(_TR.format('gold')))} AS monotonic, {_share(KEY.format('trim(pred)') + ' = ' + KEY.format('trim(gold)'))} AS stripped"
+_LEVELS = f"count(*) AS n, {_share(_TR.format('pred') + ' = ' + _TR.format('gold'))} AS strict, {_share(PR.MONO.format(_TR.format('pred')) + ' = ' + PR.MONO.format(_TR.format('gold')))} AS monotonic, {_share(KEY.format('trim(pred)') + ' = ' + KEY.format('trim(gold)'))} AS stripped"
 
 
 @query("accuracy_rollup", f"WITH {_SCORED} SELECT split, source, {_LEVELS} FROM sd GROUP BY GROUPING SETS ((split, source), (split), (source), ())")
-def accuracy_rollup(spark: SparkSession, d: str, capitals: bool = False) -> DataFrame:
-    return M.accuracy(scored(spark, d, capitals), [["split", "source"], ["split"], ["source"], []])
+def accuracy_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return M.accuracy(scored(spark, d), [["split", "source"], ["split"], ["source"], []])
 
 
 @query("accuracy_by_frequency", f"WITH {_SCORED}, f AS (SELECT gold, count(*) AS k FROM sd GROUP BY gold), b AS (SELECT sd.*, CASE WHEN k >= 10 THEN '10+' WHEN k >= 3 THEN '3-9' ELSE '1-2' END AS bin FROM sd JOIN f USING (gold)) SELECT bin, split, {_LEVELS} FROM b GROUP BY GROUPING SETS ((bin, split), (bin), ())")
-def accuracy_by_frequency(spark: SparkSession, d: str, capitals: bool = False) -> DataFrame:
-    s = scored(spark, d, capitals)
+def accuracy_by_frequency(spark: SparkSession, d: str) -> DataFrame:
+    s = scored(spark, d)
     f = Q.counts(s, "gold", name="k")
     b = s.join(f, "gold").withColumn("bin", F.when(F.col("k") >= 10, "10+").when(F.col("k") >= 3, "3-9").otherwise("1-2"))
     return M.accuracy(b, [["bin", "split"], ["bin"], []])
 
 
-@query("accuracy_with_equivalents", f"""WITH {_SCORED}, g AS (SELECT DISTINCT substr(md5({KEY.format('text')}), 1, 2) AS group_id, text AS lemma FROM lemmas WHERE length(text) > 0), pr AS (SELECT DISTINCT a.lemma AS a, b.lemma AS b FROM g a JOIN g b ON a.group_id = b.group_id AND a.lemma <> b.lemma)
-SELECT split, count(*) AS n, count(*) FILTER (coalesce({KEY.format('trim(pred)')} = {KEY.format('trim(gold)')}, FALSE) OR (pred, gold) IN (SELECT (a, b) FROM pr)) AS n_equiv FROM sd GROUP BY split""")
+_KEY_P, _KEY_G = KEY.format("trim(pred)"), KEY.format("trim(gold)")
+
+
+@query("accuracy_with_equivalents", f"""WITH {_SCORED}, g AS (SELECT DISTINCT {KEY.format('l.text')} AS group_id, h.text AS lemma FROM lemmas l JOIN lemmas h ON h.id = l.id WHERE length(l.text) > 0 UNION SELECT DISTINCT 'b' || a.lemma, b.lemma FROM lex a JOIN lex b ON a.form = b.form AND a.lang = 'el' AND b.lang = 'grc' AND a.lemma <> b.lemma UNION SELECT DISTINCT 'b' || lemma, lemma FROM lex WHERE lang = 'el')
+SELECT split, count(*) AS n, count(*) FILTER (coalesce({_KEY_P} = {_KEY_G}, FALSE) OR (pred, gold) IN (SELECT (a.lemma, b.lemma) FROM g a JOIN g b ON a.group_id = b.group_id)) AS n_equiv FROM sd GROUP BY split""")
 def accuracy_with_equivalents(spark: SparkSession, d: str) -> DataFrame:
-    """Predictions right up to equals; a two-digit hash stands for the groups of equal lemmas."""
-    g = table(spark, d, "lemmas").where("length(text) > 0").select(F.substring(F.md5(T.key(F.col("text"))), 1, 2).alias("group_id"), F.col("text").alias("lemma")).distinct()
-    s = scored(spark, d)
-    used = s.select(F.explode(F.array("pred", "gold")).alias("lemma")).dropna().distinct()
-    e = M.with_equivalents(s.where("pred IS NOT NULL"), M.equivalence_pairs(g.join(used, "lemma", "left_semi")))
-    miss = s.where("pred IS NULL").withColumn("equiv", F.lit(False))
-    return e.select("split", "equiv").unionByName(miss.select("split", "equiv")).groupBy("split").agg(F.count("*").alias("n"), F.count_if("equiv").alias("n_equiv"))
+    """Predictions right up to equals: headwords with one key, and modern lemmas with the ancient ones that share a form with them."""
+    texts = table(spark, d, "lemmas").where("length(text) > 0").select(T.key(F.col("text")).alias("group_id"), F.col("text").alias("lemma"))
+    rows = PL.lex(spark, d)
+    bridged = lambda c: F.concat(F.lit("b"), c).alias("group_id")
+    twins = L.bridges(rows).select(bridged("el_lemma"), F.col("grc_lemma").alias("lemma"))
+    own = rows.where("lang = 'el'").select(bridged("lemma"), "lemma")
+    groups = texts.unionByName(twins).unionByName(own).distinct()
+    e = M.with_equivalents(scored(spark, d), groups)
+    return e.groupBy("split").agg(F.count("*").alias("n"), F.count_if("equiv").alias("n_equiv"))
 
 
 @query("index_percentiles", "WITH v AS (SELECT length(text) AS x FROM documents WHERE text IS NOT NULL), n AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () AS n FROM v) SELECT q, x FROM n, (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) AS t(q) WHERE i = least(floor(n * q), n - 1)")
@@ -246,21 +252,8 @@ def movable_nu(spark: SparkSession, d: str) -> DataFrame:
     return Y.movable_nu(PL.pairs(spark, d).where("tags IS NOT NULL").select("form", "tags"))
 
 
-@query("elision_pairs", """WITH r AS (SELECT DISTINCT lemma, form, strip_accents(lower(form)) AS k FROM lemmapairdataset WHERE length(form) > 0 AND length(lemma) > 0 AND NOT regexp_matches(form, '\\p{Lu}')), f AS (SELECT lemma, form AS full_form, k[:length(k) - 1] AS k FROM r WHERE regexp_matches(k, '[αεοι]$')),
+@query("elision_pairs", f"""WITH r AS (SELECT DISTINCT lemma, form, {PL.BARE.format('form')} AS k FROM lemmapairdataset WHERE length(form) > 0 AND length(lemma) > 0), f AS (SELECT lemma, form AS full_form, k[:length(k) - 1] AS k FROM r WHERE regexp_matches(k, '[αεοι]$')),
 m AS (SELECT s.lemma, s.form AS elided, f.full_form, CASE WHEN s.form[1] = f.full_form[1] THEN 15 ELSE 0 END + CASE WHEN starts_with(f.full_form, s.form[:length(s.form) - 1]) THEN 2 ELSE 0 END AS score FROM r s JOIN f ON f.lemma = s.lemma AND f.k = s.k WHERE NOT regexp_matches(s.k, '[αεοι]$') AND length(s.k) >= 2)
 SELECT lemma, elided, first(full_form ORDER BY score DESC, full_form) AS "full" FROM m GROUP BY lemma, elided""")
-def elision_pairs(spark: SparkSession, d: str, capitals: bool = False) -> DataFrame:
-    p = PL.pairs(spark, d)
-    p = p if capitals else p.where(~F.col("form").rlike(r"\p{Lu}"))
-    return Y.elision_pairs(p.select("lemma", "form"))
-
-
-for _f in (accuracy_rollup, accuracy_by_frequency, elision_pairs):
-    PR.of_all_forms(_f)
-
-
-@query("accuracy_with_equivalents_all")
-def accuracy_with_equivalents_all(spark: SparkSession, d: str) -> DataFrame:
-    """Predictions for all forms that are right without marks, or look equal to the lemma."""
-    right = M.levels(F.col("pred"), F.col("gold"))["stripped"] | (U.equal_looking("pred") == U.equal_looking("gold"))
-    return scored(spark, d, True).groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.coalesce(right, F.lit(False))).alias("n_equiv"))
+def elision_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return Y.elision_pairs(PL.pairs(spark, d).select("lemma", "form"))
