@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logothek.functions import text as T
+from logothek.operators import order
 
 
 def tokens(documents: DataFrame, *keep: str, text: str = "text") -> DataFrame:
@@ -46,9 +47,9 @@ def case_merged(forms: DataFrame, lemma: str = "lemma", form: str = "form", n: s
 
 
 def ranked(forms: DataFrame, lemma: str = "lemma", form: str = "form", n: str = "n") -> DataFrame:
-    """Forms of each lemma with their rank: most frequent first, then by form."""
-    w = Window.partitionBy(lemma).orderBy(F.desc(n), F.asc(form))
-    return forms.withColumn("rank", F.row_number().over(w))
+    """Forms of each lemma with their rank: most frequent first, then by form; a lemma of any size is spread over tasks."""
+    placed = order.ranked(forms.withColumn("_less", -F.col(n)), lemma, ["_less", form])
+    return placed.withColumn("rank", F.col("rank") + 1).drop("_less")
 
 
 def forms_in_order(forms: DataFrame, lemma: str = "lemma", form: str = "form", n: str = "n") -> DataFrame:
@@ -112,5 +113,6 @@ def suffix_signatures(forms: DataFrame, lemma: str = "lemma", form: str = "form"
     sig = F.concat_ws("|", F.array_sort(F.transform("_f", lambda x: F.substring(x, F.length("stem") + 1, F.length(x)))))
     rows = stems.select(lemma, "stem", sig.alias("signature"))
     shared = rows.groupBy("signature").agg(F.count("*").alias("k")).where("k >= 2")
-    flags = shared.select("signature", (F.row_number().over(Window.orderBy(F.desc("k"), "signature")) + (first_flag - 1)).alias("flag"))
+    placed = order.ranked(shared.select("signature", (-F.col("k")).alias("_less")), None, ["_less", "signature"])
+    flags = placed.select("signature", (F.col("rank") + first_flag).alias("flag"))
     return rows.join(flags, "signature", "left").select(lemma, "stem", "signature", "flag")

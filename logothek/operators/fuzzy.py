@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata as ud
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import DoubleType
 
 from logothek.functions import text as T
 from logothek.functions.tables import OCR_PAIRS
@@ -48,9 +50,37 @@ def damerau(a: str, b: str, most: int = 1 << 30) -> int:
     return d[-1][-1]
 
 
-@F.arrow_udf(IntegerType())
-def damerau_distance(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([None if x is None or y is None else damerau(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
+def swapped(a: Column, b: Column) -> Column:
+    """Whether a swap of two neighbours makes the one of the other."""
+    cut = lambda i, j: F.substring(a, i, j)
+    one = lambda i: F.concat(cut(F.lit(1), i - 1), cut(i + 1, F.lit(1)), cut(i, F.lit(1)), cut(i + 2, F.length(a))) == b
+    return (F.length(a) == F.length(b)) & (F.length(a) >= 2) & F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), one)
+
+
+def edits(pairs: DataFrame, a: str, b: str, most: int) -> DataFrame:
+    """``pairs`` within ``most`` edits, with ``ed``, swaps of neighbours counted as one edit.
+
+    A swap is two plain edits, so the plain distance, a built-in, is at most twice as large; where it is at most 2 it tells
+    the result. Only what is left goes through Python.
+    """
+    plain = F.levenshtein(a, b, 2 * most)
+    near = pairs.withColumn("_p", plain).where(F.col("_p") >= 0)
+    told = F.when(F.col("_p") <= 1, F.col("_p")).when(F.col("_p") == 2, F.when(swapped(F.col(a), F.col(b)), 1).otherwise(2))
+    near = near.withColumn("ed", told).drop("_p")
+    if most < 2:
+        return near.where(F.col("ed") <= most)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, i, j = (batch.schema.get_field_index(c) for c in ("ed", a, b))
+            ed = batch.column(k)
+            rest = pc.is_null(ed)
+            if ed.null_count:
+                own = [damerau(x, y) for x, y in zip(batch.column(i).filter(rest).to_pylist(), batch.column(j).filter(rest).to_pylist(), strict=True)]
+                ed = pc.replace_with_mask(ed, rest, pa.array(own, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], ed], batch.schema.names).filter(pc.less_equal(ed, most))
+
+    return near.mapInArrow(fill, near.schema)
 
 
 def within(queries: DataFrame, keys: DataFrame, distance: int) -> DataFrame:
@@ -61,19 +91,17 @@ def within(queries: DataFrame, keys: DataFrame, distance: int) -> DataFrame:
     """
     a = queries.select("q", F.explode(deletes(F.col("q"), distance)).alias("_d"))
     b = keys.select("key", F.explode(deletes(F.col("key"), distance)).alias("_d"))
-    pairs = salted_join(b, a, ["_d"], salt_by="key").select("q", "key").distinct()
-    return pairs.withColumn("ed", damerau_distance("q", "key")).where(F.col("ed") <= distance)
+    met = salted_join(b, a, ["_d"], salt_by="key").where(F.abs(F.length("q") - F.length("key")) <= distance)
+    return edits(met.select("q", "key").distinct(), "q", "key", distance)
 
 
 def spelling_hits(words: DataFrame, keys: DataFrame, max_distance: int = 2, enough: int = 3) -> DataFrame:
-    """(q, key, ed): keys within one edit, and within two for words that found fewer than ``enough``."""
-    q = words.select("q").distinct()
-    near = within(q, keys, 1)
+    """(q, key, ed): keys within one edit, and within two for words that found fewer than ``enough``; one search for both."""
+    hits = within(words.select("q").distinct(), keys, max_distance)
     if max_distance < 2:
-        return near
-    got = near.groupBy("q").agg(F.count("*").alias("k")).where(F.col("k") >= enough)
-    far = within(q.join(got, "q", "left_anti"), keys, 2)
-    return near.unionByName(far.join(near.select("q", "key"), ["q", "key"], "left_anti"))
+        return hits
+    near = F.count_if(F.col("ed") <= 1).over(Window.partitionBy("q"))
+    return hits.withColumn("_near", near).where((F.col("ed") <= 1) | (F.col("_near") < enough)).drop("_near")
 
 
 def has_breathing(c: Column) -> Column:
@@ -177,15 +205,16 @@ def pattern_index(lexicon: DataFrame, headwords: DataFrame, freq: DataFrame | No
     return j.select("stripped", "form", "lemma", F.when(F.col("n").isNull(), F.col("score")).otherwise(F.col("n") + F.when(F.col("score") >= 500, 500).otherwise(0)).alias("score"))
 
 
-def in_ranges(keys: DataFrame, ranges: DataFrame, key: str = "key") -> DataFrame:
+def in_ranges(keys: DataFrame, ranges: DataFrame, key: str = "key", salts: int = 16) -> DataFrame:
     """Keys with each open range (lo, hi) they lie in; bounds in the wrong order are swapped.
 
-    Ranges are cut into bins by the first character of their keys, so the join has an equality to shuffle by.
+    Ranges are cut into bins by the first character of their keys, so the join has an equality to shuffle by, and the keys of
+    a bin are spread over ``salts`` parts.
     """
     r = ranges.select("*", F.least("lo", "hi").alias("_a"), F.greatest("lo", "hi").alias("_b"))
-    r = r.withColumn("_bin", F.explode(F.sequence(F.ascii(F.substring("_a", 1, 1)), F.ascii(F.substring("_b", 1, 1)))))
-    k = keys.withColumn("_bin", F.ascii(F.substring(key, 1, 1)))
-    return k.join(r, "_bin").where((F.col(key) > F.col("_a")) & (F.col(key) < F.col("_b"))).drop("_bin", "_a", "_b")
+    r = r.withColumn("_bin", F.explode(F.sequence(F.ascii(F.substring("_a", 1, 1)), F.ascii(F.substring("_b", 1, 1))))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    k = keys.withColumn("_bin", F.ascii(F.substring(key, 1, 1))).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    return k.join(r, ["_bin", "_salt"]).where((F.col(key) > F.col("_a")) & (F.col(key) < F.col("_b"))).drop("_bin", "_salt", "_a", "_b")
 
 
 def typos(words: DataFrame, word: str = "word", letters: str = "αβγδεζηθικλμνξοπρστυφχψω") -> DataFrame:

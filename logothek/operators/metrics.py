@@ -43,7 +43,7 @@ def percentile_by_index(values: DataFrame, column: str, q: list[float]) -> DataF
     """
     from logothek.operators.order import running_sum
 
-    c = running_sum(values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("k")), column, "k")
+    c = running_sum(values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("k")), None, [column], "k")
     total = F.broadcast(c.agg(F.max("running").alias("_n")))
     at = F.explode(F.array(*map(F.lit, q))).alias("q")
     pos = F.least(F.floor(F.col("_n") * F.col("q")), F.col("_n") - 1)

@@ -1,7 +1,8 @@
 """N-gram language models: vocabulary, counts, pruned context tables, prediction and scoring.
 
-N-grams are taken within the arrays of framed sentences, so counting needs one shuffle for each order and none to put
-neighbours together.
+N-grams are taken within the arrays of framed sentences and their words looked up in the vocabulary, which is broadcast
+and bounded by its size, as they are emitted: sentences are never put back together, and the only shuffle is that of the
+counts, combined before.
 """
 
 from __future__ import annotations
@@ -25,20 +26,27 @@ def vocabulary(sentences: DataFrame, size: int) -> DataFrame:
     return sentences.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tok").limit(size - len(RESERVED))
 
 
-def with_unknown(sentences: DataFrame, vocab: DataFrame, key: str = "sent_id") -> DataFrame:
-    """Sentences whose types out of the vocabulary are <UNK>, framed. The vocabulary is bounded by its size and broadcast."""
-    rows = sentences.select(key, F.posexplode("toks").alias("pos", "tok")).join(F.broadcast(vocab.select("tok", F.lit(True).alias("_in"))), "tok", "left")
-    tok = F.when(F.col("_in"), F.col("tok")).otherwise(UNK)
-    back = rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", tok.alias("t")))), lambda x: x["t"]).alias("toks"))
-    return back.select(key, framed(F.col("toks")).alias("toks"))
+def known(rows: DataFrame, vocab: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` whose words outside the vocabulary (tok), bounded by its size and broadcast, are <UNK>; frames stay."""
+    v = F.broadcast(vocab.select("tok"))
+    for c in columns:
+        rows = rows.join(v.withColumnRenamed("tok", "_tok"), F.col(c) == F.col("_tok"), "left")
+        rows = rows.withColumn(c, F.when(F.col(c).isin(BOS, EOS) | F.col("_tok").isNotNull(), F.col(c)).otherwise(UNK)).drop("_tok")
+    return rows
 
 
-def ngrams(sentences: DataFrame, n: int) -> DataFrame:
+def runs(sentences: DataFrame, n: int) -> DataFrame:
+    """(w1..wn): every run of n successive tokens of framed sentences."""
+    names = [f"w{k + 1}" for k in range(n)]
+    at = lambda i, k: F.element_at(F.col("_f"), (i + k).cast("int"))
+    grams = F.transform(F.sequence(F.lit(1), F.size("_f") - (n - 1)), lambda i: F.struct(*[at(i, k).alias(w) for k, w in enumerate(names)]))
+    return sentences.select(framed(F.col("toks")).alias("_f")).where(F.size("_f") >= n).select(F.explode(grams).alias("g")).select("g.*")
+
+
+def ngrams(sentences: DataFrame, vocab: DataFrame, n: int) -> DataFrame:
     """(w1..wn, n): counts of n successive tokens within framed sentences."""
     names = [f"w{k + 1}" for k in range(n)]
-    at = lambda i, k: F.element_at(F.col("toks"), (i + k).cast("int"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("toks") - (n - 1)), lambda i: F.struct(*[at(i, k).alias(w) for k, w in enumerate(names)]))
-    return sentences.where(F.size("toks") >= n).select(F.explode(grams).alias("g")).select("g.*").groupBy(*names).agg(F.count("*").alias("n"))
+    return known(runs(sentences, n), vocab, names).groupBy(*names).agg(F.count("*").alias("n"))
 
 
 def pruned_trigrams(tri: DataFrame, bi: DataFrame, least: int = 2, least_bigram: int = 3) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -13,63 +14,53 @@ from pyspark.sql.types import LongType, StructField, StructType
 from logothek.session import checkpointed
 
 
-def ranked(rows: DataFrame, group: str, order: list[str], partitions: int | None = None) -> DataFrame:
-    """``rows`` with ``rank``: the position from 0 of each row within its group by ``order``, whose last column is unique.
+def running_sum(rows: DataFrame, group: str | None, order: list[str], value: str | None, name: str = "running", partitions: int | None = None) -> DataFrame:
+    """``rows`` with the sum of a long column over the rows of the group up to each, itself included; None sums ones.
 
-    Rows are range-partitioned by (group, order), so a group of any size is spread over tasks; the driver sees one number
-    for each partition and group that meets it (at most partitions + groups). The sorted rows are checkpointed between the
-    two passes, so that a lost executor can't move a row to another partition. Null groups are one group.
-    """
-    spark = rows.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = rows.repartitionByRange(n, F.col(group), *[F.col(c) for c in order]).sortWithinPartitions(group, *order)
-    part = checkpointed(part.withColumn("_part", F.spark_partition_id()))
-    counts = part.groupBy("_part", group).agg(F.count("*").alias("n")).collect()
-    before: dict[tuple, int] = {}
-    seen: dict = {}
-    for r in sorted(counts, key=lambda r: r["_part"]):
-        before[r["_part"], r[group]] = seen.get(r[group], 0)
-        seen[r[group]] = seen.get(r[group], 0) + r["n"]
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: dict = {}
-        for b in batches:
-            groups, parts = b.column(b.schema.get_field_index(group)).to_pylist(), b.column(b.schema.get_field_index("_part")).to_pylist()
-            ranks = []
-            for p, g in zip(parts, groups, strict=True):
-                k = (p, g)
-                if k not in at:
-                    at[k] = before[k]
-                ranks.append(at[k])
-                at[k] += 1
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ranks, pa.int64())], schema=b.schema.append(pa.field("rank", pa.int64())))
-
-    schema = StructType([*part.schema.fields, StructField("rank", LongType())])
-    return part.mapInArrow(number, schema).drop("_part")
-
-
-
-def running_sum(rows: DataFrame, order: str, value: str, partitions: int | None = None) -> DataFrame:
-    """``rows`` with ``running``: the sum of a long column over all rows up to each in the order of a column of distinct values.
-
-    Rows are range-partitioned and checkpointed between the two passes; the driver sees one sum for each partition.
+    order: columns whose last is unique within a group. Rows are range-partitioned by (group, order), so a group of any size
+    is spread over tasks; the driver sees one number for each partition and group that meets it (at most partitions +
+    groups). The sorted rows are checkpointed between the two passes, so that a lost executor can't move a row to another
+    partition. Null groups are one group, null values count as 0.
     """
+    keys = [F.col(c) for c in ([group] if group else []) + order]
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = checkpointed(rows.repartitionByRange(n, F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()))
-    before, at = {}, 0
-    for r in sorted(part.groupBy("_part").agg(F.sum(value).alias("n")).collect(), key=lambda r: r["_part"]):
-        before[r["_part"]] = at
-        at += r["n"]
+    part = checkpointed(rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
+    by = ["_part", *([group] if group else [])]
+    sums = part.groupBy(*by).agg(F.coalesce(F.sum(value), F.lit(0)).cast("long").alias("_n") if value else F.count("*").alias("_n")).collect()
+    before: dict[tuple, int] = {}
+    done: dict = {}
+    for r in sorted(sums, key=lambda r: r["_part"]):
+        g = r[group] if group else None
+        before[r["_part"], g] = done.get(g, 0)
+        done[g] = done.get(g, 0) + r["_n"]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = None
+        last, at = object(), 0
         for b in batches:
             if not b.num_rows:
                 continue
-            if seen is None:
-                seen = before[b.column(b.schema.get_field_index("_part"))[0].as_py()]
-            sums = pc.add(pc.cumulative_sum(b.column(b.schema.get_field_index(value)).cast(pa.int64())), seen)
-            seen = sums[-1].as_py()
-            yield pa.RecordBatch.from_arrays([*b.columns, sums], [*b.schema.names, "running"])
+            p = b.column(b.schema.get_field_index("_part"))[0].as_py()
+            v = pc.fill_null(b.column(b.schema.get_field_index(value)).cast(pa.int64()), 0).to_numpy(zero_copy_only=False) if value else np.ones(b.num_rows, np.int64)
+            total = np.cumsum(v)
+            starts, names = np.zeros(1, np.int64), [None]
+            if group:
+                coded = b.column(b.schema.get_field_index(group)).dictionary_encode()
+                codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)
+                starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+                names = [None if codes[i] < 0 else coded.dictionary[int(codes[i])].as_py() for i in starts]
+            base = np.empty(len(starts), np.int64)
+            for k, (i, g) in enumerate(zip(starts, names, strict=True)):
+                if k or g != last:
+                    at = before[p, g]
+                base[k] = at - (total[i - 1] if i else 0)
+                at += int(total[(starts[k + 1] if k + 1 < len(starts) else len(v)) - 1] - (total[i - 1] if i else 0))
+                last = g
+            running = total + np.repeat(base, np.diff(np.concatenate((starts, [len(v)]))))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(running)], schema=b.schema.append(pa.field(name, pa.int64())))
+
+    return part.mapInArrow(add, StructType([*part.schema.fields, StructField(name, LongType())])).drop("_part")
+
 
-    return part.mapInArrow(add, StructType([*part.schema.fields, StructField("running", LongType())])).drop("_part")
+def ranked(rows: DataFrame, group: str | None, order: list[str], partitions: int | None = None) -> DataFrame:
+    """``rows`` with ``rank``: the position from 0 of each row within its group by ``order``, whose last column is unique."""
+    return running_sum(rows, group, order, None, "rank", partitions).withColumn("rank", F.col("rank") - 1)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logothek.functions import text as T
@@ -16,9 +14,8 @@ from logothek.session import checkpointed, spread, table
 
 LANGS = ["en", "el", "fr", "de", "es"]
 GROUPS = {"broadcast": "air", "radio_cc": "air", "webrip": "net", "fansub": "net", "archive": "store", "museum": "store", "dvd_ocr": "store"}
-VOCAB = 2000
-#: Vocabulary and least counts of the reference (train_lm.py), and those that the SQL fixes.
-WHOLE, SHORT = {"size": 80_000, "least": 1}, {"size": VOCAB, "least": 2}
+#: Types of the vocabulary and the least count of an n-gram.
+VOCAB, LEAST = 80_000, 1
 
 K = "translate(strip_accents(lower({})), 'ς', 'σ')"
 TOK = rf"""
@@ -35,8 +32,8 @@ seen AS (SELECT doc_id, s_no, pos, CASE WHEN v.w IS NULL THEN '<UNK>' ELSE words
 frame AS (SELECT doc_id, s_no, pos, w FROM seen UNION ALL SELECT DISTINCT doc_id, s_no, 0, '<s>' FROM seen UNION ALL SELECT doc_id, s_no, max(pos) + 1, '</s>' FROM seen GROUP BY ALL),
 g AS (SELECT lag(w, 2) OVER o AS w1, lag(w, 1) OVER o AS w2, w AS w3, doc_id, s_no, pos FROM frame WINDOW o AS (PARTITION BY doc_id, s_no ORDER BY pos)),
 uni AS (SELECT w3 AS w1, count(*) AS n FROM g GROUP BY 1),
-bi AS (SELECT w2 AS w1, w3 AS w2, count(*) AS n FROM g WHERE w2 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2),
-tri AS (SELECT g.w1, g.w2, g.w3, count(*) AS n FROM g SEMI JOIN (SELECT * FROM bi WHERE n >= 3) b ON b.w1 = g.w1 AND b.w2 = g.w2 WHERE g.w1 IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+bi AS (SELECT w2 AS w1, w3 AS w2, count(*) AS n FROM g WHERE w2 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= {LEAST}),
+tri AS (SELECT g.w1, g.w2, g.w3, count(*) AS n FROM g SEMI JOIN (SELECT * FROM bi WHERE n >= 3) b ON b.w1 = g.w1 AND b.w2 = g.w2 WHERE g.w1 IS NOT NULL GROUP BY ALL HAVING count(*) >= {LEAST}),
 u AS (SELECT w1 AS w, ln(n / (SELECT sum(n) FROM uni)) AS lp, row_number() OVER (ORDER BY n DESC, w1) AS rank FROM uni WHERE w1 NOT IN ('<PAD>', '<UNK>', '<s>', '</s>') QUALIFY rank <= 10),
 b AS (SELECT x.w1, x.w2 AS w, ln(x.n / uni.n) AS lp, x.rank FROM (SELECT *, row_number() OVER (PARTITION BY w1 ORDER BY n DESC, w2) AS rank FROM bi WHERE w2 NOT IN ('<PAD>', '<UNK>', '<s>', '</s>') QUALIFY rank <= 30) x JOIN uni USING (w1)),
 t AS (SELECT x.w1, x.w2, x.w3 AS w, ln(x.n / bi.n) AS lp, x.rank FROM (SELECT *, row_number() OVER (PARTITION BY w1, w2 ORDER BY n DESC, w3) AS rank FROM tri WHERE w3 NOT IN ('<PAD>', '<UNK>', '<s>', '</s>') QUALIFY rank <= 15) x JOIN bi ON bi.w1 = x.w1 AND bi.w2 = x.w2)
@@ -166,98 +163,93 @@ def majority_lang(spark: SparkSession, d: str) -> DataFrame:
     return Q.best_by(Q.counts(toks(spark, d).withColumn("lang", F.coalesce("lang", F.lit(""))), "k", "lang"), "k", "lang", "n")
 
 
-@query("suffix_signatures", f"""WITH {TOK}, f AS (SELECT DISTINCT k[1:4] AS lemma, k AS form FROM tok WHERE length(k) > 4 AND regexp_full_match(k, '[a-z]+')),
+@query("suffix_signatures", f"""WITH {PL.LEX}, f AS (SELECT DISTINCT lemma, form FROM lex),
 p AS (SELECT lemma, min(form) AS lo, max(form) AS hi, list(form) AS forms FROM f GROUP BY lemma),
 s AS (SELECT lemma, lo[1:coalesce(list_min(list_filter(range(1, least(length(lo), length(hi)) + 1), lambda i: lo[i] <> hi[i])) - 1, least(length(lo), length(hi)))] AS stem, forms FROM p),
 g AS (SELECT lemma, stem, list_aggregate(list_sort(list_transform(forms, lambda x: x[length(stem) + 1:])), 'string_agg', '|') AS signature FROM s),
 n AS (SELECT signature, row_number() OVER (ORDER BY count(*) DESC, signature) + 999 AS flag FROM g GROUP BY signature HAVING count(*) >= 2)
 SELECT lemma, stem, signature, flag FROM g LEFT JOIN n USING (signature)""")
 def suffix_signatures(spark: SparkSession, d: str) -> DataFrame:
-    f = toks(spark, d).where((F.length("k") > 4) & F.col("k").rlike("^[a-z]+$")).select(F.substring("k", 1, 4).alias("lemma"), F.col("k").alias("form")).distinct()
-    return Q.suffix_signatures(f).withColumn("flag", F.col("flag").cast("long"))
-
-
-@query("suffix_signatures_all")
-def suffix_signatures_all(spark: SparkSession, d: str) -> DataFrame:
     """Signatures of the paradigms of the lexicon: all its lemmas with all their forms."""
-    return Q.suffix_signatures(PL.lex(spark, d).select("lemma", "form")).withColumn("flag", F.col("flag").cast("long"))
+    return Q.suffix_signatures(PL.lex(spark, d).select("lemma", "form"))
 
 
 # --- n-gram model ----------------------------------------------------------------------------------------------------
 
 
-def model(spark: SparkSession, d: str, size: int = VOCAB, least: int = 2) -> tuple[DataFrame, ...]:
+def vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """The most frequent types; checkpointed, at most VOCAB rows, as every n-gram is looked up in it."""
+    return checkpointed(N.vocabulary(sentences(spark, d), VOCAB))
+
+
+def bigrams(spark: SparkSession, d: str, vocab: DataFrame) -> DataFrame:
+    return N.ngrams(sentences(spark, d), vocab, 2).where(F.col("n") >= LEAST)
+
+
+def model(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    vocab = vocabulary(spark, d)
     s = sentences(spark, d)
-    framed = checkpointed(N.with_unknown(s, N.vocabulary(s, size), "sent_id"))
-    uni, bi, tri = N.ngrams(framed, 1), checkpointed(N.ngrams(framed, 2).where(F.col("n") >= least)), N.ngrams(framed, 3)
-    return framed, uni, bi, N.pruned_trigrams(tri, bi, least)
+    bi = checkpointed(bigrams(spark, d, vocab))
+    return vocab, N.ngrams(s, vocab, 1), bi, N.pruned_trigrams(N.ngrams(s, vocab, 3), bi, LEAST)
 
 
-def positions(framed: DataFrame) -> DataFrame:
+def positions(spark: SparkSession, d: str, vocab: DataFrame) -> DataFrame:
     """Held-out positions with two words before them: a fifth of the documents, by hash."""
-    at = lambda i: F.element_at(F.col("toks"), i.cast("int"))
-    dev = framed.where(T.hash_dev(F.col("sent_id.doc_id"), 2000) & (F.size("toks") >= 3))
-    return dev.select(F.explode(F.transform(F.sequence(F.lit(3), F.size("toks")), lambda i: F.struct(at(i - 2).alias("w1"), at(i - 1).alias("w2"), at(i).alias("w")))).alias("g")).select("g.*").where(~F.col("w").isin(N.UNK, N.EOS))
+    dev = sentences(spark, d).where(T.hash_dev(F.col("doc_id"), 2000))
+    return N.known(N.runs(dev, 3), vocab, ["w1", "w2", "w3"]).withColumnRenamed("w3", "w").where(~F.col("w").isin(N.UNK, N.EOS))
 
 
 @query("lm_bigrams", f"WITH {LM} SELECT * FROM bi")
-def lm_bigrams(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return model(spark, d, **(WHOLE if whole else SHORT))[2]
+def lm_bigrams(spark: SparkSession, d: str) -> DataFrame:
+    return bigrams(spark, d, vocabulary(spark, d))
 
 
 @query("lm_trigrams", f"WITH {LM} SELECT * FROM tri")
-def lm_trigrams(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return model(spark, d, **(WHOLE if whole else SHORT))[3]
+def lm_trigrams(spark: SparkSession, d: str) -> DataFrame:
+    return model(spark, d)[3]
 
 
 @query("lm_bigram_table", f"WITH {LM} SELECT w1, w, greatest(-32768, least(32767, round_even(lp * 1024, 0)))::INT AS q, rank FROM b")
-def lm_bigram_table(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    _, uni, bi, tri = model(spark, d, **(WHOLE if whole else SHORT))
+def lm_bigram_table(spark: SparkSession, d: str) -> DataFrame:
+    _, uni, bi, tri = model(spark, d)
     b = N.context_tables(uni, bi, tri)[1]
     return b.select("w1", "w", N.quantised(F.col("lp")).alias("q"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("lm_trigram_table", f"WITH {LM} SELECT w1, w2, w, round(lp, 6) AS lp, rank FROM t")
-def lm_trigram_table(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    _, uni, bi, tri = model(spark, d, **(WHOLE if whole else SHORT))
+def lm_trigram_table(spark: SparkSession, d: str) -> DataFrame:
+    _, uni, bi, tri = model(spark, d)
     return N.context_tables(uni, bi, tri)[2].select("w1", "w2", "w", F.round("lp", 6).alias("lp"), F.col("rank").cast("long").alias("rank"))
 
 
-def scored(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    framed, uni, bi, tri = model(spark, d, **(WHOLE if whole else SHORT))
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    vocab, uni, bi, tri = model(spark, d)
+    uni = checkpointed(uni)
     u, b, t = N.context_tables(uni, bi, tri)
-    return N.backoff_score(N.ranks(positions(framed), u, b, t), b, uni.agg(F.sum("n").alias("total")))
+    b, t = checkpointed(b), checkpointed(t)
+    return N.backoff_score(N.ranks(positions(spark, d, vocab), u, b, t), b, uni.agg(F.sum("n").alias("total")))
 
 
 @query("lm_accuracy", f"""WITH {PRED} SELECT level, count(*) AS n, round(avg((coalesce(rank, 99) <= 1)::INT), 6) AS top1, round(avg((coalesce(rank, 99) <= 3)::INT), 6) AS top3, round(avg((coalesce(rank, 99) <= 5)::INT), 6) AS top5 FROM p GROUP BY ROLLUP (level)""")
-def lm_accuracy(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def lm_accuracy(spark: SparkSession, d: str) -> DataFrame:
     hit = lambda k: F.round(F.avg((F.coalesce("rank", F.lit(99)) <= k).cast("int")), 6).alias(f"top{k}")
-    return scored(spark, d, whole).rollup("level").agg(F.count("*").alias("n"), hit(1), hit(3), hit(5))
+    return scored(spark, d).rollup("level").agg(F.count("*").alias("n"), hit(1), hit(3), hit(5))
 
 
 @query("lm_perplexity", f"""WITH {PRED}, sc AS (SELECT CASE WHEN lt IS NOT NULL THEN lt WHEN lb IS NOT NULL THEN lb + (level = 'tri')::INT * ln(0.4) WHEN lu IS NOT NULL THEN lu + ((level = 'tri')::INT + has_b::INT) * ln(0.4) ELSE ln(1.0 / (SELECT sum(n) FROM uni)) + ((level = 'tri')::INT + has_b::INT) * ln(0.4) END AS score FROM p)
 SELECT count(*) AS n, round(avg(score), 5) AS mean_score, round(exp(-avg(score)), 2) AS perplexity FROM sc""")
-def lm_perplexity(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return scored(spark, d, whole).agg(F.count("*").alias("n"), F.round(F.avg("score"), 5).alias("mean_score"), F.round(F.exp(-F.avg("score")), 2).alias("perplexity"))
+def lm_perplexity(spark: SparkSession, d: str) -> DataFrame:
+    return scored(spark, d).agg(F.count("*").alias("n"), F.round(F.avg("score"), 5).alias("mean_score"), F.round(F.exp(-F.avg("score")), 2).alias("perplexity"))
 
 
 @query("oov_share", f"WITH {LM} SELECT count(*) AS n_tokens, count(*) FILTER (w = '<UNK>') AS n_unknown, round(count(*) FILTER (w = '<UNK>') / count(*), 6) AS oov_share FROM seen")
-def oov_share(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    w = model(spark, d, **(WHOLE if whole else SHORT))[0].select(F.explode("toks").alias("w")).where(~F.col("w").isin(N.BOS, N.EOS))
+def oov_share(spark: SparkSession, d: str) -> DataFrame:
+    w = N.known(sentences(spark, d).select(F.explode("toks").alias("w")), vocabulary(spark, d), ["w"])
     return w.agg(F.count("*").alias("n_tokens"), F.count_if(F.col("w") == N.UNK).alias("n_unknown"), F.round(F.count_if(F.col("w") == N.UNK) / F.count("*"), 6).alias("oov_share"))
 
 
-def _whole_model(f: Callable[..., DataFrame]) -> None:
-    """Register ``f`` over the model of the reference's size as ``NAME_all``, without SQL."""
-    query(f"{f.__name__}_all")(lambda spark, d: f(spark, d, True))
-
-
-for _f in (lm_bigrams, lm_trigrams, lm_bigram_table, lm_trigram_table, lm_accuracy, lm_perplexity, oov_share):
-    _whole_model(_f)
-
-
 @query("chunks", rf"WITH {SENT} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s_no, pos) - 1) // 200 AS chunk, w FROM words")
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Words of each document in chunks of 200."""
-    w = sentences(spark, d).select("doc_id", F.col("sent_id.s_no").alias("s_no"), F.posexplode("toks").alias("pos", "w"))
-    return w.select("doc_id", F.floor((F.row_number().over(Window.partitionBy("doc_id").orderBy("s_no", "pos")) - 1) / 200).alias("chunk"), "w")
+    """Words of each document in chunks of 200; no sentence ends within a word, so the words of the text are those of its sentences."""
+    w = spread(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", F.posexplode(T.words(F.col("text"))).alias("pos", "w"))
+    return w.select("doc_id", F.floor(F.col("pos") / 200).alias("chunk"), T.key(F.col("w")).alias("w"))

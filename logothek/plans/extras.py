@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logothek.functions import text as T
 from logothek.functions.tables import ARTICLES
 from logothek.operators import lexicon as L
+from logothek.operators.order import ranked, running_sum
 from logothek.plans import lexicon as PL
 from logothek.plans import resolving as PR
 from logothek.plans.registry import query
@@ -104,14 +105,18 @@ def oversampled_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query("line_sentences", "WITH b AS (SELECT line_id, file_name, raw IS NULL OR regexp_full_match(raw, '[\\s\\x{FEFF}]*') AS brk FROM lingann_gs_medievalgreek) SELECT line_id, file_name, sum(brk::INT) OVER (PARTITION BY file_name ORDER BY line_id)::BIGINT AS sent_id FROM b QUALIFY NOT brk")
 def line_sentences(spark: SparkSession, d: str) -> DataFrame:
     """The sentence of each record: the breaks before it in its file."""
-    b = table(spark, d, "lingann_gs_medievalgreek").withColumn("brk", F.col("raw").isNull() | F.col("raw").rlike(r"^[\s\x{FEFF}]*$"))
-    return b.withColumn("sent_id", F.sum(F.col("brk").cast("int")).over(Window.partitionBy("file_name").orderBy("line_id"))).where("NOT brk").select("line_id", "file_name", "sent_id")
+    brk = F.col("raw").isNull() | F.col("raw").rlike(r"^[\s\x{FEFF}]*$")
+    b = table(spark, d, "lingann_gs_medievalgreek").select("line_id", "file_name", brk.cast("long").alias("brk"))
+    return running_sum(b, "file_name", ["line_id"], "brk", "sent_id").where("brk = 0").select("line_id", "file_name", "sent_id")
 
 
 @query("previous_forms", PARSED_SQL + "SELECT line_id, form, lag(form) OVER (PARTITION BY file_name ORDER BY line_id) AS before FROM judged JOIN (SELECT line_id, file_name FROM lingann_gs_medievalgreek) USING (line_id) WHERE quotes_ok AND len(f) = 3 AND valid")
 def previous_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Each form with the one before it in its file, by a join on the place in the file."""
     rows = p3_rows(spark, d).join(table(spark, d, "lingann_gs_medievalgreek").select("line_id", "file_name"), "line_id")
-    return rows.select("line_id", "form", F.lag("form").over(Window.partitionBy("file_name").orderBy("line_id")).alias("before"))
+    placed = ranked(rows.select("file_name", "line_id", "form"), "file_name", ["line_id"])
+    before = placed.select("file_name", (F.col("rank") + 1).alias("rank"), F.col("form").alias("before"))
+    return placed.join(before, ["file_name", "rank"], "left").select("line_id", "form", "before")
 
 
 @query("register_filter", """WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\\x{0370}-\\x{03FF}\\x{1F00}-\\x{1FFF}]+') AS w FROM documents WHERE text IS NOT NULL)

@@ -18,24 +18,24 @@ from logothek.plans import resolving as PR
 from logothek.plans.registry import query
 from logothek.session import table
 
-GREEK, LATIN = "αβγδεζηθικλμνξοπρστυφχψω", "abgdezhqiklmncoprstufxyw"
-#: Keys of pure Greek, in Latin letters: the other engine measures bytes.
 KEY = PL.STRIP
-_HEADS = f"hk AS (SELECT DISTINCT {KEY.format('text')} AS key FROM lemmas WHERE length(text) > 0 AND regexp_full_match({KEY.format('text')}, '[{GREEK}]+'))"
+#: The other engine's distance counts bytes, so characters of keys are led to single ones for it.
+_MANY = "αβγδεζηθικλμνξοπρστυφχψω" + "’ʼµаорекс" + "".join(map(chr, (0xFEFF, 0x202F, 0x2060, 0x200B, 0x200C, 0x200D, 0x200E, 0x2009, 0x2003, 0xA0, 0xAD))) + "ｅｍｉｒｔｏｃｈｕｓａ"
+_ONE = "ABCDEFGHIJKLMNOPQRSTUVWX" + "YZ0123456" + "789!#$%&()*" + "+,-./:;<=>?"
+_HEADS = f"hk AS (SELECT DISTINCT {KEY.format('text')} AS key FROM lemmas WHERE length(text) > 0 AND length({KEY.format('text')}) > 0)"
 _HASH = "('0x' || substr(md5(key), 1, 8))::BIGINT"
-_TYPOS = f"ty AS (SELECT DISTINCT CASE {_HASH} % 3 WHEN 0 THEN key[:p - 1] || key[p + 1:] WHEN 1 THEN key[:p] || key[p:] ELSE key[:p - 1] || 'ω' || key[p + 1:] END AS q FROM (SELECT key, {_HASH} % length(key) + 1 AS p FROM hk WHERE length(key) >= 4) t0)"
-_LAT = "translate({0}, '" + GREEK + "', '" + LATIN + "')"
+_TYPOS = f"ty AS (SELECT DISTINCT CASE {_HASH} % 3 WHEN 0 THEN substring(key, 1, p - 1) || substring(key, p + 1) WHEN 1 THEN substring(key, 1, p) || substring(key, p) ELSE substring(key, 1, p - 1) || 'ω' || substring(key, p + 1) END AS q FROM (SELECT key, {_HASH} % length(key) + 1 AS p FROM hk WHERE length(key) >= 4) t0)"
+_LAT = "translate({0}, '" + _MANY + "', '" + _ONE + "')"
 
 
-def head_keys(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """Keys of the headwords, those of other characters than Greek letters only if ``whole``."""
-    k = table(spark, d, "lemmas").where(F.length("text") > 0).select(T.key(F.col("text")).alias("key")).where(F.length("key") > 0)
-    return (k if whole else k.where(F.col("key").rlike(f"^[{GREEK}]+$"))).distinct()
+def head_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of the headwords."""
+    return table(spark, d, "lemmas").where(F.length("text") > 0).select(T.key(F.col("text")).alias("key")).where(F.length("key") > 0).distinct()
 
 
-def misspelt(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def misspelt(spark: SparkSession, d: str) -> DataFrame:
     """One misspelling of each headword of four letters or more, by its hash."""
-    k = head_keys(spark, d, whole).where(F.length("key") >= 4)
+    k = head_keys(spark, d).where(F.length("key") >= 4)
     h = F.conv(F.substring(F.md5("key"), 1, 8), 16, 10).cast("long")
     p = (F.pmod(h, F.length("key")) + 1).cast("int")
     pre, post = F.substring(F.col("key"), F.lit(1), p - 1), F.substring(F.col("key"), p + 1, F.length("key"))
@@ -50,40 +50,30 @@ def spell_ed1(spark: SparkSession, d: str) -> DataFrame:
     return Z.within(misspelt(spark, d), head_keys(spark, d), 1)
 
 
-@query("spell_ed1_all")
-def spell_ed1_all(spark: SparkSession, d: str) -> DataFrame:
-    return Z.within(misspelt(spark, d, True), head_keys(spark, d, True), 1)
-
-
 @query("spell_staged", f"WITH {_HEADS}, {_TYPOS}, {_NEAR} SELECT q, key, ed::INT AS ed FROM nr WHERE ed <= 1 OR (ed = 2 AND q NOT IN (SELECT q FROM nr WHERE ed <= 1 GROUP BY q HAVING count(*) >= 3))")
 def spell_staged(spark: SparkSession, d: str) -> DataFrame:
     """Headwords within one edit; within two for misspellings that found fewer than three."""
     return Z.spelling_hits(misspelt(spark, d), head_keys(spark, d))
 
 
-@query("spell_staged_all")
-def spell_staged_all(spark: SparkSession, d: str) -> DataFrame:
-    return Z.spelling_hits(misspelt(spark, d, True), head_keys(spark, d, True))
-
-
 def _forms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lemmas").where(F.length("text") > 0).groupBy(F.col("text").alias("form")).agg(F.count("*").alias("n"))
 
 
 @query("spelling_suggestions")
 def spelling_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    return Z.suggestions(misspelt(spark, d, True).withColumnRenamed("q", "word"), _forms(spark, d))
+    return Z.suggestions(misspelt(spark, d).withColumnRenamed("q", "word"), _forms(spark, d))
 
 
 @query("ocr_suggestions")
 def ocr_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    return Z.suggestions(misspelt(spark, d, True).withColumnRenamed("q", "word"), _forms(spark, d), ocr=True)
+    return Z.suggestions(misspelt(spark, d).withColumnRenamed("q", "word"), _forms(spark, d), ocr=True)
 
 
 @query("typo_recovery")
 def typo_recovery(spark: SparkSession, d: str) -> DataFrame:
     """How often the first and the first five suggestions hold the word a misspelling was made of."""
-    heads = head_keys(spark, d, True)
+    heads = head_keys(spark, d)
     t = Z.typos(heads, "key").where(F.length("key") >= 4)
     s = Z.suggestions(t.select(F.col("typo").alias("word")).distinct(), heads.select(F.col("key").alias("form"), F.lit(1).alias("n")))
     j = t.join(s, (F.col("typo") == F.col("word")) & (F.col("key") == F.col("form")), "left")
@@ -123,11 +113,6 @@ def range_join(spark: SparkSession, d: str) -> DataFrame:
     return Z.in_ranges(head_keys(spark, d), spark.createDataFrame(_RANGES, "lo string, hi string")).select("key", "lo", "hi")
 
 
-@query("range_join_all")
-def range_join_all(spark: SparkSession, d: str) -> DataFrame:
-    return Z.in_ranges(head_keys(spark, d, True), spark.createDataFrame(_RANGES, "lo string, hi string")).select("key", "lo", "hi")
-
-
 # --- scoring ---------------------------------------------------------------------------------------------------------
 
 _SCORED = f"""{PR.LEXICON}, {PR.WORDS}, c AS (SELECT word, word AS cand FROM w), h AS ({PR.hits('c', 'word')}),
@@ -252,8 +237,12 @@ def movable_nu(spark: SparkSession, d: str) -> DataFrame:
     return Y.movable_nu(PL.pairs(spark, d).where("tags IS NOT NULL").select("form", "tags"))
 
 
-@query("elision_pairs", f"""WITH r AS (SELECT DISTINCT lemma, form, {PL.BARE.format('form')} AS k FROM lemmapairdataset WHERE length(form) > 0 AND length(lemma) > 0), f AS (SELECT lemma, form AS full_form, k[:length(k) - 1] AS k FROM r WHERE regexp_matches(k, '[αεοι]$')),
+@query("elision_pairs", f"""WITH r0 AS (SELECT lemma, form FROM lemmapairdataset WHERE length(form) > 0 AND length(lemma) > 0), r AS (SELECT DISTINCT lemma, form, {PL.BARE.format('form')} AS k FROM (SELECT * FROM r0 UNION ALL SELECT lemma, form[:length(form) - 1] FROM r0 WHERE regexp_matches({PL.BARE.format('form')}, '..[αεοι]$')) t0),
+f AS (SELECT lemma, form AS full_form, k[:length(k) - 1] AS k FROM r WHERE regexp_matches(k, '[αεοι]$')),
 m AS (SELECT s.lemma, s.form AS elided, f.full_form, CASE WHEN s.form[1] = f.full_form[1] THEN 15 ELSE 0 END + CASE WHEN starts_with(f.full_form, s.form[:length(s.form) - 1]) THEN 2 ELSE 0 END AS score FROM r s JOIN f ON f.lemma = s.lemma AND f.k = s.k WHERE NOT regexp_matches(s.k, '[αεοι]$') AND length(s.k) >= 2)
 SELECT lemma, elided, first(full_form ORDER BY score DESC, full_form) AS "full" FROM m GROUP BY lemma, elided""")
 def elision_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return Y.elision_pairs(PL.pairs(spark, d).select("lemma", "form"))
+    """Forms, and those with their last vowel cut off, as invented words are seldom found elided, with the full form."""
+    p = PL.pairs(spark, d).select("lemma", "form")
+    cut = p.where(T.strip_accents(F.lower("form")).rlike("..[αεοι]$")).select("lemma", F.expr("substring(form, 1, length(form) - 1)").alias("form"))
+    return Y.elision_pairs(p.unionByName(cut))

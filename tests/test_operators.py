@@ -10,7 +10,7 @@ from logothek.operators import fuzzy as Z
 from logothek.operators import lexicon as L
 from logothek.operators import morphology as Y
 from logothek.operators import resolve as R
-from logothek.operators.order import ranked
+from logothek.operators.order import ranked, running_sum
 from logothek.operators.skew import hot_keys, salted_join, small_enough
 
 
@@ -158,6 +158,57 @@ def test_paradigms(spark):
     assert [r[0] for r in tags.select(Y.key_of_tags(F.col("t"))).collect()] == ["masculine_genitive_pl", "", ""]
 
 
+def test_particles_and_deictic_iota(spark):
+    lex = spark.createDataFrame([("all", "τοῦτο", "οὗτος"), ("all", "ταυτη", "οὗτος"), ("all", "ὅς", "ὅς"), ("all", "λόγοσ", "x"), ("all", "λόγος", "λόγος")], "tbl string, form string, lemma string")
+    w = spark.createDataFrame([(x,) for x in ("τουτοΐ", "ταυτηί", "ὅσπερ", "ΛΌΓΟΣΓΕ", "λόγοιί")], "word string")
+    got = {r.word: (r.lemma, r.cand) for r in R.rule_hits(w, lex, {5: R.particle_candidates(F.col("word"))}).collect()}
+    assert got == {"ταυτηί": ("οὗτος", "ταυτη"), "ὅσπερ": ("ὅς", "ὅς"), "ΛΌΓΟΣΓΕ": ("x", "λόγοσ")}
+
+
+def test_parts_of_speech(spark):
+    cand = [("σκέψει", "σκέπτομαι", 1), ("αυτού", "αυτού", 1), ("αυτού", "Αυτού", 2), ("ἦν", "εἰμί", 1), ("ἦν", "ἠμί", 2), ("ὅ", "ὅς", 1), ("ὅ", "ὁ", 2), ("καλά", "καλά", 1), ("καλά", "καλός", 2), ("πᾶς", "πᾶς", 1), ("πᾶς", "πᾷς", 2)]
+    table = [("σκέψει", "NOUN", "σκέψις"), ("αυτού", "PRON", "αυτός"), ("ἦν", "VERB", "ημι"), ("ὅ", "DET", "ὁ"), ("πᾶς", "VERB", "πάσχω"), ("ξένον", "NOUN", "ξένος")]
+    words_ = [("σκέψει", "NOUN"), ("αυτού", "PRON"), ("ἦν", "VERB"), ("ὅ", "DET"), ("ὅ", "PRON"), ("καλά", "ADJ"), ("ἦν", "NOUN"), ("ξένον", "NOUN")]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    fixed = df([("καλά", "ADJ", "καλός")], "word string, pos string, lemma string")
+    got = {(r.word, r.pos): (r.lemma, r.rule) for r in R.by_pos(df(words_, "word string, pos string"), df(cand, "word string, lemma string, rank int"), df(table, "form string, pos string, lemma string"), fixed).collect()}
+    assert got == {
+        ("σκέψει", "NOUN"): ("σκέψις", "sole"), ("αυτού", "PRON"): ("αυτός", "self"), ("ἦν", "VERB"): ("ἠμί", "stripped"), ("ὅ", "DET"): ("ὁ", "exact"), ("ὅ", "PRON"): ("ὅς", "top"),
+        ("καλά", "ADJ"): ("καλός", "repaired"), ("ἦν", "NOUN"): ("εἰμί", "top"), ("ξένον", "NOUN"): ("ξένον", "top"),
+    }
+
+
+def test_conventions(spark):
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    groups = df([(1, 1, "ἥλιος"), (1, 2, "ἠέλιος"), (2, 3, "βίος"), (2, 4, "βίοτος"), (3, 5, "ἠέλιος"), (3, 6, "χ"), (4, 7, "μόνος")], "group_id long, ord long, lemma string")
+    heads = df([("ήλιος",), ("βίοτος",), ("δώρο",), ("τιμώ",), ("λύση",)], "form string")
+    old = df([("δῶρον",), ("τιμάω",), ("λύσις",), ("ποιέω",), ("ἥλιος",)], "lemma string")
+    over = df([("z", "ω")], "lemma string, preferred string")
+    got = {r.lemma: r.preferred for r in R.convention_map(groups, heads, over, monotonic=True, ancient=old).collect()}
+    assert got == {"ἥλιος": "ήλιος", "ἠέλιος": "ήλιος", "βίος": "βίοτος", "χ": "ἠέλιος", "δῶρον": "δώρο", "τιμάω": "τιμώ", "λύσις": "λύση", "z": "ω"}
+    plain = {r.lemma: r.preferred for r in R.convention_map(groups, heads).collect()}
+    assert plain == {"ἠέλιος": "ἥλιος", "βίος": "βίοτος", "χ": "ἠέλιος"}
+    shown = {r.lemma: r.shown for r in R.conventional(old, df(list(got.items()), "lemma string, preferred string"), True).collect()}
+    assert shown["ποιέω"] == "ποιέω" and shown["δῶρον"] == "δώρο" and shown["ἥλιος"] == "ήλιος"
+    adj = df([("δεινός",), ("ἀληθής",), ("ἡδύς",)], "form string")
+    led = R.adjective_headwords(df([(x,) for x in ("δεινῶς", "δεινόν", "ἀληθῶς", "ἡδέως", "φῶς", "ὡς", "δῶρον")], "lemma string"), df([("φῶς",)], "form string"), adj)
+    assert {r.lemma: r.headword for r in led.collect()} == {"δεινῶς": "δεινός", "δεινόν": "δεινός", "ἀληθῶς": "ἀληθής", "ἡδέως": "ἡδέως", "φῶς": "φῶς", "ὡς": "ὡς", "δῶρον": "δῶρον"}
+
+
+def test_running_sums(spark):
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice(["a", "a", "a", "b", None]), rnd.choice([None, 1, 5, -2])) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, g string, v long")
+    for g in ("g", None):
+        got = {r.id: r.s for r in running_sum(df, g, ["id"], "v", "s", 5).collect()}
+        at, want = {}, {}
+        for i, k, v in rows:
+            k = k if g else 0
+            at[k] = want[i] = at.get(k, 0) + (v or 0)
+        assert got == want
+    assert running_sum(df.limit(0), "g", ["id"], "v").count() == 0
+
+
 def test_self_map_repair(spark):
     rows = [("περιέχει", "VERB", "περιέχει", False, 1), ("περιέχει", "VERB", "περιέχω", False, 2), ("παλαιολιθικής", "ADJ", "παλαιολιθική", False, 1), ("καλά", "ADV", "καλά", False, 1), ("καλά", "ADV", "καλός", False, 2), ("x", None, "x", False, 1), ("x", None, "Ξένος", True, 2)]
     df = spark.createDataFrame(rows, "word string, pos string, lemma string, proper boolean, rank int")
