@@ -1,62 +1,106 @@
-"""Paradigms: the grid of cells, attested forms by precedence, gaps filled by templates, and forms that depend on tags."""
+"""Paradigms: the grid of cells, attested forms by precedence, gaps filled by templates, and forms that depend on tags.
+
+A cell is named by a key, as ``active_aorist_indicative_1sg``, ``active_aorist_infinitive``,
+``active_aorist_participle_nom_m_sg``, ``genitive_pl`` for nouns and ``dative_f_sg`` for adjectives.
+"""
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logothek.functions import text as T
 
-# Axes of the grid, and endings of the regular classes by cell.
-VOICES = ("active", "middle", "passive")
-TENSES = ("present", "imperfect", "future", "aorist", "perfect", "pluperfect")
-MOODS = ("indicative", "subjunctive", "optative", "imperative")
-PERSONS = ("1", "2", "3")
-NUMBERS = ("sg", "du", "pl")
-GENDERS = ("masculine", "feminine", "neuter")
-CASES = ("nominative", "genitive", "dative", "accusative", "vocative")
-NO_INDICATIVE_ONLY = ("imperfect", "pluperfect")
-PRESENT_OMEGA = {"1_sg": "ω", "2_sg": "εις", "3_sg": "ει", "1_pl": "ομεν", "2_pl": "ετε", "3_pl": "ουσι"}
-SECOND_DECLENSION = {
-    "nominative_sg": "ος", "genitive_sg": "ου", "dative_sg": "ῳ", "accusative_sg": "ον", "vocative_sg": "ε", "nominative_pl": "οι", "genitive_pl": "ων", "dative_pl": "οις", "accusative_pl": "ους", "vocative_pl": "οι",
-}
-SECOND_NEUTER = {**SECOND_DECLENSION, "nominative_sg": "ον", "vocative_sg": "ον", "nominative_pl": "α", "accusative_pl": "α", "vocative_pl": "α"}
-FIRST_DECLENSION = {
-    "nominative_sg": "η", "genitive_sg": "ης", "dative_sg": "ῃ", "accusative_sg": "ην", "vocative_sg": "η", "nominative_pl": "αι", "genitive_pl": "ων", "dative_pl": "αις", "accusative_pl": "ας", "vocative_pl": "αι",
-}
-
-
-def _axis(spark: SparkSession, name: str, values: tuple[str, ...]) -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], f"{name} string")
+# Axes of the grid, and the tenses that each mood has.
+VOICES = ("active", "middle", "passive", "mediopassive")
+MOODS = {
+    "indicative": ("present", "imperfect", "future", "aorist", "perfect", "pluperfect", "future_perfect"),
+    "subjunctive": ("present", "aorist", "perfect"),
+    "optative": ("present", "future", "aorist", "perfect"),
+    "imperative": ("present", "aorist", "perfect"),
+    "infinitive": ("present", "future", "aorist", "perfect"),
+    "participle": ("present", "future", "aorist", "perfect", "future_perfect"),
+}
+TENSES = MOODS["indicative"]
+PERSONS = {"first-person": "1", "second-person": "2", "third-person": "3"}
+NUMBERS = {"singular": "sg", "plural": "pl", "dual": "du"}
+GENDERS = {"masculine": "m", "feminine": "f", "neuter": "n"}
+CASES = {"nominative": "nom", "genitive": "gen", "dative": "dat", "accusative": "acc", "vocative": "voc"}
+PAST = ("aorist", "imperfect", "pluperfect")
+# Endings of the regular classes by cell.
+THEMATIC = {
+    "present_indicative": {"1sg": "ω", "2sg": "εις", "3sg": "ει", "1pl": "ομεν", "2pl": "ετε", "3pl": "ουσι(ν)", "2du": "ετον", "3du": "ετον"},
+    "present_subjunctive": {"1sg": "ω", "2sg": "ῃς", "3sg": "ῃ", "1pl": "ωμεν", "2pl": "ητε", "3pl": "ωσι(ν)", "2du": "ητον", "3du": "ητον"},
+    "present_optative": {"1sg": "οιμι", "2sg": "οις", "3sg": "οι", "1pl": "οιμεν", "2pl": "οιτε", "3pl": "οιεν", "2du": "οιτον", "3du": "οίτην"},
+    "present_imperative": {"2sg": "ε", "3sg": "έτω", "2pl": "ετε", "3pl": "όντων", "2du": "ετον", "3du": "έτων"},
+}
+#: In the order of the cases, for singular, plural and dual.
+DECLENSIONS = {
+    "α": (("α", "ας", "ᾳ", "αν", "α"), ("αι", "ῶν", "αις", "ας", "αι"), ("α", "αιν", "αιν", "α", "α")),
+    "η": (("η", "ης", "ῃ", "ην", "η"), ("αι", "ῶν", "αις", "ας", "αι"), ("α", "αιν", "αιν", "α", "α")),
+    "ον": (("ον", "ου", "ῳ", "ον", "ον"), ("α", "ων", "οις", "α", "α"), ("ω", "οιν", "οιν", "ω", "ω")),
+    "ος": (("ος", "ου", "ῳ", "ον", "ε"), ("οι", "ων", "οις", "ους", "οι"), ("ω", "οιν", "οιν", "ω", "ω")),
+}
+ADJECTIVE = {"m": "ος", "f": "η", "n": "ον"}
+
+
+def verb_cells() -> list[tuple]:
+    """(voice, tense, mood, person, number, case, gender, key) of all cells of a verb; there is no first person dual, and no first person of the imperative."""
+    ends = [(p, n) for p in PERSONS.values() for n in NUMBERS.values() if (p, n) != ("1", "du")]
+    out = []
+    for voice, (mood, tenses) in product(VOICES, MOODS.items()):
+        for tense in tenses:
+            stem = f"{voice}_{tense}_{mood}"
+            if mood == "infinitive":
+                out.append((voice, tense, mood, None, None, None, None, stem))
+            elif mood == "participle":
+                out += [(voice, tense, mood, None, n, c, g, f"{stem}_{c}_{g}_{n}") for c, g, n in product(CASES.values(), GENDERS.values(), NUMBERS.values())]
+            else:
+                out += [(voice, tense, mood, p, n, None, None, f"{stem}_{p}{n}") for p, n in ends if (mood, p) != ("imperative", "1")]
+    return out
 
 
 def verb_grid(spark: SparkSession) -> DataFrame:
-    """(voice, tense, mood, person, number, key): the finite cells; past tenses have the indicative only, imperatives no first person.
-
-    A product of literal axes of a few values each.
-    """
-    g = _axis(spark, "voice", VOICES)
-    for name, values in (("tense", TENSES), ("mood", MOODS), ("person", PERSONS), ("number", NUMBERS)):
-        g = g.crossJoin(F.broadcast(_axis(spark, name, values)))
-    g = g.where(~(F.col("tense").isin(*NO_INDICATIVE_ONLY) & (F.col("mood") != "indicative")) & ~((F.col("mood") == "imperative") & (F.col("person") == "1")) & ~((F.col("tense") == "future") & F.col("mood").isin("subjunctive", "imperative")))
-    return g.withColumn("key", F.concat_ws("_", "voice", "tense", "mood", "person", "number"))
+    """All cells of a verb: 359 a voice."""
+    return spark.createDataFrame(verb_cells(), "voice string, tense string, mood string, person string, number string, case string, gender string, key string")
 
 
 def nominal_grid(spark: SparkSession, with_gender: bool = False) -> DataFrame:
-    """(case, number[, gender], key)."""
-    g = _axis(spark, "case", CASES).crossJoin(F.broadcast(_axis(spark, "number", NUMBERS)))
+    """(case, number, key) of nouns, (case, gender, number, key) of adjectives."""
     if with_gender:
-        g = g.crossJoin(F.broadcast(_axis(spark, "gender", GENDERS)))
-    return g.withColumn("key", F.concat_ws("_", *([F.col("gender")] if with_gender else []), "case", "number"))
+        rows = [(c, g, n, f"{c}_{g}_{n}") for c, g, n in product(CASES, GENDERS.values(), NUMBERS.values())]
+        return spark.createDataFrame(rows, "case string, gender string, number string, key string")
+    return spark.createDataFrame([(c, n, f"{c}_{n}") for c, n in product(CASES, NUMBERS.values())], "case string, number string, key string")
+
+
+def _picked(tags: Column, axis) -> Column:
+    """The tag of a set that lies on an axis, the smallest of several, null if there is none."""
+    return F.array_min(F.array_intersect(tags, F.array(*map(F.lit, axis))))
 
 
-def key_of_tags(tags: Column) -> Column:
-    """The cell that a set of tags names, its parts in the order of the axes; '' if none is named. The set's order has no say."""
-    parts = [VOICES, TENSES, MOODS, ("infinitive", "participle"), ("first-person", "second-person", "third-person"), GENDERS, CASES, ("singular", "dual", "plural")]
-    picks = [F.array_min(F.array_intersect(tags, F.array(*map(F.lit, axis)))) for axis in parts]
-    short = {"first-person": "1", "second-person": "2", "third-person": "3", "singular": "sg", "dual": "du", "plural": "pl"}
-    named = F.create_map(*[x for k, v in short.items() for x in (F.lit(k), F.lit(v))])
-    return F.concat_ws("_", *[F.coalesce(F.try_element_at(named, p), p) for p in picks])
+def _short(tags: Column, axis: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[x for k, v in axis.items() for x in (F.lit(k), F.lit(v))]), _picked(tags, axis))
+
+
+def verb_key(tags: Column) -> Column:
+    """The cell of a verb that a set of tags names, null if they don't name one fully. A participle without case or number is nominative or singular."""
+    voice = F.when(F.array_contains(tags, "mediopassive"), "middle").otherwise(_picked(tags, VOICES))
+    tense, mood = _picked(tags, TENSES), _picked(tags, MOODS)
+    person, number, gender = _short(tags, PERSONS), _short(tags, NUMBERS), _short(tags, GENDERS)
+    stem = F.concat_ws("_", voice, tense, mood)
+    known = voice.isNotNull() & tense.isNotNull() & mood.isNotNull()
+    part = F.concat_ws("_", stem, F.coalesce(_short(tags, CASES), F.lit("nom")), gender, F.coalesce(number, F.lit("sg")))
+    finite = person.isNotNull() & number.isNotNull() & ~((mood == "imperative") & (person == "1"))
+    return F.when(known, F.when(mood == "infinitive", stem).when(mood == "participle", F.when(gender.isNotNull(), part)).when(finite, F.concat_ws("_", stem, F.concat(person, number))))
+
+
+def nominal_key(tags: Column, adjective: Column) -> Column:
+    """The cell of a noun or adjective that a set of tags names, null if they don't name one fully."""
+    case, number, gender = _picked(tags, CASES), _short(tags, NUMBERS), _short(tags, GENDERS)
+    known = case.isNotNull() & number.isNotNull()
+    return F.when(known & adjective & gender.isNotNull(), F.concat_ws("_", case, gender, number)).when(known & ~adjective, F.concat_ws("_", case, number))
 
 
 def attested(rows: DataFrame, rank: Column) -> DataFrame:
@@ -69,15 +113,33 @@ def attested(rows: DataFrame, rank: Column) -> DataFrame:
     return m.select("lemma", "key", "m.form", "m.source")
 
 
+def template_rows() -> list[tuple]:
+    """(kind, ending, key, suffix, cut): what takes the place of the last ``cut`` letters of a lemma; a null suffix keeps the lemma.
+
+    A noun's ending is cut only if it bears no accent.
+    """
+    rows = [("VERB", "ω", f"active_{k}_{pn}", e, 1) for k, t in THEMATIC.items() for pn, e in t.items()] + [("VERB", "ω", "active_present_infinitive", "ειν", 1)]
+    for ending, table in DECLENSIONS.items():
+        rows += [("NOUN", ending, f"{c}_{n}", None if (c, n) == ("nominative", "sg") else e, len(ending)) for n, es in zip(NUMBERS.values(), table, strict=True) for c, e in zip(CASES, es, strict=True)]
+    for g, ending in ADJECTIVE.items():
+        rows += [("ADJ", "ος", f"{c}_{g}_{n}", None if (c, g, n) == ("nominative", "m", "sg") else e, 2) for n, es in zip(NUMBERS.values(), DECLENSIONS[ending], strict=True) for c, e in zip(CASES, es, strict=True)]
+    return rows
+
+
 def template(spark: SparkSession, lemmas: DataFrame) -> DataFrame:
-    """(lemma, key, form): regular forms by the ending of the lemma: -ω verbs, -ος and -ον nouns, -η nouns."""
-    rows = [("ω", k2, e) for k, e in PRESENT_OMEGA.items() for k2 in (f"active_present_indicative_{k}",)]
-    rows += [("ος", k, e) for k, e in SECOND_DECLENSION.items()] + [("ον", k, e) for k, e in SECOND_NEUTER.items()] + [("η", k, e) for k, e in FIRST_DECLENSION.items()]
-    ends = F.broadcast(spark.createDataFrame(rows, "ending string, key string, suffix string"))
-    bare = T.strip_accents(F.col("lemma"))
-    cls = F.when(bare.endswith("ος"), "ος").when(bare.endswith("ον"), "ον").when(bare.endswith("ω"), "ω").when(bare.endswith("η"), "η")
-    w = lemmas.select("lemma", cls.alias("ending")).where("ending IS NOT NULL")
-    return w.join(ends, "ending").select("lemma", "key", F.concat(F.expr("substring(lemma, 1, length(lemma) - length(ending))"), "suffix").alias("form"))
+    """(lemma, key, form): regular forms of verbs in -ω that don't contract, of nouns in -α, -η, -ος, -ον and of adjectives in -ος.
+
+    Accents stay where the lemma has them. lemmas: (lemma, kind), of composed text, kind VERB, NOUN or ADJ.
+    """
+    ends = F.broadcast(spark.createDataFrame(template_rows(), "kind string, ending string, key string, suffix string, cut int"))
+    c = F.col("lemma")
+    bare = T.strip_accents(F.lower(c))
+    noun = F.when(bare.endswith("α"), "α").when(bare.endswith("η"), "η").when(bare.endswith("ον"), "ον").when(bare.endswith("ος"), "ος")
+    ending = F.when((F.col("kind") == "VERB") & c.rlike("[ωώ]$") & ~bare.rlike("[αεο]ω$"), "ω").when(F.col("kind") == "NOUN", noun).when((F.col("kind") == "ADJ") & bare.endswith("ος"), "ος")
+    w = lemmas.select("lemma", "kind", ending.alias("ending")).where("ending IS NOT NULL").distinct().join(ends, ["kind", "ending"])
+    cuts = (F.col("kind") != "NOUN") | F.lower(c).endswith(F.col("ending"))
+    stem = F.when(cuts, F.expr("substring(lemma, 1, length(lemma) - cut)")).otherwise(c)
+    return w.select("lemma", "key", F.when(F.col("suffix").isNull(), c).otherwise(F.concat(stem, "suffix")).alias("form"))
 
 
 def filled(attested_: DataFrame, generated: DataFrame) -> DataFrame:
@@ -86,14 +148,31 @@ def filled(attested_: DataFrame, generated: DataFrame) -> DataFrame:
     return attested_.select("lemma", "key", "form", "source").unionByName(gaps.select("lemma", "key", "form", F.lit("template").alias("source")))
 
 
-def best_form(forms: DataFrame, keys: list[str], form: str = "form", n: str = "n") -> DataFrame:
-    """The best form of each key: polytonic ones before such with any mark before the rest, none elided if others are there;
-    then the most frequent, the shortest, the greatest by code points."""
+def augmented(form: Column, lemma: Column) -> Column:
+    """Whether a form begins as with an augment: ε before a lemma without, or a long vowel for a short one."""
+    f, m = F.substring(T.strip_accents(F.lower(form)), 1, 1), F.substring(T.strip_accents(F.lower(lemma)), 1, 1)
+    return F.coalesce((m != "") & (((f == "ε") & (m != "ε")) | (f.isin("η", "ω") & m.isin("α", "ε", "ο"))), F.lit(False))
+
+
+#: Composed letters with a breathing or a circumflex.
+RICH = "".join(chr(c) for c in range(0x1F00, 0x2000) if set(T.ud.normalize("NFD", chr(c))) & set("̓̔͂"))
+
+
+def best_form(forms: DataFrame, keys: list[str], form: str = "form", n: str = "n", lemma: Column | None = None, cell: Column | None = None) -> DataFrame:
+    """The best form of each key: one with a breathing or circumflex, else with any mark, else any; none elided if others are there.
+
+    Of those the most frequent, in a past indicative (``cell``) of a lemma the augmented, then the shortest, then the greatest.
+    """
     f = F.col(form)
-    marked = T.strip_accents(f) != f
-    poly = f.rlike(r"[\x{1F00}-\x{1FFF}]")
-    order = F.struct(F.when(poly, 0).when(marked, 1).otherwise(2).alias("a"), f.rlike("[’᾽ʼ']$").cast("int").alias("b"), (-F.col(n)).alias("c"), F.length(f).alias("d"), f.alias("form"))
-    return forms.groupBy(*keys).agg(F.min(order).alias("m")).select(*keys, F.col("m.form").alias(form))
+    kind = F.when(f.rlike(f"[{RICH}̓̔͂]"), 2).when(T.strip_accents(f) != f, 1).otherwise(0)
+    past = F.lit(False)
+    if cell is not None:
+        for tense in PAST:
+            past = past | cell.contains(tense)
+        past = past & cell.rlike("_indicative(_|$)")
+    augment = F.when(past, augmented(f, lemma)).otherwise(False) if lemma is not None else F.lit(False)
+    worth = F.struct(kind.alias("a"), (~f.rlike("[’᾽ʼ'ʹ]$")).alias("b"), F.col(n).alias("c"), augment.alias("d"), (-F.length(f)).alias("e"), f.alias("form"))
+    return forms.groupBy(*keys).agg(F.max(worth).alias("m")).select(*keys, F.col("m.form").alias(form))
 
 
 def movable_nu(rows: DataFrame) -> DataFrame:

@@ -172,17 +172,25 @@ def index_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    p = PL.pairs(spark, d).where("tags IS NOT NULL").withColumn("key", Y.key_of_tags(F.col("tags")))
-    return p.where("key <> ''").select("lemma", "key", "form", "source")
+    """(lemma, key, form, source, verb) of the tagged pairs that name a cell."""
+    t, verb = F.col("tags"), Y.verb_key(F.col("tags"))
+    key = F.coalesce(verb, Y.nominal_key(t, F.coalesce(F.col("pos") == "adj", F.lit(False))))
+    return PL.pairs(spark, d).where("tags IS NOT NULL").select("lemma", key.alias("key"), "form", "source").where("key IS NOT NULL")
 
 
-def _pick(*xs: str) -> str:
-    return "list_min(list_intersect(tags, [" + ", ".join(f"'{x}'" for x in xs) + "]))"
+def _pick(axis) -> str:
+    return "list_min(list_intersect(tags, [" + ", ".join(f"'{x}'" for x in axis) + "]))"
 
 
-_NUM = "CASE {0} WHEN 'singular' THEN 'sg' WHEN 'dual' THEN 'du' WHEN 'plural' THEN 'pl' END"
-_PERS = "CASE {0} WHEN 'first-person' THEN '1' WHEN 'second-person' THEN '2' WHEN 'third-person' THEN '3' END"
-_CELLS = "ce AS (SELECT * FROM (SELECT lemma, form, source, tags, concat_ws('_', " + ", ".join([_pick(*Y.VOICES), _pick(*Y.TENSES), _pick(*Y.MOODS), _pick("infinitive", "participle"), _PERS.format(_pick("first-person", "second-person", "third-person")), _pick(*Y.GENDERS), _pick(*Y.CASES), _NUM.format(_pick("singular", "dual", "plural"))]) + ") AS key FROM lemmapairdataset WHERE length(form) > 0 AND length(lemma) > 0 AND tags IS NOT NULL) WHERE key <> '')"
+def _short(axis: dict[str, str]) -> str:
+    return f"CASE {_pick(axis)} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in axis.items()) + " END"
+
+
+_CELLS = f"""ct AS (SELECT lemma, form, source, pos, CASE WHEN list_contains(tags, 'mediopassive') THEN 'middle' ELSE {_pick(Y.VOICES)} END AS voice, {_pick(Y.TENSES)} AS tense, {_pick(Y.MOODS)} AS mood,
+  {_short(Y.PERSONS)} AS person, {_short(Y.NUMBERS)} AS num, {_short(Y.GENDERS)} AS gen, {_pick(Y.CASES)} AS cas, {_short(Y.CASES)} AS cs FROM lemmapairdataset WHERE length(form) > 0 AND length(lemma) > 0 AND tags IS NOT NULL),
+ck AS (SELECT *, CASE WHEN voice IS NOT NULL AND tense IS NOT NULL AND mood IS NOT NULL THEN CASE mood WHEN 'infinitive' THEN voice || '_' || tense || '_infinitive' WHEN 'participle' THEN voice || '_' || tense || '_participle_' || coalesce(cs, 'nom') || '_' || gen || '_' || coalesce(num, 'sg')
+  ELSE CASE WHEN NOT (mood = 'imperative' AND person = '1') THEN voice || '_' || tense || '_' || mood || '_' || person || num END END END AS vk FROM ct),
+ce AS (SELECT lemma, form, source, coalesce(vk, CASE WHEN coalesce(pos = 'adj', FALSE) THEN cas || '_' || gen || '_' || num ELSE cas || '_' || num END) AS key FROM ck WHERE coalesce(vk, CASE WHEN coalesce(pos = 'adj', FALSE) THEN cas || '_' || gen || '_' || num ELSE cas || '_' || num END) IS NOT NULL)"""
 _ATT = f"{_CELLS}, nn AS (SELECT lemma, key, form, source, count(*) AS n FROM ce GROUP BY ALL), att AS (SELECT lemma, key, first(form ORDER BY {PL._SRC}, n DESC, form, source) AS form, first(source ORDER BY {PL._SRC}, n DESC, form, source) AS source FROM nn GROUP BY ALL)"
 
 
@@ -195,16 +203,19 @@ def paradigm_cells(spark: SparkSession, d: str) -> DataFrame:
     return Y.attested(cells(spark, d), source_rank())
 
 
-_ENDINGS = PR.values("en", "ending, key, suffix", [("ω", f"active_present_indicative_{k}", e) for k, e in Y.PRESENT_OMEGA.items()] + [(x, k, e) for x, t in (("ος", Y.SECOND_DECLENSION), ("ον", Y.SECOND_NEUTER), ("η", Y.FIRST_DECLENSION)) for k, e in t.items()])
-_BARE = "strip_accents(lemma)"
+_ENDINGS = "en(kind, ending, key, suffix, cut) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in Y.template_rows()) + ")"
+_BARE = PL.BARE.format("lemma")
 
 
-@query("paradigm_fill", f"""WITH {_ATT}, {_ENDINGS}, le AS (SELECT DISTINCT text AS lemma FROM lemmas WHERE length(text) > 0), cl AS (SELECT lemma, CASE WHEN ends_with({_BARE}, 'ος') THEN 'ος' WHEN ends_with({_BARE}, 'ον') THEN 'ον' WHEN ends_with({_BARE}, 'ω') THEN 'ω' WHEN ends_with({_BARE}, 'η') THEN 'η' END AS ending FROM le),
-gen AS (SELECT lemma, key, lemma[:length(lemma) - length(ending)] || suffix AS form FROM cl JOIN en USING (ending))
+@query("paradigm_fill", f"""WITH {_ATT}, {_ENDINGS}, le AS (SELECT DISTINCT nfc_normalize(text) AS lemma, pos AS kind FROM lemmas WHERE length(text) > 0), cl AS (SELECT lemma, kind, CASE
+  WHEN kind = 'VERB' AND regexp_matches(lemma, '[ωώ]$') AND NOT regexp_matches({_BARE}, '[αεο]ω$') THEN 'ω' WHEN kind = 'NOUN' THEN CASE WHEN ends_with({_BARE}, 'α') THEN 'α' WHEN ends_with({_BARE}, 'η') THEN 'η' WHEN ends_with({_BARE}, 'ον') THEN 'ον' WHEN ends_with({_BARE}, 'ος') THEN 'ος' END
+  WHEN kind = 'ADJ' AND ends_with({_BARE}, 'ος') THEN 'ος' END AS ending FROM le),
+gen AS (SELECT DISTINCT lemma, key, CASE WHEN suffix IS NULL THEN lemma WHEN kind <> 'NOUN' OR ends_with({PL.LOWER.format('lemma')}, ending) THEN lemma[:length(lemma) - cut] || suffix ELSE lemma || suffix END AS form FROM cl JOIN en USING (kind, ending))
 SELECT lemma, key, form, source FROM att UNION ALL SELECT g.lemma, g.key, g.form, 'template' FROM gen g ANTI JOIN att ON att.lemma = g.lemma AND att.key = g.key""")
 def paradigm_fill(spark: SparkSession, d: str) -> DataFrame:
-    heads = PL.two(spark, d)[2].withColumnRenamed("form", "lemma")
-    return Y.filled(paradigm_cells(spark, d), Y.template(spark, heads))
+    """Attested cells, and those that a template gives the headwords of its part of speech."""
+    t = table(spark, d, "lemmas").where(F.length("text") > 0)
+    return Y.filled(paradigm_cells(spark, d), Y.template(spark, t.select(T.nfc(F.col("text")).alias("lemma"), F.col("pos").alias("kind"))))
 
 
 @query("paradigm_sources", f"WITH {_ATT} SELECT source, count(*) AS n_cells, count(DISTINCT lemma) AS n_lemmas FROM att GROUP BY source")
@@ -212,23 +223,45 @@ def paradigm_sources(spark: SparkSession, d: str) -> DataFrame:
     return paradigm_cells(spark, d).groupBy("source").agg(F.count("*").alias("n_cells"), F.count_distinct("lemma").alias("n_lemmas"))
 
 
-def _vals(name: str, col: str, xs: tuple[str, ...]) -> str:
-    return f"(VALUES {', '.join(f'({x!r})' for x in xs)}) AS {name}({col})"
+def _vals(name: str, columns: str, rows) -> str:
+    return f"(VALUES {', '.join('(' + ', '.join(repr(x) for x in r) + ')' for r in rows)}) AS {name}({columns})"
+
+
+_VOICE = _vals("a", "voice", [(v,) for v in Y.VOICES])
+_MT = lambda name, moods: _vals(name, "mood, tense", [(m, t) for m in moods for t in Y.MOODS[m]])
+_NUMBER, _GENDER = _vals("f", "number", [(x,) for x in Y.NUMBERS.values()]), _vals("h", "gender", [(x,) for x in Y.GENDERS.values()])
 
 
-@query("verb_grid", "SELECT *, concat_ws('_', voice, tense, mood, person, number) AS key FROM " + ", ".join([_vals("a", "voice", Y.VOICES), _vals("b", "tense", Y.TENSES), _vals("c", "mood", Y.MOODS), _vals("e", "person", Y.PERSONS), _vals("f", "number", Y.NUMBERS)]) + " WHERE NOT (tense IN ('imperfect', 'pluperfect') AND mood <> 'indicative') AND NOT (mood = 'imperative' AND person = '1') AND NOT (tense = 'future' AND mood IN ('subjunctive', 'imperative'))")
+@query("verb_grid", f"""SELECT voice, tense, mood, person, number, NULL::VARCHAR AS "case", NULL::VARCHAR AS gender, voice || '_' || tense || '_' || mood || '_' || person || number AS key FROM {_VOICE}, {_MT('b', ('indicative', 'subjunctive', 'optative', 'imperative'))}, {_vals('e', 'person', [('1',), ('2',), ('3',)])}, {_NUMBER} WHERE NOT (person = '1' AND (number = 'du' OR mood = 'imperative'))
+UNION ALL SELECT voice, tense, mood, NULL, NULL, NULL, NULL, voice || '_' || tense || '_infinitive' FROM {_VOICE}, {_MT('b', ('infinitive',))}
+UNION ALL SELECT voice, tense, mood, NULL, number, cas, gender, voice || '_' || tense || '_participle_' || cas || '_' || gender || '_' || number FROM {_VOICE}, {_MT('b', ('participle',))}, {_vals('c', 'cas', [(x,) for x in Y.CASES.values()])}, {_GENDER}, {_NUMBER}""")
 def verb_grid(spark: SparkSession, d: str) -> DataFrame:
     return Y.verb_grid(spark)
 
 
-@query("nominal_grid", "SELECT *, concat_ws('_', gender, \"case\", number) AS key FROM " + ", ".join([_vals("a", '"case"', Y.CASES), _vals("b", "number", Y.NUMBERS), _vals("c", "gender", Y.GENDERS)]))
+@query("nominal_grid", f"SELECT \"case\", gender, number, \"case\" || '_' || gender || '_' || number AS key FROM {_vals('a', chr(34) + 'case' + chr(34), [(x,) for x in Y.CASES])}, {_NUMBER}, {_GENDER}")
 def nominal_grid(spark: SparkSession, d: str) -> DataFrame:
     return Y.nominal_grid(spark, True)
 
 
-@query("best_forms", f"""WITH {_CELLS}, n AS (SELECT lemma, key, form, count(*) AS n FROM ce GROUP BY ALL) SELECT lemma, key, first(form ORDER BY CASE WHEN regexp_matches(form, '[\\x{{1F00}}-\\x{{1FFF}}]') THEN 0 WHEN {{strip}} <> form THEN 1 ELSE 2 END, regexp_matches(form, '[’᾽ʼ'']$')::INT, n DESC, length(form), form) AS form FROM n GROUP BY ALL""".replace("{strip}", "strip_accents(form)"))
+@query("paradigm_gaps", f"WITH {_ATT}, v AS (SELECT DISTINCT lemma, split_part(key, '_', 1) AS voice FROM att WHERE regexp_matches(key, '^(active|middle|passive)_')), n AS (SELECT lemma, voice, count(*) AS k FROM (SELECT DISTINCT lemma, key, split_part(key, '_', 1) AS voice FROM att) t0 JOIN v USING (lemma, voice) GROUP BY ALL) SELECT lemma, voice, 359 - k AS n_missing FROM n")
+def paradigm_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """How many cells of each voice that a verb has at all are not attested."""
+    grid = Y.verb_grid(spark).select("voice", "key")
+    att = paradigm_cells(spark, d).join(F.broadcast(grid), "key").groupBy("lemma", "voice").agg(F.count_distinct("key").alias("k"))
+    size = grid.groupBy("voice").agg(F.count("*").alias("whole"))
+    return att.join(F.broadcast(size), "voice").select("lemma", "voice", (F.col("whole") - F.col("k")).alias("n_missing"))
+
+
+_F0, _L0 = PL.BARE.format("form") + "[1]", PL.BARE.format("lemma") + "[1]"
+_AUGMENTED = f"(({_F0} = 'ε' AND {_L0} <> 'ε') OR ({_F0} IN ('η', 'ω') AND {_L0} IN ('α', 'ε', 'ο')))"
+
+
+@query("best_forms", f"""WITH {_CELLS}, n AS (SELECT lemma, key, form, count(*) AS n FROM ce GROUP BY ALL)
+SELECT lemma, key, first(form ORDER BY CASE WHEN regexp_matches(form, '[{Y.RICH}̓̔͂]') THEN 0 WHEN strip_accents(form) <> form THEN 1 ELSE 2 END, regexp_matches(form, '[’᾽ʼ''ʹ]$')::INT, n DESC,
+  CASE WHEN regexp_matches(key, '_indicative(_|$)') AND regexp_matches(key, 'aorist|imperfect|pluperfect') AND {_AUGMENTED} THEN 0 ELSE 1 END, length(form), form DESC) AS form FROM n GROUP BY ALL""")
 def best_forms(spark: SparkSession, d: str) -> DataFrame:
-    return Y.best_form(Q.counts(cells(spark, d), "lemma", "key", "form"), ["lemma", "key"])
+    return Y.best_form(Q.counts(cells(spark, d), "lemma", "key", "form"), ["lemma", "key"], lemma=F.col("lemma"), cell=F.col("key"))
 
 
 @query("movable_nu", """SELECT DISTINCT form, form || 'ν' AS with_nu FROM lemmapairdataset WHERE length(form) > 0 AND length(lemma) > 0 AND tags IS NOT NULL AND (

@@ -151,11 +151,30 @@ def test_merges(spark):
 
 
 def test_paradigms(spark):
-    assert Y.verb_grid(spark).count() == 405 and Y.nominal_grid(spark).count() == 15
-    gen = {(r.lemma, r.key): r.form for r in Y.template(spark, spark.createDataFrame([("λόγος",), ("λύω",), ("x",)], "lemma string")).collect()}
-    assert gen["λόγος", "genitive_sg"] == "λόγου" and gen["λύω", "active_present_indicative_3_pl"] == "λύουσι" and not any(k[0] == "x" for k in gen)
-    tags = spark.createDataFrame([(["plural", "genitive", "masculine"],), ([],), (None,)], "t array<string>")
-    assert [r[0] for r in tags.select(Y.key_of_tags(F.col("t"))).collect()] == ["masculine_genitive_pl", "", ""]
+    keys = [r.key for r in Y.verb_grid(spark).collect()]
+    assert len(keys) == len(set(keys)) == 1436 and Y.nominal_grid(spark).count() == 15 and Y.nominal_grid(spark, True).count() == 45
+    assert {"active_aorist_indicative_1sg", "middle_aorist_subjunctive_3pl", "active_aorist_infinitive", "active_aorist_participle_nom_m_sg", "mediopassive_future_perfect_indicative_3du"} <= set(keys)
+    assert not any(k.endswith("_1du") or "imperative_1" in k or "imperfect_subjunctive" in k for k in keys)
+    lemmas = [("λόγος", "NOUN"), ("λύω", "VERB"), ("x", "NOUN"), ("ὁδός", "NOUN"), ("καλός", "ADJ"), ("φιλέω", "VERB"), ("χώρα", "NOUN"), ("δῶρον", "NOUN"), ("τέχνη", "NOUN")]
+    gen = {(r.lemma, r.key): r.form for r in Y.template(spark, spark.createDataFrame(lemmas, "lemma string, kind string")).collect()}
+    want = {
+        ("λόγος", "genitive_sg"): "λόγου", ("λόγος", "nominative_sg"): "λόγος", ("λύω", "active_present_indicative_3pl"): "λύουσι(ν)", ("λύω", "active_present_infinitive"): "λύειν", ("λύω", "active_present_optative_3du"): "λύοίτην",
+        ("χώρα", "genitive_sg"): "χώρας", ("δῶρον", "nominative_pl"): "δῶρα", ("τέχνη", "dative_sg"): "τέχνῃ", ("καλός", "nominative_m_sg"): "καλός", ("καλός", "genitive_f_sg"): "καλης", ("ὁδός", "genitive_sg"): "ὁδόςου",
+    }
+    assert {k: gen.get(k) for k in want} == want and not any(k[0] in ("x", "φιλέω") for k in gen)
+    tags = spark.createDataFrame([(["plural", "genitive", "masculine"], False), (["plural", "genitive", "masculine"], True), ([], False), (None, False), (["third-person", "singular", "indicative", "aorist", "mediopassive", "passive"], False), (["participle", "active", "present", "feminine"], False), (["imperative", "active", "present", "first-person", "singular"], False)], "t array<string>, a boolean")
+    assert [r[0] for r in tags.select(F.coalesce(Y.verb_key(F.col("t")), Y.nominal_key(F.col("t"), F.col("a")))).collect()] == ["genitive_pl", "genitive_m_pl", None, None, "middle_aorist_indicative_3sg", "active_present_participle_nom_f_sg", None]
+
+
+def test_augments_and_best_forms(spark):
+    yes = [("ἔλυσα", "λύω"), ("ἔλυσας", "λύω"), ("ἐλύσαμεν", "λύω"), ("ἔπαυσαν", "παύω"), ("ἔγραψε", "γράφω"), ("ἔλυον", "λύω"), ("ἤκουσα", "ἀκούω"), ("ἤθελον", "ἐθέλω")]
+    no = [("λῦσε", "λύω"), ("λῦε", "λύω"), ("παῦσαν", "παύω"), ("λύω", "λύω"), ("ἀκούω", "ἀκούω"), ("ἐθέλω", "ἐθέλω"), ("", "λύω"), ("ἔλυσα", ""), (None, "λύω")]
+    df = spark.createDataFrame([(*x, True) for x in yes] + [(*x, False) for x in no], "form string, lemma string, want boolean")
+    assert df.where(Y.augmented(F.col("form"), F.col("lemma")) != F.col("want")).count() == 0
+    past, present = "active_aorist_indicative_3sg", "active_present_indicative_3sg"
+    rows = [("λύω", past, "λῦσε", 1), ("λύω", past, "ἔλυσε", 1), ("λύω", present, "λύει", 1), ("λύω", present, "λῦει", 1), ("λύω", present, "λυει", 9), ("εἰμί", present, "ἐστίν", 2), ("εἰμί", present, "ἐστί", 2), ("εἰμί", present, "ἐστ’", 9), ("x", "k", "α", 1), ("x", "k", "β", 1)]
+    best = Y.best_form(spark.createDataFrame(rows, "lemma string, key string, form string, n long"), ["lemma", "key"], lemma=F.col("lemma"), cell=F.col("key"))
+    assert {(r.lemma, r.key): r.form for r in best.collect()} == {("λύω", past): "ἔλυσε", ("λύω", present): "λῦει", ("εἰμί", present): "ἐστί", ("x", "k"): "β"}
 
 
 def test_particles_and_deictic_iota(spark):
