@@ -11,7 +11,7 @@ import unicodedata as ud
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -142,6 +142,97 @@ def metadata_line(c: Column) -> Column:
     return (latin > _bodies(c, f"[{GREEK_RANGES}]")) & (latin > 3)
 
 
+def _with(marks: str) -> str:
+    """Composed Greek letters that have one of some marks."""
+    return "".join(chr(c) for a, b in _GREEK for c in range(a, b) if set(ud.normalize("NFD", chr(c))[1:]) & set(marks))
+
+
+def _on(bases: str) -> str:
+    """Letters on some bases, with any marks."""
+    return bases + "".join(chr(c) for a, b in _GREEK for c in range(a, b) if len(ud.normalize("NFD", chr(c))) > 1 and ud.normalize("NFD", chr(c))[0] in bases)
+
+
+ACUTES, GRAVES, CIRCUMFLEXES, BREATHINGS = _with("́"), _with("̀"), _with("͂"), _with("̓̔")
+VOWELS = _on("αεηιουωΑΕΗΙΟΥΩ")
+#: Composed letters and loose marks that only polytonic writing has.
+POLYTONIC = r"\x{1F00}-\x{1FFF}" + "".join(c for c in _with("̀͂̓̔ͅ") if ord(c) < 0x1F00) + "̀͂̓̔ͅ"
+# Marks at the end of an elided word, and Latin capitals that look like Greek ones.
+ELISION_GLYPHS = "'’ʼ᾽ʹ"
+LATIN_CAPITALS, GREEK_CAPITALS = "ABEZHIKMNOPTXY", "ΑΒΕΖΗΙΚΜΝΟΡΤΧΥ"
+
+
+def has_breathing(c: Column) -> Column:
+    return c.rlike(f"[{BREATHINGS}̓̔]")
+
+
+def has_accent(c: Column) -> Column:
+    return c.rlike(f"[{ACUTES}{GRAVES}{CIRCUMFLEXES}́̀͂]")
+
+
+def has_polytonic(c: Column) -> Column:
+    return c.rlike(f"[{POLYTONIC}]")
+
+
+def canonical_elision(c: Column) -> Column:
+    """One glyph for the elision at the end of a word."""
+    return F.regexp_replace(c, f"[{ELISION_GLYPHS}]$", "᾽")
+
+
+def lower_initial(c: Column) -> Column:
+    """The first letter in lower case, the others as they are."""
+    first = F.regexp_extract(c, r"^[^\p{L}]*\p{L}", 0)
+    return F.concat(F.lower(first), F.substring(c, F.length(first) + 1, F.greatest(F.length(c), F.lit(1))))
+
+
+def last_vowel(c: Column) -> Column:
+    """The plain lower-case vowel at the end of a word, null if it ends otherwise."""
+    return F.nullif(F.regexp_extract(strip_accents(F.lower(c)), "[αεηιουω]$", 0), F.lit(""))
+
+
+def greek_initial(c: Column) -> Column:
+    """A Latin capital at the start as the Greek one it looks like."""
+    return F.concat(F.translate(F.substring(c, 1, 1), LATIN_CAPITALS, GREEK_CAPITALS), F.substring(c, F.lit(2), F.greatest(F.length(c), F.lit(1))))
+
+
+def multi_word(c: Column) -> Column:
+    return outer_trim(c).contains(" ")
+
+
+def lacuna(c: Column) -> Column:
+    """Brackets and question marks of an edition."""
+    return c.rlike(r"[\[\]?]")
+
+
+#: Words of running Greek text: elided ones too, and such as begin with a Latin capital.
+GREEK_WORD = rf"[{LATIN_CAPITALS}]?[{GREEK_RANGES}]+(?:['ʼ᾽᾿’ι][{GREEK_RANGES}]*)*|['ʼ᾽᾿’ι][{GREEK_RANGES}]+"
+
+
+def running_sentences(c: Column) -> Column:
+    """Sentences of a text as arrays of Greek words: lines of editors left out, cut at . ; · ! and ?, empty ones dropped."""
+    lines = F.filter(F.split(c, "\n"), lambda x: ~metadata_line(x))
+    parts = F.split(F.array_join(lines, " "), "[.;·!?]")
+    words_ = F.transform(parts, lambda x: F.transform(F.regexp_extract_all(x, F.lit(GREEK_WORD), 0), greek_initial))
+    return F.filter(words_, lambda x: F.size(x) > 0)
+
+
+def paragraph_sentences(c: Column) -> Column:
+    """Sentences of composed text, cut at blank lines and at . ; · ! and ?, trimmed, empty ones dropped."""
+    return F.filter(F.transform(F.split(c, r"\n{2,}|[.;·!?]"), outer_trim), lambda x: F.length(x) > 0)
+
+
+def of_register(rows: DataFrame, year: str, text: str, least_words: int = 20, least_share: float = 0.4) -> DataFrame:
+    """Rows whose year is modern and doesn't count back, and whose text has enough Greek words and among them polytonic ones."""
+    w = F.regexp_extract_all(text, F.lit(f"[{GREEK_RANGES}]+"), 0)
+    n, p = F.size(w), F.size(F.filter(w, lambda x: x.rlike(r"[\x{1F00}-\x{1FFF}]")))
+    dated = F.col(year).rlike(r"\b(?:18|19|20)\d\d\b") & ~F.col(year).contains("π.Χ")
+    return rows.where(dated & (n >= least_words) & (p >= least_share * n))
+
+
+def skipped_tag(c: Column) -> Column:
+    """Tags of what is no word: by the universal names, or by a first code u."""
+    return c.isin("PUNCT", "NUM", "X", "SYM") | c.startswith("u")
+
+
 def hash_dev(c: Column, per_10000: int = 200, seed: str = "4242:") -> Column:
     """Whether a key belongs to the held-out part: a fixed share by the first 32 bits of an MD5."""
     return F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(seed), c.cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(10000)) < per_10000

@@ -68,28 +68,6 @@ def sanitised(s: str) -> str:
     return _nfc(s)
 
 
-#: Latin letters and the Greek ones they look like.
-LATIN_LIKE = dict(zip("ABEZHIKMNOPTYXovikapuyx", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονικαρυυχ", strict=True))
-
-
-def looks(s: str) -> str:
-    """What equal-looking spellings share: composed, ordinary characters, none invisible, one apostrophe, plain spaces, and
-    Latin letters in a mostly Greek word as the Greek ones they look like."""
-    s = "".join(c for c in ud.normalize("NFKC", s) if ud.category(c) != "Cf")
-    out = []
-    for w in s.translate(dict.fromkeys(map(ord, "'ʼ᾽᾿`´‘"), "’")).split():
-        names = [ud.name(c, "") for c in w if c.isalpha()]
-        if 2 * sum(n.startswith("GREEK") for n in names) > len(names):
-            w = "".join(LATIN_LIKE.get(c, c) for c in w)
-        out.append(w)
-    return _nfc(" ".join(out))
-
-
-@F.arrow_udf(StringType())
-def equal_looking(s: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else looks(x) for x in s.to_pylist()], pa.string())
-
-
 def sentences(text: str) -> list[str]:
     """Sentences by . ; · and ! outside quotes; no end after abbreviations, single capitals and stops within a word. A straight quote only opens."""
     text = " ".join(text.split())

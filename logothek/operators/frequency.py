@@ -116,3 +116,30 @@ def suffix_signatures(forms: DataFrame, lemma: str = "lemma", form: str = "form"
     placed = order.ranked(shared.select("signature", (-F.col("k")).alias("_less")), None, ["_less", "signature"])
     flags = placed.select("signature", (F.col("rank") + first_flag).alias("flag"))
     return rows.join(flags, "signature", "left").select(lemma, "stem", "signature", "flag")
+
+
+def attested_forms(forms: DataFrame, freq: DataFrame, least: int = 1, acute_least: int | None = None) -> DataFrame:
+    """Forms (form, lemma) of the lemmas of which any form, or the lemma itself, has ``least`` occurrences.
+
+    acute_least: forms without any polytonic mark need so many themselves. freq: (tok, n).
+    """
+    own = with_counts(forms.select("form", "lemma").distinct(), freq).withColumnRenamed("n", "_n")
+    heads = with_counts(forms.select(F.col("lemma").alias("form")).distinct(), freq).select(F.col("form").alias("lemma"), "n")
+    best = own.groupBy("lemma").agg(F.max("_n").alias("_m")).join(heads, "lemma").where(F.greatest("_m", "n") >= least).select("lemma")
+    kept = own.join(best, "lemma", "left_semi")
+    if acute_least is not None:
+        kept = kept.where(T.has_polytonic(F.col("form")) | (F.col("_n") >= acute_least))
+    return kept.select("form", "lemma")
+
+
+def summed_vectors(a: DataFrame, b: DataFrame, key: str, vector: str) -> DataFrame:
+    """Two tables of count vectors of one length by key as one: summed where both have the key."""
+    j = a.select(key, F.col(vector).alias("_a")).join(b.select(key, F.col(vector).alias("_b")), key, "full")
+    both = F.zip_with("_a", "_b", lambda x, y: x + y)
+    return j.select(key, F.coalesce(both, "_a", "_b").alias(vector))
+
+
+def spelling_variants(forms: DataFrame, least: int = 3) -> DataFrame:
+    """(mono, form, n, rank): the polytonic spellings of each monotonic form with ``least`` occurrences, most frequent first. forms: (form, n)."""
+    rows = forms.where(F.col("n") >= least).select(T.monotonic(F.col("form")).alias("mono"), "form", "n")
+    return ranked(rows, lemma="mono")

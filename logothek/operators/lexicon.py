@@ -152,3 +152,50 @@ def overridden(rows: DataFrame, overrides: DataFrame) -> DataFrame:
     """Lemmas replaced by those of a table (form, lemma) of corrections; corrections of unknown forms are added."""
     o = overrides.select("form", F.col("lemma").alias("_o"))
     return rows.select("form", "lemma").join(o, "form", "full").select("form", F.coalesce("_o", "lemma").alias("lemma"))
+
+
+INDEFINITE, INDEFINITE_LEMMA = "δήποτε", "ὁστισδήποτε"
+
+
+def indefinites(rows: DataFrame) -> DataFrame:
+    """Corrections (form, lemma): forms with the ending -δήποτε after something, whose lemma has it too but is another word."""
+    f, m = F.col("form"), F.col("lemma")
+    return rows.where(f.contains(INDEFINITE) & ~f.startswith(INDEFINITE) & m.contains(INDEFINITE) & (m != f)).select("form", F.lit(INDEFINITE_LEMMA).alias("lemma")).distinct()
+
+
+def held_out(base: DataFrame, rows: DataFrame, headwords: DataFrame, part: str, out: str) -> DataFrame:
+    """(form, lemma): ``base`` with the forms of all parts of ``rows`` but one, where it lacks them and their lemma is known.
+
+    rows: (form, lemma, o) and the column ``part``; the first by ``o`` of several lemmas counts. headwords: (form). Lemmas of
+    rows that are headwords and no forms yet come in as forms of themselves.
+    """
+    heads = headwords.select("form").unionByName(base.where("form = lemma").select("form")).distinct()
+    known = heads.unionByName(base.select("form")).distinct().select(F.col("form").alias("lemma"))
+    other = rows.where(F.col(part).isNull() | (F.col(part) != out))
+    good = other.join(known, "lemma", "left_semi").join(base.select("form"), "form", "left_anti")
+    own = other.join(heads.select(F.col("form").alias("lemma")), "lemma", "left_semi").select(F.col("lemma").alias("form"), "lemma", F.col("o"), F.lit(1).alias("late")).join(base.select("form"), "form", "left_anti")
+    new = good.select("form", "lemma", "o", F.lit(0).alias("late")).unionByName(own)
+    first = new.groupBy("form").agg(F.min(F.struct("o", "late", "lemma")).alias("m")).select("form", F.col("m.lemma").alias("lemma"))
+    return base.select("form", "lemma").unionByName(first)
+
+
+def majority_with_tag(rows: DataFrame, form: str = "form", lemma: str = "lemma", tag: str = "pos", order: str = "pair_id") -> DataFrame:
+    """(form, lemma, tag): the most frequent lemma of each form with its most frequent tag; ties go to what comes first by ``order``."""
+    t = rows.groupBy(form, lemma, tag).agg(F.count("*").alias("n"), F.min(order).alias("o"))
+    m = t.groupBy(form, lemma).agg(F.sum("n").alias("k"), F.min("o").alias("first"), F.min(F.struct((-F.col("n")).alias("n"), "o", F.col(tag).alias("t"))).alias("m"))
+    best = m.groupBy(form).agg(F.min(F.struct((-F.col("k")).alias("k"), "first", F.col(lemma).alias("l"), F.col("m.t").alias("t"))).alias("b"))
+    return best.select(form, F.col("b.l").alias(lemma), F.col("b.t").alias(tag))
+
+
+def name_plurals_kept(rows: DataFrame, corroborated: DataFrame) -> DataFrame:
+    """Rows but for plurals of names that no other source has. rows: (form, pos, tags, ...); corroborated: (form)."""
+    ok = corroborated.select("form").distinct().withColumn("_ok", F.lit(True))
+    plural = F.coalesce((F.col("pos") == "name") & F.array_contains("tags", "plural"), F.lit(False))
+    return rows.join(ok, "form", "left").where(~plural | F.col("_ok").isNotNull()).drop("_ok")
+
+
+def without_leaked_articles(rows: DataFrame, articles: tuple[str, ...]) -> DataFrame:
+    """Rows but for forms that are an article in any of their spellings and not their own lemma."""
+    f = F.col("form")
+    spellings = F.array(f, F.lower(f), T.monotonic(f), F.lower(T.monotonic(f)), T.strip_accents(F.lower(f)))
+    return rows.where((f == F.col("lemma")) | ~F.arrays_overlap(spellings, F.array(*map(F.lit, articles))))

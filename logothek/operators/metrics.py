@@ -26,12 +26,18 @@ def with_equivalents(scored: DataFrame, groups: DataFrame, pred: str = "pred", g
     """``scored`` with ``equiv``: right without marks, or a prediction and a gold lemma that share a group.
 
     groups: (group_id, lemma), of any size; a lemma of two groups is equal to the members of both, not they to each other.
-    The groups of the two lemmas are intersected, so no pairs of a group's members are made.
+    One of the two must be a member as it is written, the other without case and marks. The groups of the two lemmas are
+    intersected, so no pairs of a group's members are made.
     """
     of = groups.select("lemma", "group_id").distinct()
+    bare = lambda c: T.fold_sigma(T.strip_accents(T.outer_trim(F.lower(c))))
+    loose = of.select(bare(F.col("lemma")).alias("_b"), "group_id").distinct()
     pairs = scored.select(pred, gold).dropna().distinct()
-    both = pairs.join(of.withColumnRenamed("lemma", pred), pred).join(of.withColumnRenamed("lemma", gold), [gold, "group_id"], "left_semi")
-    p = both.select(pred, gold).distinct().withColumn("_e", F.lit(True))
+    hits = []
+    for exact, other in ((gold, pred), (pred, gold)):
+        of_exact = pairs.join(of.withColumnRenamed("lemma", exact), exact).withColumn("_b", bare(F.col(other)))
+        hits.append(of_exact.join(loose, ["_b", "group_id"], "left_semi").select(pred, gold))
+    p = hits[0].unionByName(hits[1]).distinct().withColumn("_e", F.lit(True))
     right = levels(F.col(pred), F.col(gold))["stripped"]
     return scored.join(p, [pred, gold], "left").withColumn("equiv", F.coalesce(right, F.lit(False)) | F.col("_e").isNotNull()).drop("_e")
 

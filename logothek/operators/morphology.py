@@ -175,6 +175,81 @@ def best_form(forms: DataFrame, keys: list[str], form: str = "form", n: str = "n
     return forms.groupBy(*keys).agg(F.max(worth).alias("m")).select(*keys, F.col("m.form").alias(form))
 
 
+# Endings of iterative imperfects after their vowel, of the middle voice, and dialects among tags.
+ITERATIVE = {
+    "ε": ("σκον", "σκες", "σκε", "σκεν", "σκομεν", "σκετε", "σκετον", "σκετην", "σκομην", "σκετο", "σκοντο", "σκομεθα", "σκεσθε", "σκεσθον", "σκεσθην", "σκεο", "σκευ", "σκου"),
+    "α": ("σκον", "σκες", "σκε", "σκεν", "σκομεν", "σκετε", "σκετον", "σκετην", "σκομην", "σκετο", "σκοντο", "σκομεθα", "σκεσθε", "σκεο", "σκευ"),
+    "ο": ("σκον", "σκες", "σκε", "σκεν", "σκομεν", "σκετε", "σκετον", "σκετην", "σκομην", "σκετο", "σκοντο", "σκομεθα", "σκεσθε"),
+}
+MIDDLE_ENDINGS = ("μην", "σο", "το", "μεθα", "σθε", "ντο", "σθον", "σθην")
+DIALECTS = {"Homeric": "epic", "Epic": "epic", "Ionic": "ionic", "Doric": "doric", "Aeolic": "aeolic", "Koine": "koine"}
+CONSONANTS = "βγδζθκλμνξπρστφχψΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ"
+CRASIS = f"^[{CONSONANTS}](?:[{T.BREATHINGS}]|[{T._on('αεοηω')}][{''.join(c for c in T._on('ιυ') if c in T.BREATHINGS)}])"
+ACCENT = f"[{T.ACUTES}{T.GRAVES}{T.CIRCUMFLEXES}]"
+LAST_ACCENT = f"[{T.ACUTES}{T.GRAVES}][^{T.VOWELS}]*$"
+ITERATIVE_END = "(?:" + "|".join(v + e for v, es in ITERATIVE.items() for e in es) + ")$"
+MIDDLE_END = "(?:" + "|".join(MIDDLE_ENDINGS) + ")$"
+
+
+def dialect_of(tags: Column) -> Column:
+    """The dialect a set of tags names, '' for Attic and for none."""
+    named = F.create_map(*[x for k, v in DIALECTS.items() for x in (F.lit(k), F.lit(v))])
+    return F.when(F.array_contains(tags, "Attic"), "").otherwise(F.coalesce(F.try_element_at(named, _picked(tags, DIALECTS)), F.lit("")))
+
+
+def spoilt(form: Column, lemma: Column) -> Column:
+    """Forms that stand for no cell: contractions of two words, hosts of an enclitic with its accent, and contract stems without their iota."""
+    f = F.regexp_replace(T.strip_accents(F.lower(form)), f"[{T.ELISION_GLYPHS}]+$", "")
+    cv = F.regexp_extract(T.strip_accents(F.lower(lemma)), f"([{CONSONANTS}][αεηιοωυ])ιε(?:ω|ομαι)$", 1)
+    dropped = (cv != "") & ~F.regexp_like(f, F.concat(cv, F.lit("ι[αεηιοωυ]"))) & F.regexp_like(f, F.concat(cv, F.lit("(?:η|ει|ου|ω|ε|α)")))
+    enclitic = (F.regexp_count(form, F.lit(ACCENT)) == 2) & form.rlike(LAST_ACCENT)
+    return form.rlike(CRASIS) | enclitic | F.coalesce(dropped, F.lit(False))
+
+
+def epic(form: Column, lemma: Column, cell: Column) -> Column:
+    """Forms of the epic language by their look: iterative imperfects, middle endings in passive aorists, pasts without an augment that would show."""
+    f, m = T.strip_accents(F.lower(form)), T.strip_accents(F.lower(lemma))
+    cut = F.regexp_replace(f, f"[{T.ELISION_GLYPHS}]+$", "")
+    iterative = cell.contains("_imperfect_indicative") & ~m.rlike("σκ(?:ω|ομαι|ον)$") & cut.rlike(ITERATIVE_END)
+    root = cell.startswith("passive_aorist_indicative_") & cut.rlike(MIDDLE_END)
+    past = cell.rlike("_indicative(_|$)") & cell.rlike("|".join(PAST))
+    plain = past & ~augmented(form, lemma) & ~m.rlike("^[ηω]") & ~(m.startswith("ε") & f.startswith("ε"))
+    return iterative | root | plain
+
+
+def verb_paradigms(rows: DataFrame) -> DataFrame:
+    """(lemma, dialect, key, form): the best form of each cell of a verb by dialect, '' for Attic. rows: (lemma, form, tags)."""
+    key = verb_key(F.col("tags"))
+    r = rows.select("lemma", "form", key.alias("key"), dialect_of(F.col("tags")).alias("dialect")).where("key IS NOT NULL")
+    r = r.where(~spoilt(F.col("form"), F.col("lemma")))
+    r = r.withColumn("dialect", F.when((F.col("dialect") == "") & epic(F.col("form"), F.col("lemma"), F.col("key")), "epic").otherwise(F.col("dialect")))
+    n = r.groupBy("lemma", "dialect", "key", "form").agg(F.count("*").alias("n"))
+    return best_form(n, ["lemma", "dialect", "key"], lemma=F.col("lemma"), cell=F.col("key"))
+
+
+# The elided forms of the common particles.
+ELIDED = {"ἀλλά": "ἀλλ᾽", "διά": "δι᾽", "ἐπί": "ἐπ᾽", "κατά": "κατ᾽", "μετά": "μετ᾽", "παρά": "παρ᾽", "ὑπό": "ὑπ᾽", "ἀπό": "ἀπ᾽", "ἀντί": "ἀντ᾽", "δέ": "δ᾽"}
+
+
+def elided_forms(rows: DataFrame) -> DataFrame:
+    """(full, elided): of each full form the elided form of its lemma that tracks it best, and the fixed forms of particles.
+
+    Matched are forms of one lemma, the elided one a vowel shorter. The case of the first letter counts 10, breathings in
+    both or neither 5, an accent on the elided form 2, a mark at its start -20; ties go to the greatest. rows: (lemma, form).
+    """
+    r = rows.select("lemma", "form").distinct()
+    marked = F.col("form").rlike(f"[{T.ELISION_GLYPHS}]$")
+    short = r.where(marked).select("lemma", T.canonical_elision(F.col("form")).alias("elided")).distinct()
+    short = short.withColumn("k", T.strip_accents(F.lower(F.expr("substring(elided, 1, length(elided) - 1)")))).where(F.length("elided") > 1)
+    whole = T.strip_accents(F.lower("form"))
+    full = r.where(~marked & (F.length("form") >= 2) & whole.rlike("[αεηιουω]$")).select("lemma", F.col("form").alias("full"), F.substring(whole, F.lit(1), F.length(whole) - 1).alias("k"))
+    big = lambda c: F.col(c).rlike(r"^\p{Lu}")
+    score = F.when(big("full") == big("elided"), 10).otherwise(0) + F.when(T.has_breathing(F.col("full")) == T.has_breathing(F.col("elided")), 5).otherwise(0) + F.when(T.has_accent(F.col("elided")), 2).otherwise(0) - F.when(F.col("elided").rlike(f"^[{T.ELISION_GLYPHS}]"), 20).otherwise(0)
+    best = short.join(full, ["lemma", "k"]).groupBy("full").agg(F.max(F.struct(score.alias("s"), "elided")).alias("m")).select("full", "m.elided")
+    fixed = F.broadcast(rows.sparkSession.createDataFrame(list(ELIDED.items()), "full string, elided string"))
+    return best.join(fixed, "full", "left_anti").unionByName(fixed)
+
+
 def movable_nu(rows: DataFrame) -> DataFrame:
     """(form, with_nu): forms that may take a final nu: third persons and datives plural in -σι and -ξι, -ψι, third persons singular in -ε, ἐστί.
 

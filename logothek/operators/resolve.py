@@ -419,3 +419,34 @@ def repaired_self_maps(ranked: DataFrame, headwords: DataFrame) -> DataFrame:
     j = g.withColumn("_male", F.when((pos == "ADJ") & ~same(F.col("top")), male)).join(h, F.col("_male") == F.col("_m"), "left")
     fixed = F.when(same(F.col("top")) & (pos.isNull() | pos.isin("ADJ", "VERB")), F.col("other"))
     return j.select("word", "pos", F.coalesce(fixed, "_m", "top").alias("lemma"))
+
+
+def case_alternates(hits: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``hits`` (word, lemma, tbl) and, as further rows, their lemmas with the other case of the first letter where that is a lemma of itself in the same table."""
+    c = F.col("lemma")
+    rest = F.substring(c, F.lit(2), F.length(c))
+    first = F.substring(c, 1, 1)
+    alt = F.concat(F.when(F.upper(first) == first, F.lower(first)).otherwise(F.upper(first)), rest)
+    self_ = lexicon.where("form = lemma").select("tbl", F.col("form").alias("_alt")).distinct()
+    other = hits.withColumn("_alt", alt).where(F.col("_alt") != c).join(self_, ["tbl", "_alt"]).select("word", F.col("_alt").alias("lemma"), "tbl")
+    return hits.select("word", "lemma", "tbl", F.lit(False).alias("alternate")).unionByName(other.withColumn("alternate", F.lit(True)))
+
+
+def scaled(candidates_: DataFrame, freq: DataFrame) -> DataFrame:
+    """``candidates_`` (word, lemma, source, score, o) with ``score`` by corpus counts, and ``rank``.
+
+    Of the lookup candidates of a word, if there are several and one is attested, the score is 0.5 and half the logarithm of
+    its count over that of the most frequent; those not attested get 0.55. Proper names come last, then by score, then by
+    ``o``. freq: (key, n) by stripped lower-case key.
+    """
+    from pyspark.sql import Window
+
+    look = F.col("source") == "lookup"
+    of_word = Window.partitionBy("word")
+    n = F.when(look, F.coalesce("n", F.lit(0)))
+    j = candidates_.join(freq.select(F.col("key").alias("_k"), "n"), T.key(F.col("lemma")) == F.col("_k"), "left").withColumn("_log", F.log1p(n))
+    j = j.withColumn("_max", F.max("_log").over(of_word)).withColumn("_many", F.count("_log").over(of_word))
+    score = F.when(look & (F.col("_many") > 1) & (F.col("_max") > 0), F.when(F.col("_log") > 0, 0.5 + 0.5 * F.col("_log") / F.col("_max")).otherwise(0.55)).otherwise(F.col("score"))
+    proper = F.col("lemma").rlike(r"^\p{Lu}")
+    j = j.select("word", "lemma", "source", score.alias("score"), proper.alias("proper"), "o")
+    return j.withColumn("rank", F.row_number().over(of_word.orderBy("proper", F.desc("score"), "o", "lemma")))

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from logothek.plans import corpus, extras, functions, lexicon, resolving, searching, training  # noqa: F401
+    from logothek.plans import corpus, extras, functions, lexicon, resolving, rules, searching, training  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

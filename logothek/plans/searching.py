@@ -149,7 +149,7 @@ _KEY_P, _KEY_G = KEY.format("trim(pred)"), KEY.format("trim(gold)")
 
 
 @query("accuracy_with_equivalents", f"""WITH {_SCORED}, g AS (SELECT DISTINCT {KEY.format('l.text')} AS group_id, h.text AS lemma FROM lemmas l JOIN lemmas h ON h.id = l.id WHERE length(l.text) > 0 UNION SELECT DISTINCT 'b' || a.lemma, b.lemma FROM lex a JOIN lex b ON a.form = b.form AND a.lang = 'el' AND b.lang = 'grc' AND a.lemma <> b.lemma UNION SELECT DISTINCT 'b' || lemma, lemma FROM lex WHERE lang = 'el')
-SELECT split, count(*) AS n, count(*) FILTER (coalesce({_KEY_P} = {_KEY_G}, FALSE) OR (pred, gold) IN (SELECT (a.lemma, b.lemma) FROM g a JOIN g b ON a.group_id = b.group_id)) AS n_equiv FROM sd GROUP BY split""")
+SELECT split, count(*) AS n, count(*) FILTER (coalesce({_KEY_P} = {_KEY_G}, FALSE) OR (pred, {_KEY_G}) IN (SELECT (a.lemma, {KEY.format('trim(b.lemma)')}) FROM g a JOIN g b ON a.group_id = b.group_id) OR (gold, {_KEY_P}) IN (SELECT (a.lemma, {KEY.format('trim(b.lemma)')}) FROM g a JOIN g b ON a.group_id = b.group_id)) AS n_equiv FROM sd GROUP BY split""")
 def accuracy_with_equivalents(spark: SparkSession, d: str) -> DataFrame:
     """Predictions right up to equals: headwords with one key, and modern lemmas with the ancient ones that share a form with them."""
     texts = table(spark, d, "lemmas").where("length(text) > 0").select(T.key(F.col("text")).alias("group_id"), F.col("text").alias("lemma"))
