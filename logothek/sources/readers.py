@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logothek.functions.text import any_greek, lacuna, outer_trim, polytonic_share, strip_length
 from logothek.functions.udfs import beta_code
 
 CONLLU = ("id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc")
@@ -102,3 +103,61 @@ def agdt_features(postag) -> dict:
     """Features of a nine-place tag as columns: class, person, number, tense, mood, voice, gender, case, degree; a dash is null."""
     names = ("pos", "person", "number", "tense", "mood", "voice", "gender", "case", "degree")
     return {n: F.nullif(F.nullif(F.substring(postag, i, 1), F.lit("-")), F.lit("")).alias(n) for i, n in enumerate(names, 1)}
+
+
+def running_text(spark: SparkSession, path: str, least: float = 0.05) -> DataFrame:
+    """(file, value, share, polytonic): whole text files with their share of polytonic letters; ``corpus.txt``, which repeats the others, is left out."""
+    t = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    t = t.where(~F.col("file").rlike(r"(^|/)corpus\.txt$")).withColumn("share", polytonic_share(F.col("value")))
+    return t.withColumn("polytonic", F.col("share") >= least)
+
+
+def gold_tagged(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sent_id, pos, form, tag, gold): three-column gold sets; blank lines end sentences, empty forms and signs (tag u...) are left out."""
+    rows = lines(spark, path)
+    cols = F.split("value", "\t")
+    rows = rows.withColumn("sent_id", F.sum((F.trim("value") == "").cast("int")).over(Window.partitionBy("file").orderBy("line_no")))
+    kept = rows.where((F.size(cols) >= 3) & (F.trim(cols[0]) != "") & ~cols[1].startswith("u"))
+    return kept.select("file", F.col("sent_id").cast("int").alias("sent_id"), F.row_number().over(Window.partitionBy("file", "sent_id").orderBy("line_no")).alias("pos"), cols[0].alias("form"), cols[1].alias("tag"), cols[2].alias("gold"))
+
+
+def word_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(tok, n): lists of a word and its count on each line, tabs or spaces between; other lines are left out."""
+    v = F.trim("value")
+    rx = r"^(\S+)\s+(\d+)$"
+    return spark.read.text(path).where(v.rlike(rx)).select(F.regexp_extract(v, rx, 1).alias("tok"), F.regexp_extract(v, rx, 2).cast("long").alias("n"))
+
+
+def ngram_counts(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """(w1..wn, n): packed counts of n-grams of word numbers, tab-separated, plain or gzipped; malformed lines are left out."""
+    names = [f"w{k + 1}" for k in range(n)]
+    schema = ", ".join([*(f"{c} int" for c in names), "n long"])
+    return spark.read.schema(schema).option("sep", "\t").option("mode", "DROPMALFORMED").csv(path)
+
+
+def papyri_xml(spark: SparkSession, path: str) -> DataFrame:
+    """(file, orig, reg, lemma_orig, lemma_reg, postag): words of papyri as written and as regularised; signs, words without a Greek letter and such with brackets are left out."""
+    schema = "_orig_form string, _form_reg string, _lemma_orig string, _lemma_reg string, _postag_reg string"
+    w = spark.read.format("xml").option("rowTag", "word").option("mode", "DROPMALFORMED").schema(schema).load(path)
+    named = w.select(F.col("_metadata.file_path").alias("file"), *[F.coalesce(f"_{a}", F.lit("")).alias(b) for a, b in (("orig_form", "orig"), ("form_reg", "reg"), ("lemma_orig", "lemma_orig"), ("lemma_reg", "lemma_reg"), ("postag_reg", "postag"))])
+    return named.where(~F.col("postag").startswith("u") & any_greek(F.col("orig")) & ~lacuna(F.col("orig")))
+
+
+def dictionary_xml(spark: SparkSession, path: str) -> DataFrame:
+    """(headword, gender, text): entries of TEI dictionaries, well-formed or not as a whole: the word of ``orth`` and the text after it.
+
+    Elements are found by pattern, so a file without a root, or with a broken entry, gives all others. The headword is the
+    first word without signs, Latin letters, macrons and breves; the gender that of an article near the start.
+    """
+    t = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<entry\b[^>]*>(.*?)</entry>"), 1)).alias("e"))
+    orth = F.regexp_extract("e", r"(?s)<orth\b[^>]*>(.*?)</orth>", 1)
+    word = strip_length(F.regexp_replace(F.regexp_extract(outer_trim(orth), r"^[^,\s]*", 0), r"^[\p{P}\p{Zs}]+|[\p{P}\p{Zs}]+$|[A-Za-z]", ""))
+    after = F.regexp_replace(F.regexp_replace("e", r"(?s)^.*?</orth>", ""), r"<[^>]*>", "")
+    article = F.regexp_extract(F.substring(after, 1, 60), r"(?:^|[,\s])(ὁ|ἡ|τό|τὸ|τά)(?:[,\s.]|$)", 1)
+    gender = F.when(article == "ὁ", "m").when(article == "ἡ", "f").when(article != "", "n")
+    return t.select(word.alias("headword"), gender.alias("gender"), outer_trim(after).alias("text")).where((F.length("headword") >= 2) & any_greek(F.col("headword")))
+
+
+def larger(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Of two copies of a table the one with more rows, the first if they have equally many; counts both."""
+    return b if b.count() > a.count() else a

@@ -34,3 +34,16 @@ def spelling_dictionary(signatures: DataFrame, path: str) -> None:
     signatures.select(entry.alias("value")).distinct().orderBy("value").write.mode("overwrite").text(f"{path}/dic")
     rules = signatures.where("flag IS NOT NULL").select("flag", F.explode(F.split("signature", r"\|")).alias("suffix")).distinct()
     rules.select(F.concat_ws(" ", F.lit("SFX"), F.col("flag").cast("string"), F.lit("0"), F.when(F.col("suffix") == "", "0").otherwise(F.col("suffix")), F.lit(".")).alias("value")).orderBy("value").write.mode("overwrite").text(f"{path}/aff")
+
+
+def paradigms(rows: DataFrame, path: str) -> None:
+    """One JSON object for each lemma and dialect, with a map from cells to forms. rows: (lemma, dialect, key, form), one for each cell."""
+    cells = F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "form"))))  # a verb has some thousand cells at most
+    rows.groupBy("lemma", "dialect").agg(cells.alias("cells")).write.mode("overwrite").json(path)
+
+
+def corpora(sentences: DataFrame, path: str, dev: str = "dev") -> None:
+    """Sentences in a folder for each corpus and part, training or held out, and a folder of their counts. sentences: (corpus, sent_id, framed, n, dev)."""
+    parts = sentences.withColumn("part", F.when(F.col(dev), "dev").otherwise("train"))
+    parts.drop(dev).write.mode("overwrite").partitionBy("corpus", "part").parquet(f"{path}/sentences")
+    parts.groupBy("corpus", "part").agg(F.count("*").alias("n_sentences"), F.sum("n").alias("n_tokens")).write.mode("overwrite").json(f"{path}/stats")

@@ -40,6 +40,42 @@ def test_readers(spark, tmp_path):
     assert [r.token for r in S.zipped_verticals(spark, str(tmp_path / "v.zip")).collect()] == ["μῆνιν", "θεά"]
 
 
+def test_more_readers(spark, tmp_path):
+    d = tmp_path / "texts"
+    d.mkdir()
+    for name, text in (("a.txt", "ἐν ἀρχῇ ἦν ὁ λόγος"), ("b.txt", "στην αρχή ήταν ο λόγος"), ("corpus.txt", "ἐν"), ("c.md", "ἐν")):
+        (d / name).write_text(text)
+    assert {r.file.rsplit("/", 1)[1]: r.polytonic for r in S.running_text(spark, str(d)).collect()} == {"a.txt": True, "b.txt": False}
+    p = tmp_path / "g3.tsv"
+    p.write_text("a\tn---\tA\n.\tu---\t.\nb\tv---\tB\n\n \tn\tx\nc\tn---\tC\nshort\tn\n")
+    assert [(r.sent_id, r.pos, r.form, r.tag, r.gold) for r in S.gold_tagged(spark, str(p)).orderBy("sent_id", "pos").collect()] == [(0, 1, "a", "n---", "A"), (0, 2, "b", "v---", "B"), (1, 1, "c", "n---", "C")]
+    p = tmp_path / "w.txt"
+    p.write_text("και 12\nτο\t3\nbad\n")
+    assert {(r.tok, r.n) for r in S.word_counts(spark, str(p)).collect()} == {("και", 12), ("το", 3)}
+    with gzip.open(tmp_path / "bi.tsv.gz", "wt") as f:
+        f.write("4\t5\t9\nx\t1\t2\n4\t6\t1\n")
+    assert sorted(map(tuple, S.ngram_counts(spark, str(tmp_path / "bi.tsv.gz"), 2).collect())) == [(4, 5, 9), (4, 6, 1)]
+    p = tmp_path / "pap.xml"
+    p.write_text('<t><word orig_form="ἔγραψα" form_reg="ἔγραψα" lemma_reg="γράφω" postag_reg="v1saia---"/><word orig_form="ἔγ[ρ]" postag_reg="v"/><word orig_form="." postag_reg="u"/><word orig_form="abc"/></t>')
+    assert [(r.orig, r.lemma_reg, r.lemma_orig) for r in S.papyri_xml(spark, str(p)).collect()] == [("ἔγραψα", "γράφω", "")]
+    p = tmp_path / "dict.xml"
+    p.write_text('<entry><orth>ἀββᾶς, ᾶ</orth>, ὁ, <b>father</b></entry><entry><orth>x</orth> no</entry><entry><orth>-ῡλη.</orth>, ἡ book</entry><entry><broken')
+    assert [(r.headword, r.gender, r.text) for r in S.dictionary_xml(spark, str(p)).collect()] == [("ἀββᾶς", "m", ", ὁ, father"), ("υλη", "f", ", ἡ book")]
+    a, b = spark.range(3), spark.range(5)
+    assert S.larger(a, b) is b and S.larger(a, a.limit(3)) is a
+
+
+def test_more_writers(spark, tmp_path):
+    rows = spark.createDataFrame([("λύω", "", "active_present_infinitive", "λύειν"), ("λύω", "", "active_aorist_indicative_1sg", "ἔλυσα"), ("λύω", "epic", "active_aorist_indicative_3sg", "λῦσε")], "lemma string, dialect string, key string, form string")
+    W.paradigms(rows, str(tmp_path / "p"))
+    got = {(r.lemma, r.dialect): r.cells for r in spark.read.schema("lemma string, dialect string, cells map<string,string>").json(str(tmp_path / "p")).collect()}
+    assert got["λύω", ""] == {"active_present_infinitive": "λύειν", "active_aorist_indicative_1sg": "ἔλυσα"} and len(got) == 2
+    s = spark.createDataFrame([("a", "1", "<s> x </s>", 3, True), ("a", "2", "<s> y </s>", 3, False), ("b", "b:1", "<s> y </s>", 3, False)], "corpus string, sent_id string, framed string, n long, dev boolean")
+    W.corpora(s, str(tmp_path / "c"))
+    assert spark.read.parquet(str(tmp_path / "c/sentences")).where("corpus = 'a' AND part = 'dev'").count() == 1
+    assert {(r.corpus, r.part, r.n_sentences) for r in spark.read.json(str(tmp_path / "c/stats")).collect()} == {("a", "dev", 1), ("a", "train", 1), ("b", "train", 1)}
+
+
 def test_writers(spark, tmp_path):
     rows = spark.createDataFrame([("λόγος", "λόγος", "grc"), ("λόγου", "λόγος", "grc"), ("το", "ο", "el")], "form string, lemma string, lang string")
     W.lexicon_table(rows, "lexicon_test", 4)
