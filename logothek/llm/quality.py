@@ -45,6 +45,9 @@ FRAME = r"^\{\d+\}\{\d*\}"
 TIME = r"^\s*(?:\d+:)+\d+[.,]\d+\s*-+>\s*(?:\d+:)+\d+[.,]\d+.*"
 MARKUP = r"</?(?:i|b|u|s|font|c|v|ruby|rt)(?:[ .=][^>]*)?>|\{\\[^}]*\}"
 
+#: What a line must have not to be blank.
+VISIBLE = r"[^\s\p{Z}\x{FEFF}\x{200B}-\x{200F}\x{2060}]"
+
 FEATURES = {
     "len": "length(s)",
     "letters": "length(s) - length(regexp_replace(s, '\\\\p{L}', ''))",
@@ -81,16 +84,26 @@ RATIOS = {
 NAMES = [*FEATURES, *RATIOS]
 
 
-def cue_lines(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, s): the lines of cue text, trimmed and without mark-up; numbers, times, blank lines and headers are left out."""
+def cue_lines(documents: DataFrame, text: str = "text", heads: bool = False) -> DataFrame:
+    """(doc_id, s, tabs): the lines of cue text, trimmed and without mark-up; numbers, times, blank lines and headers are left out.
+
+    heads: adds a row of no line for each document, with the length of its text in ``n_chars``, from the same reading.
+    """
     t = F.expr(f"concat('\n', replace(trim(LEADING '\ufeff' FROM `{text}`), '\r', ''))")
     t = F.regexp_replace(t, r"\n[ \t]*[0-9]+[ \t]*(?=\n[ \t]*(?:[0-9]+:)+[0-9]+[.,][0-9]+[ \t]*-+>)", "")
-    lines = spread(documents.where(F.length(text) > 0).select("doc_id", text)).select("doc_id", F.posexplode(F.split(t, "\n")).alias("i", "s")).where(F.length("s") > 0)
-    lines = lines.where(~(F.col("s").contains("->") & F.col("s").rlike(TIME)) & ~((F.col("i") == 1) & F.col("s").rlike(r"^[ \t]*WEBVTT")))
-    frame = F.col("s").startswith("{") & F.col("s").rlike(FRAME)
-    parts = lines.select("doc_id", F.explode(F.when(frame, F.split(F.regexp_replace("s", FRAME, ""), r"\|")).otherwise(F.array("s"))).alias("s"))
-    plain = F.when(F.col("s").rlike("[<{]"), F.regexp_replace("s", MARKUP, "")).otherwise(F.col("s"))
-    return parts.select("doc_id", F.trim(F.replace(plain, F.lit("\t"), F.lit(" "))).alias("s"), F.col("s").contains("\t").cast("int").alias("tabs")).where(F.length("s") > 0)
+    s, head = F.col("s"), F.col("s").isNull()
+    cut = F.split(t, "\n")
+    if heads:
+        cut = F.concat(F.coalesce(cut, F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
+    own = documents.select("doc_id", text) if heads else documents.where(F.length(text) > 0).select("doc_id", text)
+    lines = spread(own).select("doc_id", F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"), F.posexplode(cut).alias("i", "s"))
+    lines = lines.where(head | ((F.length("s") > 0) & ~(s.contains("->") & s.rlike(TIME)) & ~((F.col("i") == 1) & s.rlike(r"^[ \t]*WEBVTT"))))
+    frame = s.startswith("{") & s.rlike(FRAME)
+    parts = lines.select("doc_id", "n_chars", F.explode(F.when(frame, F.split(F.regexp_replace("s", FRAME, ""), r"\|")).otherwise(F.array("s"))).alias("s"))
+    plain = F.when(s.rlike("[<{]"), F.regexp_replace("s", MARKUP, "")).otherwise(s)
+    keep = ["doc_id", F.when(head, F.col("n_chars")).alias("n_chars")] if heads else ["doc_id"]
+    trimmed = parts.select(*keep, F.trim(F.replace(plain, F.lit("\t"), F.lit(" "))).alias("s"), s.contains("\t").cast("int").alias("tabs"))
+    return trimmed.where(head | s.rlike(VISIBLE))
 
 
 def with_features(lines: DataFrame) -> DataFrame:
@@ -298,19 +311,18 @@ def line_kind(rules: list | None = None) -> Column:
 
 
 def document_statistics(documents: DataFrame, rules: list | None = None) -> DataFrame:
-    """One row for each document id: counts, ratios and ``kind`` (null without cue text)."""
-    lines = with_features(cue_lines(documents)).withColumn("line_kind", line_kind(rules))
+    """One row for each document id: counts, ratios and ``kind`` (null without cue text); lines and lengths come from one reading."""
+    lines = with_features(cue_lines(documents, heads=True)).withColumn("line_kind", F.when(F.col("s").isNotNull(), line_kind(rules)))
     n = lambda k: F.sum((F.col("line_kind") == k).cast("long")).alias(f"n_{k}")
     sums = lines.groupBy("doc_id").agg(
-        F.count("*").alias("n_lines"), F.sum("words").alias("n_words"), F.sum("letters").alias("n_letters"), F.sum("len").alias("n_line_chars"), F.sum(F.col("len") - F.col("letters") - F.col("digits") - F.col("spaces")).alias("n_symbols"),
+        F.sum("n_chars").alias("n_chars"), F.count("s").alias("n_lines"), F.sum("words").alias("n_words"), F.sum("letters").alias("n_letters"), F.sum("len").alias("n_line_chars"), F.sum(F.col("len") - F.col("letters") - F.col("digits") - F.col("spaces")).alias("n_symbols"),
         F.sum("digits").alias("n_digits"), F.sum("ended").alias("n_ended"), F.sum("common").alias("n_common"), *map(n, LABELS),
     )
-    whole = documents.groupBy("doc_id").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_chars"))
     kind = F.when(F.col("n_lines") > 0, F.expr("CASE WHEN 2 * n_list > n_lines THEN 'list' WHEN 2 * n_table > n_lines THEN 'table' WHEN 2 * n_junk > n_lines THEN 'junk' ELSE 'prose' END"))
     ratio = lambda a, b, name: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)), 6).alias(name)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    return whole.join(sums, "doc_id", "left").select(
-        "doc_id", "n_chars", zero("n_lines"), zero("n_words"), ratio("n_letters", "n_words", "mean_word_length"), ratio("n_symbols", "n_line_chars", "symbol_ratio"), ratio("n_digits", "n_line_chars", "digit_ratio"),
+    return sums.select(
+        "doc_id", "n_chars", "n_lines", zero("n_words"), ratio("n_letters", "n_words", "mean_word_length"), ratio("n_symbols", "n_line_chars", "symbol_ratio"), ratio("n_digits", "n_line_chars", "digit_ratio"),
         ratio("n_ended", "n_lines", "ended_share"), ratio("n_common", "n_words", "common_share"), *map(zero, ("n_list", "n_table", "n_junk")), kind.alias("kind"),
     )
 

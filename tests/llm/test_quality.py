@@ -1,11 +1,15 @@
 """Held-out accuracy of the induced rules, the exported SQL against the rules, and each defined case."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from logothek.llm import quality as q
 
+from labelled import LABELLED
+
 
 def predicted(rules, x):
     out, left = np.full(len(x), "prose", dtype="<U5"), np.ones(len(x), bool)
@@ -32,6 +36,19 @@ def test_sql_is_the_rule_list(spark, rules):
     assert (predicted(rules, df[q.NAMES].to_numpy(float)) == df["k"].to_numpy(str)).all()
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test data")
+def test_labelled_by_hand(spark, rules):
+    """Precision and recall of each kind on documents labelled by reading them."""
+    truth = {i: k for k, ids in LABELLED.items() for i in ids}
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(F.col("doc_id").isin(*truth))
+    got = {r.doc_id: r.kind for r in q.not_prose(docs, rules).collect()}
+    assert len(truth) >= 200
+    for kind in q.LABELS:
+        want, found = {i for i, k in truth.items() if k == kind}, {i for i, k in got.items() if k == kind}
+        assert len(want & found) >= 0.98 * len(want) and len(want & found) >= 0.98 * len(found), (kind, want ^ found)
+    assert not set(got) & set(LABELLED["blank"])
+
+
 def srt(lines):
     return "".join(f"{i}\n00:00:{i:02d},000 --> 00:00:{i:02d},900\n{s}\n\n" for i, s in enumerate(lines))
 
