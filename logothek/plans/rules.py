@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logothek.functions import entries as E
 from logothek.functions import text as T
 from logothek.functions import udfs as U
 from logothek.functions.tables import ARTICLES
@@ -282,3 +283,18 @@ def elided_forms(spark: SparkSession, d: str) -> DataFrame:
     p = PL.pairs(spark, d).select("lemma", "form")
     cut = p.where(T.strip_accents(F.lower("form")).rlike("..[αεηιουω]$")).select("lemma", F.concat(F.expr("substring(form, 1, length(form) - 1)"), F.lit("’")).alias("form"))
     return Y.elided_forms(p.unionByName(cut))
+
+
+_HEAD = (("fut.", "active_future_indicative_1sg"), ("aor.", "active_aorist_indicative_1sg"), ("pf.", "active_perfect_indicative_1sg"), (":—Med., fut.", "middle_future_indicative_1sg"), ("aor.", "middle_aorist_indicative_1sg"), (":—Pass., fut.", "passive_future_indicative_1sg"), ("aor.", "passive_aorist_indicative_1sg"))
+_NAMES = ("fut", "aor", "pf", "fut_med", "aor_med", "fut_p", "aor_p")
+
+
+@query("principal_parts", f"""WITH {PS._CELLS}, v AS (SELECT lemma, vk AS key, min(form) AS form FROM ck WHERE vk IN ({', '.join(f"'{k}'" for _, k in _HEAD)}) AND regexp_full_match(nfc_normalize(form), '[\\x{{0370}}-\\x{{03FF}}\\x{{1F00}}-\\x{{1FFF}}]{{{{3,}}}}') GROUP BY ALL),
+n AS (SELECT lemma, list_extract([{', '.join(f"'{x}'" for x in _NAMES)}], list_position([{', '.join(f"'{k}'" for _, k in _HEAD)}], key)) AS part, nfc_normalize(form) AS form, {PL.BARE.format('nfc_normalize(form)')} AS b FROM v)
+SELECT lemma, part, form FROM n WHERE CASE part """.replace("{{", "{").replace("}}", "}") + " ".join(f"WHEN '{p}' THEN regexp_matches(b, '({'|'.join(E.ENDINGS[p])})$')" for p in _NAMES) + f" END AND b NOT IN ({', '.join(repr(x) for x in E.SKIPPED)})")
+def principal_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Principal parts read out of entry heads, which are written here from the first persons of the tagged pairs as dictionaries write them."""
+    c = PS.cells(spark, d).where(F.col("key").isin(*[k for _, k in _HEAD])).where(T.nfc(F.col("form")).rlike(f"^[{T.GREEK_RANGES}]{{3,}}$"))
+    p = c.groupBy("lemma").agg(*[F.min(F.when(F.col("key") == k, F.col("form"))).alias(f"_{i}") for i, (_, k) in enumerate(_HEAD)])
+    text = F.concat(F.lit("[ᾰ], "), *[F.coalesce(F.concat(F.lit(f"{label} Ion. "), f"_{i}", F.lit(" Hdt.1.95, etc.: ")), F.lit(label[: label.find(",") + 1] + " " if "—" in label else "")) for i, (label, _) in enumerate(_HEAD)])
+    return p.select("lemma", F.explode(E.principal_parts(text, F.col("lemma"))).alias("part", "form"))
