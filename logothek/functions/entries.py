@@ -52,7 +52,7 @@ def principal_parts_of(text: str, headword: str) -> dict[str, str]:
     s = ud.normalize("NFC", text)
     s = re.sub(r"^\s*\[[^\]]*\]\s*,?\s*", "", s)
     s = re.sub(r"^\s*\*\*[^*]+\*\*\s*", "", s)
-    s = re.sub(rf"^\s*{re.escape(ud.normalize('NFC', headword))}\s*,?\s*", "", s)[:HEAD]
+    s = re.sub(rf"^\s*{re.escape(ud.normalize('NFC', headword))}\s*,?\s*", "", s)
     low = _plain(s)
     marks = [(0, "act"), *((m.start(), "pass" if m.group(1).startswith("pass") else "med") for m in _SECTION.finditer(low)), (len(low), "")]
     out: dict[str, str] = {}
