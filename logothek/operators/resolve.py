@@ -8,6 +8,7 @@ step can place.
 from __future__ import annotations
 
 import unicodedata as ud
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +28,25 @@ def lookup_table(pairs: dict[str, str], c: Column) -> Column:
 
 
 
-def variants(c: Column) -> Column:
-    """The different keys a string is looked up by, in order; the last two don't count if they are of one or two letters and map to themselves."""
-    low, acute = F.lower(c), T.grave_to_acute(c)
-    keys = F.array(c, low, acute, F.lower(acute), T.monotonic(low), T.strip_accents(low))
-    numbered = F.transform(keys, lambda k, i: F.struct(i.alias("v"), k.alias("key")))
-    return F.filter(numbered, lambda x: F.array_position(keys, x["key"]) == x["v"] + 1)
+def keyed(rows: DataFrame, column: str, keep: list[str]) -> DataFrame:
+    """(keep..., column, v, form): the different keys that a string is looked up by, numbered in order; null strings have none.
+
+    As it is, in lower case, with acutes for graves, both, monotonic, without marks. The last two (4 and 5) don't count in a
+    lookup if they are of one or two letters and map to themselves. Each key is computed once, then those that differ from all
+    before become rows, within code generation.
+    """
+    c = F.col(column)
+    k = rows.select(*keep, *([] if column in keep else [column]), F.lower(c).alias("_1"), T.grave_to_acute(c).alias("_2"))
+    k = k.select("*", F.lower("_2").alias("_3"), T.monotonic(F.col("_1")).alias("_4"), T.strip_accents(F.col("_1")).alias("_5"))
+    names = [column, "_1", "_2", "_3", "_4", "_5"]
+    options = []
+    for i, name in enumerate(names):
+        new = F.col(name).isNotNull()
+        for before in names[:i]:
+            new = new & (F.col(name) != F.col(before))
+        options.append(F.when(new, F.struct(F.lit(i).alias("v"), F.col(name).alias("form"))))
+    x = k.select(*keep, *([] if column in keep else [column]), F.explode(F.array(*options)).alias("_x")).where("_x IS NOT NULL")
+    return x.select(*keep, *([] if column in keep else [column]), "_x.v", "_x.form")
 
 
 def looked_up(candidates: DataFrame, lexicon: DataFrame, keep: list[str], prefer: bool = True, guard: bool = True) -> DataFrame:
@@ -41,7 +55,7 @@ def looked_up(candidates: DataFrame, lexicon: DataFrame, keep: list[str], prefer
     candidates: (keep..., cand). lexicon: (tbl, form, lemma) with ``ag`` and ``all`` unique by form. With ``prefer``,
     polytonic candidates are tried in ``ag`` first.
     """
-    k = candidates.select(*keep, "cand", F.explode(variants(F.col("cand"))).alias("x")).select(*keep, "cand", "x.v", F.col("x.key").alias("form"))
+    k = keyed(candidates, "cand", keep)
     order = F.when((F.col("tbl") == "ag") & F.col("cand").rlike(f"[{POLYTONIC}]"), 0).when(F.col("tbl") == "all", 1)
     hits = k.join(lexicon, "form").withColumn("_t", order if prefer else F.lit(1)).where("_t IS NOT NULL")
     if guard:
@@ -113,10 +127,8 @@ def _candidate(step: int, rank: Column | int, cand: Column, when: Column, not_se
     return F.when(ok, F.struct(F.lit(step).alias("step"), (F.lit(rank) if isinstance(rank, int) else rank).cast("int").alias("r"), cand.alias("cand"), F.lit(not_self).alias("not_self")))
 
 
-def particle_candidates(c: Column, step: int = 5) -> list[Column]:
+def particle_candidates(c: Column, low: Column, bare: Column, step: int = 5) -> list[Column]:
     """Words without an enclitic particle, and demonstratives without a deictic iota."""
-    low = F.lower(c)
-    bare = T.strip_accents(low)
     out, n = [], 0
     final = lambda x: F.regexp_replace(x, "σ$", "ς")
     for p in G.PARTICLES:
@@ -133,10 +145,8 @@ def particle_candidates(c: Column, step: int = 5) -> list[Column]:
     return out
 
 
-def verb_candidates(c: Column, step: int = 6) -> list[Column]:
+def verb_candidates(c: Column, low: Column, bare: Column, step: int = 6) -> list[Column]:
     """Words of four letters or more without syllabic or temporal augment or reduplication; hits that map to themselves don't count."""
-    low = F.lower(c)
-    bare = T.strip_accents(low)
     enough = F.length(bare) >= 4
     rest = F.regexp_replace(low, r"^.\p{Mn}*", "")
     out, n = [_candidate(step, 0, rest, enough & bare.startswith("ε"), True, 3)], 1
@@ -156,12 +166,11 @@ def _subscripts(c: Column) -> Column:
     return c
 
 
-def byzantine_candidates(c: Column, step: int = 7) -> list[Column]:
+def byzantine_candidates(c: Column, low: Column, bare: Column, step: int = 7) -> list[Column]:
     """Light repairs: final sigma, iota adscript, hyphens, lower initial, a missing breathing."""
     sigma = lambda x: F.when(x.endswith("σ"), F.regexp_replace(x, "σ$", "ς"))
     changed = lambda x, y: F.when(x != y, x)
     lowered = F.when(c.rlike(r"^\p{Lu}"), F.concat(F.lower(F.substring(c, 1, 1)), F.substring(c, F.lit(2), F.length(c))))
-    low = F.lower(c)
     first, rest = F.substring(low, 1, 1), F.substring(low, F.lit(2), F.length(low))
     tries = [
         sigma(c), changed(_subscripts(c), c), F.when(c.contains("-"), F.replace(c, F.lit("-"), F.lit(""))), lowered, changed(_subscripts(lowered), lowered), sigma(lowered),
@@ -170,17 +179,16 @@ def byzantine_candidates(c: Column, step: int = 7) -> list[Column]:
     return [_candidate(step, i, x, x.isNotNull()) for i, x in enumerate(tries)]
 
 
-def compound_candidates(c: Column, step: int = 9) -> Column:
+def compound_candidates(bare: Column, step: int = 9) -> Column:
     """An array of (step, r, cand, prefix): what follows each link vowel, of three letters or more, after two or more."""
-    bare = T.strip_accents(F.lower(c))
     at = F.filter(F.sequence(F.lit(2), F.greatest(F.length(bare) - 3, F.lit(2))), lambda i: (i <= F.length(bare) - 3) & F.substring(bare, i, F.lit(1)).isin(*G.LINK_VOWELS))
     return F.transform(at, lambda i: F.struct(F.lit(step).alias("step"), i.alias("r"), F.substring(bare, i + 1, F.length(bare)).alias("cand"), F.substring(bare, F.lit(1), i).alias("prefix")))
 
 
 def compounds(words: DataFrame, lexicon: DataFrame, word: str = "word") -> DataFrame:
     """(word, compound, base_lemma, prefix, rank): splits at a link vowel whose second part is a known inflected form."""
-    w = words.select(F.col(word).alias("word")).where(F.length("word") > 0).distinct()
-    c = w.select("word", F.explode(compound_candidates(F.col("word"))).alias("x")).where(F.length(T.strip_accents(F.lower("word"))) >= 6).select("word", F.col("x.r").alias("rank"), F.col("x.prefix").alias("prefix"), F.col("x.cand").alias("cand"))
+    w = words.select(F.col(word).alias("word")).where(F.length("word") > 0).distinct().select("word", T.strip_accents(F.lower("word")).alias("_bare")).where(F.length("_bare") >= 6)
+    c = w.select("word", F.explode(compound_candidates(F.col("_bare"))).alias("x")).select("word", F.col("x.r").alias("rank"), F.col("x.prefix").alias("prefix"), F.col("x.cand").alias("cand"))
     hit = looked_up(c, lexicon, ["word", "rank", "prefix"]).withColumn("_s", T.strip_accents(F.lower("lemma")))
     return hit.where((F.col("_s") != F.col("cand")) & (F.length("_s") >= 2) & (F.length("_s") <= F.length("cand") + 2)).select("word", F.concat("prefix", "_s").alias("compound"), F.col("lemma").alias("base_lemma"), "prefix", "rank")
 
@@ -216,18 +224,19 @@ def heavy_repairs(words: DataFrame, lexicon: DataFrame, period: str = "byzantine
 SOURCES = {0: "digit", 1: "article", 2: "crasis", 3: "elision", 4: "lookup", 5: "particle", 6: "verb_morphology", 7: "byzantine_norm", 9: "compound", 10: "prefix", 11: "identity"}
 
 
-def rule_hits(words: DataFrame, lexicon: DataFrame, steps: dict[int, list[Column]], splits: bool = False) -> DataFrame:
+def rule_hits(words: DataFrame, lexicon: DataFrame, steps: dict[int, Callable[[Column, Column, Column], list[Column]]], splits: bool = False) -> DataFrame:
     """(word, step, cand, lemma, compound): the first hit of each step of single-lookup rules, by one join for all of them.
 
-    splits: tries compounds, too, as step 9; their lemma is that of the second part, ``compound`` the whole.
+    steps: by number, what gives the candidates of a word, its lower case and that without marks. splits: tries compounds, too,
+    as step 9; their lemma is that of the second part, ``compound`` the whole.
     """
-    every = F.filter(F.array(*[x for v in steps.values() for x in v]), lambda x: x.isNotNull())
-    every = F.transform(every, lambda x: F.struct(x["step"].alias("step"), x["r"].alias("r"), x["cand"].alias("cand"), x["not_self"].alias("not_self"), F.lit(None).cast("string").alias("prefix")))
+    w = words.select("word", F.lower("word").alias("_low"))
+    w = w.select("*", T.strip_accents(F.col("_low")).alias("_bare"))
+    options = [x for f in steps.values() for x in f(F.col("word"), F.col("_low"), F.col("_bare"))]
+    c = w.select("word", F.explode(F.array(*options)).alias("x")).where("x IS NOT NULL").select("word", "x.*", F.lit(None).cast("string").alias("prefix"))
     if splits:
-        long = F.length(T.strip_accents(F.lower("word"))) >= 6
-        parts = F.transform(compound_candidates(F.col("word")), lambda x: F.struct(x["step"].alias("step"), x["r"].cast("int").alias("r"), x["cand"].alias("cand"), F.lit(False).alias("not_self"), x["prefix"].alias("prefix")))
-        every = F.concat(every, F.when(long, parts).otherwise(F.slice(parts, 1, 0)))
-    c = words.select("word", F.explode(every).alias("x")).select("word", "x.*")
+        parts = w.where(F.length("_bare") >= 6).select("word", F.explode(compound_candidates(F.col("_bare"))).alias("x"))
+        c = c.unionByName(parts.select("word", "x.step", F.col("x.r").cast("int").alias("r"), "x.cand", F.lit(False).alias("not_self"), "x.prefix"))
     hit = looked_up(c, lexicon, ["word", "step", "r", "not_self", "prefix"])
     bare, own = T.strip_accents(F.lower("lemma")), T.strip_accents(F.lower("cand"))
     self_ = (F.col("cand") == F.col("lemma")) | (own == bare)
@@ -260,7 +269,7 @@ def lemmatised(words: DataFrame, lexicon: DataFrame, freq: DataFrame, word: str
     placed = checkpointed(w.join(hit, "word", "left").select("word", F.coalesce(literal, "_h").alias("m")))
     found = placed.where(F.col("m").isNotNull() | (F.length("word") == 0) | c.isNull()).select("word", F.coalesce("m", F.struct(F.lit(11.0).alias("step"), c.alias("lemma"))).alias("m"))
     open_ = placed.where(F.col("m").isNull() & (F.length("word") > 0)).select("word")
-    rules = rule_hits(open_, lexicon, {5: particle_candidates(c), 6: verb_candidates(c), 7: byzantine_candidates(c)}, splits=True)
+    rules = rule_hits(open_, lexicon, {5: particle_candidates, 6: verb_candidates, 7: byzantine_candidates}, splits=True)
     late = rules.select("word", F.struct(F.col("step").cast("double").alias("step"), F.coalesce("compound", "lemma").alias("lemma")).alias("m"))
     late = late.unionByName(prefixed(open_, lexicon).select("word", F.struct(F.lit(10.0).alias("step"), "lemma").alias("m")))
     late = late.unionByName(open_.select("word", F.struct(F.lit(11.0).alias("step"), c.alias("lemma")).alias("m")))
@@ -289,7 +298,7 @@ def candidates(words: DataFrame, lexicon: DataFrame, freq: DataFrame, word: str
     base = checkpointed(base.unionByName(w.where(crasis(c).isNotNull()).select("word", crasis(c).alias("lemma"), F.lit("crasis").alias("source"), F.lit(0).alias("o"))))
     open_ = checkpointed(w.join(base.select("word").distinct(), "word", "left_anti"))
     names = F.create_map(*[x for k, v in SOURCES.items() for x in (F.lit(k), F.lit(v))])
-    rules = rule_hits(open_, lexicon, {5: particle_candidates(c), 6: verb_candidates(c), 7: byzantine_candidates(c)}).select("word", "lemma", F.element_at(names, F.col("step")).alias("source"), (F.col("step") * 100).alias("o"))
+    rules = rule_hits(open_, lexicon, {5: particle_candidates, 6: verb_candidates, 7: byzantine_candidates}).select("word", "lemma", F.element_at(names, F.col("step")).alias("source"), (F.col("step") * 100).alias("o"))
     rules = rules.unionByName(compounds(open_, lexicon).select("word", F.col("compound").alias("lemma"), F.lit("compound").alias("source"), (F.col("rank") + 900).alias("o")))
     rules = checkpointed(rules.unionByName(prefixed(open_, lexicon).select("word", "lemma", F.lit("prefix").alias("source"), F.lit(1000).alias("o"))))
     rest = open_.join(rules.select("word").distinct(), "word", "left_anti").select("word", c.alias("lemma"), F.lit("identity").alias("source"), F.lit(2000).alias("o"))
@@ -312,7 +321,7 @@ def by_pos(words: DataFrame, candidates_: DataFrame, pos_table: DataFrame, repai
     """
     bare = lambda c: T.strip_accents(F.lower(c))
     w = words.select("word", "pos").distinct()
-    k = w.select("word", "pos", F.explode(variants(F.col("word"))).alias("x")).select("word", "pos", "x.v", F.col("x.key").alias("form"))
+    k = keyed(w, "word", ["word", "pos"])
     told = k.join(pos_table.select("form", "pos", F.col("lemma").alias("_p")), ["form", "pos"]).groupBy("word", "pos").agg(F.min(F.struct("v", "_p")).alias("m")).select("word", "pos", "m._p")
     j = w.join(told, ["word", "pos"], "left").join(candidates_.select("word", F.col("lemma").alias("_c"), F.col("rank").alias("_k")), "word", "left")
     first = lambda when: F.min(F.when(when, F.struct("_k", "_c")))

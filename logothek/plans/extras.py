@@ -81,12 +81,10 @@ def without_article_maps(spark: SparkSession, d: str) -> DataFrame:
 SELECT w.word, coalesce(h.src, '') AS lang FROM w LEFT JOIN (SELECT word, first(src ORDER BY k.x.v, t) AS src FROM k JOIN s ON s.form = k.x.key GROUP BY word) h USING (word)""")
 def language_of_form(spark: SparkSession, d: str) -> DataFrame:
     """The table that has a word under its first key: the modern one before the ancient."""
-    from logothek.operators.resolve import variants
-
     ag, el, _ = PL.two(spark, d)
     s = el.select("form", F.lit(0).alias("t"), F.lit("el").alias("src")).unionByName(ag.select("form", F.lit(1).alias("t"), F.lit("grc").alias("src")))
     w = PR.words(spark, d)
-    k = w.select("word", F.explode(variants(F.col("word"))).alias("x")).select("word", "x.v", F.col("x.key").alias("form"))
+    k = PR.R.keyed(w, "word", ["word"])
     hit = k.join(s, "form").groupBy("word").agg(F.min(F.struct("v", "t", "src")).alias("m"))
     return w.join(hit, "word", "left").select("word", F.coalesce("m.src", F.lit("")).alias("lang"))
 

@@ -171,7 +171,7 @@ def particle_strip(spark: SparkSession, d: str) -> DataFrame:
     """Forms with each particle added, and demonstratives with a deictic iota, led back to a known form."""
     w = words(spark, d).select(F.explode(F.array(*[F.concat("word", F.lit(p)) for p in G.PARTICLES])).alias("word"))
     w = w.unionByName(spark.createDataFrame([(x + "ι",) for x in G.DEICTIC] + [("ὅσπερ",)], "word string")).distinct()
-    return R.rule_hits(w, lexicon_with_real(spark, d), {5: R.particle_candidates(F.col("word"))}).select("word", "lemma", "cand")
+    return R.rule_hits(w, lexicon_with_real(spark, d), {5: R.particle_candidates}).select("word", "lemma", "cand")
 
 
 def augments(source: str) -> str:
@@ -196,7 +196,7 @@ def verb_strip(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("word")
     past = F.array(F.concat(F.lit("ἐ"), c), F.concat(F.substring(c, 1, 1), F.lit("ε"), c), F.concat(F.lit("ε"), c), F.when(c.rlike("^[αε]"), F.concat(F.lit("η"), F.substring(c, F.lit(2), F.length(c)))).otherwise(c))
     w = words(spark, d).select(F.explode(past).alias("word")).distinct()
-    return R.rule_hits(w, lexicon(spark, d), {6: R.verb_candidates(F.col("word"))}).select("word", "lemma", "cand")
+    return R.rule_hits(w, lexicon(spark, d), {6: R.verb_candidates}).select("word", "lemma", "cand")
 
 
 def _subscripts(c: str) -> str:
@@ -226,7 +226,7 @@ def byzantine_repair(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("word")
     damaged = F.array(c, F.regexp_replace(c, "ς$", "σ"), F.concat(F.substring(c, 1, 2), F.lit("-"), F.substring(c, F.lit(3), F.length(c))), F.replace(c, F.lit("ῳ"), F.lit("ωι")), T.strip_accents(F.lower(c)))
     w = words(spark, d).select(F.explode(damaged).alias("word")).distinct()
-    return R.rule_hits(w, lexicon(spark, d), {7: R.byzantine_candidates(F.col("word"))}).select("word", "lemma", "cand")
+    return R.rule_hits(w, lexicon(spark, d), {7: R.byzantine_candidates}).select("word", "lemma", "cand")
 
 
 _BARE_PREFIXES = [(T._strip(p), i) for i, p in enumerate(G.PREFIXES)]

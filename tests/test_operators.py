@@ -180,7 +180,7 @@ def test_augments_and_best_forms(spark):
 def test_particles_and_deictic_iota(spark):
     lex = spark.createDataFrame([("all", "τοῦτο", "οὗτος"), ("all", "ταυτη", "οὗτος"), ("all", "ὅς", "ὅς"), ("all", "λόγοσ", "x"), ("all", "λόγος", "λόγος")], "tbl string, form string, lemma string")
     w = spark.createDataFrame([(x,) for x in ("τουτοΐ", "ταυτηί", "ὅσπερ", "ΛΌΓΟΣΓΕ", "λόγοιί")], "word string")
-    got = {r.word: (r.lemma, r.cand) for r in R.rule_hits(w, lex, {5: R.particle_candidates(F.col("word"))}).collect()}
+    got = {r.word: (r.lemma, r.cand) for r in R.rule_hits(w, lex, {5: R.particle_candidates}).collect()}
     assert got == {"ταυτηί": ("οὗτος", "ταυτη"), "ὅσπερ": ("ὅς", "ὅς"), "ΛΌΓΟΣΓΕ": ("x", "λόγοσ")}
 
 
