@@ -274,3 +274,80 @@ def elision_pairs(rows: DataFrame, vowels: str = "αεοι") -> DataFrame:
     score = F.when(F.substring("elided", 1, 1) == F.substring("full", 1, 1), 15).otherwise(0) + F.when(F.expr("startswith(full, substring(elided, 1, length(elided) - 1))"), 2).otherwise(0)
     m = short.join(full, ["lemma", "k"]).groupBy("lemma", "elided").agg(F.min(F.struct((-score).alias("s"), "full")).alias("m"))
     return m.select("lemma", "elided", F.col("m.full").alias("full"))
+
+
+# Endings of moods by stem, voice and mood, in the order of PERSON_NUMBERS; an ending with an accent takes that
+# of the stem.
+PERSON_NUMBERS = ("1sg", "2sg", "3sg", "1pl", "2pl", "3pl", "2du", "3du")
+SYNTHETIC = {
+    ("present", "active_present_subjunctive"): ("ω", "ῃς", "ῃ", "ωμεν", "ητε", "ωσι(ν)", "ητον", "ητον"),
+    ("present", "active_present_optative"): ("οιμι", "οις", "οι", "οιμεν", "οιτε", "οιεν", "οιτον", "οίτην"),
+    ("present", "active_present_imperative"): (None, "ε", "έτω", None, "ετε", "όντων", "ετον", "έτων"),
+    ("present", "active_present_infinitive"): ("ειν",),
+    ("aorist", "active_aorist_subjunctive"): ("ω", "ῃς", "ῃ", "ωμεν", "ητε", "ωσι(ν)"),
+    ("aorist", "active_aorist_optative"): ("αιμι", "αις", "αι", "αιμεν", "αιτε", "αιεν"),
+    ("aorist", "active_aorist_imperative"): (None, "ον", "άτω", None, "ατε", "άντων"),
+    ("aorist", "active_aorist_infinitive"): ("αι",),
+    ("present", "middle_present_subjunctive"): ("ωμαι", "ῃ", "ηται", "ώμεθα", "ησθε", "ωνται"),
+    ("present", "middle_present_optative"): ("οίμην", "οιο", "οιτο", "οίμεθα", "οισθε", "οιντο"),
+    ("present", "middle_present_imperative"): (None, "ου", "έσθω", None, "εσθε", "έσθων"),
+    ("present", "middle_present_infinitive"): ("εσθαι",),
+    ("aorist", "middle_aorist_subjunctive"): ("ωμαι", "ῃ", "ηται", "ώμεθα", "ησθε", "ωνται"),
+    ("aorist", "middle_aorist_optative"): ("αίμην", "αιο", "αιτο", "αίμεθα", "αισθε", "αιντο"),
+    ("aorist", "middle_aorist_imperative"): (None, "αι", "άσθω", None, "ασθε", "άσθων"),
+    ("aorist", "middle_aorist_infinitive"): ("ασθαι",),
+    ("passive", "passive_aorist_subjunctive"): ("ῶ", "ῇς", "ῇ", "ῶμεν", "ῆτε", "ῶσι(ν)"),
+    ("passive", "passive_aorist_optative"): ("είην", "είης", "είη", "εῖμεν", "εῖτε", "εῖεν", "εῖτον", "είτην"),
+    ("passive", "passive_aorist_imperative"): (None, "ητι", "ήτω", None, "ητε", "έντων"),
+    ("passive", "passive_aorist_infinitive"): ("ῆναι",),
+}
+#: The consonant of a sigmatic aorist by the end of the present stem.
+SIGMATIC = {"πβφ": "ψ", "κγχ": "ξ", "τδθνζαεηιουω": "σ"}
+TONELESS = T._table(lambda c: T.ud.normalize("NFC", "".join(x for x in T.ud.normalize("NFD", c) if x not in "́̀͂")), T._GREEK)
+
+
+def synthetic_endings() -> list[tuple]:
+    """(stem kind, key, ending, whether the ending bears the accent)."""
+    rows = []
+    for (kind, cell), endings in SYNTHETIC.items():
+        for pn, e in zip(PERSON_NUMBERS, endings, strict=False):
+            if e is not None:
+                rows.append((kind, cell if cell.endswith("infinitive") else f"{cell}_{pn}", e, bool(set(T.ud.normalize("NFD", e)) & set("́̀͂"))))
+    return rows
+
+
+def stems(verbs: DataFrame) -> DataFrame:
+    """(lemma, kind, stem) of plain verbs in -ω: the present stem of the lemma, the sigmatic aorist stem and the stem of the passive aorist.
+
+    verbs: (lemma, fut, aor, aor_p), composed; parts that are not known are null. The aorist stem is that of the future, else
+    the present stem with the consonant of the aorist, if that is the regular one and the rest of the aorist is the present's.
+    """
+    bare = lambda c: T.strip_accents(F.lower(c))
+    cut = lambda c, n: F.substring(c, F.lit(1), F.length(c) - n)
+    last = lambda c: F.substring(c, -1, 1)
+    lemma = F.col("lemma")
+    v = verbs.where(lemma.rlike("[ωώ]$") & ~bare(lemma).rlike("[αεο]ω$") & (F.length(bare(lemma)) >= 2))
+    v = v.select("lemma", "fut", "aor", "aor_p", cut(lemma, 1).alias("present"), bare(cut(lemma, 1)).alias("_p"), bare("aor").alias("_a"))
+    future = F.when(F.col("fut").rlike("[ωώ]$") & last(bare(cut(F.col("fut"), 1))).isin("σ", "ψ", "ξ"), cut(F.col("fut"), 1))
+    end = last(F.col("_p"))
+    sign = F.lit(None).cast("string")
+    for letters, c in SIGMATIC.items():
+        sign = F.when(end.isin(*letters), c).otherwise(sign)
+    vowel = end.isin(*"αεηιουω")
+    a = F.col("_a")
+    root = F.when(a.rlike("^ε[^αεηιουω]"), F.substring(a, F.lit(2), F.length(a))).when(a.startswith("η"), F.concat(F.lit("α"), F.substring(a, F.lit(2), F.length(a)))).when(a.startswith("ω"), F.concat(F.lit("ο"), F.substring(a, F.lit(2), F.length(a)))).otherwise(a)
+    root, own = cut(root, 2), F.when(vowel, F.col("_p")).otherwise(cut(F.col("_p"), 1))
+    regular = a.rlike("[σψξ]α$") & (F.substring(a, -2, 1) == sign) & ((root == "") | (own == "") | (root == own))
+    grafted = F.when(regular, F.concat(F.when(vowel, F.col("present")).otherwise(cut(F.col("present"), 1)), sign))
+    body = F.when(bare(F.substring("aor_p", 1, 1)) == "ε", F.substring("aor_p", F.lit(2), F.length("aor_p")))
+    passive = F.when(bare(body).rlike("θην$"), cut(body, 2))
+    named = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("stem")) for k, c in (("present", F.col("present")), ("aorist", F.coalesce(future, grafted)), ("passive", passive))])
+    return v.select("lemma", F.explode(named).alias("x")).select("lemma", "x.kind", "x.stem").where("stem IS NOT NULL")
+
+
+def synthesised(verbs: DataFrame, attested_: DataFrame) -> DataFrame:
+    """(lemma, key, form): regular moods and infinitives of the three voices for the cells that are not attested. attested_: (lemma, key)."""
+    ends = F.broadcast(verbs.sparkSession.createDataFrame(synthetic_endings(), "kind string, key string, ending string, accented boolean"))
+    toneless = F.translate(F.translate(F.col("stem"), *TONELESS), "́̀͂", "")
+    forms = stems(verbs).join(ends, "kind").select("lemma", "key", F.concat(F.when(F.col("accented"), toneless).otherwise(F.col("stem")), "ending").alias("form"))
+    return forms.join(attested_.select("lemma", "key").distinct(), ["lemma", "key"], "left_anti")

@@ -177,6 +177,22 @@ def test_augments_and_best_forms(spark):
     assert {(r.lemma, r.key): r.form for r in best.collect()} == {("λύω", past): "ἔλυσε", ("λύω", present): "λῦει", ("εἰμί", present): "ἐστί", ("x", "k"): "β"}
 
 
+def test_synthesised_moods(spark):
+    rows = [("λύω", "λύσω", None, "ἐλύθην"), ("γράφω", None, "ἔγραψα", "ἐγράφην"), ("πίπτω", None, "ἔπεσα", None), ("μένω", "μενῶ", "ἔμεινα", None), ("φιλέω", "φιλήσω", None, None), ("ἀκούω", None, "ἤκουσα", None), ("δίδωμι", None, None, None)]
+    verbs = spark.createDataFrame(rows, "lemma string, fut string, aor string, aor_p string")
+    att = spark.createDataFrame([("λύω", "active_present_subjunctive_2sg")], "lemma string, key string")
+    got = {(r.lemma, r.key): r.form for r in Y.synthesised(verbs, att).collect()}
+    want = {
+        ("λύω", "active_present_subjunctive_3pl"): "λύωσι(ν)", ("λύω", "active_present_imperative_3sg"): "λυέτω", ("λύω", "active_present_infinitive"): "λύειν", ("λύω", "active_aorist_imperative_3pl"): "λυσάντων",
+        ("λύω", "active_aorist_infinitive"): "λύσαι", ("γράφω", "active_aorist_subjunctive_1sg"): "γράψω", ("γράφω", "active_aorist_imperative_3sg"): "γραψάτω", ("λύω", "middle_present_optative_1sg"): "λυοίμην",
+        ("λύω", "middle_aorist_imperative_2sg"): "λύσαι", ("λύω", "passive_aorist_subjunctive_1sg"): "λυθῶ", ("λύω", "passive_aorist_imperative_3pl"): "λυθέντων", ("λύω", "passive_aorist_imperative_2sg"): "λύθητι",
+        ("λύω", "passive_aorist_infinitive"): "λυθῆναι", ("ἀκούω", "active_aorist_subjunctive_1sg"): "ἀκούσω",
+    }
+    assert {k: got.get(k) for k in want} == want
+    assert ("λύω", "active_present_subjunctive_2sg") not in got and not any(k[0] in ("φιλέω", "δίδωμι") for k in got)
+    assert not any(m in ("πίπτω", "μένω") and "aorist" in k for m, k in got) and not any(m == "γράφω" and k.startswith("passive") for m, k in got)
+
+
 def test_particles_and_deictic_iota(spark):
     lex = spark.createDataFrame([("all", "τοῦτο", "οὗτος"), ("all", "ταυτη", "οὗτος"), ("all", "ὅς", "ὅς"), ("all", "λόγοσ", "x"), ("all", "λόγος", "λόγος")], "tbl string, form string, lemma string")
     w = spark.createDataFrame([(x,) for x in ("τουτοΐ", "ταυτηί", "ὅσπερ", "ΛΌΓΟΣΓΕ", "λόγοιί")], "word string")
