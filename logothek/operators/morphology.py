@@ -301,25 +301,58 @@ SYNTHETIC = {
     ("passive", "passive_aorist_imperative"): (None, "ητι", "ήτω", None, "ητε", "έντων"),
     ("passive", "passive_aorist_infinitive"): ("ῆναι",),
 }
+# Participles of the third declension by stem and tense: nominative of masculine and neuter, stem of the other
+# cases, genitive and dative plural, and the feminine in singular and plural; and the links and endings of those in -μενος.
+THIRD = {
+    ("present", "active_present"): ("ων", "ον", "οντ", "όντων", "ουσι(ν)", ("ουσᾰ", "ούσης", "ούσῃ", "ουσᾰν", "ουσᾰ"), ("ουσαι", "ουσῶν", "ούσαις", "ούσᾱς", "ουσαι")),
+    ("aorist", "active_future"): ("ων", "ον", "οντ", "όντων", "ουσι(ν)", ("ουσα", "ούσης", "ούσῃ", "ουσαν", "ουσα"), ("ουσαι", "ουσῶν", "ούσαις", "ούσᾱς", "ουσαι")),
+    ("aorist", "active_aorist"): ("ας", "αν", "αντ", "άντων", "ασι(ν)", ("ᾱσα", "ᾱ́σης", "ᾱ́σῃ", "ᾱσαν", "ᾱσα"), ("ᾱσαι", "ᾱσῶν", "ᾱ́σαις", "ᾱ́σᾱς", "ᾱσαι")),
+    ("passive", "passive_aorist"): ("είς", "έν", "έντ", "έντων", "εῖσι(ν)", ("εῖσα", "είσης", "είσῃ", "εῖσαν", "εῖσα"), ("εῖσαι", "εισῶν", "είσαις", "είσᾱς", "εῖσαι")),
+    ("perfect", "active_perfect"): ("ώς", "ός", "ότ", "ότων", "όσι(ν)", ("υῖα", "υίᾱς", "υίᾳ", "υῖαν", "υῖα"), ("υῖαι", "υιῶν", "υίαις", "υίᾱς", "υῖαι")),
+}
+MENOS = {
+    ("present", "middle_present"): ("όμεν", "ομέν"), ("aorist", "middle_future"): ("όμεν", "ομέν"), ("passive", "passive_future"): ("ησόμεν", "ησομέν"), ("aorist", "middle_aorist"): ("άμεν", "αμέν"),
+    ("perfect_mp", "middle_perfect"): ("μέν", "μέν"),
+}
+MENOS_ENDINGS = {
+    "m": (("ος", "ου", "ῳ", "ον", "ε"), ("οι", "ων", "οις", "ους", "οι")), "f": (("η", "ης", "ῃ", "ην", "η"), ("αι", "ων", "αις", "ᾱς", "αι")), "n": (("ον", "ου", "ῳ", "ον", "ον"), ("α", "ων", "οις", "α", "α")),
+}
+SHORT = ("ος", "ον", "ε", "οι", "α", "αι")
 #: The consonant of a sigmatic aorist by the end of the present stem.
 SIGMATIC = {"πβφ": "ψ", "κγχ": "ξ", "τδθνζαεηιουω": "σ"}
 TONELESS = T._table(lambda c: T.ud.normalize("NFC", "".join(x for x in T.ud.normalize("NFD", c) if x not in "́̀͂")), T._GREEK)
 
 
-def synthetic_endings() -> list[tuple]:
-    """(stem kind, key, ending, whether the ending bears the accent)."""
+def participle_endings() -> list[tuple]:
+    """(stem kind, key, ending) of participles in singular and plural. The accent of those in -μενος stands before the link if the ending is short."""
     rows = []
+    for (kind, cell), (nom, neuter, stem, gen, dat, *feminine) in THIRD.items():
+        oblique = {"gen": f"{stem}ος", "dat": f"{stem}ι"}
+        table = {
+            "m": ((nom, oblique["gen"], oblique["dat"], f"{stem}α", nom), (f"{stem}ες", gen, dat, f"{stem}ας", f"{stem}ες")),
+            "n": ((neuter, oblique["gen"], oblique["dat"], neuter, neuter), (f"{stem}α", gen, dat, f"{stem}α", f"{stem}α")),
+            "f": feminine,
+        }
+        rows += [(kind, f"{cell}_participle_{c}_{g}_{n}", e) for g, numbers in table.items() for n, es in zip(("sg", "pl"), numbers, strict=True) for c, e in zip(CASES.values(), es, strict=True)]
+    for (kind, cell), (short, long) in MENOS.items():
+        rows += [(kind, f"{cell}_participle_{c}_{g}_{n}", (short if e in SHORT else long) + e) for g, numbers in MENOS_ENDINGS.items() for n, es in zip(("sg", "pl"), numbers, strict=True) for c, e in zip(CASES.values(), es, strict=True)]
+    return rows
+
+
+def synthetic_endings() -> list[tuple]:
+    """(stem kind, key, ending, whether the ending bears the accent) of moods, infinitives and participles."""
+    rows = participle_endings()
     for (kind, cell), endings in SYNTHETIC.items():
         for pn, e in zip(PERSON_NUMBERS, endings, strict=False):
             if e is not None:
-                rows.append((kind, cell if cell.endswith("infinitive") else f"{cell}_{pn}", e, bool(set(T.ud.normalize("NFD", e)) & set("́̀͂"))))
-    return rows
+                rows.append((kind, cell if cell.endswith("infinitive") else f"{cell}_{pn}", e))
+    return [(*r, bool(set(T.ud.normalize("NFD", r[2])) & set("́̀͂"))) for r in rows]
 
 
 def stems(verbs: DataFrame) -> DataFrame:
     """(lemma, kind, stem) of plain verbs in -ω: the present stem of the lemma, the sigmatic aorist stem and the stem of the passive aorist.
 
-    verbs: (lemma, fut, aor, aor_p), composed; parts that are not known are null. The aorist stem is that of the future, else
+    And those of the perfect, of consonants only, and of its middle. verbs: (lemma, fut, aor, aor_p, pf, pf_mp), composed; parts that are not known are null. The aorist stem is that of the future, else
     the present stem with the consonant of the aorist, if that is the regular one and the rest of the aorist is the present's.
     """
     bare = lambda c: T.strip_accents(F.lower(c))
@@ -327,7 +360,7 @@ def stems(verbs: DataFrame) -> DataFrame:
     last = lambda c: F.substring(c, -1, 1)
     lemma = F.col("lemma")
     v = verbs.where(lemma.rlike("[ωώ]$") & ~bare(lemma).rlike("[αεο]ω$") & (F.length(bare(lemma)) >= 2))
-    v = v.select("lemma", "fut", "aor", "aor_p", cut(lemma, 1).alias("present"), bare(cut(lemma, 1)).alias("_p"), bare("aor").alias("_a"))
+    v = v.select("lemma", "fut", "aor", "aor_p", "pf", "pf_mp", cut(lemma, 1).alias("present"), bare(cut(lemma, 1)).alias("_p"), bare("aor").alias("_a"))
     future = F.when(F.col("fut").rlike("[ωώ]$") & last(bare(cut(F.col("fut"), 1))).isin("σ", "ψ", "ξ"), cut(F.col("fut"), 1))
     end = last(F.col("_p"))
     sign = F.lit(None).cast("string")
@@ -341,12 +374,14 @@ def stems(verbs: DataFrame) -> DataFrame:
     grafted = F.when(regular, F.concat(F.when(vowel, F.col("present")).otherwise(cut(F.col("present"), 1)), sign))
     body = F.when(bare(F.substring("aor_p", 1, 1)) == "ε", F.substring("aor_p", F.lit(2), F.length("aor_p")))
     passive = F.when(bare(body).rlike("θην$"), cut(body, 2))
-    named = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("stem")) for k, c in (("present", F.col("present")), ("aorist", F.coalesce(future, grafted)), ("passive", passive))])
+    perfect = F.when(bare("pf").rlike("[^αεηιουω]α$"), cut(F.col("pf"), 1))
+    middle = F.when(bare("pf_mp").endswith("μαι"), cut(F.col("pf_mp"), 3))
+    named = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("stem")) for k, c in (("present", F.col("present")), ("aorist", F.coalesce(future, grafted)), ("passive", passive), ("perfect", perfect), ("perfect_mp", middle))])
     return v.select("lemma", F.explode(named).alias("x")).select("lemma", "x.kind", "x.stem").where("stem IS NOT NULL")
 
 
 def synthesised(verbs: DataFrame, attested_: DataFrame) -> DataFrame:
-    """(lemma, key, form): regular moods and infinitives of the three voices for the cells that are not attested. attested_: (lemma, key)."""
+    """(lemma, key, form): regular moods, infinitives and participles of the three voices for the cells that are not attested. attested_: (lemma, key)."""
     ends = F.broadcast(verbs.sparkSession.createDataFrame(synthetic_endings(), "kind string, key string, ending string, accented boolean"))
     toneless = F.translate(F.translate(F.col("stem"), *TONELESS), "́̀͂", "")
     forms = stems(verbs).join(ends, "kind").select("lemma", "key", F.concat(F.when(F.col("accented"), toneless).otherwise(F.col("stem")), "ending").alias("form"))

@@ -301,7 +301,7 @@ def principal_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SE = "en(kind, key, ending, accented) AS (VALUES " + ", ".join(f"('{k}', '{c}', '{e}', {'TRUE' if x else 'FALSE'})" for k, c, e, x in Y.synthetic_endings()) + ")"
-_PARTS = {"fut": "active_future_indicative_1sg", "aor": "active_aorist_indicative_1sg", "aor_p": "passive_aorist_indicative_1sg"}
+_PARTS = {"fut": "active_future_indicative_1sg", "aor": "active_aorist_indicative_1sg", "aor_p": "passive_aorist_indicative_1sg", "pf": "active_perfect_indicative_1sg", "pf_mp": "middle_perfect_indicative_1sg"}
 
 
 def _b(x: str) -> str:
@@ -311,17 +311,17 @@ def _b(x: str) -> str:
 _SIGN = "CASE " + " ".join(f"WHEN regexp_matches(p, '[{k}]$') THEN '{v}'" for k, v in Y.SIGMATIC.items()) + " END"
 
 
-@query("synthesised_moods", f"""WITH {PS._CELLS}, {_SE}, done AS (SELECT DISTINCT lemma, vk AS key FROM ck WHERE vk IS NOT NULL), pf AS (SELECT lemma, {', '.join(f"min(nfc_normalize(form)) FILTER (vk = '{k}') AS {n}" for n, k in _PARTS.items())} FROM ck GROUP BY lemma),
-le AS (SELECT DISTINCT nfc_normalize(text) AS lemma FROM lemmas WHERE pos = 'VERB' AND length(text) > 0), v AS (SELECT le.lemma, fut, aor, aor_p, le.lemma[:length(le.lemma) - 1] AS present, {_b('le.lemma[:length(le.lemma) - 1]')} AS p, {_b('aor')} AS a FROM le LEFT JOIN pf ON pf.lemma = le.lemma
+@query("synthesised_moods", f"""WITH {PS._CELLS}, {_SE}, done AS (SELECT DISTINCT lemma, vk AS key FROM ck WHERE vk IS NOT NULL), pts AS (SELECT lemma, {', '.join(f"min(nfc_normalize(form)) FILTER (vk = '{k}') AS {n}" for n, k in _PARTS.items())} FROM ck GROUP BY lemma),
+le AS (SELECT DISTINCT nfc_normalize(text) AS lemma FROM lemmas WHERE pos = 'VERB' AND length(text) > 0), v AS (SELECT le.lemma, fut, aor, aor_p, pf, pf_mp, le.lemma[:length(le.lemma) - 1] AS present, {_b('le.lemma[:length(le.lemma) - 1]')} AS p, {_b('aor')} AS a FROM le LEFT JOIN pts ON pts.lemma = le.lemma
   WHERE regexp_matches(le.lemma, '[ωώ]$') AND NOT regexp_matches({_b('le.lemma')}, '[αεο]ω$') AND length({_b('le.lemma')}) >= 2),
 g AS (SELECT *, {_SIGN} AS sign, regexp_matches(p, '[αεηιουω]$') AS vow, CASE WHEN regexp_matches(a, '^ε[^αεηιουω]') THEN a[2:] WHEN starts_with(a, 'η') THEN 'α' || a[2:] WHEN starts_with(a, 'ω') THEN 'ο' || a[2:] ELSE a END AS r FROM v),
 st AS (SELECT lemma, 'present' AS kind, present AS stem FROM g UNION ALL
   SELECT lemma, 'aorist', CASE WHEN regexp_matches(fut, '[ωώ]$') AND regexp_matches({_b('fut[:length(fut) - 1]')}, '[σψξ]$') THEN fut[:length(fut) - 1]
     WHEN regexp_matches(a, '[σψξ]α$') AND a[length(a) - 1] = sign AND (r[:length(r) - 2] = '' OR CASE WHEN vow THEN p ELSE p[:length(p) - 1] END IN ('', r[:length(r) - 2])) THEN CASE WHEN vow THEN present ELSE present[:length(present) - 1] END || sign END FROM g UNION ALL
-  SELECT lemma, 'passive', CASE WHEN {_b('aor_p[1]')} = 'ε' AND regexp_matches({_b('aor_p[2:]')}, 'θην$') THEN aor_p[2:length(aor_p) - 2] END FROM g)
+  SELECT lemma, 'passive', CASE WHEN {_b('aor_p[1]')} = 'ε' AND regexp_matches({_b('aor_p[2:]')}, 'θην$') THEN aor_p[2:length(aor_p) - 2] END FROM g UNION ALL SELECT lemma, 'perfect', CASE WHEN regexp_matches({_b('pf')}, '[^αεηιουω]α$') THEN pf[:length(pf) - 1] END FROM g UNION ALL SELECT lemma, 'perfect_mp', CASE WHEN ends_with({_b('pf_mp')}, 'μαι') THEN pf_mp[:length(pf_mp) - 3] END FROM g)
 SELECT s.lemma, e.key, CASE WHEN accented THEN translate(translate(stem, '{Y.TONELESS[0]}', '{Y.TONELESS[1]}'), '́̀͂', '') ELSE stem END || ending AS form FROM st s JOIN en e USING (kind) ANTI JOIN done ON done.lemma = s.lemma AND done.key = e.key WHERE stem IS NOT NULL""")
 def synthesised_moods(spark: SparkSession, d: str) -> DataFrame:
-    """Moods of the verbs among the headwords from their principal parts, where the pairs attest none."""
+    """Moods and participles of the verbs among the headwords from their principal parts, where the pairs attest none."""
     c = PS.cells(spark, d)
     parts = c.where(F.col("key").isin(*_PARTS.values())).withColumn("form", T.nfc(F.col("form"))).groupBy("lemma").agg(*[F.min(F.when(F.col("key") == k, F.col("form"))).alias(n) for n, k in _PARTS.items()])
     heads = table(spark, d, "lemmas").where("pos = 'VERB' AND length(text) > 0").select(T.nfc(F.col("text")).alias("lemma")).distinct()

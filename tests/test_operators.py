@@ -178,8 +178,9 @@ def test_augments_and_best_forms(spark):
 
 
 def test_synthesised_moods(spark):
-    rows = [("λύω", "λύσω", None, "ἐλύθην"), ("γράφω", None, "ἔγραψα", "ἐγράφην"), ("πίπτω", None, "ἔπεσα", None), ("μένω", "μενῶ", "ἔμεινα", None), ("φιλέω", "φιλήσω", None, None), ("ἀκούω", None, "ἤκουσα", None), ("δίδωμι", None, None, None)]
-    verbs = spark.createDataFrame(rows, "lemma string, fut string, aor string, aor_p string")
+    none = (None, None)
+    rows = [("λύω", "λύσω", None, "ἐλύθην", "λέλυκα", "λέλυμαι"), ("γράφω", None, "ἔγραψα", "ἐγράφην", "γέγραφα", None), ("πίπτω", None, "ἔπεσα", None, *none), ("μένω", "μενῶ", "ἔμεινα", None, *none), ("φιλέω", "φιλήσω", None, None, *none), ("ἀκούω", None, "ἤκουσα", None, "ἀκήκοα", None), ("δίδωμι", None, None, None, *none)]
+    verbs = spark.createDataFrame(rows, "lemma string, fut string, aor string, aor_p string, pf string, pf_mp string")
     att = spark.createDataFrame([("λύω", "active_present_subjunctive_2sg")], "lemma string, key string")
     got = {(r.lemma, r.key): r.form for r in Y.synthesised(verbs, att).collect()}
     want = {
@@ -187,6 +188,10 @@ def test_synthesised_moods(spark):
         ("λύω", "active_aorist_infinitive"): "λύσαι", ("γράφω", "active_aorist_subjunctive_1sg"): "γράψω", ("γράφω", "active_aorist_imperative_3sg"): "γραψάτω", ("λύω", "middle_present_optative_1sg"): "λυοίμην",
         ("λύω", "middle_aorist_imperative_2sg"): "λύσαι", ("λύω", "passive_aorist_subjunctive_1sg"): "λυθῶ", ("λύω", "passive_aorist_imperative_3pl"): "λυθέντων", ("λύω", "passive_aorist_imperative_2sg"): "λύθητι",
         ("λύω", "passive_aorist_infinitive"): "λυθῆναι", ("ἀκούω", "active_aorist_subjunctive_1sg"): "ἀκούσω",
+        ("λύω", "active_present_participle_nom_m_sg"): "λύων", ("λύω", "active_present_participle_gen_f_sg"): "λυούσης", ("λύω", "active_present_participle_gen_n_pl"): "λυόντων", ("λύω", "active_future_participle_acc_m_sg"): "λύσοντα",
+        ("λύω", "active_aorist_participle_nom_m_sg"): "λύσας", ("λύω", "passive_aorist_participle_nom_f_sg"): "λυθεῖσα", ("λύω", "active_perfect_participle_nom_m_sg"): "λελυκώς", ("λύω", "middle_perfect_participle_nom_m_sg"): "λελυμένος",
+        ("λύω", "middle_present_participle_nom_m_sg"): "λυόμενος", ("λύω", "middle_present_participle_gen_m_sg"): "λυομένου", ("λύω", "passive_future_participle_nom_n_pl"): "λυθησόμενα", ("γράφω", "active_perfect_participle_nom_m_sg"): "γεγραφώς",
+        ("ἀκούω", "active_perfect_participle_nom_m_sg"): None,
     }
     assert {k: got.get(k) for k in want} == want
     assert ("λύω", "active_present_subjunctive_2sg") not in got and not any(k[0] in ("φιλέω", "δίδωμι") for k in got)
