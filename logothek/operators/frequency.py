@@ -143,3 +143,42 @@ def spelling_variants(forms: DataFrame, least: int = 3) -> DataFrame:
     """(mono, form, n, rank): the polytonic spellings of each monotonic form with ``least`` occurrences, most frequent first. forms: (form, n)."""
     rows = forms.where(F.col("n") >= least).select(T.monotonic(F.col("form")).alias("mono"), "form", "n")
     return ranked(rows, lemma="mono")
+
+
+def hash_sample(rows: DataFrame, key: str, size: int, seed: str = "") -> DataFrame:
+    """``size`` rows by the order of the MD5 of their key, or all if they are fewer: the same rows on every engine and at every layout. Keys are distinct."""
+    hashed = rows.withColumn("_md5", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))))
+    return order.ranked(hashed, None, ["_md5", key]).where(F.col("rank") < size).drop("_md5", "rank")
+
+
+# Copies of training pairs beyond the first by tense.
+EXTRA_COPIES = {"aorist": 2, "perfect": 2, "future-perfect": 2, "pluperfect": 4, "future": 2, "imperfect": 1}
+
+
+def copies_by_tense(pos: Column, tags: Column) -> Column:
+    """How often a training pair is used: verbs of rare tenses more often, by the sum of what their tags add; the two perfects add once."""
+    has = lambda *t: F.coalesce(F.arrays_overlap(tags, F.array(*map(F.lit, t))), F.lit(False))
+    extra = F.lit(0)
+    for group in (("aorist",), ("perfect", "future-perfect"), ("pluperfect",), ("future",), ("imperfect",)):
+        extra = extra + F.when(has(*group), EXTRA_COPIES[group[0]]).otherwise(0)
+    return F.lit(1) + F.when(pos == "verb", extra).otherwise(0)
+
+
+def training_mix(pairs: DataFrame, most: int, seed: str = "") -> DataFrame:
+    """(pair_id, copy_no, pool): all pairs of other varieties, and what is left of ``most`` in halves of the ancient and the modern pool.
+
+    pairs: (pair_id, form, lemma, pos, tags, pool), pool ``variety``, ``modern`` or ``ancient``. Of equal (form, lemma) the first
+    by pool in this order, then by id, counts. Ancient verbs of rare tenses are repeated before the pool is cut, by hash.
+    """
+    o = F.when(F.col("pool") == "variety", 0).when(F.col("pool") == "modern", 1).otherwise(2)
+    first = pairs.groupBy("form", "lemma").agg(F.min(F.struct(o.alias("o"), "pair_id", "pool", "pos", "tags")).alias("m")).select("m.*")
+    copies = F.when(F.col("pool") == "ancient", copies_by_tense(F.col("pos"), F.col("tags"))).otherwise(1)
+    rows = first.select("pair_id", "pool", F.explode(F.sequence(F.lit(1), copies)).alias("copy_no"))
+    rows = rows.withColumn("_key", F.concat_ws(":", "pair_id", "copy_no"))
+    n = rows.groupBy("pool").agg(F.count("*").alias("n"))
+    size = {r.pool: r.n for r in n.collect()}
+    if sum(size.values()) <= most:
+        return rows.select("pair_id", "copy_no", "pool")
+    rest = max(0, most - size.get("variety", 0))
+    part = lambda pool, k: hash_sample(rows.where(F.col("pool") == pool), "_key", k, seed)
+    return rows.where("pool = 'variety'").unionByName(part("ancient", rest // 2)).unionByName(part("modern", rest - rest // 2)).select("pair_id", "copy_no", "pool")

@@ -386,3 +386,27 @@ def synthesised(verbs: DataFrame, attested_: DataFrame) -> DataFrame:
     toneless = F.translate(F.translate(F.col("stem"), *TONELESS), "́̀͂", "")
     forms = stems(verbs).join(ends, "kind").select("lemma", "key", F.concat(F.when(F.col("accented"), toneless).otherwise(F.col("stem")), "ending").alias("form"))
     return forms.join(attested_.select("lemma", "key").distinct(), ["lemma", "key"], "left_anti")
+
+
+def declined_by_class(nouns: DataFrame, forms: DataFrame) -> DataFrame:
+    """(lemma, form, exemplar): nouns declined like the noun of their class of which most forms are known, without marks.
+
+    A class is the gender with the endings of nominative and genitive after the stem both share, less a last vowel. nouns:
+    (lemma, gender, genitive); forms: (lemma, form) known. The exemplar's forms give their endings after its stem; of several
+    with equally many the smallest counts.
+    """
+    from logothek.operators.frequency import prefix_of
+
+    bare = lambda c: T.strip_accents(F.lower(c))
+    after = lambda c, n: F.substring(F.col(c), F.col(n) + 1, F.length(c))
+    n = nouns.select("lemma", "gender", bare("lemma").alias("_h"), bare("genitive").alias("_g")).where("length(_h) > 1 AND length(_g) > 0")
+    n = n.withColumn("_s", prefix_of("_h", "_g"))
+    k = F.when((F.length("_s") > 1) & F.substring("_s", -1, 1).isin(*"αεηιουω"), F.length("_s") - 1).otherwise(F.length("_s"))
+    n = n.withColumn("_k", F.least(k, F.length("_h") - 1))
+    n = n.select("lemma", "gender", F.substring(F.col("_h"), F.lit(1), F.col("_k")).alias("stem"), after("_h", "_k").alias("nom"), after("_g", "_k").alias("gen")).distinct()
+    cls = ["gender", "nom", "gen"]
+    ends = n.join(forms.select("lemma", bare("form").alias("_f")).distinct(), "lemma").where(F.col("_f").startswith(F.col("stem")))
+    ends = ends.select(*cls, "lemma", F.expr("substring(_f, length(stem) + 1)").alias("ending")).distinct()
+    best = ends.groupBy(*cls, "lemma").agg(F.count("*").alias("n")).groupBy(*cls).agg(F.min(F.struct((-F.col("n")).alias("n"), "lemma")).alias("m")).select(*cls, F.col("m.lemma").alias("exemplar"))
+    table = ends.join(best.withColumnRenamed("exemplar", "lemma"), [*cls, "lemma"]).select(*cls, F.col("lemma").alias("exemplar"), "ending")
+    return n.join(table, cls).select("lemma", F.concat("stem", "ending").alias("form"), "exemplar").where(F.length("form") > 1).distinct()

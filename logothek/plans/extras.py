@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logothek.functions import text as T
 from logothek.functions.tables import ARTICLES
+from logothek.operators import frequency as Q
 from logothek.operators import lexicon as L
 from logothek.operators.order import ranked, running_sum
 from logothek.plans import lexicon as PL
@@ -89,17 +90,31 @@ def language_of_form(spark: SparkSession, d: str) -> DataFrame:
     return w.join(hit, "word", "left").select("word", F.coalesce("m.src", F.lit("")).alias("lang"))
 
 
-_COPIES = "CASE WHEN list_contains(tags, 'aorist') THEN 3 WHEN list_contains(tags, 'future') THEN 3 WHEN list_contains(tags, 'perfect') THEN 5 ELSE 1 END"
+_COPIES = "1 + CASE WHEN pos = 'verb' THEN " + " + ".join(f"coalesce(list_has_any(tags, [{', '.join(repr(t) for t in g)}]), FALSE)::INT * {k}" for g, k in ((["aorist"], 2), (["perfect", "future-perfect"], 2), (["pluperfect"], 4), (["future"], 2), (["imperfect"], 1))) + " ELSE 0 END"
 
 
-@query("oversampled_pairs", f"SELECT pair_id, unnest(range(1, coalesce({_COPIES}, 1) + 1)) AS copy_no FROM lemmapairdataset WHERE split = 'train' AND length(form) > 0 AND length(lemma) > 0")
+@query("oversampled_pairs", f"SELECT pair_id, unnest(range(1, {_COPIES} + 1)) AS copy_no FROM lemmapairdataset WHERE split = 'train' AND length(form) > 0 AND length(lemma) > 0")
 def oversampled_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Training pairs with rare tenses repeated."""
-    has = lambda t: F.array_contains("tags", t)
-    n = F.when(has("aorist"), 3).when(has("future"), 3).when(has("perfect"), 5).otherwise(1)
+    """Training pairs with verbs of rare tenses repeated."""
+    n = Q.copies_by_tense(F.col("pos"), F.col("tags"))
     return PL.pairs(spark, d).where("split = 'train'").select("pair_id", F.explode(F.sequence(F.lit(1), n)).alias("copy_no")).withColumn("copy_no", F.col("copy_no").cast("long"))
 
 
+_POOL = "CASE source WHEN 'med' THEN 'variety' WHEN 'mg' THEN 'modern' ELSE 'ancient' END"
+_BUDGET = 1000
+
+
+@query("training_mix", f"""WITH p AS (SELECT *, {_POOL} AS pool, CASE source WHEN 'med' THEN 0 WHEN 'mg' THEN 1 ELSE 2 END AS o FROM lemmapairdataset WHERE length(form) > 0 AND length(lemma) > 0 AND split = 'train'),
+f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY form, lemma ORDER BY o, pair_id) = 1), r AS (SELECT pair_id, pool, unnest(range(1, CASE WHEN pool = 'ancient' THEN {_COPIES} ELSE 1 END + 1)) AS copy_no FROM f),
+n AS (SELECT count(*) AS whole, {_BUDGET} - count(*) FILTER (pool = 'variety') AS rest FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY md5(pair_id || ':' || copy_no), pair_id || ':' || copy_no) AS i FROM r)
+SELECT pair_id, copy_no, pool FROM k, n WHERE whole <= {_BUDGET} OR pool = 'variety' OR i <= greatest(rest, 0) // 2 + CASE pool WHEN 'modern' THEN greatest(rest, 0) % 2 ELSE 0 END""")
+def training_mix(spark: SparkSession, d: str) -> DataFrame:
+    """A mixture of 1000 training pairs: all medieval ones, the rest in halves of ancient and modern ones, by hash."""
+    pool = F.when(F.col("source") == "med", "variety").when(F.col("source") == "mg", "modern").otherwise("ancient")
+    m = Q.training_mix(PL.pairs(spark, d).where("split = 'train'").withColumn("pool", pool), _BUDGET)
+    return m.select("pair_id", F.col("copy_no").cast("long").alias("copy_no"), "pool")
+
+
 @query("line_sentences", "WITH b AS (SELECT line_id, file_name, raw IS NULL OR regexp_full_match(raw, '[\\s\\x{FEFF}]*') AS brk FROM lingann_gs_medievalgreek) SELECT line_id, file_name, sum(brk::INT) OVER (PARTITION BY file_name ORDER BY line_id)::BIGINT AS sent_id FROM b QUALIFY NOT brk")
 def line_sentences(spark: SparkSession, d: str) -> DataFrame:
     """The sentence of each record: the breaks before it in its file."""

@@ -326,3 +326,19 @@ def synthesised_moods(spark: SparkSession, d: str) -> DataFrame:
     parts = c.where(F.col("key").isin(*_PARTS.values())).withColumn("form", T.nfc(F.col("form"))).groupBy("lemma").agg(*[F.min(F.when(F.col("key") == k, F.col("form"))).alias(n) for n, k in _PARTS.items()])
     heads = table(spark, d, "lemmas").where("pos = 'VERB' AND length(text) > 0").select(T.nfc(F.col("text")).alias("lemma")).distinct()
     return Y.synthesised(heads.join(parts, "lemma", "left"), c.select("lemma", "key"))
+
+
+@query("declined_nouns", f"""WITH {PS._CELLS}, gs AS (SELECT lemma, gen AS gender, min(form) AS genitive FROM ck WHERE vk IS NULL AND cs = 'gen' AND num = 'sg' AND gen IS NOT NULL GROUP BY ALL), {PL.LEX}, kf AS (SELECT lemma, form FROM lex UNION SELECT lemma, form FROM ck WHERE vk IS NULL),
+h AS (SELECT lemma, gender, {_b('lemma')} AS h, {_b('genitive')} AS g FROM gs), hk AS (SELECT *, coalesce(list_min(list_filter(range(1, least(length(h), length(g)) + 1), lambda i: h[i] <> g[i])) - 1, least(length(h), length(g))) AS k0 FROM h WHERE length(h) > 1 AND length(g) > 0),
+hs AS (SELECT *, least(CASE WHEN k0 > 1 AND regexp_matches(h[k0], '[αεηιουω]') THEN k0 - 1 ELSE k0 END, length(h) - 1) AS k FROM hk), n AS (SELECT DISTINCT lemma, gender, h[:k] AS stem, h[k + 1:] AS nom, g[k + 1:] AS gen FROM hs),
+e AS (SELECT DISTINCT gender, nom, gen, n.lemma, {_b('kf.form')}[length(stem) + 1:] AS ending FROM n JOIN kf ON kf.lemma = n.lemma WHERE starts_with({_b('kf.form')}, stem)),
+b AS (SELECT gender, nom, gen, first(lemma ORDER BY k DESC, lemma) AS exemplar FROM (SELECT gender, nom, gen, lemma, count(*) AS k FROM e GROUP BY ALL) GROUP BY ALL)
+SELECT DISTINCT n.lemma, stem || ending AS form, exemplar FROM n JOIN b USING (gender, nom, gen) JOIN e ON e.gender = n.gender AND e.nom = n.nom AND e.gen = n.gen AND e.lemma = exemplar WHERE length(stem || ending) > 1""")
+def declined_nouns(spark: SparkSession, d: str) -> DataFrame:
+    """Nouns of the pairs whose genitive is attested, declined like the best known noun of their class."""
+    t = F.col("tags")
+    p = PL.pairs(spark, d).where(t.isNotNull() & Y.verb_key(t).isNull())
+    gen = p.where(F.array_contains("tags", "genitive") & F.array_contains("tags", "singular")).withColumn("gender", Y._short(t, Y.GENDERS)).where(F.col("gender").isNotNull() & (Y._short(t, Y.CASES) == "gen") & (Y._short(t, Y.NUMBERS) == "sg"))
+    nouns = gen.groupBy("lemma", "gender").agg(F.min("form").alias("genitive"))
+    known = PL.lex(spark, d).select("lemma", "form").unionByName(p.select("lemma", "form")).distinct()
+    return Y.declined_by_class(nouns, known)

@@ -6,6 +6,7 @@ import unicodedata as ud
 from pyspark.sql import functions as F
 
 from logothek.functions import tables as G
+from logothek.operators import frequency as Q
 from logothek.operators import fuzzy as Z
 from logothek.operators import lexicon as L
 from logothek.operators import morphology as Y
@@ -235,6 +236,28 @@ def test_conventions(spark):
     assert {r.lemma: r.headword for r in led.collect()} == {"δεινῶς": "δεινός", "δεινόν": "δεινός", "ἀληθῶς": "ἀληθής", "ἡδέως": "ἡδέως", "φῶς": "φῶς", "ὡς": "ὡς", "δῶρον": "δῶρον"}
 
 
+def test_declined_by_class(spark):
+    nouns = spark.createDataFrame([("λόγος", "m", "λόγου"), ("νόμος", "m", "νόμου"), ("δῶρον", "n", "δώρου"), ("x", "m", "y")], "lemma string, gender string, genitive string")
+    forms = spark.createDataFrame([("λόγος", f) for f in ("λόγος", "λόγου", "λόγε", "λόγοις")] + [("νόμος", "νόμῳ"), ("νόμος", "θεός")], "lemma string, form string")
+    got = {}
+    for r in Y.declined_by_class(nouns, forms).collect():
+        got.setdefault((r.lemma, r.exemplar), set()).add(r.form)
+    assert got == {("λόγος", "λόγος"): {"λογος", "λογου", "λογε", "λογοις"}, ("νόμος", "λόγος"): {"νομος", "νομου", "νομε", "νομοις"}}
+
+
+def test_training_mix(spark):
+    rows = [(i, f"f{i % 40}", "l", "verb" if i % 2 else "noun", ["aorist"] if i % 3 == 0 else None, ("variety", "modern", "ancient")[i % 3]) for i in range(120)]
+    df = spark.createDataFrame(rows, "pair_id long, form string, lemma string, pos string, tags array<string>, pool string")
+    every = Q.training_mix(df, 10_000).collect()
+    assert len({r.pair_id for r in every}) == 40 and all(r.copy_no == 1 or r.pool == "ancient" for r in every)
+    some = Q.training_mix(df, 30)
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, Q.training_mix(df.repartition(7), 30).collect()))
+    n = spark.createDataFrame([(["pluperfect", "perfect"], "verb"), (["future-perfect", "perfect"], "verb"), (["aorist"], "noun"), (None, "verb"), (["aorist"], None)], "t array<string>, p string")
+    assert [r[0] for r in n.select(Q.copies_by_tense(F.col("p"), F.col("t"))).collect()] == [7, 3, 1, 1, 1]
+    sample = {r.pair_id for r in Q.hash_sample(df, "pair_id", 15).collect()}
+    assert len(sample) == 15 and sample == {r.pair_id for r in Q.hash_sample(df.coalesce(1), "pair_id", 15).collect()} and Q.hash_sample(df, "pair_id", 999).count() == 120
+
+
 def test_running_sums(spark):
     rnd = random.Random(6)
     rows = [(i, rnd.choice(["a", "a", "a", "b", None]), rnd.choice([None, 1, 5, -2])) for i in range(700)]
