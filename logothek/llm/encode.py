@@ -165,7 +165,7 @@ def text_column(ids: Column, name: str = "byte_bpe_50k", folder: str = TOKENIZER
     @F.arrow_udf("string")
     def text(s: pa.Array) -> pa.Array:
         e = encoder(name, folder)
-        return pa.array([None if x is None else e.decode(x) for x in s.to_pylist()], pa.string())
+        return pa.array((e.decode(s[i].values.to_pylist()) if s[i].is_valid else None for i in range(len(s))), pa.string())
 
     return text(ids)
 
