@@ -84,8 +84,9 @@ def fold_sigma(c: Column) -> Column:
 
 
 def key(c: Column) -> Column:
-    """Lower case, without marks, final sigma as sigma: the key under which spellings of a word meet."""
-    return fold_sigma(strip_accents(F.lower(c)))
+    """Lower case, without marks, final sigma as sigma: the key under which spellings of a word meet. Plain ASCII is lowered only."""
+    low = F.lower(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), fold_sigma(strip_accents(low))).otherwise(low)
 
 
 def sort_key(c: Column) -> Column:

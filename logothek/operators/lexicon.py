@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from logothek.functions import text as T
 from logothek.functions.tables import MG_ARTICLES
+from logothek.operators.skew import small_enough
 from logothek.session import checkpointed
 
 
@@ -109,17 +110,21 @@ def chains_resolved(table: DataFrame, depth: int = 5) -> DataFrame:
     table: (form, lemma), unique by form. The walk stops at a self-map, at an unknown form, at a cycle and at the depth.
     """
     step = checkpointed(table.select(F.col("form").alias("_f"), F.col("lemma").alias("_l")))
-    first = step.select(F.col("_f").alias("form"), F.col("_l").alias("lemma")).join(step.select(F.col("_f").alias("lemma"), F.col("_l").alias("target")), "lemma", "left")
-    chained = (F.col("lemma") != F.col("form")) & F.col("target").isNotNull() & (F.col("target") != F.col("lemma"))
-    first = checkpointed(first.select("form", "lemma", F.when(chained, F.col("target")).alias("target")))  # few entries are chained: only they walk on
-    walk = first.where("target IS NOT NULL").withColumn("seen", F.array("form", "lemma")).withColumn("go", F.lit(True))
+    side = lambda df: F.broadcast(df) if small_enough(df) else df
+    # where lemmas lead: a table of lemmas, not of forms
+    known = checkpointed(step.join(side(step.select(F.col("_l").alias("_f")).distinct()), "_f", "left_semi"))
+    leads = side(known.select(F.col("_f").alias("lemma"), F.col("_l").alias("target")))
+    first = step.select(F.col("_f").alias("form"), F.col("_l").alias("lemma")).join(leads, "lemma", "left")
+    chained = F.coalesce((F.col("lemma") != F.col("form")) & F.col("target").isNotNull() & (F.col("target") != F.col("lemma")), F.lit(False))
+    walk = checkpointed(first.where(chained)).withColumn("seen", F.array("form", "lemma")).withColumn("go", F.lit(True))  # few entries are chained: only they walk on
+    steps = side(known)
     for _ in range(depth):
-        j = walk.join(step, F.col("target") == F.col("_f"), "left")
+        j = walk.join(steps, F.col("target") == F.col("_f"), "left")
         moves = F.col("go") & F.col("_l").isNotNull() & (F.col("_l") != F.col("target")) & ~F.array_contains("seen", F.col("target"))
         moves = F.coalesce(moves, F.lit(False))
         walk = j.select("form", moves.alias("go"), F.when(moves, F.concat("seen", F.array("target"))).otherwise(F.col("seen")).alias("seen"), F.when(moves, F.col("_l")).otherwise(F.col("target")).alias("target"))
-    heads = step.where(F.col("_f") == F.col("_l")).select(F.col("_f").alias("target"))
-    return first.where("target IS NULL").select("form", "lemma").unionByName(walk.join(heads, "target").select("form", F.col("target").alias("lemma")))
+    heads = side(known.where(F.col("_f") == F.col("_l")).select(F.col("_f").alias("target")))
+    return first.where(~chained).select("form", "lemma").unionByName(walk.join(heads, "target").select("form", F.col("target").alias("lemma")))
 
 
 def spell_index(rows: DataFrame) -> DataFrame:

@@ -21,9 +21,14 @@ def framed(toks: Column) -> Column:
     return F.concat(F.array(F.lit(BOS)), toks, F.array(F.lit(EOS)))
 
 
-def vocabulary(sentences: DataFrame, size: int) -> DataFrame:
+def type_counts(sentences: DataFrame) -> DataFrame:
+    """(tok, n): how often each type occurs."""
+    return sentences.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
+
+
+def vocabulary(types: DataFrame, size: int) -> DataFrame:
     """(tok, n): the ``size`` - 4 most frequent types; ties by type."""
-    return sentences.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tok").limit(size - len(RESERVED))
+    return types.orderBy(F.desc("n"), "tok").limit(size - len(RESERVED))
 
 
 def known(rows: DataFrame, vocab: DataFrame, columns: list[str]) -> DataFrame:
@@ -31,7 +36,7 @@ def known(rows: DataFrame, vocab: DataFrame, columns: list[str]) -> DataFrame:
     v = F.broadcast(vocab.select("tok"))
     for c in columns:
         rows = rows.join(v.withColumnRenamed("tok", "_tok"), F.col(c) == F.col("_tok"), "left")
-        rows = rows.withColumn(c, F.when(F.col(c).isin(BOS, EOS) | F.col("_tok").isNotNull(), F.col(c)).otherwise(UNK)).drop("_tok")
+        rows = rows.withColumn(c, F.when(F.col(c).isin(BOS, EOS, PAD) | F.col("_tok").isNotNull(), F.col(c)).otherwise(UNK)).drop("_tok")
     return rows
 
 
@@ -49,6 +54,25 @@ def ngrams(sentences: DataFrame, vocab: DataFrame, n: int) -> DataFrame:
     return known(runs(sentences, n), vocab, names).groupBy(*names).agg(F.count("*").alias("n"))
 
 
+def padded_trigrams(sentences: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(w1, w2, w3, n) with a pad after each sentence, so that every bigram begins one trigram: both orders from one pass."""
+    names = ["w1", "w2", "w3"]
+    at = lambda i: F.element_at(F.col("_f"), i.cast("int"))
+    grams = F.transform(F.sequence(F.lit(1), F.size("_f") - 2), lambda i: F.struct(*[at(i + k).alias(w) for k, w in enumerate(names)]))
+    rows = sentences.select(F.concat(framed(F.col("toks")), F.array(F.lit(PAD))).alias("_f")).select(F.explode(grams).alias("g")).select("g.*")
+    return known(rows, vocab, names).groupBy(*names).agg(F.count("*").alias("n"))
+
+
+def lower_orders(padded: DataFrame, types: DataFrame, vocab: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Unigrams, bigrams and trigrams (w1.., n) of padded trigrams and the counts of types; no text is read again."""
+    bi = padded.groupBy("w1", "w2").agg(F.sum("n").alias("n"))
+    sentences = padded.where(F.col("w1") == BOS).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    seen = types.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all")).crossJoin(vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("in")))
+    frame = sentences.select(F.explode(F.array(F.lit(BOS), F.lit(EOS))).alias("w1"), "n")
+    uni = vocab.select(F.col("tok").alias("w1"), "n").unionByName(frame).unionByName(seen.select(F.lit(UNK).alias("w1"), (F.col("all") - F.col("in")).alias("n"))).where("n > 0")
+    return uni, bi, padded.where(F.col("w3") != PAD)
+
+
 def pruned_trigrams(tri: DataFrame, bi: DataFrame, least: int = 2, least_bigram: int = 3) -> DataFrame:
     """Trigrams of ``least`` occurrences whose first two words are a kept bigram of ``least_bigram``."""
     return tri.where(F.col("n") >= least).join(bi.where(F.col("n") >= least_bigram).select("w1", "w2"), ["w1", "w2"], "left_semi")

@@ -22,8 +22,8 @@ TOK = rf"""
 tok AS (SELECT doc_id, lang, source, raw, {K.format('raw')} AS k FROM (SELECT doc_id, lang, source, unnest(regexp_extract_all(text, '[\p{{L}}\p{{M}}]+')) AS raw FROM documents))
 """
 SENT = rf"""
-sent AS (SELECT doc_id, s_no, list_transform(regexp_extract_all(s, '[\p{{L}}\p{{M}}]+'), lambda x: {K.format('x')}) AS toks FROM (
-  SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS s_no FROM (SELECT doc_id, string_split_regex(text, '[.!?;\n]+') AS l FROM documents WHERE text IS NOT NULL)) WHERE len(regexp_extract_all(s, '[\p{{L}}\p{{M}}]+')) > 0),
+sent AS (SELECT doc_id, s_no, regexp_extract_all(s, '[\p{{L}}\p{{M}}]+') AS toks FROM (
+  SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS s_no FROM (SELECT doc_id, string_split_regex({K.format('text')}, '[.!?;\n]+') AS l FROM documents WHERE text IS NOT NULL)) WHERE len(regexp_extract_all(s, '[\p{{L}}\p{{M}}]+')) > 0),
 words AS (SELECT doc_id, s_no, unnest(toks) AS w, generate_subscripts(toks, 1) AS pos FROM sent)
 """
 LM = rf"""{SENT},
@@ -52,10 +52,10 @@ def toks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
-    """(sent_id, doc_id, toks): sentences of the documents, cut at end signs and line breaks."""
-    s = spread(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", r"[.!?;\n]+")).alias("s_no", "s"))
-    keyed = F.transform(T.words(F.col("s")), T.key)
-    return s.select("doc_id", F.struct("doc_id", "s_no").alias("sent_id"), keyed.alias("toks")).where(F.size("toks") > 0)
+    """(sent_id, doc_id, toks): sentences of the documents, cut at end signs and line breaks, as keys of words; texts are keyed whole."""
+    docs = spread(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text"))
+    s = docs.select("doc_id", F.posexplode(F.split(T.key(F.col("text")), r"[.!?;\n]+")).alias("s_no", "s"))
+    return s.select("doc_id", F.struct("doc_id", "s_no").alias("sent_id"), T.words(F.col("s")).alias("toks")).where(F.size("toks") > 0)
 
 
 @query("token_freq_by_lang", f"WITH {TOK} SELECT k, count(*) AS total, " + ", ".join(f"count(*) FILTER (lang = '{x}') AS n_{x}" for x in LANGS) + " FROM tok GROUP BY k")
@@ -177,20 +177,19 @@ def suffix_signatures(spark: SparkSession, d: str) -> DataFrame:
 # --- n-gram model ----------------------------------------------------------------------------------------------------
 
 
-def vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    """The most frequent types; checkpointed, at most VOCAB rows, as every n-gram is looked up in it."""
-    return checkpointed(N.vocabulary(sentences(spark, d), VOCAB))
-
-
-def bigrams(spark: SparkSession, d: str, vocab: DataFrame) -> DataFrame:
-    return N.ngrams(sentences(spark, d), vocab, 2).where(F.col("n") >= LEAST)
+def vocabulary(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The counts of all types, and the most frequent ones, at most VOCAB rows; both checkpointed."""
+    types = checkpointed(N.type_counts(sentences(spark, d)))
+    return types, checkpointed(N.vocabulary(types, VOCAB))
 
 
 def model(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
-    vocab = vocabulary(spark, d)
-    s = sentences(spark, d)
-    bi = checkpointed(bigrams(spark, d, vocab))
-    return vocab, N.ngrams(s, vocab, 1), bi, N.pruned_trigrams(N.ngrams(s, vocab, 3), bi, LEAST)
+    """Vocabulary, unigrams, bigrams and pruned trigrams; the texts are read twice, for the types and for the trigrams."""
+    types, vocab = vocabulary(spark, d)
+    padded = checkpointed(N.padded_trigrams(sentences(spark, d), vocab))
+    uni, bi, tri = N.lower_orders(padded, types, vocab)
+    bi = checkpointed(bi.where(F.col("n") >= LEAST))
+    return vocab, uni, bi, N.pruned_trigrams(tri, bi, LEAST)
 
 
 def positions(spark: SparkSession, d: str, vocab: DataFrame) -> DataFrame:
@@ -201,7 +200,7 @@ def positions(spark: SparkSession, d: str, vocab: DataFrame) -> DataFrame:
 
 @query("lm_bigrams", f"WITH {LM} SELECT * FROM bi")
 def lm_bigrams(spark: SparkSession, d: str) -> DataFrame:
-    return bigrams(spark, d, vocabulary(spark, d))
+    return N.ngrams(sentences(spark, d), vocabulary(spark, d)[1], 2).where(F.col("n") >= LEAST)
 
 
 @query("lm_trigrams", f"WITH {LM} SELECT * FROM tri")
@@ -244,12 +243,14 @@ def lm_perplexity(spark: SparkSession, d: str) -> DataFrame:
 
 @query("oov_share", f"WITH {LM} SELECT count(*) AS n_tokens, count(*) FILTER (w = '<UNK>') AS n_unknown, round(count(*) FILTER (w = '<UNK>') / count(*), 6) AS oov_share FROM seen")
 def oov_share(spark: SparkSession, d: str) -> DataFrame:
-    w = N.known(sentences(spark, d).select(F.explode("toks").alias("w")), vocabulary(spark, d), ["w"])
-    return w.agg(F.count("*").alias("n_tokens"), F.count_if(F.col("w") == N.UNK).alias("n_unknown"), F.round(F.count_if(F.col("w") == N.UNK) / F.count("*"), 6).alias("oov_share"))
+    types, vocab = vocabulary(spark, d)
+    sum_ = lambda name: F.coalesce(F.sum("n"), F.lit(0)).alias(name)
+    n = types.agg(sum_("n_tokens")).crossJoin(vocab.agg(sum_("_in"))).withColumn("n_unknown", F.col("n_tokens") - F.col("_in"))
+    return n.select("n_tokens", "n_unknown", F.round(F.try_divide("n_unknown", "n_tokens"), 6).alias("oov_share"))
 
 
 @query("chunks", rf"WITH {SENT} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s_no, pos) - 1) // 200 AS chunk, w FROM words")
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """Words of each document in chunks of 200; no sentence ends within a word, so the words of the text are those of its sentences."""
-    w = spread(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", F.posexplode(T.words(F.col("text"))).alias("pos", "w"))
-    return w.select("doc_id", F.floor(F.col("pos") / 200).alias("chunk"), T.key(F.col("w")).alias("w"))
+    w = spread(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", F.posexplode(T.words(T.key(F.col("text")))).alias("pos", "w"))
+    return w.select("doc_id", F.floor(F.col("pos") / 200).alias("chunk"), "w")
