@@ -40,12 +40,16 @@ def known(rows: DataFrame, vocab: DataFrame, columns: list[str]) -> DataFrame:
     return rows
 
 
+def _runs(framed_: Column, n: int) -> Column:
+    """All runs of n successive elements of an array of at least n, as structs w1..wn: shifted copies of the array side by side."""
+    size = F.size(framed_) - (n - 1)
+    return F.arrays_zip(*[F.slice(framed_, k + 1, size).alias(f"w{k + 1}") for k in range(n)])
+
+
 def runs(sentences: DataFrame, n: int) -> DataFrame:
     """(w1..wn): every run of n successive tokens of framed sentences."""
-    names = [f"w{k + 1}" for k in range(n)]
-    at = lambda i, k: F.element_at(F.col("_f"), (i + k).cast("int"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("_f") - (n - 1)), lambda i: F.struct(*[at(i, k).alias(w) for k, w in enumerate(names)]))
-    return sentences.select(framed(F.col("toks")).alias("_f")).where(F.size("_f") >= n).select(F.explode(grams).alias("g")).select("g.*")
+    f = F.col("_f")
+    return sentences.select(framed(F.col("toks")).alias("_f")).where(F.size(f) >= n).select(F.explode(_runs(f, n)).alias("g")).select("g.*")
 
 
 def ngrams(sentences: DataFrame, vocab: DataFrame, n: int) -> DataFrame:
@@ -57,9 +61,7 @@ def ngrams(sentences: DataFrame, vocab: DataFrame, n: int) -> DataFrame:
 def padded_trigrams(sentences: DataFrame, vocab: DataFrame) -> DataFrame:
     """(w1, w2, w3, n) with a pad after each sentence, so that every bigram begins one trigram: both orders from one pass."""
     names = ["w1", "w2", "w3"]
-    at = lambda i: F.element_at(F.col("_f"), i.cast("int"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("_f") - 2), lambda i: F.struct(*[at(i + k).alias(w) for k, w in enumerate(names)]))
-    rows = sentences.select(F.concat(framed(F.col("toks")), F.array(F.lit(PAD))).alias("_f")).select(F.explode(grams).alias("g")).select("g.*")
+    rows = sentences.select(F.concat(framed(F.col("toks")), F.array(F.lit(PAD))).alias("_f")).select(F.explode(_runs(F.col("_f"), 3)).alias("g")).select("g.*")
     return known(rows, vocab, names).groupBy(*names).agg(F.count("*").alias("n"))
 
 
