@@ -37,8 +37,8 @@ def test_sql_is_the_rule_list(spark, rules):
 
 
 @pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test data")
-def test_labelled_by_hand(spark, rules):
-    """Precision and recall of each kind on documents labelled by reading them."""
+def test_checked_by_reading(spark, rules):
+    """Precision and recall of each kind on documents whose kind was checked by reading; see the note there."""
     truth = {i: k for k, ids in LABELLED.items() for i in ids}
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(F.col("doc_id").isin(*truth))
     got = {r.doc_id: r.kind for r in q.not_prose(docs, rules).collect()}
