@@ -189,15 +189,16 @@ def found(index: DataFrame, pattern: str, limit: int = 20) -> DataFrame:
     return index.where(Pattern(pattern).matches(F.col("stripped"))).orderBy(F.desc("score"), F.length("stripped"), "stripped").limit(limit)
 
 
-def pattern_index(lexicon: DataFrame, headwords: DataFrame, freq: DataFrame | None = None) -> DataFrame:
-    """(stripped, form, lemma, score): of the entries of a key the one whose lemma has most keys, 500 more for headwords.
+def pattern_index(lexicon: DataFrame, freq: DataFrame | None = None) -> DataFrame:
+    """(stripped, form, lemma, score): of the entries of a form without marks the one whose lemma has most such forms, 500 more for headwords.
 
-    freq: (key, n) replaces the score by the corpus count, keeping the 500 for scores that had them. lexicon: (form, lemma).
+    An entry is a headword if it is its lemma but for case and marks. Ties go to the smallest form, then lemma. freq: (key, n)
+    replaces the score by the corpus count, keeping the 500 for scores that had them. lexicon: (form, lemma).
     """
-    keyed = lexicon.select(T.key(F.col("form")).alias("stripped"), "form", "lemma").distinct()
+    keyed = lexicon.select(T.strip_accents(F.lower("form")).alias("stripped"), "form", "lemma").distinct()
     fan = keyed.groupBy("lemma").agg(F.count_distinct("stripped").alias("fan"))
-    head = headwords.select(F.col("form").alias("_h")).distinct()
-    e = keyed.join(fan, "lemma").join(head, F.col("form") == F.col("_h"), "left").withColumn("score", F.col("fan") + F.when(F.col("_h").isNotNull(), 500).otherwise(0))
+    head = F.col("stripped") == T.strip_accents(F.lower("lemma"))
+    e = keyed.join(fan, "lemma").withColumn("score", F.col("fan") + F.when(head, 500).otherwise(0))
     best = e.groupBy("stripped").agg(F.min(F.struct((-F.col("score")).alias("s"), "form", "lemma")).alias("m")).select("stripped", F.col("m.form").alias("form"), F.col("m.lemma").alias("lemma"), (-F.col("m.s")).alias("score"))
     if freq is None:
         return best

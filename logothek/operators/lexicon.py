@@ -128,8 +128,9 @@ def chains_resolved(table: DataFrame, depth: int = 5) -> DataFrame:
 
 
 def spell_index(rows: DataFrame) -> DataFrame:
-    """(stripped, forms): the distinct spellings under each stripped key, with their source, in order."""
-    g = rows.select(T.key(F.col("form")).alias("stripped"), F.struct("form", "src").alias("f")).distinct()
+    """(stripped, forms): the distinct spellings of each form without case and marks, in order, each with the smallest of its sources ('' for none)."""
+    one = rows.groupBy("form").agg(F.min(F.coalesce("src", F.lit(""))).alias("src"))
+    g = one.select(T.strip_accents(F.lower("form")).alias("stripped"), F.struct("form", "src").alias("f"))
     return g.groupBy("stripped").agg(F.sort_array(F.collect_list("f")).alias("forms"))
 
 

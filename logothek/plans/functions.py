@@ -26,10 +26,11 @@ def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("spelling_variants")
 def spelling_variants(spark: SparkSession, d: str) -> DataFrame:
-    """Spellings that byzantine confusions would make headwords of, for each headword."""
+    """Headwords, and as they are seldom confused such with ω for ο, with the headwords that byzantine confusions make of them."""
     h = PL.two(spark, d)[2].select(F.col("form").alias("word"))
-    v = h.select("word", F.explode(U.spelling_candidates("byzantine")(F.col("word"))).alias("x")).select("word", "x.cand", "x.cost")
-    return v.join(h.select(F.col("word").alias("cand")), "cand", "left_semi").select("word", "cand", "cost")
+    w = h.unionByName(h.select(F.replace("word", F.lit("ο"), F.lit("ω")).alias("word"))).distinct()
+    v = w.select("word", F.explode(U.spelling_candidates("byzantine")(F.col("word"))).alias("x")).select("word", "x.cand", "x.cost")
+    return v.join(h.select(F.col("word").alias("cand")).distinct(), "cand", "left_semi").select("word", "cand", "cost")
 
 
 @query("dialect_variants")

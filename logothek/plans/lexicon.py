@@ -127,10 +127,10 @@ def chains_resolved(spark: SparkSession, d: str) -> DataFrame:
     return L.chains_resolved(L.combined(*two(spark, d)).select("form", "lemma"))
 
 
-@query("spell_index", f"WITH {LEX} SELECT {STRIP.format('form')} AS stripped, string_agg(DISTINCT form || '/' || coalesce(src, ''), '|' ORDER BY form || '/' || coalesce(src, '')) AS forms FROM lex GROUP BY 1")
+@query("spell_index", f"WITH {LEX}, o AS (SELECT form, min(coalesce(src, '')) AS src FROM lex GROUP BY form) SELECT {BARE.format('form')} AS stripped, string_agg(form || '/' || src, '|' ORDER BY form) AS forms FROM o GROUP BY 1")
 def spell_index(spark: SparkSession, d: str) -> DataFrame:
     s = L.spell_index(lex(spark, d))
-    return s.select("stripped", F.concat_ws("|", F.array_sort(F.transform("forms", lambda x: F.concat(x["form"], F.lit("/"), F.coalesce(x["src"], F.lit("")))))).alias("forms"))
+    return s.select("stripped", F.array_join(F.transform("forms", lambda x: F.concat(x["form"], F.lit("/"), x["src"])), "|").alias("forms"))
 
 
 @query("bridges", f"WITH {LEX} SELECT DISTINCT a.lemma AS el_lemma, b.lemma AS grc_lemma FROM lex a JOIN lex b ON a.form = b.form AND a.lang = 'el' AND b.lang = 'grc' AND a.lemma <> b.lemma")

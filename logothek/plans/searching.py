@@ -80,14 +80,15 @@ def typo_recovery(spark: SparkSession, d: str) -> DataFrame:
     return j.agg(F.count("*").alias("n"), F.count_if(F.col("rank") <= 1).alias("top1"), F.count_if(F.col("rank") <= 5).alias("top5"))
 
 
-_INDEX = f"""{PL.TABLES}, kd AS (SELECT DISTINCT {KEY.format('form')} AS stripped, form, lemma FROM lex), fan AS (SELECT lemma, count(DISTINCT stripped) AS fan FROM kd GROUP BY lemma),
-sc AS (SELECT kd.*, fan + CASE WHEN form IN (SELECT form FROM heads) THEN 500 ELSE 0 END AS score FROM kd JOIN fan USING (lemma)),
+_INDEX = f"""{PL.LEX}, kd AS (SELECT DISTINCT {PL.BARE.format('form')} AS stripped, form, lemma FROM lex WHERE lang IN ('all', 'grc')), fan AS (SELECT lemma, count(DISTINCT stripped) AS fan FROM kd GROUP BY lemma),
+sc AS (SELECT kd.*, fan + CASE WHEN stripped = {PL.BARE.format('lemma')} THEN 500 ELSE 0 END AS score FROM kd JOIN fan USING (lemma)),
 ix AS (SELECT stripped, first(form ORDER BY score DESC, form, lemma) AS form, first(lemma ORDER BY score DESC, form, lemma) AS lemma, max(score) AS score FROM sc GROUP BY stripped)"""
 
 
 @query("pattern_index", f"WITH {_INDEX} SELECT * FROM ix")
 def pattern_index(spark: SparkSession, d: str) -> DataFrame:
-    return Z.pattern_index(PL.lex(spark, d), PL.two(spark, d)[2])
+    """The index of the forms of all varieties and of the ancient one."""
+    return Z.pattern_index(PL.lex(spark, d).where(F.col("lang").isin("all", "grc")))
 
 
 def _find(pattern: str) -> str:
@@ -95,14 +96,14 @@ def _find(pattern: str) -> str:
     return f"WITH {_INDEX} SELECT * FROM ix WHERE regexp_matches(stripped, '{p.regex}') ORDER BY score DESC, length(stripped), stripped LIMIT 20"
 
 
-@query("pattern_find_gap", _find("κρ*ος"))
+@query("pattern_find_gap", _find("κ*ος"))
 def pattern_find_gap(spark: SparkSession, d: str) -> DataFrame:
-    return Z.found(pattern_index(spark, d), "κρ*ος")
+    return Z.found(pattern_index(spark, d), "κ*ος")
 
 
-@query("pattern_find_class", _find("..[αο]....[ωσ]*"))
+@query("pattern_find_class", _find("..[αο]....[ως]*"))
 def pattern_find_class(spark: SparkSession, d: str) -> DataFrame:
-    return Z.found(pattern_index(spark, d), "..[αο]....[ωσ]*")
+    return Z.found(pattern_index(spark, d), "..[αο]....[ως]*")
 
 
 _RANGES = [("α", "αδ"), ("κρ", "γ"), ("μ", "ξ"), ("ω", "ω")]
