@@ -21,6 +21,7 @@ from logothek.plans import searching as PS
 from logothek.plans.registry import query
 from logothek.plans.training import PARSED_SQL, p3_rows
 from logothek.session import checkpointed, spread, table
+from logothek.sources.readers import MORPHOLOGY, morphology_tags
 
 PAIRS = "SELECT * FROM lemmapairdataset WHERE length(form) > 0 AND length(lemma) > 0"
 LATIN = "len(regexp_extract_all({0}, '[A-Za-z]'))"
@@ -342,3 +343,15 @@ def declined_nouns(spark: SparkSession, d: str) -> DataFrame:
     nouns = gen.groupBy("lemma", "gender").agg(F.min("form").alias("genitive"))
     known = PL.lex(spark, d).select("lemma", "form").unionByName(p.select("lemma", "form")).distinct()
     return Y.declined_by_class(nouns, known)
+
+
+_SHORT_NAMES = {tag: name for axis in reversed(MORPHOLOGY) for name, tag in reversed(axis.items())}
+
+
+@query("morphology_tags", "WITH p AS (" + PAIRS + ") SELECT pair_id, list_aggregate(list_filter([" + ", ".join(f"list_filter(tags, lambda t: t IN ({', '.join(repr(v) for v in dict.fromkeys(a.values()))}))[1]" for a in MORPHOLOGY) + "], lambda t: t IS NOT NULL), 'string_agg', ' ') AS tags FROM p WHERE tags IS NOT NULL")
+def morphology_tags_query(spark: SparkSession, d: str) -> DataFrame:
+    """Tags read out of morphology strings, which are written here from the tags of the pairs with a dialect in brackets."""
+    names = F.create_map(*[x for k, v in _SHORT_NAMES.items() for x in (F.lit(k), F.lit(v))])
+    text = F.concat(F.array_join(F.transform("tags", lambda t: F.coalesce(F.try_element_at(names, t), t)), " "), F.lit(" (attic epic gen pl)"))
+    tags = F.array_join(morphology_tags(text), " ")
+    return PL.pairs(spark, d).where("tags IS NOT NULL").select("pair_id", F.nullif(tags, F.lit("")).alias("tags"))

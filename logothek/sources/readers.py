@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from io import BytesIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logothek.functions.text import any_greek, lacuna, outer_trim, polytonic_share, strip_length
@@ -161,3 +161,29 @@ def dictionary_xml(spark: SparkSession, path: str) -> DataFrame:
 def larger(a: DataFrame, b: DataFrame) -> DataFrame:
     """Of two copies of a table the one with more rows, the first if they have equally many; counts both."""
     return b if b.count() > a.count() else a
+
+
+# Names of features in the strings of a morphology, by axis, and the tags they stand for.
+MORPHOLOGY = (
+    {"masc": "masculine", "masc/neut": "masculine", "fem": "feminine", "neut": "neuter"},
+    {"sg": "singular", "pl": "plural", "dual": "dual"},
+    {"nom": "nominative", "gen": "genitive", "dat": "dative", "acc": "accusative", "voc": "vocative", "nom/voc/acc": "nominative", "nom/voc": "nominative", "nom/acc": "nominative", "gen/dat": "genitive"},
+    {"pres": "present", "imperf": "imperfect", "aor": "aorist", "fut": "future", "perf": "perfect", "plup": "pluperfect"},
+    {"ind": "indicative", "subj": "subjunctive", "opt": "optative", "imperat": "imperative", "inf": "infinitive", "part": "participle"},
+    {"act": "active", "mid": "middle", "pass": "passive", "mp": "middle"},
+    {"1st": "first-person", "2nd": "second-person", "3rd": "third-person"},
+)
+
+
+def morphology_tags(c: Column) -> Column:
+    """Tags of a string such as ``pres subj act 1st sg (attic epic)``: the first of each axis, in the order of the axes; what is in brackets is left out.
+
+    Null and empty strings have no tags.
+    """
+    parts = F.split(F.trim(F.lower(F.regexp_replace(c, r"(?s)\(.*", ""))), r"\s+")
+
+    def first(axis: dict[str, str]) -> Column:
+        named = F.create_map(*[x for k, v in axis.items() for x in (F.lit(k), F.lit(v))])
+        return F.try_element_at(named, F.get(F.filter(parts, lambda p: p.isin(*axis)), F.lit(0)))
+
+    return F.array_compact(F.array(*map(first, MORPHOLOGY)))

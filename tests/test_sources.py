@@ -65,6 +65,12 @@ def test_more_readers(spark, tmp_path):
     assert S.larger(a, b) is b and S.larger(a, a.limit(3)) is a
 
 
+def test_morphology_strings(spark):
+    df = spark.createDataFrame([("masc acc pl",), ("pres subj act 1st sg (attic fem epic)",), ("indeclform (particle)",), ("nom/voc/acc neut dual",), ("",), (None,)], "m string")
+    got = [r[0] for r in df.select(S.morphology_tags(F.col("m"))).collect()]
+    assert got == [["masculine", "plural", "accusative"], ["singular", "present", "subjunctive", "active", "first-person"], [], ["neuter", "dual", "nominative"], [], []]
+
+
 def test_more_writers(spark, tmp_path):
     rows = spark.createDataFrame([("λύω", "", "active_present_infinitive", "λύειν"), ("λύω", "", "active_aorist_indicative_1sg", "ἔλυσα"), ("λύω", "epic", "active_aorist_indicative_3sg", "λῦσε")], "lemma string, dialect string, key string, form string")
     W.paradigms(rows, str(tmp_path / "p"))
