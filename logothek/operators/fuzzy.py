@@ -91,7 +91,7 @@ def within(queries: DataFrame, keys: DataFrame, distance: int) -> DataFrame:
     """
     a = queries.select("q", F.explode(deletes(F.col("q"), distance)).alias("_d"))
     b = keys.select("key", F.explode(deletes(F.col("key"), distance)).alias("_d"))
-    met = salted_join(b, a, ["_d"], salt_by="key").where(F.abs(F.length("q") - F.length("key")) <= distance)
+    met = salted_join(b, a, ["_d"], salt_by="key", made=True).where(F.abs(F.length("q") - F.length("key")) <= distance)
     return edits(met.select("q", "key").distinct(), "q", "key", distance)
 
 

@@ -38,12 +38,13 @@ def hot_keys(df: DataFrame, keys: list[str], share: int = SHARE) -> DataFrame:
     return hot_of_counts(df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_n")), keys, "_n", share)
 
 
-def salted_join(big: DataFrame, other: DataFrame, keys: list[str], salt_by: str, how: str = "inner", share: int = SHARE, hot: DataFrame | None = None) -> DataFrame:
+def salted_join(big: DataFrame, other: DataFrame, keys: list[str], salt_by: str, how: str = "inner", share: int = SHARE, hot: DataFrame | None = None, made: bool = False) -> DataFrame:
     """Equi-join of ``big``, whose keys may be skewed, with ``other``.
 
     big: skewed side; ``salt_by`` is a column of it that tells its rows apart and spreads the rows of a hot key.
     how: inner, left, left_semi or left_anti. Columns of the two sides other than the keys must differ in name.
     hot: the hot keys and their salts if they are known, at most some hundred rows; else ``big`` is counted.
+    made: rows are made of far fewer ones, so the planner, which takes them for as large as those, may broadcast neither side.
     Rows with null keys match nothing; repeated rows join as often as they occur.
     """
     hot = F.broadcast(hot_keys(big, keys, share) if hot is None else hot)
@@ -53,4 +54,4 @@ def salted_join(big: DataFrame, other: DataFrame, keys: list[str], salt_by: str,
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0)))))
         .drop("_salts")
     )
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return left.join(right.hint("merge") if made else right, [*keys, "_salt"], how).drop("_salt")

@@ -1,5 +1,6 @@
 """Queries over whole inputs against word-at-a-time Python, on small tables with capitals, other letters and rare words."""
 
+import re
 import unicodedata as ud
 from collections import Counter
 
@@ -122,3 +123,27 @@ def test_conventions_and_equals(spark, small, tmp_path):
     write([(1, "λόγου", "λόγος", "dev", "ag"), (2, "ἀθήνας", "Ἥρα", "dev", "ag")], "pair_id long, form string, lemma string, split string, source string", "lemmapairdataset")
     assert {r.lemma: r.preferred for r in rows(spark, str(tmp_path), "convention_map")} == {"Ἀθηνᾶ": "Ἀθήνα", "βίος": "βιος"}
     assert [tuple(r) for r in rows(spark, str(tmp_path), "accuracy_with_equivalents")] == [("dev", 2, 1)]
+
+
+def joins(df):
+    """The joins of a query as they ran, with their keys."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [(kind, re.sub(r"#\d+L?", "", on)) for kind, on in re.findall(r"(BroadcastHashJoin|SortMergeJoin) \[([^\]]*)\]", plan)]
+
+
+@pytest.fixture(scope="session")
+def many(spark, tmp_path_factory):
+    """Headwords enough that no string of deletions is hot, forms and words; small files all."""
+    d = str(tmp_path_factory.mktemp("many"))
+    words = ["".join("αβγδεικλ"[(i * m >> 5) % 8] for m in (7, 11, 13, 31, 37, 61, 67, 127)) + "οσ" for i in range(400)]
+    write = lambda rows, schema, name: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{d}/{name}.parquet")
+    write([(i, t, "noun") for i, t in enumerate(words)], "id long, text string, pos string", "lemmas")
+    write([(i, t, i, "grc", "all") for i, t in enumerate(words)], "row_id long, form string, lemma_id long, src string, lang string", "lookup")
+    write([(i, t, t, "noun", ["x"], "dev", "ag") for i, t in enumerate(words)], "pair_id long, form string, lemma string, pos string, tags array<string>, split string, source string", "lemmapairdataset")
+    return d
+
+
+def test_strings_of_deletions_are_not_broadcast(spark, many):
+    """However small the file of the headwords, the strings made of them don't pass through the driver."""
+    assert [k for k, on in joins(queries()["spell_staged"](spark, many)) if "_salt" in on] == ["SortMergeJoin"]
