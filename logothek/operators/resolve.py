@@ -217,7 +217,8 @@ def heavy_repairs(words: DataFrame, lexicon: DataFrame, period: str = "byzantine
     bases = F.filter(F.array(c, F.when(c.endswith("σ"), F.regexp_replace(c, "σ$", "ς")), _subscripts(c), lowered), lambda x: x.isNotNull())
     b = w.select("word", F.posexplode(F.array_distinct(bases)).alias("b", "base"))
     x = b.select("word", "b", F.posexplode(spelling_candidates(period)(F.col("base"))).alias("i", "s")).select("word", (F.col("b") * 1000 + F.col("i")).alias("r"), F.col("s.cand").alias("cand"))
-    hit = looked_up(x, lexicon, ["word", "r"]).where(T.strip_accents(F.lower("lemma")) != T.strip_accents(F.lower("cand")))
+    # the planner takes the many spellings for the size of the words' file, and would send them whole to the driver
+    hit = looked_up(x, lexicon.hint("merge"), ["word", "r"]).where(T.strip_accents(F.lower("lemma")) != T.strip_accents(F.lower("cand")))
     return hit.groupBy("word").agg(F.min(F.struct("r", "lemma", "cand")).alias("m")).select("word", "m.lemma", "m.cand")
 
 

@@ -147,3 +147,9 @@ def many(spark, tmp_path_factory):
 def test_strings_of_deletions_are_not_broadcast(spark, many):
     """However small the file of the headwords, the strings made of them don't pass through the driver."""
     assert [k for k, on in joins(queries()["spell_staged"](spark, many)) if "_salt" in on] == ["SortMergeJoin"]
+
+
+def test_respellings_are_not_broadcast(spark, many):
+    """However small the file of the words, their respellings don't pass through the driver."""
+    found = joins(queries()["respelt"](spark, many))
+    assert [k for k, on in found if on == "form"] == ["SortMergeJoin"] * 2
