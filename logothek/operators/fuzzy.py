@@ -119,7 +119,8 @@ def suggestions(words: DataFrame, forms: DataFrame, max_distance: int = 2, ocr:
     w = words.select("word").distinct().withColumn("q", T.strip_accents(F.lower("word")))
     f = forms.select("form", "n").withColumn("key", T.strip_accents(F.lower("form")))
     hits = spelling_hits(w, f.select("key").distinct(), max_distance)
-    j = w.join(hits, "q").join(f, "key").withColumn("sd", F.levenshtein("q", "key"))
+    # words and forms may be many, too, for a small file
+    j = w.join(hits.hint("merge"), "q").join(f.hint("merge"), "key").withColumn("sd", F.levenshtein("q", "key"))
     full = ocr_distance(F.lower("word"), F.lower("form")) if ocr else F.levenshtein(F.lower("word"), F.lower("form")).cast("double")
     j = j.withColumn("fd", full).withColumn("_b", has_breathing(F.col("form")))
     j = j.withColumn("_any", F.bool_or("_b").over(Window.partitionBy("word", "sd"))).where(~has_breathing(F.col("word")) | F.col("_b") | ~F.col("_any"))

@@ -153,3 +153,11 @@ def test_respellings_are_not_broadcast(spark, many):
     """However small the file of the words, their respellings don't pass through the driver."""
     found = joins(queries()["respelt"](spark, many))
     assert [k for k, on in found if on == "form"] == ["SortMergeJoin"] * 2
+
+
+@pytest.mark.parametrize("name", ["spelling_suggestions", "ocr_suggestions", "typo_recovery"])
+def test_suggestions_are_not_broadcast(spark, many, name):
+    """However small the file of the headwords, neither the strings of deletions nor words or forms pass through the driver."""
+    found = joins(queries()[name](spark, many))
+    assert [k for k, on in found if "_salt" in on] == ["SortMergeJoin"]
+    assert [k for k, on in found if on in ("q", "key")] == ["SortMergeJoin"] * 2
