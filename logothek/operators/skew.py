@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SHARE = 256
 #: Most rows of a broadcast side, some 100 bytes each in memory; larger sides are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Keys of made rows are counted in as many parts by hash, so that counting them takes next to no memory, however many they are.
+PARTS = 4096
 
 
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
@@ -44,14 +46,20 @@ def salted_join(big: DataFrame, other: DataFrame, keys: list[str], salt_by: str,
     big: skewed side; ``salt_by`` is a column of it that tells its rows apart and spreads the rows of a hot key.
     how: inner, left, left_semi or left_anti. Columns of the two sides other than the keys must differ in name.
     hot: the hot keys and their salts if they are known, at most some hundred rows; else ``big`` is counted.
-    made: rows are made of far fewer ones, so the planner, which takes them for as large as those, may broadcast neither side.
+    made: rows are made of far fewer ones, so the planner, which takes them for as large as those, may broadcast neither side;
+    hot are then whole parts of the keys' hashes, and ``hot`` isn't taken.
     Rows with null keys match nothing; repeated rows join as often as they occur.
     """
+    by = keys
+    if made:
+        part = F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")
+        by, big, other = ["_part"], big.withColumn("_part", part), other.withColumn("_part", part)
+        hot = hot_keys(big.dropna(subset=keys), by, share)
     hot = F.broadcast(hot_keys(big, keys, share) if hot is None else hot)
-    left = big.join(hot, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(salt_by), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
+    left = big.join(hot, by, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(salt_by), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts", "_part")
     right = (
-        other.join(hot, keys, "left")
+        other.join(hot, by, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0)))))
-        .drop("_salts")
+        .drop("_salts", "_part")
     )
     return left.join(right.hint("merge") if made else right, [*keys, "_salt"], how).drop("_salt")

@@ -131,6 +131,25 @@ def test_salted_join(spark):
     assert salted_join(big.limit(0), other, ["k"], "id").count() == 0
 
 
+def test_salted_join_of_made_rows(spark):
+    """Parts of the hashes are hot, not keys; rows are those of the plain join."""
+    big = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(600)] + [(-1, None), (-2, None)], "id int, k string")
+    other = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), (None, 4)], "k string, v int")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        a = sorted(map(tuple, salted_join(big, other, ["k"], "id", how, made=True).collect()), key=str)
+        assert a == sorted(map(tuple, big.join(other, ["k"], how).collect()), key=str)
+    assert salted_join(big.limit(0), other, ["k"], "id", made=True).count() == 0
+
+
+def test_within_hashes_that_meet_by_chance(spark, monkeypatch):
+    words = ["λογος", "λογοσ", "νομος", "νοος", "ος", "α", "αβ", "βα"]
+    q, k = spark.createDataFrame([(w,) for w in words[:5]], "q string"), spark.createDataFrame([(w,) for w in words], "key string")
+    real = F.xxhash64
+    monkeypatch.setattr(Z.F, "xxhash64", lambda *c: F.pmod(real(*c), F.lit(3)))
+    got = [(r.q, r.key, r.ed) for r in Z.within(q, k, 2).collect()]
+    assert sorted(got) == sorted((a, b, n) for a in words[:5] for b in words if (n := Z.damerau(a, b)) <= 2)
+
+
 def test_ranked(spark):
     df = spark.range(2000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 7).cast("string")).alias("g"), (F.col("id") % 11).alias("o"))
     got = {r.id: r["rank"] for r in ranked(df, "g", ["o", "id"], 6).collect()}

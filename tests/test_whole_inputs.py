@@ -161,3 +161,10 @@ def test_suggestions_are_not_broadcast(spark, many, name):
     found = joins(queries()[name](spark, many))
     assert [k for k, on in found if "_salt" in on] == ["SortMergeJoin"]
     assert [k for k, on in found if on in ("q", "key")] == ["SortMergeJoin"] * 2
+
+
+def test_strings_of_deletions_are_counted_in_parts(spark, many):
+    """Hot ones are told without a group for each of the strings, of which there are some 70 for a headword."""
+    plan = queries()["ocr_suggestions"](spark, many)._jdf.queryExecution().sparkPlan().toString()
+    grouped = {re.sub(r"#\d+L?", "", k) for k in re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", plan)}
+    assert "_d" not in grouped and "_part" in grouped
