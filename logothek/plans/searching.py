@@ -76,7 +76,8 @@ def typo_recovery(spark: SparkSession, d: str) -> DataFrame:
     heads = head_keys(spark, d)
     t = Z.typos(heads, "key").where(F.length("key") >= 4)
     s = Z.suggestions(t.select(F.col("typo").alias("word")).distinct(), heads.select(F.col("key").alias("form"), F.lit(1).alias("n")))
-    j = t.join(s, (F.col("typo") == F.col("word")) & (F.col("key") == F.col("form")), "left")
+    # suggestions are many for a small file, so they aren't broadcast
+    j = t.join(s.hint("merge"), (F.col("typo") == F.col("word")) & (F.col("key") == F.col("form")), "left")
     return j.agg(F.count("*").alias("n"), F.count_if(F.col("rank") <= 1).alias("top1"), F.count_if(F.col("rank") <= 5).alias("top5"))
 
 

@@ -168,3 +168,8 @@ def test_strings_of_deletions_are_counted_in_parts(spark, many):
     plan = queries()["ocr_suggestions"](spark, many)._jdf.queryExecution().sparkPlan().toString()
     grouped = {re.sub(r"#\d+L?", "", k) for k in re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", plan)}
     assert "_d" not in grouped and "_part" in grouped
+
+
+def test_recovery_broadcasts_no_suggestions(spark, many):
+    """However few they are by the planner's count, the suggestions don't pass through the driver."""
+    assert [k for k, _ in joins(queries()["typo_recovery"](spark, many)) if k != "SortMergeJoin"] == []
